@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rule_ledger, shards, simhash
+from . import mixing, packing, pu_quality, rule_ledger, shards, simhash, toxicity
 from .common import documents
 
 
@@ -20,10 +20,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rule_ledger.quality_report(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
@@ -33,5 +41,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op6_shards": op6_shards, "op8_rules": op8_rules, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op6_shards": op6_shards,
+    "op7_toxicity": op7_toxicity,
+    "op8_rules": op8_rules,
+    "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {}

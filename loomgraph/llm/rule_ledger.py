@@ -14,8 +14,10 @@ measured whole, whatever their length; equal rows are measured alike.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,36 +49,59 @@ POLICIES = {
 CURRENT = "v2"
 
 
-def measure(text: str | None) -> tuple[int, ...]:
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+#: Odd factors of the rolling hash that finds candidates for repeated windows.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words in windows of five that the text has twice or more.
+
+    Equal windows have equal hashes; windows of equal hash are then compared as they are.
+    """
+    if len(words) <= WINDOW:
+        return 0
+    codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    n = len(words) - WINDOW + 1
+    rolling = sum(codes[k : k + n] * _FACTORS[k] for k in range(WINDOW))
+    order = np.argsort(rolling, kind="stable")
+    same = rolling[order[1:]] == rolling[order[:-1]]
+    if not same.any():
+        return 0
+    at = np.unique(np.r_[order[1:][same], order[:-1][same]]).tolist()
+    windows = [tuple(words[k : k + WINDOW]) for k in at]
+    counts = Counter(windows)
+    repeat = reach = 0  # words before reach are counted
+    for k, w in zip(at, windows):
+        if counts[w] > 1:
+            repeat += k + WINDOW - max(reach, k)
+            reach = k + WINDOW
+    return repeat
+
+
+def measure_words(text: str | None) -> tuple[tuple[int, ...], bytes, list[bytes]]:
+    """The measurements of a whole text, its bytes and its words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    lines = Counter(raw.split(b"\n")) if b"\n" in raw else ()
-    dup = blank = 0
-    if lines:
-        for line, k in lines.items():
-            if not line.split():
-                blank += k
-            elif k > 1:
-                dup += k - 1
-    n_lines = (sum(lines.values()) - blank) if lines else int(n > 0)
+    dup, n_lines = 0, int(n > 0)
+    if b"\n" in raw:
+        lines = Counter(raw.split(b"\n"))
+        if len(lines) == 1 + raw.count(b"\n"):
+            n_lines = sum(1 for line in lines if line and not line.isspace())
+        else:
+            kept = [k for line, k in lines.items() if line.split()]
+            dup, n_lines = sum(kept) - len(kept), sum(kept)
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     joined = b"".join(words)
-    chars = len(joined) - len(joined.translate(None, bytes(range(0xC0)))) + len(joined) - len(joined.translate(None, bytes(range(0x80)))) if not joined.isascii() else len(joined)
-    unique = set(words)
-    repeat = 0
-    if n > WINDOW and len(unique) < n:
-        windows = list(zip(*(words[k:] for k in range(WINDOW))))
-        counts = Counter(windows)
-        if len(counts) < len(windows):
-            reach = 0  # words before this are counted
-            for k, w in enumerate(windows):
-                if counts[w] > 1:
-                    repeat += k + WINDOW - max(reach, k)
-                    reach = k + WINDOW
-    upper = sum(map(bytes.isupper, words)) if raw.upper() != raw.lower() else 0
-    alpha = n - sum(1 for w in words if not any(c >= 0x80 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A for c in w)) if not joined.isalpha() else n
-    return n, chars, symbols, dup, repeat, n_lines, len(unique), upper, alpha
+    chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "surrogatepass"))
+    upper = sum(map(bytes.isupper, words))
+    bare = sum(1 for w in words if not w.isalpha() and not _LETTER.search(w))
+    return (n, chars, symbols, dup, repeated_words(words), n_lines, len(set(words)), upper, n - bare), raw, words
+
+
+def measure(text: str | None) -> tuple[int, ...]:
+    return measure_words(text)[0]
 
 
 def _failures() -> F.Column:
