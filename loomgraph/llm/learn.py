@@ -12,14 +12,14 @@ def sigmoid(x):
 class Scaler:
     """Standard scores, cut at `cut` deviations so that no text can be an outlier of any weight."""
 
-    def __init__(self, x: np.ndarray, cut: float = 6.0):
+    def __init__(self, x: np.ndarray, cut: float = 12.0):
         self.mean, self.std, self.cut = x.mean(axis=0), x.std(axis=0) + 1e-6, cut
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.std, -self.cut, self.cut)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
     """Plain logistic regression by full-batch Adam; the last weight is the intercept."""
     return _adam(x, lambda z: (sigmoid(z) - y) / len(y), rounds, rate, decay)
 
@@ -52,7 +52,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.0
     return float(np.clip(above_u[ok][k] / above_p[ok][k], 0.01, 0.99))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Linear model of least non-negative unbiased risk under the logistic loss.
 
     Risk: prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]).  Where

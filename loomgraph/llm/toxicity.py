@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The training folds give three disjoint parts, by hash of doc_id: one learns a
-lexicon (words and word stems whose documents are toxic far more often than
-chance allows), one the trees, one the calibration.  Features: lexicon
+The training folds are dealt by hash of doc_id.  Each half learns a lexicon
+(words and word stems whose documents are toxic far more often than chance
+allows) that makes the features of the other half, so no document is described
+by what it taught; three quarters fit the trees and one the calibration.  Features: lexicon
 densities, hits close to the second person, capitals, punctuation, and the rate
 of obfuscated words and of lexicon words found behind the obfuscation.
 
@@ -31,6 +32,8 @@ from .learn import Isotonic, Trees, sigmoid
 
 SAMPLE = 6000
 LEXICON = 5000
+#: Toxic documents that a unit of the lexicon needs.
+LEAST = 4
 STEMS = (4, 5, 6)
 CUT = 0.5
 NEAR = 5
@@ -140,32 +143,38 @@ def _tail(a: int, n: int, p: float) -> float:
     return (lgamma(n + 1) - lgamma(a + 1) - lgamma(n - a + 1) + a * log(p) + (n - a) * log(1 - p)) / log(10)
 
 
-def learn_lexicon(sample: DataFrame, text: str = "text", size: int = LEXICON) -> dict[str, float]:
-    """sample: bounded (text, label).  Units whose documents are toxic beyond chance."""
+def learn_lexicons(sample: DataFrame, text: str = "text", half: str = "half", size: int = LEXICON) -> list[dict[str, float]]:
+    """sample: bounded (text, label, half).  Units whose documents are toxic beyond chance, in half 0, half 1 and both."""
 
     def run(batches):
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts = [Counter() for _ in range(4)]
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[y].update({u for w in set(WORDS.findall((t or "").lower())) for u in units(w)})
-        for y in (0, 1):
-            names = list(counts[y])
-            for at in range(0, len(names), 20_000):
-                part = names[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[y][u] if y else 0 for u in part], pa.int64()), pa.array([0 if y else counts[y][u] for u in part], pa.int64())], names=["unit", "toxic", "clean"])
-
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    a_all, b_all = totals.get(1, 0), totals.get(0, 0)
+            for t, y, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                counts[2 * h + y].update({u for w in set(WORDS.findall((t or "").lower())) for u in units(w)})
+        # units of no toxic document here may be so elsewhere, so all are sent; the sample bounds them
+        names = list(set().union(*counts))
+        for at in range(0, len(names), 20_000):
+            part = names[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[u] for u in part], pa.int64()) for c in counts]], names=["unit", "b0", "a0", "b1", "a1"])
+
+    totals = {(r["label"], r[half]): r["n"] for r in sample.groupBy("label", half).agg(F.count("*").alias("n")).collect()}
+    found = sample.select(text, "label", half).mapInArrow(run, "unit string, b0 bigint, a0 bigint, b1 bigint, a1 bigint").groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("a0", "b0", "a1", "b1")])
+    rows = found.filter(F.col("a0") + F.col("a1") >= LEAST).orderBy(F.desc(F.col("a0") + F.col("a1") - F.col("b0") - F.col("b1")), "unit").limit(8 * size).collect()
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        a_all, b_all = (sum(totals.get((y, h), 0) for h in halves) for y in (1, 0))
+        out.append(_chosen([(r["unit"], sum(r[f"a{h}"] for h in halves), sum(r[f"b{h}"] for h in halves)) for r in rows], a_all, b_all, size))
+    return out
+
+
+def _chosen(rows: list[tuple[str, int, int]], a_all: int, b_all: int, size: int) -> dict[str, float]:
     if not a_all or not b_all:
         return {}
-    found = sample.select(text, "label").mapInArrow(run, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     base = a_all / (a_all + b_all)
-    # a unit must be frequent enough, and far more toxic than the whole
-    likely = found.filter((F.col("a") >= 4) & (F.col("a") * b_all > F.col("b") * (4 * a_all))).orderBy(F.desc("a"), "unit").limit(8 * size)
-    out = {r["unit"]: (r["a"], log((r["a"] + 0.5) / (a_all + 1)) - log((r["b"] + 0.5) / (b_all + 1))) for r in likely.collect() if _tail(r["a"], r["a"] + r["b"], base) < -2.5}
-    out = {u: v for u, v in sorted(out.items(), key=lambda x: (-x[1][1], x[0]))[:size]}
-    short = _too_short(out)
-    return {u: v[1] for u, v in out.items() if u not in short}
+    found = {u: (a, log((a + 0.5) / (a_all + 1)) - log((b + 0.5) / (b_all + 1))) for u, a, b in rows if a >= LEAST and a * b_all > 4 * b * a_all and _tail(a, a + b, base) < -2.5}
+    found = dict(sorted(found.items(), key=lambda x: (-x[1][1], x[0]))[:size])
+    short = _too_short(found)
+    return {u: v[1] for u, v in found.items() if u not in short}
 
 
 def _too_short(found: dict) -> set[str]:
@@ -220,7 +229,8 @@ class ToxicModel:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicModel:
     small_batches(docs.sparkSession)
     part = F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(8))
-    rows = spill(labelled_sample(docs, labels, label, text, id_col, sample).withColumn("part", part), "toxic-sample")
+    rows = labelled_sample(docs, labels, label, text, id_col, sample).withColumn("part", part).withColumn("half", (part % 2).cast("int"))
+    rows = spill(rows, "toxic-sample")
 
     def keys(batches):
         for b in batches:
@@ -229,19 +239,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     once = rows.mapInArrow(keys, f"{kinds}, k1 bigint, k2 bigint").dropDuplicates(["k1"]).dropDuplicates(["k2"])
-    lexicon = learn_lexicon(once.filter("part < 4").select("text", "label"))
-    model = ToxicModel(lexicon)
-    features = model.features
+    of_half = learn_lexicons(once.select("text", "label", "half"))
+    model = ToxicModel(of_half[2])
+    # the features of each half are made with the lexicon of the other
+    other = [Features(of_half[1]), Features(of_half[0])]
 
     def run(batches):
         for b in batches:
-            x = [features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names[1:], "x"])
+            x = [other[h](t) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names[2:], "x"])
 
-    got = rows.filter("part >= 4").select("text", id_col, "part", "label").mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, part bigint, label int, x array<double>").collect()
+    got = rows.select("text", "half", id_col, "part", "label").mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, part bigint, label int, x array<double>").collect()
     got = sorted(got, key=lambda r: (r[id_col], r["label"], r["x"]))
     take = lambda parts: (np.array([r["x"] for r in got if r["part"] in parts], float).reshape(-1, FEATURES), np.array([r["label"] for r in got if r["part"] in parts], float))
-    return model.fit(*take((4, 5, 6)), *take((7,)))
+    return model.fit(*take(range(6)), *take((6, 7)))
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
