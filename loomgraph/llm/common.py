@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 5: rows with 0 are held out of all training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def map_texts(docs: DataFrame, text: str, carry: tuple[str, ...], fn: Callable[[list], list], names: list[str], kinds: str) -> DataFrame:
+    """carry columns and those that fn makes of each batch's texts, as Arrow arrays.  The text crosses once, carried or not."""
+    small_batches(docs.sparkSession)
+    inside = text in carry
+    picked = docs.select(*[F.col(c) for c in carry], *([] if inside else [F.col(text).alias("_text")]))
+    at = carry.index(text) if inside else len(carry)
+    width = len(carry)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *fn(b.column(at).to_pylist())], names=[*b.schema.names[:width], *names])
+
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
+    return picked.mapInArrow(run, shape + kinds)

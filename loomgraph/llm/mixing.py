@@ -23,7 +23,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,11 +136,16 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, each row as many times as decided; doc_id must name a row."""
-    width = docs.columns
-    joined = docs.join(decided.filter("copies > 0").select(F.col(id_col).alias("_id"), "copies"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.select(*[docs[c] for c in width], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """docs, each row as many times as the mix takes it, with the columns of docs.
 
-
-__all__ = ["SparkSession", "apply_mix", "mix", "pivotal", "targets"]
+    Rows are told apart by id, text and source; rows that are equal in all three
+    share the sum of their copies.
+    """
+    key = F.concat_ws("|", F.col(id_col).cast("string"), F.hex(F.xxhash64(text, source)))
+    keyed = docs.withColumn("_row", key)
+    decided = spill(mix(keyed, text, "_row", source, **how).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
+    if decided.filter("_rows > 1").take(1):
+        keyed = keyed.dropDuplicates(["_row"])
+    joined = keyed.join(decided.filter("_copies > 0").select("_row", "_copies"), "_row")
+    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

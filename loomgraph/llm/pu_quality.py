@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, map_texts, small_batches
 from .learn import Scaler, class_prior, fit_logistic, fit_nnpu, sigmoid
 from .rule_ledger import measure_words
 
@@ -95,19 +95,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and score for every row."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            x = np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model(x))], names=[*b.schema.names[:-1], "score"])
-
-    picked = docs.select(*[F.col(c) for c in carry], F.col(text).alias("_text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}score double")
+    values = lambda texts: [pa.array(model(np.array([features(t) for t in texts], float).reshape(-1, FEATURES)), pa.float64())]
+    return map_texts(docs, text, carry, values, ["score"], "score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs."""
     scored = score(docs, fit(docs, labels, text, id_col), text, (id_col,))
     return scored.select(id_col, F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
+    """The rows of docs whose score reaches the cut, with the columns of docs."""
+    scored = score(docs, fit(docs, labels, text, id_col), text, tuple(docs.columns))
+    return scored.filter(F.col("score") >= cut).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -113,16 +113,11 @@ def _failures() -> F.Column:
 
 def ledger(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns, the measurements and failures, a bit for each rule failed."""
-    small_batches(docs.sparkSession)
 
-    def run(batches):
-        for b in batches:
-            cols = list(zip(*map(measure, b.column(b.num_columns - 1).to_pylist()))) or [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in cols]], names=[*b.schema.names[:-1], *MEASURES])
+    def measures(texts):
+        return [pa.array(c, pa.int64()) for c in list(zip(*map(measure, texts))) or [()] * len(MEASURES)]
 
-    picked = docs.select(*[F.col(c) for c in carry], F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    measured = picked.mapInArrow(run, ", ".join(filter(None, [kinds, *[f"{m} bigint" for m in MEASURES]])))
+    measured = map_texts(docs, text, carry, measures, list(MEASURES), ", ".join(f"{m} bigint" for m in MEASURES))
     return measured.withColumn("failures", _failures())
 
 
@@ -149,3 +144,9 @@ def quality_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = ledger(docs, text, (id_col,))
     failed = ~verdict(F.col("failures"), "base")
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(F.col("failures"), policy))
+
+
+def keep(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
+    """The rows of docs that pass the base rules and the policy, with the columns of docs."""
+    rows = ledger(docs, text, tuple(docs.columns))
+    return rows.filter(verdict(F.col("failures"), "base") & verdict(F.col("failures"), policy)).select(*docs.columns)

@@ -294,3 +294,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id.
+
+    A null doc_id is named by its text, after all others.  Only rows that go
+    are joined back; ids that repeat are told apart by what the fingerprints'
+    table shows, so texts are sorted out again only where that happens.
+    """
+    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_row", F.coalesce(F.col(id_col), by_text))
+    found = spill(near_duplicates(keyed, text, "_row", radius), "simhash-classes")
+    go = found.filter("_row <> component_id").select("_row").distinct()
+    left = keyed.join(go, "_row", "left_anti")
+    if found.groupBy("_row").count().filter("count > 1").take(1):
+        left = left.dropDuplicates(["_row"])
+    return left.select(*docs.columns)
