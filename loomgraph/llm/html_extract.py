@@ -60,11 +60,11 @@ _WITHOUT = re.compile(r"(?:^|(?<=[\s_\-]))(?:with|has|no|without)[_\-]\S*")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "main", "boiler", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "main", "boiler", "heading", "parent", "text")
 
-    def __init__(self, main: bool, boiler: bool, heading: bool):
+    def __init__(self, main: bool, boiler: bool, heading: bool, parent: int):
         self.parts: list[str] = []
-        self.linked, self.main, self.boiler, self.heading = 0, main, boiler, heading
+        self.linked, self.main, self.boiler, self.heading, self.parent = 0, main, boiler, heading, parent
 
 
 def _negative(attrs: str) -> bool:
@@ -84,9 +84,9 @@ def _negative(attrs: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in its order, with white space folded and references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, negative, main
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, negative, main, number
     now: Block | None = None
-    links = boiler = main = headings = 0
+    links = boiler = main = headings = number = 0
     at, size = 0, len(page)
 
     def add(raw: str):
@@ -96,7 +96,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if raw.isspace():
                 return
-            now = Block(main > 0, boiler > 0, headings > 0)
+            parent = next((s[3] for s in reversed(stack) if s[0] in BLOCKS and s[0] not in _TEXT), 0)
+            now = Block(main > 0, boiler > 0, headings > 0, parent)
             out.append(now)
         text = html.unescape(raw) if "&" in raw else raw
         now.parts.append(text)
@@ -105,7 +106,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop():
         nonlocal links, boiler, main, headings
-        name, negative, is_main = stack.pop()
+        name, negative, is_main, _ = stack.pop()
         boiler -= negative
         main -= is_main
         links -= name == "a"
@@ -155,7 +156,8 @@ def blocks(page: str) -> list[Block]:
             continue
         negative = name in BOILER or _negative(m[3]) and name not in ("html", "body") or name == "header" and not main
         is_main = name in MAIN and not negative
-        stack.append((name, negative, is_main))
+        number += 1
+        stack.append((name, negative, is_main, number))
         boiler += negative
         main += is_main
         links += name == "a"
@@ -166,13 +168,14 @@ def blocks(page: str) -> list[Block]:
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = _HEADINGS | {"p"}
 _INLINE = frozenset("b i em strong span u s small font sub sup mark code".split())
 _ITEMS = frozenset("li dt dd tr td th option".split())
 
 
 def first_pass(b: Block, has_main: bool) -> int:
     """A block by itself."""
-    if b.boiler or has_main and not b.main:
+    if has_main and not b.main:
         return BAD
     size = len(b.text)
     density = b.linked / max(1, sum(map(len, b.parts)))
@@ -186,45 +189,48 @@ def first_pass(b: Block, has_main: bool) -> int:
     if size < SHORT:
         return BAD if density > 0 and size < SHORT // 2 else OPEN
     if stops >= STOP_HIGH:
-        return GOOD if size >= LONG else NEAR_GOOD
+        return GOOD if size >= LONG or not b.linked else NEAR_GOOD
     if stops >= STOP_LOW:
         return NEAR_GOOD
     return OPEN if size < LONG else BAD
 
 
-def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
-    """Undecided blocks take the label of their nearest decided neighbours."""
+def second_pass(labels: list[int | None], headings: list[bool], parents: list[int] | None = None) -> list[int]:
+    """Undecided blocks take the label of their nearest decided neighbours.
+
+    A label of None is of a block that stands in a menu, footer or the like: bad
+    by its place, and no neighbour of anything.  A good neighbour in the same
+    parent decides by itself.  The ends of the page count as bad.
+    """
     n = len(labels)
-    decided = [GOOD if x == GOOD else BAD if x == BAD else None for x in labels]
-    before: list = [None] * n
-    last = None
+    parents = parents or list(range(n))
+    decided = [k for k, x in enumerate(labels) if x in (GOOD, BAD)]
+    before, after, last = [None] * n, [None] * n, None
     for k in range(n):
         before[k] = last
-        if decided[k] is not None:
-            last = k
-    after: list = [None] * n
+        last = k if labels[k] in (GOOD, BAD) else last
     last = None
     for k in reversed(range(n)):
         after[k] = last
-        if decided[k] is not None:
-            last = k
+        last = k if labels[k] in (GOOD, BAD) else last
     out = []
     for k, x in enumerate(labels):
-        if decided[k] is not None:
-            out.append(decided[k])
-            continue
         i, j = before[k], after[k]
-        left, right = (decided[i] if i is not None else BAD), (decided[j] if j is not None else BAD)
-        if left == right:
-            # a page on which nothing is decided is its own main text
-            out.append(GOOD if i is None and j is None else left)
-        elif x == NEAR_GOOD:
-            out.append(GOOD)
-        elif headings[k]:
-            out.append(right)
+        if x in (GOOD, BAD, None):
+            out.append(GOOD if x == GOOD else BAD)
+        elif not decided or any(m is not None and labels[m] == GOOD and parents[m] == parents[k] for m in (i, j)):
+            out.append(GOOD)  # a page on which nothing is decided is its own main text
         else:
-            to_left, to_right = (k - i if i is not None else n), (j - k if j is not None else n)
-            out.append(left if to_left < to_right else right if to_right < to_left else BAD)
+            left, right = (labels[i] if i is not None else BAD), (labels[j] if j is not None else BAD)
+            to_left, to_right = (k - i if i is not None else k + 1), (j - k if j is not None else n - k)
+            if left == right:
+                out.append(left)
+            elif x == NEAR_GOOD:
+                out.append(GOOD)
+            elif headings[k]:
+                out.append(right)
+            else:
+                out.append(left if to_left < to_right else right if to_right < to_left else BAD)
     return out
 
 
@@ -234,7 +240,8 @@ def extract(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_main = any(b.main and not b.boiler for b in found)
-    labels = second_pass([first_pass(b, has_main) for b in found], [b.heading for b in found])
+    first = [None if b.boiler else first_pass(b, has_main) for b in found]
+    labels = second_pass(first, [b.heading for b in found], [b.parent for b in found])
     return "\n".join(b.text for b, label in zip(found, labels) if label == GOOD)
 
 
