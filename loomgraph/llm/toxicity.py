@@ -106,7 +106,7 @@ class Features:
         found, run, last = 0, "", -2
         for k, letter in [*at, (-9, "")]:
             if k != last + 1:
-                found += len(run) > 3 and any(u in self.lexicon for u in units(run))
+                found += any(u in self.lexicon for i in range(len(run) - 3) for u in units(run[i:]))
                 run = ""
             run, last = run + letter, k
         return found
