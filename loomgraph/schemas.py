@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
-
-
-def table(spec: str) -> T.StructType:
-    """A StructType from DDL."""
-    return T.StructType.fromDDL(spec)
+def table(spec: str) -> str:
+    """A shape as DDL on one line; readers and from_json take it as it is, and no session is needed to name it."""
+    return " ".join(spec.split())
 
 
 NODE = table("id string not null, name string, kind string, module string, file string, line int, collapsed_from array<string>, signature string, doc string, abstraction string, ord bigint")
