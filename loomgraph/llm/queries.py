@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, iblt, mixing, packing, pu_quality, rule_ledger, shards, simhash, toxicity, unigram_count
+from . import html_extract, iblt, mixing, oracle, packing, pu_quality, rule_ledger, shards, simhash, toxicity, unigram_count
 from .common import documents
 
 
@@ -65,4 +65,4 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracle.ORACLES)
