@@ -6,11 +6,11 @@ OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, k, array_to_string(w[k:k + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) u(k)),
 rep AS (SELECT r, count(DISTINCT k + j) AS n FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS c FROM win) x, range(5) v(j) WHERE c > 1 GROUP BY r),
-m AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+m AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(rep.n, 0) AS n_repeat_words,
-  len(list_distinct(w)) AS n_unique_words, len(list_filter(w, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
-  len(list_filter(w, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(rep.n, 0) AS n_repeat_words,
+  len(list_distinct(w)) AS n_unique_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words
   FROM d LEFT JOIN rep ON d.r = rep.r),
 f AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines FROM m),
 b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 15 * n_words THEN 4 ELSE 0 END
