@@ -52,7 +52,8 @@ def language_of(path: Column) -> Column:
 
 def collector_for(top: Column) -> Column:
     """The collector of a project by its top-level names (array)."""
-    return F.coalesce(*[F.when(F.exists(top, lambda n, p=p: F.regexp(n, F.lit(p))), k) for k, p in COLLECTORS])
+    holds = lambda pattern: F.exists(top, lambda n: F.regexp(n, F.lit(pattern)))
+    return F.coalesce(*[F.when(holds(p), k) for k, p in COLLECTORS])
 
 
 def collector_from(selection: Column) -> Column:
