@@ -20,7 +20,9 @@ equal doc_ids are packed as often as they come.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -40,51 +42,88 @@ CLOSING_ID = 1
 CACHED = 400_000
 
 #: Beyond these characters the tokenizer itself does all the work.
-_PLAIN = re.compile("[^\t-\r -~¡-¬®-ɏ‐-‧]")
+_ODD = re.compile("[^\t-\r -~¡-¬®-ɏ‐-‧]")
+#: ASCII separators that Python takes for white space and the tokenizer doesn't, and other controls.
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+
+
+#: Stands for the end of a word: no byte of UTF-8.
+_END = b"\xff"
+_ENDS = frozenset(".,;:!?")
+
+
+class _Words(dict):
+    """Ids of words between white space, as little-endian bytes; computed when first seen."""
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int]):
+        import regex
+        import tiktoken
+
+        super().__init__()
+        self.split = regex.compile(pattern).findall
+        self.merge = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def ids(self, piece: str) -> bytes:
+        return struct.pack(f"<{len(got)}I", *got) if len(got := self.merge(piece.encode() + _END)) != 1 else got[0].to_bytes(4, "little")
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            found = self.ids(word)
+        elif word[-1] in _ENDS and word[:-1].isalpha():
+            found = (self.get(word[:-1]) or self.ids(word[:-1])) + self.ids(word[-1])
+        else:
+            found = b"".join(map(self.ids, self.split(word)))
+        self[word] = found
+        return found
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose tokens never span white space, as little-endian bytes.
+    """Ids of a byte-level BPE tokenizer whose tokens never span white space, as little-endian bytes.
 
-    Words that came before are looked up; the others go to the tokenizer.
-    Texts with unusual characters go to it whole, so all ids are exactly its own.
+    Words that came before are looked up; others are merged by rank with a
+    faster library, which gives the same ids: each result of a merge comes from
+    one pair, and every token of the vocabulary is its own encoding (tests
+    check both), so merging by pair and by result agree.  Texts with unusual
+    characters, special tokens or white space go to the tokenizer itself.
     """
 
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.known: dict[str, bytes] = {}
+        shape = json.loads(raw)
+        pattern = shape["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.known = _Words(pattern, byte_ranks(shape["model"]["vocab"]))
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in batch]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        split, odd = [], []
-        for k, t in enumerate(texts):
-            if _PLAIN.search(t) or "<|" in t:
-                odd.append(k)
-            else:
-                split.append((k, unicodedata.normalize("NFC", t).lower().split()))
-        for k in odd:
-            out[k] = self.encode([texts[k]])[0]
-        known = self.known
-        new = set()
-        for _, words in split:
-            new.update(w for w in words if w not in known)
-        if new:
+        known, out = self.known, []
+        for t in texts:
+            if not t.isascii() and _ODD.search(t) or "<|" in t or _CONTROL.search(t):
+                out.append(self.encode([t])[0])
+                continue
             if len(known) > CACHED:
                 known.clear()
-                new = {w for _, words in split for w in words}
-            fresh = list(new)
-            known.update(zip(fresh, self.encode(fresh)))
-        for k, words in split:
-            out[k] = b"".join(map(known.__getitem__, words))
+            out.append(b"".join(map(known.__getitem__, unicodedata.normalize("NFC", t).lower().split())))
         return out
 
 
+def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """The vocabulary of a byte-level BPE with word ends, as bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    ranks = {}
+    for token, k in vocab.items():
+        if token.startswith("<|"):
+            continue
+        body = token.removesuffix("</w>")
+        ranks[bytes(map(byte.__getitem__, body)) + (_END if body != token else b"")] = k
+    return ranks
+
+
 _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
