@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL.append("file://" + folder)
     return _LOCAL[0]
 
 
