@@ -52,7 +52,7 @@ STOP_LOW, STOP_HIGH = 0.12, 0.25
 
 GOOD, BAD, OPEN, NEAR_GOOD = 1, 0, -1, 2
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|(?=<)|\Z))", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: A wrapper that has or lacks a sidebar isn't one.
