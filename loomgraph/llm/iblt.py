@@ -37,6 +37,8 @@ SUB = 4  # cells of a sub-table at the base level
 BASE = 3 * SUB
 ROUNDS_BASE, ROUNDS = 9, 15
 RANGES = 384
+#: Partitions of the peeling to one of a shuffle: a row of keys grows into many cells.
+FINER = 4
 PARAGRAPH = rf"(?m)^[^\n]{{1,{HEAD}}}|[^\n]{{1,{BODY}}}"
 
 #: SQL fragments; k is a key.
@@ -50,8 +52,9 @@ def _index(key: str, table: str, width: str, salt: int) -> str:
 
 def keys(text: F.Column) -> F.Column:
     """Sorted keys of a text: digests of its paragraphs with their occurrence numbers."""
-    digests = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
-    return F.transform(digests, lambda d, i: F.xxhash64(d, i.cast("bigint") + 1 - F.array_position(digests, d)))
+    digests = F.sort_array(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
+    # the lambda binds the sorted digests, which would else be made anew for each of them
+    return F.transform(F.array(digests), lambda s: F.transform(s, lambda d, i: F.xxhash64(d, i.cast("bigint") + 1 - F.array_position(s, d))))[0]
 
 
 def base_cells(column: str) -> F.Column:
@@ -93,7 +96,7 @@ def peel_pairs(pairs: DataFrame, level: int) -> DataFrame:
     each level.  Each sub-round peels one sub-table, in which a key has one cell.
     """
     spark = pairs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     grow = 1 << (level - 1)
     sized = pairs.repartition(width, "rid").withColumn("m", (F.greatest(F.lit(8), F.ceil((F.size("a") + F.size("b")) / 2)) * grow).cast("bigint"))
     signed = sized.select("rid", "pair", "m", F.explode(F.expr("concat(transform(a, k -> named_struct('n', 1, 'k', k)), transform(b, k -> named_struct('n', -1, 'k', k)))")).alias("e"))
@@ -142,26 +145,27 @@ def compare_with_edits(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("body", F.col("n_chars").cast("int") - half), F.left("next", half)))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "k", keys(F.col("edited")).alias("edited_k"), "next_k")
-    rows = spill(rows, "iblt-keys")
     base = rows.withColumns({"s": base_cells("k"), "s_e": base_cells("edited_k"), "s_n": base_cells("next_k")})
     base = base.withColumns({"d_e": subtract("s", "s_e"), "d_n": subtract("s", "s_n")}).withColumns({"p_e": peel_base("d_e"), "p_n": peel_base("d_n")})
     zero = "forall({p}.cells, x -> x.n = 0 and x.k = 0 and x.c = 0)"
     told = lambda p, f: F.when(F.expr(zero.format(p=p)), F.col(f"{p}.{f}"))
     first = base.select(
-        "rid", "id", "n_chars", "edited_sha256", F.size("k").alias("size"), fingerprint("s").alias("fingerprint"), fingerprint("s_e").alias("edited_fingerprint"),
+        "rid", "id", "n_chars", "edited_sha256", F.size("k").alias("size"), fingerprint("s").alias("fingerprint"), fingerprint("s_e").alias("edited_fingerprint"), "k", "edited_k", "next_k",
         told("p_e", "plus").alias("e_plus"), told("p_e", "minus").alias("e_minus"), told("p_n", "plus").alias("n_plus"), told("p_n", "minus").alias("n_minus"),
     )
     first = spill(first, "iblt-base")
-    failed = first.select("rid", F.explode(F.expr("filter(array(if(e_plus is null, 0, null), if(n_plus is null, 1, null)), x -> x is not null)")).alias("pair"))
-    done, level = None, 0
+    # a retry for each version that the base level couldn't peel
+    retry = F.explode(F.expr("filter(array(if(e_plus is null, named_struct('pair', 0, 'b', edited_k), null), if(n_plus is null, named_struct('pair', 1, 'b', next_k), null)), x -> x is not null)")).alias("x")
+    failed = first.select("rid", F.col("k").alias("a"), retry).select("rid", "x.pair", "a", "x.b")
+    picked, done, level = failed, None, 0
     while True:
         level += 1
-        picked = rows.select("rid", "k", "edited_k", "next_k").join(failed, "rid").select("rid", "pair", F.col("k").alias("a"), F.when(F.col("pair") == 0, F.col("edited_k")).otherwise(F.col("next_k")).alias("b"))
         got = spill(peel_pairs(picked, level), "iblt-peeled")
         done = got.filter("left = 0") if done is None else done.unionByName(got.filter("left = 0"))
-        failed = got.filter("left > 0").select("rid", "pair")
-        if not failed.take(1):
+        left = got.filter("left > 0").select("rid", "pair")
+        if not left.take(1):
             break
+        picked = failed.join(left, ["rid", "pair"], "left_semi").select("rid", "pair", "a", "b")
     value = lambda pair, c: F.max(F.when(F.col("pair") == pair, F.col(c)))
     found = done.groupBy("rid").agg(value(0, "plus").alias("ep"), value(0, "minus").alias("em"), value(1, "plus").alias("np"), value(1, "minus").alias("nm"))
     out = first.join(found, "rid", "left")
