@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spill
-from .shards import range_buckets
+from .shards import bucket_count, range_buckets
 
 HEAD, BODY = 16, 400
 SUB = 4  # cells of a sub-table at the base level
 BASE = 3 * SUB
 ROUNDS_BASE, ROUNDS = 9, 15
-RANGES = 384
+#: Texts of a range at most: a task sorts one range at a time.
+RANGE_ROWS = 50_000
 #: Partitions of the peeling to one of a shuffle: a row of keys grows into many cells.
 FINER = 4
 PARAGRAPH = rf"(?m)^[^\n]{{1,{HEAD}}}|[^\n]{{1,{BODY}}}"
@@ -120,10 +121,10 @@ def peel_pairs(pairs: DataFrame, level: int) -> DataFrame:
     return now.groupBy("rid", "pair").agg(count(F.col("cell") == -1).alias("plus"), count(F.col("cell") == -2).alias("minus"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
 
 
-def with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
     """(id, body, next, k, next_k): each text with that of the next document by ascending id, after the last the first."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ranged = slim.withColumn("range", range_buckets(slim, "id", ranges))
+    ranged = slim.withColumn("range", range_buckets(slim, "id", bucket_count(slim, range_rows)))
     # bounded: a number for each range
     used = sorted(r["range"] for r in ranged.select("range").distinct().collect())
     before = {r: used[k - 1] for k, r in enumerate(used)}

@@ -7,8 +7,9 @@ row its place in the global sum of bytes.  The shard is the equal target that
 holds the middle of the row, so shards are contiguous in doc_id and differ by
 no more than the rows at their ends.
 
-Scale: texts are read once and never shuffled; 28 bytes a row are.  Bucket
-totals and shard starts are bounded by BUCKETS and the number of shards.
+Scale: texts are read once and never shuffled; 28 bytes a row are.  There
+are as many buckets as keep all cores busy, or one for ROWS rows, so totals and
+shard starts stay short lists.
 
 Null texts have no bytes and count as 8; null doc_ids come first; equal doc_ids
 and equal rows stay neighbours.  An empty table gives no rows.
@@ -23,16 +24,24 @@ from .common import spill
 
 SHARDS = 24
 ROW_BYTES = 8
-BUCKETS = 512
+#: Rows of a bucket at most, and at least where that many buckets aren't needed to keep cores busy.
+ROWS, FEW = 1_000_000, 250
 
 
-def range_buckets(df: DataFrame, id_col: str, buckets: int = BUCKETS) -> F.Column:
+def bucket_count(df: DataFrame, rows: int = ROWS) -> int:
+    """Enough buckets for four rounds of tasks, none of them tiny, and none larger than so many rows."""
+    n, width = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n // FEW + 1, 4 * width), -(-n // rows))
+
+
+def range_buckets(df: DataFrame, id_col: str, buckets: int) -> F.Column:
     """A column that numbers ranges of id_col of about equal row counts.
 
-    The cuts are one short array on the driver, of at most `buckets` numbers.
+    The cuts are one array on the driver, of at most `buckets` numbers.
     """
     shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(id_col, F.array(*map(F.lit, shares)), 20_000).alias("cuts")).first()["cuts"] or []
+    cuts = df.agg(F.percentile_approx(id_col, F.array(*map(F.lit, shares)), max(20_000, 20 * buckets)).alias("cuts")).first()["cuts"] if shares else []
+    cuts = cuts or []
     cuts = sorted(set(cuts))
     at = F.col(id_col)
     if not cuts:
@@ -51,8 +60,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + row_bytes).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
     base = spill(base, "shard-sizes")
-    base = spill(base.withColumn("bucket", range_buckets(base, "id")), "shard-buckets")
-    # bounded: BUCKETS rows
+    base = spill(base.withColumn("bucket", range_buckets(base, "id", bucket_count(base))), "shard-buckets")
+    # a row for each bucket
     per = base.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     offsets, bytes_before, rows_before = [], 0, 0
     for r in sorted(per, key=lambda r: r["bucket"]):
