@@ -285,10 +285,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """(id_col, fp, component_id) for every row of docs."""
     prints = spill(with_fingerprints(docs, text, id_col), "simhash")
     distinct = spill(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    name = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(name, "root").select("fp", "component_id")
+    # nodes are ordered by their least id, so a component's least node names it and no group is gathered to find the name
+    node = F.struct(F.col("least").isNull().alias("unnamed"), F.col("least"), F.col("fp"))
+    nodes = distinct.select("fp", node.alias("node"))
+    pairs = links(distinct.select("fp"), radius)
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("node", f"n{end}")
+    roots = components(pairs, "na", "nb").select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root_id"), F.lit(True).alias("linked"))
+    by_fp = distinct.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
