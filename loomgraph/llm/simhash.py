@@ -3,14 +3,15 @@
 A fingerprint of 64 bits is cut into 32 segments of two bits; the vector of
 their bit counts is its embedding.  The Manhattan distance of two embeddings
 never exceeds the Hamming distance of the fingerprints, so it may serve as a
-lower bound.  The 32 coordinates form 7 groups.  If two embeddings are within
-radius 4, at most 4 groups differ, so they agree wholly in 3 groups at least:
-the cells of the grid are the 35 choices of 3 groups with their coordinates.
-Points that share a cell and whose total bit counts lie within the radius are
-verified exactly.
-
-Scale: texts never move.  What is shuffled is 35 short rows for each *distinct*
-fingerprint, so exact copies cost nothing.  A cell emits a spanning forest of
+lower bound.  The 32 coordinates form g groups.  If two embeddings are within
+radius 4, at most 4 groups differ, so they agree wholly in g - 4 groups at
+least: the cells of the grid are the choices of g - 4 groups with their
+coordinates (35 for 7 groups).  Points that share a cell and whose total bit
+counts lie within the radius are verified exactly.  g is the least of GRIDS that
+leaves few points in a cell; the links found are the same for any g.
+
+Scale: texts never move.  What is shuffled is 35 short rows (70 from 7 million
+points on) for each *distinct* fingerprint, so exact copies cost nothing.  A cell emits a spanning forest of
 its links and not its pairs; a cell of more than CELL points is dealt again in
 pairs of blocks to many tasks.
 
@@ -33,9 +34,10 @@ from .common import small_batches, spill
 
 RADIUS = 4
 SHINGLE = 4
-#: Segments in each of the seven groups.
-GROUPS = (5, 5, 5, 5, 4, 4, 4)
-AGREE = len(GROUPS) - RADIUS
+SEGMENTS = 32
+#: Numbers of groups that the segments may form, and the mean of random points in a cell that asks for more of them.
+GRIDS = (7, 8, 9, 10, 12)
+CROWD = 4
 #: Points of a cell that one task compares with each other.
 CELL = 8192
 #: Up to this size cells are compared by shifting whole batches.
@@ -84,13 +86,22 @@ def embedding(fp) -> F.Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _masks() -> list[int]:
-    at, groups = 0, []
-    for n in GROUPS:
-        groups.append(((1 << 2 * n) - 1) << at)
+def grid(points: int, radius: int = RADIUS) -> int:
+    """Groups to form for so many points: the count of a two-bit segment tells one bit and a half."""
+    for g in GRIDS:
+        if points <= CROWD * 2 ** (1.5 * SEGMENTS * (g - radius) / g):
+            return g
+    return GRIDS[-1]
+
+
+def _masks(groups: int = GRIDS[0], radius: int = RADIUS) -> list[int]:
+    sizes = [SEGMENTS // groups + (k < SEGMENTS % groups) for k in range(groups)]
+    at, parts = 0, []
+    for n in sizes:
+        parts.append(((1 << 2 * n) - 1) << at)
         at += 2 * n
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(groups, AGREE)]
+    return [signed(sum(c)) for c in combinations(parts, groups - radius)]
 
 
 class _Forest:
@@ -242,12 +253,12 @@ def _block_pairs(radius: int):
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """points: distinct (fp).  Returns (a, b), enough links within the radius to join each component, none beyond it."""
+def links(points: DataFrame, radius: int = RADIUS, groups: int | None = None) -> DataFrame:
+    """points: distinct (fp), read twice.  Returns (a, b), enough links within the radius to join each component, none beyond it."""
     spark = points.sparkSession
     small_batches(spark, 1 << 16)
     vector = embedding(F.col("fp"))
-    cells = points.select("fp", F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in _masks()])).alias("combo", "cell"))
+    cells = points.select("fp", F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in _masks(groups or grid(points.count(), radius), radius)])).alias("combo", "cell"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(width, "combo", "cell").sortWithinPartitions("combo", "cell").select("combo", "cell", "fp")
     found = spill(dealt.mapInArrow(_cells(radius), SHAPE), "simhash-cells")

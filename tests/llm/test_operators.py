@@ -83,7 +83,13 @@ def test_simhash_matches_brute_force(docs, rows, empty):
     assert kept.count() == len({root[f] for _, f in prints})
 
 
-def test_simhash_links_every_component_of_planted_fingerprints(spark):
+def test_grids_grow_with_the_points():
+    assert [simhash.grid(10**k) for k in (3, 6, 7, 8, 9, 10, 12)] == [7, 7, 8, 9, 10, 12, 12]
+    assert len(simhash._masks(7)) == 35 and len(simhash._masks(8)) == 70 and all(m.bit_count() >= 24 for m in simhash._masks(7) if m >= 0)
+
+
+@pytest.mark.parametrize("groups", [7, 9])
+def test_simhash_links_every_component_of_planted_fingerprints(spark, groups):
     rng = random.Random(1)
     points = set()
     for _ in range(60):
@@ -94,10 +100,10 @@ def test_simhash_links_every_component_of_planted_fingerprints(spark):
                 at ^= 1 << rng.randrange(64)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for p in points], "fp bigint")
-    edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df).collect()]
+    edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df, groups=groups).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     want = plain_components(points)
-    got = {r["node"] % (1 << 64): r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    got = {r["node"] % (1 << 64): r["root"] for r in simhash.components(simhash.links(df, groups=groups)).collect()}
     groups = defaultdict(set)
     for p in points:
         groups[want[p]].add(got.get(p, signed(p)))
