@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         pairs = pairs.join(nodes.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("node", f"n{end}")
     roots = components(pairs, "na", "nb").select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root_id"), F.lit(True).alias("linked"))
     by_fp = distinct.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    # both sides come straight from an exchange, so a fingerprint of very many copies is split over tasks
+    return prints.join(spill(by_fp, "simhash-names"), "fp").select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(fp) -> F.Column:
