@@ -493,11 +493,9 @@ def inline_svg(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.md5(X.inline_svg(svg, F.concat(F.lit("p"), k, F.lit("-")))).alias("svg"))
 
 
-@query("""WITH b AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings WHERE vec_id < 200)
-SELECT p.id AS a, q.id AS b, round(CASE WHEN ox <= oy THEN ox ELSE oy END, 4) AS amount, CASE WHEN ox <= oy THEN 'x' ELSE 'y' END AS axis FROM (SELECT p.id, q.id AS qid, 4 - abs(p.x - q.x) AS ox, 4 - abs(p.y - q.y) AS oy FROM b p JOIN b q ON p.id < q.id) z JOIN b p ON z.id = p.id JOIN b q ON z.qid = q.id WHERE ox > 0 AND oy > 0""")
-def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of a layout (a report has at most some hundred) that overlap, by a grid of cells as wide as a box."""
-    b = table(spark, d, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
+def _overlaps(vectors: DataFrame) -> DataFrame:
+    """Boxes of a layout that overlap, by a grid of cells as wide as a box."""
+    b = vectors.select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
     cell = lambda c, k: (F.floor(F.col(c) / 4) + k).alias(f"c{c}")
     left = b.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), cell("x", 0), cell("y", 0))
     near = F.explode(F.array(*[F.struct(cell("x", i), cell("y", j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -507,6 +505,18 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("a", "b", F.round(F.when(ox <= oy, ox).otherwise(oy), 4).alias("amount"), F.when(ox <= oy, "x").otherwise("y").alias("axis"))
 
 
+@query("""WITH b AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings WHERE vec_id < 200)
+SELECT p.id AS a, q.id AS b, round(CASE WHEN ox <= oy THEN ox ELSE oy END, 4) AS amount, CASE WHEN ox <= oy THEN 'x' ELSE 'y' END AS axis FROM (SELECT p.id, q.id AS qid, 4 - abs(p.x - q.x) AS ox, 4 - abs(p.y - q.y) AS oy FROM b p JOIN b q ON p.id < q.id) z JOIN b p ON z.id = p.id JOIN b q ON z.qid = q.id WHERE ox > 0 AND oy > 0""")
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps among the boxes that the SQL is about, those of vec_id < 200; box_overlaps_whole takes all."""
+    return _overlaps(table(spark, d, "embeddings").filter("vec_id < 200"))
+
+
+@query(ORACLES["box_overlaps"].replace(" WHERE vec_id < 200", ""))
+def box_overlaps_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(table(spark, d, "embeddings"))
+
+
 # --- dictionaries ---------------------------------------------------------------
 
 _TERMS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM benchmark"
