@@ -28,6 +28,10 @@ def query(sql: str | None = None):
     return put
 
 
+#: Queries of repeated edges have this in their SQL; those named _whole are the same over all edges.
+_REPEATED = " AND occurrences > 1"
+
+
 def _edges(spark, d):
     return graph.fold_edges(raw_edges(spark, d))
 
@@ -42,7 +46,12 @@ def fold_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("node", "raw", "edge", body="SELECT src, dst, kind, occurrences FROM edge WHERE src IN (SELECT id FROM node WHERE kind <> 'external') AND occurrences > 1"))
 def first_party_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.drop_external_sources(_edges(spark, d), nodes(spark, d)).filter("occurrences > 1").select("src", "dst", "kind", "occurrences")
+    return first_party_edges_whole(spark, d).filter("occurrences > 1")
+
+
+@query(ORACLES["first_party_edges"].replace(_REPEATED, ""))
+def first_party_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.drop_external_sources(_edges(spark, d), nodes(spark, d)).select("src", "dst", "kind", "occurrences")
 
 
 @query(with_views("node", "raw", body="SELECT id, kind, module FROM node WHERE kind <> 'external' OR id IN (SELECT dst FROM raw)"))
@@ -170,8 +179,17 @@ def simple_cycles(spark: SparkSession, d: str) -> DataFrame:
 , pair AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file <> t.file AND occurrences > 1)
 SELECT DISTINCT file FROM (SELECT 'Brand#11/none' AS file UNION ALL SELECT 'ASIA/CHINA' UNION ALL SELECT b FROM pair WHERE a IN ('ASIA/CHINA', 'Brand#11/none') UNION ALL SELECT a FROM pair WHERE b IN ('ASIA/CHINA', 'Brand#11/none'))"""))
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return _blast_radius(spark, d, _edges(spark, d).filter("occurrences > 1"))
+
+
+@query(ORACLES["blast_radius"].replace(_REPEATED, ""))
+def blast_radius_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _blast_radius(spark, d, _edges(spark, d))
+
+
+def _blast_radius(spark, d, edges):
     changed = spark.createDataFrame([("Brand#11/none",), ("ASIA/CHINA",)], "file string")
-    return graph.blast_radius(nodes(spark, d), _edges(spark, d).filter("occurrences > 1"), changed, 1)
+    return graph.blast_radius(nodes(spark, d), edges, changed, 1)
 
 
 # --- batches --------------------------------------------------------------------
@@ -555,14 +573,38 @@ def _uses(spark, d):
     return terms.uses_by_name(_edges(spark, d).filter("occurrences > 1"), _named(spark, d))
 
 
+_REPEATED_USES = " WHERE occurrences > 1"
+
+
+def _all_uses(spark, d):
+    return terms.uses_by_name(_edges(spark, d), _named(spark, d))
+
+
 @query(_USES + ", bo AS (SELECT name, dep FROM us UNION SELECT dep, name FROM us) SELECT name, string_agg(dep, ',' ORDER BY dep) AS neighbours FROM bo WHERE name <> dep AND name IS NOT NULL AND dep IS NOT NULL GROUP BY name")
 def term_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return terms.neighbours(_uses(spark, d), _named(spark, d).filter("name is not null")).select("name", F.array_join("neighbours", ",").alias("neighbours"))
+    return _term_neighbours(spark, d, _uses(spark, d))
+
+
+@query(ORACLES["term_neighbours"].replace(_REPEATED_USES, ""))
+def term_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _term_neighbours(spark, d, _all_uses(spark, d))
+
+
+def _term_neighbours(spark, d, u):
+    return terms.neighbours(u, _named(spark, d).filter("name is not null")).select("name", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(_USES + ", rd AS (SELECT name, dep, kind FROM us WHERE length(dep) % 2 = 0 UNION SELECT dep, name, kind FROM us WHERE length(dep) % 3 = 0) SELECT name, dep, kind, 'graph' AS source FROM us UNION ALL SELECT name, dep, kind, 'reading' FROM (SELECT * FROM rd WHERE name IS NOT NULL AND dep IS NOT NULL EXCEPT SELECT * FROM us)")
 def merged_uses(spark: SparkSession, d: str) -> DataFrame:
-    u = _uses(spark, d)
+    return _merged_uses(_uses(spark, d))
+
+
+@query(ORACLES["merged_uses"].replace(_REPEATED_USES, ""))
+def merged_uses_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _merged_uses(_all_uses(spark, d))
+
+
+def _merged_uses(u):
     reading = u.filter(F.length("to") % 2 == 0).unionByName(u.filter(F.length("to") % 3 == 0).select(F.col("to").alias("name"), F.col("name").alias("to"), "kind")).filter("name is not null and to is not null")
     return terms.merge_uses(u, reading).select("name", F.col("to").alias("dep"), "kind", "source")
 
@@ -584,6 +626,11 @@ def projected_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.project(_named(spark, d).filter("kind <> 'external'"), _uses(spark, d))
 
 
+@query(ORACLES["projected_terms"].replace(_REPEATED_USES, ""))
+def projected_terms_whole(spark: SparkSession, d: str) -> DataFrame:
+    return terms.project(_named(spark, d).filter("kind <> 'external'"), _all_uses(spark, d))
+
+
 @query("""WITH s AS (SELECT 'o' || o_orderkey AS name, 'c' || o_custkey AS dep FROM orders), m AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 5 <> 0), q AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 7 = 0), w AS (SELECT 'c' || c_custkey AS name, c_acctbal AS weight FROM customer WHERE c_custkey % 2 = 0)
 SELECT s.name, dep, CASE WHEN dep IN (SELECT name FROM m) THEN 'resolved' WHEN dep NOT IN (SELECT name FROM n) THEN 'unknown' WHEN dep IN (SELECT name FROM q) THEN 'queued' ELSE 'shallow' END AS state, coalesce(w.weight, 0.0) AS priority FROM s LEFT JOIN w ON dep = w.name""")
 def unresolved_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -611,6 +658,11 @@ def shared_by_all(spark: SparkSession, d: str) -> DataFrame:
     return terms.shared_by_all(p, "p_brand", "item")
 
 
+@query(ORACLES["shared_by_all"].replace(" WHERE p_brand < 'Brand#13'", ""))
+def shared_by_all_whole(spark: SparkSession, d: str) -> DataFrame:
+    return terms.shared_by_all(table(spark, d, "part").select("p_brand", F.col("p_type").alias("item")), "p_brand", "item")
+
+
 @query("WITH r AS (SELECT p_brand AS module, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name), p_name) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_name FROM part)) SELECT module, n, string_agg(p_name, ', ' ORDER BY rn) AS label FROM r WHERE rn <= 3 GROUP BY module, n")
 def module_labels(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", "p_name").distinct()

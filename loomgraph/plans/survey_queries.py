@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..operators import graph, survey
 from ..session import table
 from ..sources.adapters import nodes, raw_edges, with_views
-from .queries import query
+from .queries import ORACLES, query
 
 
 @query(with_views("node", "raw", "edge", body="SELECT n.name, coalesce(c.k, 0) AS into_ FROM (SELECT DISTINCT name FROM node) n LEFT JOIN (SELECT t.name, count(*) AS k FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file IS DISTINCT FROM t.file GROUP BY t.name) c ON n.name = c.name").replace("into_", "n_into"))
@@ -38,6 +38,11 @@ def known_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return survey.known_excerpt(members.filter(F.col("batch").isin("b1", "b2", "b3")), needs, merged)
 
 
+@query(ORACLES["known_excerpt"].replace(" WHERE batch IN ('b1', 'b2', 'b3')", ""))
+def known_excerpt_whole(spark: SparkSession, d: str) -> DataFrame:
+    return survey.known_excerpt(*_plan(spark, d))
+
+
 @query(f"""WITH {_PLAN}, hot AS (SELECT batch, name FROM mem WHERE CAST(substr(name, 2) AS BIGINT) % 20 = 0), want AS (SELECT name, length(name) + CAST(substr(name, 2) AS BIGINT) % 17 AS n_into FROM mem),
 ready AS (SELECT batch, bool_and(dep IS NULL OR dep IN (SELECT name FROM mrg)) AS ok FROM hot LEFT JOIN need ON hot.name = need.name GROUP BY batch)
 SELECT ready.batch, max(n_into) AS n_into FROM ready JOIN hot ON ready.batch = hot.batch JOIN want ON hot.name = want.name WHERE ok AND ready.batch NOT IN ('b5', 'b6') GROUP BY ready.batch""")

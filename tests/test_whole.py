@@ -3,6 +3,7 @@
 import random
 
 from loomgraph.plans import queries as core
+from loomgraph.plans import survey_queries  # noqa: F401
 
 
 def test_box_overlaps_takes_every_vector(spark, tmp_path):
@@ -14,3 +15,39 @@ def test_box_overlaps_takes_every_vector(spark, tmp_path):
     got = [(r["a"], r["b"]) for r in core.QUERIES["box_overlaps_whole"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(b >= 200 for _, b in want)
+
+
+WHOLE = [n for n in sorted(core.QUERIES) if n.endswith("_whole")]
+CUTS = ("occurrences > 1", "batch IN", "p_brand <", "vec_id <")
+
+
+def test_whole_queries_cut_nothing():
+    assert WHOLE == sorted(f"{n}_whole" for n in ("blast_radius", "box_overlaps", "first_party_edges", "known_excerpt", "merged_uses", "projected_terms", "shared_by_all", "term_neighbours"))
+    for name in WHOLE:
+        assert not any(c in core.ORACLES[name] for c in CUTS)
+        assert any(c in core.ORACLES[name.removesuffix("_whole")] for c in CUTS)
+
+
+def test_edges_seen_once_count(spark, data):
+    got = [r["occurrences"] for r in core.QUERIES["first_party_edges_whole"](spark, data).collect()]
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count() + spark.read.parquet(f"{data}/supplier.parquet").count()
+    assert sum(got) == lines and 1 in got
+
+
+def test_shared_by_all_asks_every_brand(spark, tmp_path):
+    parts = [(f"Brand#{b}", t) for b in (11, 12, 13, 55) for t in ("everywhere", "not in the last") if (b, t) != (55, "not in the last")]
+    spark.createDataFrame(parts, "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [r["item"] for r in core.QUERIES["shared_by_all_whole"](spark, str(tmp_path)).collect()] == ["everywhere"]
+
+
+def test_one_edge_is_enough_for_the_blast_radius(spark, tmp_path):
+    tables = {
+        "region": ([(1, "ASIA")], "r_regionkey bigint, r_name string"),
+        "nation": ([(1, "CHINA", 1)], "n_nationkey bigint, n_name string, n_regionkey bigint"),
+        "supplier": ([(1, "s", 1)], "s_suppkey bigint, s_name string, s_nationkey bigint"),
+        "part": ([(k, "p", 1, f"Brand#{k}", "t") for k in (1, 2)], "p_partkey bigint, p_name string, p_size int, p_brand string, p_type string"),
+        "lineitem": ([(1, 1, 2, 1, 1.0, 1.0, 0.0, 0.0, "A", "O", "1995-01-01")], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"),
+    }
+    for name, (held, shape) in tables.items():
+        spark.createDataFrame(held, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(r["file"] for r in core.QUERIES["blast_radius_whole"](spark, str(tmp_path)).collect()) == ["ASIA/CHINA", "Brand#11/none", "Brand#2/t"]
