@@ -8,7 +8,8 @@ densities, hits close to the second person, capitals, punctuation, and the rate
 of obfuscated words and of lexicon words found behind the obfuscation.
 
 The sample is bounded by SAMPLE toxic and SAMPLE other labelled documents, those
-with the least hash of doc_id; near copies among them count once.  Scoring is
+with the least hash of doc_id.  For the lexicon, copies within a label count
+once, by the one of the least doc_id.  Scoring is
 one map over the scan with no shuffle; the lexicon has at most LEXICON units.
 
 Null and empty texts have no words and get the score of such a text.  Without
@@ -18,13 +19,13 @@ labels of both kinds every score is the share of toxic ones.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches, spill
@@ -38,6 +39,8 @@ STEMS = (4, 5, 6)
 CUT = 0.5
 NEAR = 5
 CACHED = 300_000
+#: Words of a shingle and seeds of its hashes, all of whose least values copies share.
+SHINGLE, SEEDS = 3, 4
 #: Second-person words of the languages served.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie usted ustedes ti tus vosotros".split())
 #: Characters that stand for letters.
@@ -190,9 +193,25 @@ def _too_short(found: dict) -> set[str]:
     return out
 
 
-def _key(text: str | None, salt: int) -> int:
-    """Least hash of the words: near copies mostly share it."""
-    return min((zlib.crc32(w.encode(), salt) for w in set((text or "").split())), default=0)
+def _key(text: str | None) -> bytes:
+    """Least hashes of the shingles of three words under four seeds: true copies share all, near ones mostly."""
+    words = (text or "").encode().split()
+    shingles = {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+    return b"".join(min(xxhash.xxh64_digest(g, seed) for g in shingles) for seed in range(1, SEEDS + 1))
+
+
+def without_copies(rows: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id") -> DataFrame:
+    """rows with one of each set of copies within a label: that of the least id_col."""
+    small_batches(rows.sparkSession)
+    at = rows.columns.index(text)
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_key(t) for t in b.column(at).to_pylist()], pa.binary())], names=[*b.schema.names, "_key"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    first = Window.partitionBy(label, "_key").orderBy(id_col, F.xxhash64(text))
+    return rows.mapInArrow(keys, f"{kinds}, _key binary").withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_key", "_rn")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -207,6 +226,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
 class ToxicModel:
     def __init__(self, lexicon: dict[str, float]):
         self.features, self.trees, self.calibrate, self.rate = Features(lexicon), None, None, 0.0
+        #: Documents of the sample, and those left for the lexicon without copies.
+        self.sampled = self.learned = 0
 
     def fit(self, x, y, x_cal, y_cal) -> ToxicModel:
         self.rate = float(y.mean()) if len(y) else 0.0
@@ -232,15 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     rows = labelled_sample(docs, labels, label, text, id_col, sample).withColumn("part", part).withColumn("half", (part % 2).cast("int"))
     rows = spill(rows, "toxic-sample")
 
-    def keys(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([_key(t, s) for t in texts], pa.int64()) for s in (1, 2)]], names=[*b.schema.names, "k1", "k2"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    once = rows.mapInArrow(keys, f"{kinds}, k1 bigint, k2 bigint").dropDuplicates(["k1"]).dropDuplicates(["k2"])
+    once = spill(without_copies(rows, "text", "label", id_col), "toxic-once")
     of_half = learn_lexicons(once.select("text", "label", "half"))
     model = ToxicModel(of_half[2])
+    model.sampled, model.learned = rows.count(), once.count()
     # the features of each half are made with the lexicon of the other
     other = [Features(of_half[1]), Features(of_half[0])]
 

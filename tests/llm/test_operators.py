@@ -414,6 +414,19 @@ def test_toxicity_on_held_out_rows(labelled):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.85 * len(got)
 
 
+def test_only_copies_within_a_label_count_once(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    # unrelated texts that share common words, one word among many, and texts that are copies
+    texts = [" ".join(["the", "of", "and", *[word() for _ in range(30)]]) for _ in range(80)]
+    held = [(k, t, k % 2) for k, t in enumerate(texts)] + [(100, texts[0], 0), (101, texts[0], 1), (102, "  " + texts[2].replace(" ", "\n"), 0), (103, "so what", 0), (104, "what so", 0), (105, "so what", 0), (106, "", 1), (107, None, 1)]
+    df = spark.createDataFrame(held, "doc_id bigint, text string, label int")
+    for parts in (1, 5):
+        got = toxicity.without_copies(df.repartition(parts))
+        assert got.columns == df.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == [*range(80), 101, 103, 104, 106]
+
+
 def test_classifiers_take_odd_rows(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     some = spark.createDataFrame([(k, k % 2, None if k % 5 == 0 else int(k % 3 == 0)) for k in range(40)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
