@@ -80,19 +80,20 @@ class Trees:
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 5.0):
         self.n, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        weight = np.ones(len(y)) if weight is None else weight / weight.mean()
         cuts = [np.unique(np.quantile(c[np.isfinite(c)], np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         # a feature that is mostly one value still gets cuts among its other values
         cuts = [np.unique(np.r_[c, np.quantile(v, np.linspace(0, 1, 9)[:-1])]) if len(v := col[col != np.median(col)]) > 20 else c for c, col in zip(cuts, x.T)]
         binned = np.stack([np.searchsorted(c, col, "left") for c, col in zip(cuts, x.T)], 1)
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        rate = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
         z = np.full(len(y), self.base)
         self.trees = []
         for _ in range(self.n):
             p = sigmoid(z)
             tree: list = []
-            z += self.rate * self._grow(tree, binned, cuts, p - y, p * (1 - p), np.arange(len(y)), 0, np.zeros(len(y)))
+            z += self.rate * self._grow(tree, binned, cuts, weight * (p - y), weight * p * (1 - p), np.arange(len(y)), 0, np.zeros(len(y)))
             self.trees.append(tree)
         return self
 
@@ -143,11 +144,12 @@ class Trees:
 class Isotonic:
     """Pool-adjacent-violators, read with linear interpolation between the pools' middles."""
 
-    def __init__(self, score: np.ndarray, y: np.ndarray):
+    def __init__(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        weight = np.ones(len(y)) if weight is None else weight
         order = np.argsort(score, kind="stable")
         pools: list[list[float]] = []
-        for s, v in zip(score[order].tolist(), y[order].tolist()):
-            pools.append([s, s, v, 1.0])
+        for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist()):
+            pools.append([s, s, v * w, w])
             while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
                 lo = pools.pop(-2)
                 pools[-1] = [lo[0], pools[-1][1], lo[2] + pools[-1][2], lo[3] + pools[-1][3]]

@@ -9,7 +9,8 @@ of obfuscated words and of lexicon words found behind the obfuscation.
 
 The sample is bounded by SAMPLE toxic and SAMPLE other labelled documents, those
 with the least hash of doc_id.  For the lexicon, copies within a label count
-once, by the one of the least doc_id.  Scoring is
+once, by the one of the least doc_id.  Trees and calibration weigh each label
+by its labelled rows over its sampled ones, so the cut means the same at any size.  Scoring is
 one map over the scan with no shuffle; the lexicon has at most LEXICON units.
 
 Null and empty texts have no words and get the score of such a text.  Without
@@ -215,10 +216,12 @@ def without_copies(rows: DataFrame, text: str = "text", label: str = "label", id
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """Bounded (id_col, text, label) of the training folds."""
+    """Bounded (id_col, text, label, weight) of the training folds; weight is how many labelled rows of its label a row stands for."""
     known = labels.filter((fold(F.col(id_col)) != 0) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).alias("label")).distinct()
     first = lambda y: known.filter(F.col("label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = first(1).unionByName(first(0))
+    count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    stands = lambda y: first(y).withColumn("weight", F.lit(max(1.0, count.get(y, 0) / sample)))
+    chosen = stands(1).unionByName(stands(0))
     picked = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).drop("_id")
     return picked
 
@@ -229,13 +232,13 @@ class ToxicModel:
         #: Documents of the sample, and those left for the lexicon without copies.
         self.sampled = self.learned = 0
 
-    def fit(self, x, y, x_cal, y_cal) -> ToxicModel:
-        self.rate = float(y.mean()) if len(y) else 0.0
+    def fit(self, x, y, w, x_cal, y_cal, w_cal) -> ToxicModel:
+        self.rate = float(np.average(y, weights=w)) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
             return self
-        self.trees = Trees().fit(x, y)
+        self.trees = Trees().fit(x, y, w)
         if len(y_cal):
-            self.calibrate = Isotonic(self.trees.margin(x_cal), y_cal)
+            self.calibrate = Isotonic(self.trees.margin(x_cal), y_cal, w_cal)
         return self
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -265,9 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             x = [other[h](t) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names[2:], "x"])
 
-    got = rows.select("text", "half", id_col, "part", "label").mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, part bigint, label int, x array<double>").collect()
+    got = rows.select("text", "half", id_col, "part", "label", "weight").mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, part bigint, label int, weight double, x array<double>").collect()
     got = sorted(got, key=lambda r: (r[id_col], r["label"], r["x"]))
-    take = lambda parts: (np.array([r["x"] for r in got if r["part"] in parts], float).reshape(-1, FEATURES), np.array([r["label"] for r in got if r["part"] in parts], float))
+    column = lambda name, parts: np.array([r[name] for r in got if r["part"] in parts], float)
+    take = lambda parts: (column("x", parts).reshape(-1, FEATURES), column("label", parts), column("weight", parts))
     return model.fit(*take(range(6)), *take((6, 7)))
 
 

@@ -427,6 +427,19 @@ def test_only_copies_within_a_label_count_once(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == [*range(80), 101, 103, 104, 106]
 
 
+def test_a_bounded_sample_keeps_the_true_rate(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("red green blue some other word you".split()) for _ in range(30)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 3)) for k in range(3000)], "doc_id bigint, toxic int")
+    # the texts tell nothing, so the mean score is the rate
+    scores = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, sample=120)).collect()]
+    assert 0.05 < sum(scores) / len(scores) < 0.2
+    x, y = np.array([1.0, 2.0, 3.0]), np.array([1.0, 0.0, 1.0])
+    twice = toxicity.Isotonic(np.array([1.0, 2.0, 2.0, 3.0]), np.array([1.0, 0.0, 0.0, 1.0]))
+    assert np.allclose(toxicity.Isotonic(x, y, np.array([1.0, 2.0, 1.0]))([1.5, 3.0]), twice([1.5, 3.0]))
+
+
 def test_classifiers_take_odd_rows(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     some = spark.createDataFrame([(k, k % 2, None if k % 5 == 0 else int(k % 3 == 0)) for k in range(40)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
