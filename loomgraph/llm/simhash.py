@@ -313,14 +313,17 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id.
+    """docs with one row of each component: that of the least doc_id, and of the least text hash where an id has several texts.
 
-    A null doc_id is named by its text, after all others.  Only rows that go
-    are joined back; ids that repeat are told apart by what the fingerprints'
-    table shows, so texts are sorted out again only where that happens.
+    A null doc_id is named by its text, after all others.  Rows are told apart
+    by id and text, so one id may keep a row in each of several components.
+    Only rows that go are joined back; equal rows are told apart by what the
+    fingerprints' table shows, so texts are sorted out again only where that
+    happens.
     """
-    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("_row", F.coalesce(F.col(id_col), by_text))
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    by_text = F.shiftrightunsigned(body, 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_row", F.struct(F.coalesce(F.col(id_col), by_text).alias("id"), body.alias("body")))
     found = spill(near_duplicates(keyed, text, "_row", radius), "simhash-classes")
     go = found.filter("_row <> component_id").select("_row").distinct()
     left = keyed.join(go, "_row", "left_anti")

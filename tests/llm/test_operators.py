@@ -83,6 +83,15 @@ def test_simhash_matches_brute_force(docs, rows, empty):
     assert kept.count() == len({root[f] for _, f in prints})
 
 
+def test_an_id_with_two_texts_keeps_a_row_in_each_component(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(4))
+    held = [(0, a), (1, a), (1, b), (5, c), (5, d), (7, c), (7, c), (None, d), (None, None), (9, "")]
+    for rows in (held, held + [(5, c)], held[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(0, a), (1, b), (5, c), (5, d), (9, "")])
+
+
 def test_grids_grow_with_the_points():
     assert [simhash.grid(10**k) for k in (3, 6, 7, 8, 9, 10, 12)] == [7, 7, 8, 9, 10, 12, 12]
     assert len(simhash._masks(7)) == 35 and len(simhash._masks(8)) == 70 and all(m.bit_count() >= 24 for m in simhash._masks(7) if m >= 0)
