@@ -219,13 +219,20 @@ def cycle_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return links.join(scc.select(F.col("id").alias("a"), F.col("scc").alias("sa")), "a").join(scc.select(F.col("id").alias("b"), F.col("scc").alias("sb")), "b").filter("sa = sb").select("a", "b")
 
 
-def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """(path): elementary cycles of up to `longest` nodes, each once, from its least node on; for module graphs."""
+def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(path): elementary cycles, each once, from its least node on; those of up to `longest` nodes where it is given.  For module graphs."""
     links = cut(edges.select("a", "b").filter("a <> b").distinct(), "cycle-edges")
+    # no cycle leaves its strong component, so no path need either
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    links = cut(cycle_edges(ends, links).select("a", "b"), "cycle-edges")
     paths = links.filter("a < b").select(F.col("a").alias("start"), F.array("a", "b").alias("path"), F.col("b").alias("last"))
-    found = None
-    for _ in range(longest - 1):
+    found, size = None, 2
+    while True:
         closed = paths.join(links, (paths["last"] == links["a"]) & (paths["start"] == links["b"])).select("path")
         found = closed if found is None else found.unionByName(closed)
+        size += 1
+        if longest is not None and size > longest:
+            return found
         paths = cut(paths.join(links, paths["last"] == links["a"]).filter((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("start", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("last")), "cycle-paths")
-    return found
+        if not paths.take(1):
+            return found

@@ -2,6 +2,7 @@
 
 import random
 
+from loomgraph.operators import graph
 from loomgraph.plans import queries as core
 from loomgraph.plans import survey_queries  # noqa: F401
 
@@ -17,7 +18,7 @@ def test_box_overlaps_takes_every_vector(spark, tmp_path):
     assert any(b >= 200 for _, b in want)
 
 
-WHOLE = [n for n in sorted(core.QUERIES) if n.endswith("_whole")]
+WHOLE = [n for n in sorted(core.ORACLES) if n.endswith("_whole")]
 CUTS = ("occurrences > 1", "batch IN", "p_brand <", "vec_id <")
 
 
@@ -51,3 +52,23 @@ def test_one_edge_is_enough_for_the_blast_radius(spark, tmp_path):
     for name, (held, shape) in tables.items():
         spark.createDataFrame(held, shape).write.parquet(f"{tmp_path}/{name}.parquet")
     assert sorted(r["file"] for r in core.QUERIES["blast_radius_whole"](spark, str(tmp_path)).collect()) == ["ASIA/CHINA", "Brand#11/none", "Brand#2/t"]
+
+
+def test_simple_cycles_of_any_length(spark):
+    pairs = [(k, (k + 1) % 9) for k in range(9)] + [(4, 2), (7, 0), (20, 21), (21, 22), (8, 20), (3, 3)]
+    found = set()
+
+    def walk(path):
+        for a, b in pairs:
+            if a == path[-1] and a != b:
+                if b == path[0]:
+                    found.add(tuple(path))
+                elif b > path[0] and b not in path:
+                    walk([*path, b])
+
+    for k in range(23):
+        walk([k])
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = [tuple(r["path"]) for r in graph.simple_cycles(edges).collect()]
+    assert sorted(got) == sorted(found) and max(map(len, got)) == 9
+    assert sorted(tuple(r["path"]) for r in graph.simple_cycles(edges, 3).collect()) == sorted(c for c in found if len(c) <= 3)
