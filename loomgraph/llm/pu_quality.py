@@ -7,7 +7,7 @@ model.  No label of a bad document is ever used.
 
 The sample is bounded: SAMPLE trusted positives and SAMPLE unlabelled documents
 of the training folds, those with the least hash of doc_id, so it is the same
-in every run.  Everything else covers all rows: scoring is one map over the
+in every run; of an id with several texts the least one is taken.  Everything else covers all rows: scoring is one map over the
 scan with no shuffle.
 
 Null and empty texts are scored as texts of no words.  If there is no positive
@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, map_texts, small_batches
+from .common import fold, map_rows, map_texts
 from .learn import Scaler, class_prior, fit_logistic, fit_nnpu, sigmoid
 from .rule_ledger import measure_words
 
@@ -48,17 +49,9 @@ def features(text: str | None) -> list[float]:
 MARKS = b".,;:?!\"'()-"
 
 
-def feature_rows(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            x = [features(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "x"])
-
-    picked = docs.select(*carry, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}, x array<double>")
+def feature_rows(docs: DataFrame, carry: tuple[str, ...], text: str = "text") -> DataFrame:
+    rows = lambda texts: [pa.array([features(t) for t in texts], pa.list_(pa.float64()))]
+    return map_texts(docs, text, carry, rows, [("x", T.ArrayType(T.DoubleType()))])
 
 
 class QualityModel:
@@ -79,24 +72,30 @@ class QualityModel:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), 0.5)
-        return sigmoid(np.c_[self.scaler(x), np.ones(len(x))] @ self.weights)
+        # row by row, so a score doesn't depend on the batch it is made in
+        return sigmoid((self.scaler(x) * self.weights[:-1]).sum(axis=1) + self.weights[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    train = fold(F.col(id_col)) != 0
-    first = lambda df, role: df.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("_id"), F.lit(role).alias("role"))
-    chosen = first(labels.filter(train & (F.col(label) == 1)).select(id_col).distinct(), 1).unionByName(first(docs.filter(train).select(id_col), 0))
-    # at most twice `sample` short rows
-    picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-    rows = feature_rows(picked, [id_col, "role"], text).orderBy(id_col, "role").limit(3 * sample).collect()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    train = fold(F.col("id")) != 0
+    first = lambda df, role: df.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("chosen"), F.lit(role).alias("role"))
+    chosen = first(known.filter(train & (F.col("label") == 1)).select("id").distinct(), 1).unionByName(first(slim.filter(train).select("id").distinct(), 0))
+    # at most twice `sample` short rows, and one text for each
+    picked = slim.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).groupBy("id", "role").agg(F.min("body").alias("body"))
+    rows = sorted(feature_rows(picked, ("id", "role"), "body").collect(), key=lambda r: (r["id"], r["role"]))
     split = lambda role: np.array([r["x"] for r in rows if r["role"] == role], float).reshape(-1, FEATURES)
     return QualityModel(split(1), split(0))
 
 
+def _scores(model: QualityModel):
+    return lambda texts: [pa.array(model(np.array([features(t) for t in texts], float).reshape(-1, FEATURES)), pa.float64())]
+
+
 def score(docs: DataFrame, model: QualityModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and score for every row."""
-    values = lambda texts: [pa.array(model(np.array([features(t) for t in texts], float).reshape(-1, FEATURES)), pa.float64())]
-    return map_texts(docs, text, carry, values, ["score"], "score double")
+    return map_texts(docs, text, carry, _scores(model), [("score", T.DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
@@ -107,5 +106,5 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
     """The rows of docs whose score reaches the cut, with the columns of docs."""
-    scored = score(docs, fit(docs, labels, text, id_col), text, tuple(docs.columns))
-    return scored.filter(F.col("score") >= cut).select(*docs.columns)
+    scored = map_rows(docs, text, _scores(fit(docs, labels, text, id_col)), [("score", T.DoubleType())])
+    return scored.filter(F.col("score") >= cut).select("row.*")

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_rows, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -113,12 +114,14 @@ def _failures() -> F.Column:
 
 def ledger(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns, the measurements and failures, a bit for each rule failed."""
+    return map_texts(docs, text, carry, _measures, _FIELDS).withColumn("failures", _failures())
 
-    def measures(texts):
-        return [pa.array(c, pa.int64()) for c in list(zip(*map(measure, texts))) or [()] * len(MEASURES)]
 
-    measured = map_texts(docs, text, carry, measures, list(MEASURES), ", ".join(f"{m} bigint" for m in MEASURES))
-    return measured.withColumn("failures", _failures())
+_FIELDS = [(m, T.LongType()) for m in MEASURES]
+
+
+def _measures(texts: list) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in list(zip(*map(measure, texts))) or [()] * len(MEASURES)]
 
 
 def verdict(failures: F.Column, policy: str = CURRENT) -> F.Column:
@@ -148,5 +151,5 @@ def quality_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def keep(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows of docs that pass the base rules and the policy, with the columns of docs."""
-    rows = ledger(docs, text, tuple(docs.columns))
-    return rows.filter(verdict(F.col("failures"), "base") & verdict(F.col("failures"), policy)).select(*docs.columns)
+    rows = map_rows(docs, text, _measures, _FIELDS).withColumn("failures", _failures())
+    return rows.filter(verdict(F.col("failures"), "base") & verdict(F.col("failures"), policy)).select("row.*")
