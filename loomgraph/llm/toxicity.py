@@ -8,7 +8,7 @@ densities, hits close to the second person, capitals, punctuation, and the rate
 of obfuscated words and of lexicon words found behind the obfuscation.
 
 The sample is bounded by SAMPLE toxic and SAMPLE other labelled documents, those
-with the least hash of doc_id.  For the lexicon, copies within a label count
+with the least hash of doc_id; of an id with several texts the least is taken.  For the lexicon, copies within a label count
 once, by the one of the least doc_id.  Trees and calibration weigh each label
 by its labelled rows over its sampled ones, so the cut means the same at any size.  Scoring is
 one map over the scan with no shuffle; the lexicon has at most LEXICON units.
@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, small_batches, spill
+from .common import fold, map_texts, small_batches, spill
 from .learn import Isotonic, Trees, sigmoid
 
 SAMPLE = 6000
@@ -217,13 +218,15 @@ def without_copies(rows: DataFrame, text: str = "text", label: str = "label", id
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """Bounded (id_col, text, label, weight) of the training folds; weight is how many labelled rows of its label a row stands for."""
-    known = labels.filter((fold(F.col(id_col)) != 0) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).alias("label")).distinct()
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label")).filter((fold(F.col("_id")) != 0) & F.col("label").isin(0, 1)).distinct()
     first = lambda y: known.filter(F.col("label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     stands = lambda y: first(y).withColumn("weight", F.lit(max(1.0, count.get(y, 0) / sample)))
     chosen = stands(1).unionByName(stands(0))
-    picked = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).drop("_id")
-    return picked
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    # one text for each id and label, so repeated ids can't grow the sample
+    once = slim.join(F.broadcast(chosen), F.col("id") == F.col("_id")).groupBy("id", "label", "weight").agg(F.min("text").alias("text"))
+    return once.select(F.col("id").alias(id_col), "text", "label", "weight")
 
 
 class ToxicModel:
@@ -277,16 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and score for every row."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            x = np.array([model.features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model(x))], names=[*b.schema.names[:-1], "score"])
-
-    picked = docs.select(*[F.col(c) for c in carry], F.col(text).alias("_text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}score double")
+    rows = lambda texts: [pa.array(model(np.array([model.features(t) for t in texts], float).reshape(-1, FEATURES)), pa.float64())]
+    return map_texts(docs, text, carry, rows, [("score", T.DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
