@@ -152,8 +152,12 @@ class Packer:
 
     def _close(self, k: int):
         placed = self.bins.pop(k)
+        free = int(self.free[k][0])
         self.free = np.delete(self.free, k, 0)
-        return self._new(), placed
+        if free:
+            yield from self._tail(placed, self.limit - free)
+        else:
+            yield self._new(), placed
 
     def add(self, key, start: int, length: int, loss: int):
         """Yields (sequence id, segments) of those that are done. loss: loss-bearing tokens, the last of the segment."""
@@ -163,7 +167,7 @@ class Packer:
             while take_loss > self.limits[2]:
                 take -= take_loss - int(self.limits[2])
                 take_loss = max(0, loss - (length - take))
-            yield self._new(), [(key, start, take, take_loss)]
+            yield from self._tail([(key, start, take, take_loss)], take)
             start, length, loss = start + take, length - take, loss - take_loss
         if not length:
             return
@@ -175,7 +179,7 @@ class Packer:
                 self.free[k] -= need
                 self.bins[k].append((key, start, length, loss))
                 if self.free[k][0] < 1 or self.free[k][1] < 1:
-                    yield self._close(k)
+                    yield from self._close(k)
                 return
         if len(self.bins) >= self.open_bins:
             k = int(np.argmin(self.free[:, 0]))
@@ -183,8 +187,9 @@ class Packer:
             take_loss = max(0, loss - (length - take))
             if take > 0 and self.free[k][1] >= 1 and take_loss <= self.free[k][2]:
                 self.bins[k].append((key, start, take, take_loss))
+                self.free[k] -= [take, 1, take_loss]
                 start, length, loss = start + take, length - take, loss - take_loss
-            yield self._close(k)
+            yield from self._close(k)
         self.bins.append([(key, start, length, loss)])
         self.free = np.vstack([self.free, self.limits - [length, 1, loss]])
 
@@ -209,11 +214,11 @@ class Packer:
         yield from self._tail(now, tokens)
 
     def _tail(self, segments, tokens):
-        """Cuts fewer tokens than a sequence holds at powers of two."""
+        """Cuts tokens of one sequence at powers of two; a full one stays whole."""
         at = 0
         segments = list(segments)
         while tokens:
-            room = 1 << (tokens.bit_length() - 1)
+            room = tokens if tokens == self.limit else 1 << (tokens.bit_length() - 1)
             tokens -= room
             out = []
             while room:
