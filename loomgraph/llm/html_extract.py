@@ -10,7 +10,8 @@ neighbours: both alike decide, and where they differ the nearer one does.
 Scripts, styles and markup never reach a block.  Broken markup is read as it
 comes: a closing tag closes what is open of its name, and everything inside.
 
-Scale: one map over the scan, whole pages, no shuffle.  A null or empty page,
+Scale: one map over the scan, whole pages, no shuffle, in time linear in a page
+however deep or broken it is.  A null or empty page,
 or one with no main text, gives the empty text.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,6 +89,9 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, negative, main, number
     now: Block | None = None
     links = boiler = main = headings = number = 0
+    opened: Counter[str] = Counter()  # open elements by name
+    holders: list[int] = [0]  # numbers of open elements that hold blocks
+    endless: set[str] = set()  # raw elements that nothing closes from here on
     at, size = 0, len(page)
 
     def add(raw: str):
@@ -96,8 +101,7 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if raw.isspace():
                 return
-            parent = next((s[3] for s in reversed(stack) if s[0] in BLOCKS and s[0] not in _TEXT), 0)
-            now = Block(main > 0, boiler > 0, headings > 0, parent)
+            now = Block(main > 0, boiler > 0, headings > 0, holders[-1])
             out.append(now)
         text = html.unescape(raw) if "&" in raw else raw
         now.parts.append(text)
@@ -111,6 +115,9 @@ def blocks(page: str) -> list[Block]:
         main -= is_main
         links -= name == "a"
         headings -= name in _HEADINGS
+        opened[name] -= 1
+        if name in _HOLDERS:
+            holders.pop()
         return name
 
     while at < size:
@@ -125,7 +132,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            if any(s[0] == name for s in stack):
+            if opened[name] > 0:
                 while True:
                     closed = pop()
                     if closed in BLOCKS:
@@ -136,7 +143,10 @@ def blocks(page: str) -> list[Block]:
                 now = None
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not m[3].rstrip().endswith("/") else None
+            closes = not m[3].rstrip().endswith("/") and name not in endless
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if closes else None
+            if closes and not end:
+                endless.add(name)
             if end:
                 at = end.end()
             elif not m[3].rstrip().endswith("/") and name in ("script", "style"):
@@ -158,6 +168,9 @@ def blocks(page: str) -> list[Block]:
         is_main = name in MAIN and not negative
         number += 1
         stack.append((name, negative, is_main, number))
+        opened[name] += 1
+        if name in _HOLDERS:
+            holders.append(number)
         boiler += negative
         main += is_main
         links += name == "a"
@@ -168,7 +181,7 @@ def blocks(page: str) -> list[Block]:
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TEXT = _HEADINGS | {"p"}
+_HOLDERS = BLOCKS - _HEADINGS - {"p"}
 _INLINE = frozenset("b i em strong span u s small font sub sup mark code".split())
 _ITEMS = frozenset("li dt dd tr td th option".split())
 
