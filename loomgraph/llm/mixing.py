@@ -5,17 +5,21 @@ is certain; the fraction is a probability.  Two documents with fractions meet
 and mass moves from one to the other, in a random direction and weighted by
 their sizes, until one of them is whole: the expected copies of each document
 stay what they were and the words that the source takes stay the same in every
-step.  So a source misses its target by less than the one document left.
+step.  Exchange makes the smaller of two documents whole, so long ones (more
+than one word in LONG of their source, of which there can't be more than LONG)
+are settled first, the longest first, and the others make up for what they take
+too much or too little.  So a source misses its target by less than one short
+document, unless long ones leave the others no room.
 
 Scale: texts never move; documents meet in groups of (source, bucket) of about
 GROUP documents, with as many buckets as the source needs, so a hot source is
 dealt over many tasks.  Each group leaves at most one document with a fraction;
 these residuals meet again in a tree of groups.  Groups and random numbers
-depend on doc_ids alone, so reruns agree however the input is partitioned.
+depend on doc_ids and texts alone, so reruns agree however the input is partitioned.
 
 Null texts have size 0; documents of size 0 take no words.  A null source is a
-source, after all others.  Equal doc_ids are separate rows and share nothing
-but their random numbers: the decision is by row content and repetition.
+source, after all others.  Equal doc_ids are separate rows; null ones are dealt
+by their texts.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, spill
+from .common import WORD, as_row, spill
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Documents of a group, and residuals of a group in the tree.
 GROUP, FAN_IN = 4000, 256
+#: A document of more than one word in LONG of its source is settled before the others.
+LONG = 200
 EPS = 1e-9
 
 
@@ -91,6 +97,46 @@ def _meet(df: DataFrame, keys: list[str], seed: int, level: int) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
+def settle(rows: list[tuple[int, float]], source_size: int, target: float, most: float, seed: str) -> list[int]:
+    """rows: (size, tie) of the long documents of a source.  Copies of each, so that those after it and the short ones can still meet the target.
+
+    A document is due the rate of what is left; its copies are that rate rounded
+    by a coin.  Where that leaves too much or too little for the words that
+    remain, it takes the nearest number that doesn't.
+    """
+    rng = random.Random(seed)
+    out, due, words = [0] * len(rows), target, source_size
+    for k in sorted(range(len(rows)), key=lambda k: (-rows[k][0], rows[k][1])):
+        size = rows[k][0]
+        words -= size
+        rate = due / (words + size)
+        low = int(rate + EPS)
+        copies = low + (rng.random() < rate - low)
+        if not 0 <= due - copies * size <= most * words:
+            misses = lambda c: max(0.0, c * size - due, due - c * size - most * words)
+            copies = min(range(int(most) + 1), key=lambda c: (misses(c), abs(c - rate)))
+        out[k] = copies
+        due = min(max(due - copies * size, 0.0), most * words)
+    return out
+
+
+def _settled(rows: DataFrame, most: float, seed: int) -> DataFrame:
+    """The long documents with their copies; at most LONG of a source."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "tie", "id"], kind="stable")
+        first = pdf.iloc[0]
+        pairs = list(zip(pdf["size"].tolist(), range(len(pdf))))
+        return pdf.assign(copies=settle(pairs, int(first["source_size"]), float(first["target"]), most, f"{seed}/long/{first['source']}"))
+
+    return rows.groupBy("source").applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("copies", T.IntegerType())]))
+
+
+def _broadcast(spark, plan: list[tuple], fields: str) -> DataFrame:
+    """One short row for each source."""
+    return F.broadcast(spark.createDataFrame(plan, fields))
+
+
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42) -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken), one row for each row of docs.
 
@@ -98,22 +144,32 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     asked for, not of the documents.
     """
     spark = docs.sparkSession
-    base = spill(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "mix-sizes")
+    base = docs.select(
+        F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)).alias("tie"),
+    )
+    base = spill(base, "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     due = targets([(r["source"], r["source_size"]) for r in per], weights, share, most)
     plan = [(r["source"], r["source_size"], float(due[r["source"]]), max(1, -(-r["n"] // GROUP))) for r in per]
-    kinds = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("buckets", T.IntegerType())])
-    table = spark.createDataFrame(plan, kinds)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    named = F.broadcast(table.withColumnRenamed("source", "s"))  # one short row for each target
-    # equal rows get a number each, so the decisions can be joined to nothing but themselves
+    named = _broadcast(spark, plan, "s string, source_size bigint, target double, buckets int")
     rows = base.join(named, base["source"].eqNullSafe(named["s"])).drop("s")
-    due_rows = rows.select(
+    is_long = F.col("size") * LONG > F.col("source_size")
+    long = spill(_settled(rows.filter(is_long), most, seed), "mix-long")
+    used = {r["source"]: (r["words"], r["taken"]) for r in long.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    rates = []
+    for name, size, target, _ in plan:
+        words, taken = used.get(name, (0, 0))
+        rates.append((name, min(max((target - taken) / (size - words), 0.0), most) if size > words else 0.0))
+    rated = _broadcast(spark, rates, "s string, rate double")
+    rows = rows.filter(~is_long)
+    rate = F.col("rate")
+    due_rows = rows.join(rated, rows["source"].eqNullSafe(rated["s"])).select(
         "id", "source", "size", "source_size", "target",
         F.floor(rate + EPS).cast("int").alias("whole"),
         F.when(F.col("size") > 0, F.greatest(rate - F.floor(rate + EPS), F.lit(0.0))).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64("id", F.lit(seed)), F.col("buckets")).cast("int").alias("bucket"),
-        F.xxhash64("id", F.lit(seed + 1)).alias("tie"),
+        F.pmod(F.col("tie"), F.col("buckets")).cast("int").alias("bucket"),
+        F.xxhash64("tie", F.lit(seed + 1)).alias("tie"),
         F.lit(0).alias("copy"),
     )
     now = spill(_meet(due_rows, ["source", "bucket"], seed, 0), "mix-level")
@@ -127,25 +183,28 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
         now = spill(_meet(up, ["source", "bucket"], seed, level), "mix-level")
         done.append(now.filter(~is_open))
         left = now.filter(is_open)
-    # what is left: one document of a source at most
-    last = left.withColumn("part", F.when(F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30) < F.col("part"), 1.0).otherwise(0.0))
-    out = last
+    # what is left: one short document of a source at most
+    last = left.withColumn("part", F.when(F.pmod(F.xxhash64("tie", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30) < F.col("part"), 1.0).otherwise(0.0))
+    short = last
     for d in done:
-        out = out.unionByName(d)
-    copies = (F.col("whole") + F.col("part").cast("int")).cast("int")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+        short = short.unionByName(d)
+    out = short.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("part").cast("int")).cast("int").alias("copies")).unionByName(long.select("id", "source", "size", "source_size", "target", "copies"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """docs, each row as many times as the mix takes it, with the columns of docs.
 
-    Rows are told apart by id, text and source; rows that are equal in all three
-    share the sum of their copies.
+    Rows are told apart by id, text and source, carried beside the row; rows
+    that are equal in all three share the sum of their copies.
     """
-    key = F.concat_ws("|", F.col(id_col).cast("string"), F.hex(F.xxhash64(text, source)))
-    keyed = docs.withColumn("_row", key)
-    decided = spill(mix(keyed, text, "_row", source, **how).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
-    if decided.filter("_rows > 1").take(1):
-        keyed = keyed.dropDuplicates(["_row"])
-    joined = keyed.join(decided.filter("_copies > 0").select("_row", "_copies"), "_row")
-    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    at = lambda c: F.col("row").getField(c)
+    known = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.hex(F.xxhash64(c)))
+    keyed = docs.select(as_row(docs).alias("row"))
+    keyed = keyed.select("row", F.concat_ws("|", F.coalesce(at(id_col).cast("string"), F.lit("null")), known(at(text)), known(at(source).cast("string"))).alias("key"))
+    few = keyed.select(F.col("key").alias("id"), at(text).alias("text"), at(source).alias("source"))
+    decided = spill(mix(few, "text", "id", "source", **how).groupBy("id").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")), "mix-copies")
+    if decided.filter("rows > 1").take(1):
+        keyed = keyed.dropDuplicates(["key"])
+    joined = keyed.join(decided.filter("copies > 0").select(F.col("id").alias("key"), "copies"), "key")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

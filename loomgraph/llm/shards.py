@@ -1,18 +1,20 @@
 """Contiguous byte-balanced shards from global prefix sums.  DataFrame functions only.
 
-Rows are ordered by doc_id (then size, then crc).  The id range is cut into
-buckets of about equal row counts; each bucket's total is one row, their prefix
-sums give every bucket its offset, and a window inside the bucket gives each
-row its place in the global sum of bytes.  The shard is the equal target that
-holds the middle of the row, so shards are contiguous in doc_id and differ by
-no more than the rows at their ends.
+Rows are ordered by a hash of their text, so equal texts are neighbours, and
+dealt into ranges.  Each range's total is one row, their prefix sums give every
+range its offset, and a window inside the range gives each row its place in the
+global sum of bytes.  The shard is the equal target that holds the middle of
+the row, or of its group: equal texts of up to GROUP_SHARE of a shard go
+together, larger ones and hot texts are split where a target cuts them.  So shards are
+contiguous in that order and their sizes differ by no more than such groups.
 
-Scale: texts are read once and never shuffled; 28 bytes a row are.  There
-are as many buckets as keep all cores busy, or one for ROWS rows, so totals and
-shard starts stay short lists.
+Scale: texts are read once and never shuffled; 40 bytes a row are, three times.
+Rows of a hot text (more than one row in HOT_SHARE) are ordered by a number of
+the row, so they are dealt over many ranges; those of other texts share one.  There are as many ranges as keep all cores busy, or one
+for ROWS rows, so totals and shard starts stay short lists.
 
-Null texts have no bytes and count as 8; null doc_ids come first; equal doc_ids
-and equal rows stay neighbours.  An empty table gives no rows.
+Null texts have no bytes, count as 8 and are one group with empty ones; null
+doc_ids and repeated rows are rows like any other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,62 +22,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import HOT_ROWS, HOT_SHARE, spill
 
 SHARDS = 24
 ROW_BYTES = 8
-#: Rows of a bucket at most, and at least where that many buckets aren't needed to keep cores busy.
+#: Groups of equal texts up to this share of a shard are never split.
+GROUP_SHARE = 0.02
+#: Rows of a range at most, and at least where that many ranges aren't needed to keep cores busy.
 ROWS, FEW = 1_000_000, 250
 
 
 def bucket_count(df: DataFrame, rows: int = ROWS) -> int:
-    """Enough buckets for four rounds of tasks, none of them tiny, and none larger than so many rows."""
+    """Enough ranges for four rounds of tasks, none of them tiny, and none larger than so many rows."""
     n, width = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(n // FEW + 1, 4 * width), -(-n // rows))
 
 
-def range_buckets(df: DataFrame, id_col: str, buckets: int) -> F.Column:
-    """A column that numbers ranges of id_col of about equal row counts.
-
-    The cuts are one array on the driver, of at most `buckets` numbers.
-    """
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(id_col, F.array(*map(F.lit, shares)), max(20_000, 20 * buckets)).alias("cuts")).first()["cuts"] if shares else []
-    cuts = cuts or []
-    cuts = sorted(set(cuts))
-    at = F.col(id_col)
-    if not cuts:
-        return F.lit(0)
-
-    # two steps of about the square root of the cuts each; null ids come first
-    wide = max(1, int(len(cuts) ** 0.5))
-    every, heads = F.lit(cuts), F.lit(cuts[::wide])
-    head = F.size(F.filter(heads, lambda c: c <= at))
-    rest = F.size(F.filter(F.slice(every, F.greatest(head - 1, F.lit(0)) * wide + 2, wide - 1), lambda c: c <= at)) if wide > 1 else F.lit(0)
-    return F.when(at.isNull() | (head == 0), F.lit(0)).otherwise((head - 1) * wide + 1 + rest).cast("int")
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str = "doc_id", row_bytes: int = ROW_BYTES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str = "doc_id", row_bytes: int = ROW_BYTES, group_share: float = GROUP_SHARE) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) for every row of docs."""
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + row_bytes).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    base = docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(body) + row_bytes).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
+        F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("uid"),
+    )
     base = spill(base, "shard-sizes")
-    base = spill(base.withColumn("bucket", range_buckets(base, "id", bucket_count(base))), "shard-buckets")
-    # a row for each bucket
-    per = base.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    # fewer than HOT_SHARE texts are hot; only their rows may be dealt over several ranges
+    hot = base.groupBy("h", "crc").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT_ROWS, base.count() // HOT_SHARE)).select("h", "crc", F.lit(True).alias("hot"))
+    base = base.join(F.broadcast(hot), ["h", "crc"], "left").withColumn("salt", F.when(F.col("hot"), F.col("uid")).otherwise(-1)).drop("hot")
+    order = ["h", "crc", "salt", "id", "uid"]
+    ranged = spill(base.repartitionByRange(bucket_count(base), *order[:3]).withColumn("bucket", F.spark_partition_id()), "shard-ranges")
+    # a row for each range
+    per = ranged.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     offsets, bytes_before, rows_before = [], 0, 0
     for r in sorted(per, key=lambda r: r["bucket"]):
         offsets.append((r["bucket"], bytes_before, rows_before))
         bytes_before, rows_before = bytes_before + r["bytes"], rows_before + r["n"]
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(offsets, "bucket int, bytes_before bigint, rows_before bigint"))
-    inside = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = base.withColumn("to", F.sum("size").over(inside)).withColumn("rank", F.count("*").over(inside)).join(table, "bucket")
-    total = F.lit(max(bytes_before, 1))
-    middle = (F.col("bytes_before") + F.col("to")) * 2 - F.col("size")  # twice the middle of the row
+    inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("bucket", "h", "crc")
+    placed = ranged.withColumn("to", F.sum("size").over(inside)).withColumn("rank", F.count("*").over(inside))
+    placed = placed.withColumn("group_to", F.max("to").over(group)).withColumn("group_bytes", F.sum("size").over(group)).join(table, "bucket")
+    together = F.col("group_bytes") <= int(group_share * bytes_before / shards)
+    twice = lambda to, size: (F.col("bytes_before") + F.col(to)) * 2 - F.col(size)  # noqa: E731  twice the middle
+    middle = F.when(together, twice("group_to", "group_bytes")).otherwise(twice("to", "size"))
+    total = F.lit(max(bytes_before, 1)).cast("decimal(38,0)") * 2
     placed = placed.select(
         "id", "size", "crc",
-        F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (total.cast("decimal(38,0)") * 2)).cast("int")).alias("shard"),
+        F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / total).cast("int")).alias("shard"),
         (F.col("rows_before") + F.col("rank") - 1).alias("place"),
     )
     placed = spill(placed, "shard-placed")
