@@ -25,10 +25,12 @@ def session(app: str = "loomgraph", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a folder of this machine."""
+    """spark.checkpoint.dir; a folder of this machine only where it is unset and the master is this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _LOCAL:
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
