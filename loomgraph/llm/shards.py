@@ -51,22 +51,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     base = base.join(F.broadcast(hot), ["h", "crc"], "left").withColumn("salt", F.when(F.col("hot"), F.col("uid")).otherwise(-1)).drop("hot")
     order = ["h", "crc", "salt", "id", "uid"]
     ranged = spill(base.repartitionByRange(bucket_count(base), *order[:3]).withColumn("bucket", F.spark_partition_id()), "shard-ranges")
-    # a row for each range
-    per = ranged.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    offsets, bytes_before, rows_before = [], 0, 0
-    for r in sorted(per, key=lambda r: r["bucket"]):
-        offsets.append((r["bucket"], bytes_before, rows_before))
-        bytes_before, rows_before = bytes_before + r["bytes"], rows_before + r["n"]
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(offsets, "bucket int, bytes_before bigint, rows_before bigint"))
+    # a row for each range: what lies before it, and the whole
+    per = ranged.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    all_of, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    table = F.broadcast(spill(per.select("bucket", sums("bytes", before).alias("bytes_before"), sums("n", before).alias("rows_before"), sums("bytes", all_of).alias("bytes_in_all")), "shard-offsets"))
     inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("bucket", "h", "crc")
     placed = ranged.withColumn("to", F.sum("size").over(inside)).withColumn("rank", F.count("*").over(inside))
     placed = placed.withColumn("group_to", F.max("to").over(group)).withColumn("group_bytes", F.sum("size").over(group)).join(table, "bucket")
-    together = F.col("group_bytes") <= int(group_share * bytes_before / shards)
+    together = F.col("group_bytes") <= F.floor(F.col("bytes_in_all") * (group_share / shards))
     twice = lambda to, size: (F.col("bytes_before") + F.col(to)) * 2 - F.col(size)  # noqa: E731  twice the middle
     middle = F.when(together, twice("group_to", "group_bytes")).otherwise(twice("to", "size"))
-    total = F.lit(max(bytes_before, 1)).cast("decimal(38,0)") * 2
+    total = F.col("bytes_in_all").cast("decimal(38,0)") * 2
     placed = placed.select(
         "id", "size", "crc",
         F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / total).cast("int")).alias("shard"),

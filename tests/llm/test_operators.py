@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on a small fixture that holds the odd cases."""
 
+import base64
 import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +94,40 @@ def test_an_id_with_two_texts_keeps_a_row_in_each_component(spark):
         assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(0, a), (1, b), (5, c), (5, d), (9, "")])
 
 
+def test_a_component_of_repeated_ids_keeps_one_row(spark):
+    rng = random.Random(13)
+    x, y, z = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(3))
+    held = [(5, x), (7, x), (7, y), (9, y), (11, z), (11, z + " " + y)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(held, "doc_id bigint, text string").repartition(3)).collect())
+    prints = {t: plain_fingerprint(t) for _, t in held}
+    root = plain_components(set(prints.values()))
+    assert kept == sorted({root[prints[t]]: (i, t) for i, t in sorted(held, reverse=True)}.values())
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_words string, failures string, score string, role int, _id bigint, id bigint, body string, _row string, row string, key string, _copies int, copies string, name string, size string, label int, tie string"
+
+
+def test_stages_keep_clashing_columns(spark, rows):
+    held = [(r[0], r[1], r[2], r[3], *[f"v{r[0]}" for _ in range(3)], 1, 2, r[0], "b", "r", "s", "k", 5, "c", "n", "z", 0, "t") for r in rows]
+    df = spark.createDataFrame(held, CLASHING).repartition(3)
+    some = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    whole = Counter(map(tuple, df.collect()))
+    for out in (rule_ledger.keep(df), pu_quality.keep(df, some), simhash.keep_one(df), mixing.mixed(df)):
+        assert out.columns == df.columns
+        got = Counter(map(tuple, out.collect()))
+        assert got and set(got) <= set(whole)
+    assert pu_quality.classify(df, some).count() == toxicity.classify(df, some).count() == len(rows)
+    assert mixing.mix(df).count() == shards.shard(df).count() == iblt.compare_with_edits(df).count() == len(rows)
+
+
+def test_hubs_are_joined_aside(spark):
+    """A star of very many points, chains into it, and points of their own."""
+    pairs = [(0, k) for k in range(1, 2000)] + [(k, k + 5000) for k in range(1, 500)] + [(20000 + k, 20000) for k in range(1, 300)] + [(30000 + k, 30001 + k) for k in range(50)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    want = {k: 0 for k in range(2000)} | {k + 5000: 0 for k in range(1, 500)} | {20000 + k: 20000 for k in range(300)} | {30000 + k: 30000 for k in range(51)}
+    assert got == want
+
+
 def test_grids_grow_with_the_points():
     assert [simhash.grid(10**k) for k in (3, 6, 7, 8, 9, 10, 12)] == [7, 7, 8, 9, 10, 12, 12]
     assert len(simhash._masks(7)) == 35 and len(simhash._masks(8)) == 70 and all(m.bit_count() >= 24 for m in simhash._masks(7) if m >= 0)
@@ -168,7 +204,7 @@ def check_packing(got, texts_by_row, limit=2048):
             assert r["offset"] == at and r["length"] > 0
             at += r["length"]
         assert at <= limit and (at == limit or at & (at - 1) == 0), at
-        assert len(parts) <= packing.SEGMENTS or at < limit
+        assert len(parts) <= packing.SEGMENTS
     total = sum(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts_by_row)
     assert sum(r["length"] for r in got) == total
     return own
@@ -206,6 +242,36 @@ def test_packing_keeps_all_three_limits(spark):
     assert len({s for s, _ in done}) == len(done)
 
 
+def test_short_texts_are_packed_without_padding(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "'one two' as text")
+    got = packing.pack(df, PATH).collect()
+    check_packing(got, ["one two"] * 3000)
+    sizes = Counter()
+    for r in got:
+        sizes[r["sequence_id"]] += r["length"]
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values())
+    assert padded <= 0.05 * sum(sizes.values())
+    pieces = Counter(r["sequence_id"] for r in got)
+    assert max(pieces.values()) <= packing.SEGMENTS
+
+
+def test_prompts_make_the_third_limit_bind(spark):
+    rng = random.Random(4)
+    held = [(k, "one two three four five six seven " * rng.randint(1, 40), rng.choice([None, 0, 5, 10_000])) for k in range(300)]
+    df = spark.createDataFrame(held, "doc_id bigint, text string, prompt int").repartition(2)
+    loss = {}
+    got = packing.pack(df, PATH, loss_limit=300, prompt_tokens="prompt").collect()
+    own = check_packing(got, [t for _, t, _ in held])
+    whole = Counter()
+    for r in got:
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + r["loss_tokens"]
+        whole[r["doc_id"]] += r["loss_tokens"]
+    assert 200 < max(loss.values()) <= 300
+    for k, t, prompt in held:
+        n = len(own.encode(t, add_special_tokens=False).ids) + 1
+        assert whole[k] == n - min(n, prompt or 0)
+
+
 def test_word_tokenizer_is_exact():
     raw = open(PATH, "rb").read()
     words = packing.WordTokenizer(raw)
@@ -244,21 +310,53 @@ def test_rules_match_brute_force(docs, rows, empty):
     assert rule_ledger.keep(docs).columns == docs.columns
 
 
-def test_shards_are_contiguous_and_balanced(docs, rows, empty):
-    got = [r.asDict() for r in shards.shard(docs, 6).collect()]
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
-    order = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]))
-    total, before, want = sum(r["size"] for r in got), 0, []
-    for r in order:
-        want.append(min(5, (2 * before + r["size"]) * 6 // (2 * total)))
-        before += r["size"]
-    assert [r["shard"] for r in order] == want
-    for s in set(want):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(want.count(s)))
+def plain_shards(rows, shards, share):
+    """(id, size, crc, shard) by the law: rows in order of their text's hash, groups by their middle."""
+    held = [(xxhash.xxh64_intdigest((t or "").encode(), 42), zlib.crc32((t or "").encode()), i, len((t or "").encode()) + 8) for i, t in rows]
+    held = [(h - (1 << 64) if h >> 63 else h, c, i, n) for h, c, i, n in held]
+    total, groups = sum(x[3] for x in held), Counter()
+    for h, c, _, n in held:
+        groups[h, c] += n
+    out, before, row_before = [], {}, {}
+    at = 0
+    for key in sorted(groups):
+        before[key] = row_before[key] = at
+        at += groups[key]
+    for h, c, i, n in sorted(held, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or 0)):
+        if groups[h, c] <= int(total * (share / shards)):
+            middle = 2 * before[h, c] + groups[h, c]
+        else:
+            middle = 2 * row_before[h, c] + n
+            row_before[h, c] += n
+        out.append((i, n, c, min(shards - 1, middle * shards // (2 * total))))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 2.0])
+def test_shards_match_brute_force(docs, rows, empty, share):
+    got = [r.asDict() for r in shards.shard(docs, 6, group_share=share).collect()]
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == Counter(plain_shards([r[:2] for r in rows], 6, share))
+    for s in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
     assert shards.shard(empty).count() == 0
 
 
+def test_a_hot_text_is_dealt_over_shards_and_others_stay_together(spark):
+    rng = random.Random(9)
+    held = [(None, "hot text")] * 3000 + [(k, "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30)))) for k in range(3000)] + [(k, f"copies {k % 300}") for k in range(900)]
+    got = shards.shard(spark.createDataFrame(held, "doc_id bigint, text string").repartition(7)).collect()
+    sizes, groups, copies = Counter(), defaultdict(set), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        groups[r["text_crc32"]].add(r["shard"])
+        copies[r["text_crc32"]] += 1
+    assert len(got) == len(held) and max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 24
+    assert len(groups.pop(zlib.crc32(b"hot text"))) > 5
+    assert all(len(where) == 1 for where in groups.values())
+
+
 def test_shard_sizes_are_near_equal(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "repeat('x', cast(id % 97 as int)) as text")
     sizes = Counter()
@@ -267,13 +365,14 @@ def test_shard_sizes_are_near_equal(spark):
     assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 2 * 105
 
 
-PARAGRAPH = re.compile(r"^[^\n]{1,16}|[^\n]{1,400}", re.M)
+PARAGRAPH = re.compile(iblt.PARAGRAPH)
+hash42 = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 1
 
 
 def test_sketches_match_brute_force(docs, rows, empty):
     got = iblt.compare_with_edits(docs).collect()
     assert len(got) == len(rows)
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, hash42(r[1]), r[1]))
     bag = lambda t: Counter(PARAGRAPH.findall(t))
 
     def likeness(a, b):
@@ -291,6 +390,78 @@ def test_sketches_match_brute_force(docs, rows, empty):
     assert iblt.compare_with_edits(empty).count() == 0
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(key, then):
+    """What xxhash64 gives for a long and an int after it."""
+    return signed(xxhash.xxh64_intdigest(then.to_bytes(4, "little"), xxhash.xxh64_intdigest((key % (1 << 64)).to_bytes(8, "little"), 42)))
+
+
+def read_fingerprint(text):
+    raw = base64.b64decode(text)
+    cells = {}
+    for at in range(2, len(raw), 18):
+        part = raw[at : at + 18]
+        cells[int.from_bytes(part[:2], "big")] = (int.from_bytes(part[2:6], "big"), signed(int.from_bytes(part[6:14], "big")), int.from_bytes(part[14:], "big"))
+    return int.from_bytes(raw[:2], "big"), cells
+
+
+def plain_peel(m, left, right):
+    """Digests only in left and only in right, from two fingerprints of width m; None where peeling stops short."""
+    diff = {}
+    for k in {*left, *right}:
+        a, b = left.get(k, (0, 0, 0)), right.get(k, (0, 0, 0))
+        diff[k] = [a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]]
+    found = {1: set(), -1: set()}
+    while True:
+        pure = next(((k, v) for k, v in diff.items() if abs(v[0]) == 1 and spark_hash(v[1], 7) & 0xFFFFFFFF == v[2]), None)
+        if pure is None:
+            return None if any(any(v) for v in diff.values()) else found
+        n, key, check = pure[1]
+        found[n].add(key)
+        for t in range(3):
+            cell = diff[t * m + spark_hash(key, 11 + t) % m]
+            cell[0], cell[1], cell[2] = cell[0] - n, cell[1] ^ key, cell[2] ^ check
+
+
+def test_fingerprints_of_equal_width_tell_the_likeness(spark):
+    rng = random.Random(7)
+    words = ["red", "and", "blue.", "a", "big", "house!", "stood", "near.", "the", "sea"]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(30)) for _ in range(rng.randint(4, 9))) for _ in range(30)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen = 0
+    for r in iblt.compare_with_edits(held).collect():
+        (m, a), (n, b) = read_fingerprint(r["fingerprint"]), read_fingerprint(r["edited_fingerprint"])
+        size = sum(v[0] for v in a.values()) // 3
+        assert size == len(PARAGRAPH.findall(texts[r["doc_id"]]))
+        if m == n and (found := plain_peel(m, a, b)) is not None:
+            seen += 1
+            assert abs((size - len(found[1])) / (size + len(found[-1])) - r["near_edited"]) < 1e-9
+    assert seen > 20
+
+
+def test_an_insertion_moves_no_later_cut():
+    rng = random.Random(3)
+    line = " ".join("".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(2, 8))) + rng.choice(["", "", "", "", "."]) for _ in range(3000))
+    before, after = PARAGRAPH.findall(line), PARAGRAPH.findall(line[:200] + " put in here" + line[200:])
+    assert len(before) > 100 and len(set(before) ^ set(after)) <= 6 and "".join(before) == line
+
+
+def test_repeated_and_null_ids_are_dealt_over_ranges(spark):
+    rng = random.Random(11)
+    held = [(None, f"n {rng.random()}") for _ in range(400)] + [(7, f"s {rng.random()}") for _ in range(500)] + [(k, f"o {k}") for k in range(300)]
+    df = spark.createDataFrame(held, "id bigint, body string").withColumn("tie", iblt.F.shiftrightunsigned(iblt.F.xxhash64("body"), 1))
+    got = df.withColumn("range", iblt.ranges(df, "id", "tie", 12)).collect()
+    order = sorted(got, key=lambda r: (r["id"] is not None, r["id"] or 0, r["tie"]))
+    numbers = [r["range"] for r in order]
+    assert numbers == sorted(numbers) and max(Counter(numbers).values()) < 300 and len(set(numbers)) >= 8
+    rows = iblt.with_next(df.select(iblt.F.col("id").alias("doc_id"), iblt.F.col("body").alias("text")), range_rows=100).collect()
+    want = [(r["id"], r["body"], order[(k + 1) % len(order)]["body"]) for k, r in enumerate(order)]
+    assert Counter((r["id"], r["body"], r["next"]) for r in rows) == Counter(want)
+
+
 def test_equal_texts_have_equal_sketches(spark):
     df = spark.createDataFrame([(1, "a b c\nd"), (2, "a b c\nd"), (3, "other")], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in iblt.compare_with_edits(df).collect()}
@@ -330,6 +501,38 @@ def test_mix_meets_targets_in_a_tree(spark, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 41 for s in target), (taken, target)
 
 
+def test_mix_meets_targets_beside_long_texts(spark):
+    held = [(k, "w " * n, "a") for k, n in enumerate([9000, 700, 650, 300, *[20] * 200, *[1] * 40])] + [(1000 + k, "w " * n, "b") for k, n in enumerate([40, 30, 20, 10])] + [(2000, "w " * 500, None)]
+    got = mixing.mix(spark.createDataFrame(held, "doc_id bigint, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert abs(taken["a"] - target["a"]) <= 20 and abs(taken["b"] - target["b"]) <= 20
+
+
+def test_settled_copies_leave_room_and_keep_expectations():
+    rng = random.Random(2)
+    sums = Counter()
+    for seed in range(4000):
+        copies = mixing.settle([(30, 0), (20, 1), (25, 2)], 175, 1.3 * 175, 2.0, str(seed))
+        assert all(c in (0, 1, 2) for c in copies)
+        for k, c in enumerate(copies):
+            sums[k] += c
+    assert all(abs(sums[k] / 4000 - 1.3) < 0.05 for k in range(3))
+    for _ in range(300):
+        sizes = [rng.randint(1, 100) for _ in range(rng.randint(1, 6))]
+        rest = rng.randint(0, 100)
+        total = sum(sizes) + rest
+        due = rng.random() * 2 * total
+        copies = mixing.settle([(s, k) for k, s in enumerate(sizes)], total, due, 2.0, str(due))
+        got = sum(c * s for c, s in zip(copies, sizes))
+        # the best that any choice of copies leaves to the short ones, but for the greedy order
+        miss = max(0.0, got - due, due - got - 2 * rest)
+        assert miss <= min(sizes) / 2 + max(0, max(sizes) - 2 * (total - max(sizes))) + max(sizes) / 2
+
+
 def test_pivotal_keeps_expectations():
     hits = Counter()
     for seed in range(3000):
@@ -395,6 +598,69 @@ def test_html_rules(spark):
     assert got == [(1, "u", "", 0), (2, "", "", 0), (3, "v", joined, len(joined)), (3, "v", joined, len(joined)), (4, "w", "a", 1)]
 
 
+def plain_second_pass(labels, headings, parents):
+    """The nearest decided neighbours by search."""
+    good, bad, open_, near = html_extract.GOOD, html_extract.BAD, html_extract.OPEN, html_extract.NEAR_GOOD
+    decided = [k for k, x in enumerate(labels) if x in (good, bad)]
+    out = []
+    for k, x in enumerate(labels):
+        if x not in (open_, near):
+            out.append(good if x == good else bad)
+            continue
+        left, right = max((m for m in decided if m < k), default=-1), min((m for m in decided if m > k), default=len(labels))
+        at = lambda m: labels[m] if 0 <= m < len(labels) else bad
+        if not decided or any(0 <= m < len(labels) and labels[m] == good and parents[m] == parents[k] for m in (left, right)):
+            out.append(good)
+        elif at(left) == at(right):
+            out.append(at(left))
+        elif x == near:
+            out.append(good)
+        elif headings[k]:
+            out.append(at(right))
+        else:
+            out.append(bad if k - left == right - k else at(left) if k - left < right - k else at(right))
+    return out
+
+
+def test_second_pass_matches_brute_force():
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randint(0, 9)
+        labels = [rng.choice([0, 1, -1, 2, None, -1]) for _ in range(n)]
+        headings, parents = [rng.random() < 0.2 for _ in range(n)], [rng.randint(0, 3) for _ in range(n)]
+        assert html_extract.second_pass(labels, headings, parents) == plain_second_pass(labels, headings, parents)
+
+
+def test_generated_pages_give_back_their_articles(spark):
+    """Pages built of known parts, against the parts they were built of."""
+    rng = random.Random(2)
+    words = "the of and to in a is that it was house river stone winter morning letter garden bridge window market".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    held, want = [], {}
+    for k in range(40):
+        paragraphs = [sentence(rng.randint(40, 90)) for _ in range(rng.randint(2, 6))]
+        title = sentence(5)
+        menu = "".join(f'<li><a href="/{j}">{rng.choice(words)}</a></li>' for j in range(8))
+        wrap = rng.choice(["<article>{}</article>", '<div class="content">{}</div>', "<main><section>{}</section></main>"])
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p.replace('and', 'a&#110;d')}</p>" for p in paragraphs)
+        extra = f'<aside class="sidebar"><p>{sentence(50)}</p></aside><div class="ad-banner">{sentence(20)}</div><div id="comments"><p>{sentence(60)}</p></div><form><p>{sentence(30)}</p></form>'
+        held.append((k, f"u{k}", f"<html><head><style>p{{}}</style><script>var a='<p>';</script></head><body><header><ul>{menu}</ul></header><nav>{menu}</nav>{wrap.format(body)}{extra}<footer>{sentence(12)}</footer></body></html>"))
+        want[k] = "\n".join([title, *paragraphs])
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(held, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for page in ("<div>" * 60_000 + "text" + "</b>" * 60_000, "<b>x" * 60_000, "<textarea>a" * 60_000, '<a href="x' * 60_000, "</div>" * 60_000 + "<li>" * 60_000):
+        began = time.perf_counter()
+        html_extract.extract(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_an_empty_table_of_pages(spark):
+    assert html_extract.main_text(spark.createDataFrame([], "page_id bigint, url string, html string, text int, n_chars int")).count() == 0
+
+
 def test_second_pass_takes_the_nearest_label():
     g, b, o, n = html_extract.GOOD, html_extract.BAD, html_extract.OPEN, html_extract.NEAR_GOOD
     assert html_extract.second_pass([g, o, o, b], [False] * 4) == [g, g, b, b]
@@ -465,6 +731,80 @@ def test_features_see_through_obfuscation():
     assert f("nothing to see")[13] == 0 == f("nothing to see")[0]
 
 
+def test_scores_do_not_depend_on_partitions(labelled):
+    docs, labels = labelled
+    for module in (pu_quality, toxicity):
+        one = {r["doc_id"]: r["score"] for r in module.classify(docs, labels).collect()}
+        two = {r["doc_id"]: r["score"] for r in module.classify(docs.repartition(7), labels.repartition(5)).collect()}
+        assert one == two
+
+
+def test_toxic_rows_are_found_and_clean_ones_left(labelled):
+    docs, labels = labelled
+    got = [r for r in toxicity.classify(docs, labels).join(labels, "doc_id").collect()]
+    toxic = [r["predicted"] for r in got if r["toxic"]]
+    clean = [r["predicted"] for r in got if not r["toxic"]]
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_repeated_ids_do_not_grow_the_samples(spark):
+    held = [(k, f"text number {k} of some words you see") for k in range(60)] + [(3, f"again {j}") for j in range(200)]
+    docs = spark.createDataFrame(held, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", sample=20).collect()
+    assert len(got) <= 40 and len({(r["doc_id"], r["label"]) for r in got}) == len(got)
+    assert all(r["text"].startswith("again") for r in got if r["doc_id"] == 3)
+    assert pu_quality.classify(docs, labels).count() == len(held)
+
+
+def test_a_tree_takes_the_best_cut():
+    from loomgraph.llm.learn import Trees, sigmoid
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (60, 2)).astype(float)
+    y = (x[:, 0] + rng.normal(0, 2, 60) > 6).astype(float)
+    tree = Trees(trees=1, depth=1, least=5.0).fit(x, y)
+    f, cut = tree.trees[0][0][:2]
+    p = sigmoid(np.full(60, tree.base))
+    g, h = p - y, p * (1 - p)
+    gain = lambda left: g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1)
+    best = max(gain(x[:, k] <= c) for k in (0, 1) for c in range(12) if 5 <= (x[:, k] <= c).sum() <= 55)
+    assert abs(gain(x[:, int(f)] <= cut) - best) < 1e-9
+
+
+def test_isotonic_is_the_nearest_rising_sequence():
+    from itertools import product
+
+    from loomgraph.llm.learn import Isotonic
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = 5
+        y, w = rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float)
+        pools = Isotonic(np.arange(n, dtype=float), y, w)
+        levels = sorted({(y[i:j] * w[i:j]).sum() / w[i:j].sum() for i in range(n) for j in range(i + 1, n + 1)})
+        rising = (v for v in product(levels, repeat=n) if all(a <= b for a, b in zip(v, v[1:])))
+        best = min(((w * (np.array(v) - y) ** 2).sum(), v) for v in rising)[1]
+        # the pools are the runs of equal values of the best sequence
+        assert len(pools.y) == len(set(best))
+
+
+def test_risk_is_least_on_a_grid():
+    from loomgraph.llm.learn import fit_nnpu
+
+    rng = np.random.default_rng(6)
+    positive, unlabelled, prior = rng.normal(1, 1, (400, 1)), np.r_[rng.normal(1, 1, (300, 1)), rng.normal(-1, 1, (700, 1))], 0.3
+    loss = lambda z: np.logaddexp(0, -z)
+
+    def risk(w, b):
+        zp, zu = positive[:, 0] * w + b, unlabelled[:, 0] * w + b
+        return prior * loss(zp).mean() + max(0.0, loss(-zu).mean() - prior * loss(-zp).mean())
+
+    w, b = fit_nnpu(positive, unlabelled, prior)
+    best = min(risk(x, y) for x in np.arange(0, 4, 0.1) for y in np.arange(-3, 2, 0.1))
+    assert risk(w, b) < best + 0.01
+
+
 def test_class_prior_is_near_the_truth():
     from loomgraph.llm.learn import class_prior
 
