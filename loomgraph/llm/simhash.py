@@ -13,7 +13,8 @@ leaves few points in a cell; the links found are the same for any g.
 Scale: texts never move.  What is shuffled is 35 short rows (70 from 7 million
 points on) for each *distinct* fingerprint, so exact copies cost nothing.  A cell emits a spanning forest of
 its links and not its pairs; a cell of more than CELL points is dealt again in
-pairs of blocks to many tasks.
+pairs of blocks to many tasks.  Joins keep hot keys aside (a fingerprint of very
+many copies, the hub of a star), so no task gets all rows of one.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other.
 Rows with an equal doc_id are all returned.  A null doc_id is kept and counts
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spill
+from .common import as_row, join_unique, small_batches, spill
 
 RADIUS = 4
 SHINGLE = 4
@@ -274,22 +275,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes that have an edge.
 
     Alternates the large-star and the small-star step until nothing changes.
-    Stars are joined back on their centre, so a hub is split by skew handling
-    and is never gathered in one task.
+    Least neighbours are aggregated on both sides of the shuffle and joined back
+    with hubs aside, so no star is gathered in one task.
     """
     now = spill(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
-    mark = None
+    seen = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = spill(join_unique(both, least, "u", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars-large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
-        now = spill(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).filter("u <> v").distinct(), "stars")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        small = join_unique(large, down, "u", seen[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
+        now, before = spill(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).filter("u <> v").distinct(), "stars"), seen
+        seen = _mark(now)
+        if seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = seen
+
+
+def _mark(stars: DataFrame) -> tuple:
+    """Number and hash of the links: equal for equal sets."""
+    return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -299,13 +304,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # nodes are ordered by their least id, so a component's least node names it and no group is gathered to find the name
     node = F.struct(F.col("least").isNull().alias("unnamed"), F.col("least"), F.col("fp"))
     nodes = distinct.select("fp", node.alias("node"))
-    pairs = links(distinct.select("fp"), radius)
+    pairs = spill(links(distinct.select("fp"), radius), "simhash-links")
+    count = pairs.count()
     for end in ("a", "b"):
-        pairs = pairs.join(nodes.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("node", f"n{end}")
+        pairs = join_unique(pairs, nodes.withColumnsRenamed({"fp": end, "node": f"n{end}"}), end, count)
     roots = components(pairs, "na", "nb").select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root_id"), F.lit(True).alias("linked"))
     by_fp = distinct.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least")).alias("component_id"))
-    # both sides come straight from an exchange, so a fingerprint of very many copies is split over tasks
-    return prints.join(spill(by_fp, "simhash-names"), "fp").select(id_col, "fp", "component_id")
+    return join_unique(prints, spill(by_fp, "simhash-names"), "fp", prints.count()).select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(fp) -> F.Column:
@@ -313,20 +318,25 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id, and of the least text hash where an id has several texts.
+    """docs with exactly one row of each component: that of the least doc_id, and of the least text hash where an id has several texts.
 
-    A null doc_id is named by its text, after all others.  Rows are told apart
-    by id and text, so one id may keep a row in each of several components.
-    Only rows that go are joined back; equal rows are told apart by what the
-    fingerprints' table shows, so texts are sorted out again only where that
-    happens.
+    A row is known by its id, its text and a hash of its other columns, all
+    carried beside it, so one id may keep a row in each of several components.
+    A null doc_id comes after all others, by text.  Only the names of rows that
+    go are joined back; rows equal in every column are one where they occur.
     """
-    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    by_text = F.shiftrightunsigned(body, 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("_row", F.struct(F.coalesce(F.col(id_col), by_text).alias("id"), body.alias("body")))
-    found = spill(near_duplicates(keyed, text, "_row", radius), "simhash-classes")
-    go = found.filter("_row <> component_id").select("_row").distinct()
-    left = keyed.join(go, "_row", "left_anti")
-    if found.groupBy("_row").count().filter("count > 1").take(1):
-        left = left.dropDuplicates(["_row"])
-    return left.select(*docs.columns)
+    rest = [F.col(f"row.{_tick(c)}") for c in docs.columns if c not in (id_col, text)]
+    told = [F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("bigint")]
+    body = F.col(f"row.{_tick(text)}")
+    name = F.struct(F.col(f"row.{_tick(id_col)}").isNull().alias("unnamed"), F.col(f"row.{_tick(id_col)}").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("body"), *[c.alias("rest") for c in told])
+    keyed = docs.select(as_row(docs).alias("row")).select("row", name.alias("name"), body.alias("body"))
+    found = spill(near_duplicates(keyed, "body", "name", radius), "simhash-classes")
+    go = found.filter("name <> component_id").select("name").distinct()
+    left = keyed.select("row", "name").join(go, "name", "left_anti")
+    if found.filter("name = component_id").groupBy("name").count().filter("count > 1").take(1):
+        left = left.dropDuplicates(["name"])
+    return left.select("row.*")
+
+
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
