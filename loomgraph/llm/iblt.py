@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import spill
 from .shards import bucket_count
 
-MARKS, RUN, BODY = "ad", 8, 400
+MARKS, RUN, BODY = "ad", 12, 400
 #: Least and greatest cells of a sub-table; the greatest holds for fingerprints only.
 NARROWEST, WIDEST = 8, 1024
 #: Sweeps over the three sub-tables before a pair counts as failed.
@@ -74,23 +74,22 @@ def keys(text: F.Column) -> F.Column:
     return F.transform(F.array(digests), lambda s: F.transform(s, lambda d, i: F.xxhash64(d, nth(s, d, i))))[0]
 
 
-def sketch(column: str) -> F.Column:
-    """struct(m, cells): the cells of a column of keys that hold any, by number; those of a sub-table follow those of the one before."""
-    m = f"least({WIDEST}L, {_power(f'2 * size({column})')})"
-    spread = ", ".join(f"named_struct('at', {t} * w + {_index('k', t, 'w', 0)}, 'k', k)" for t in range(3))
-    entries = f"array_sort(flatten(transform({column}, k -> array({spread}))))"
-    cell = "struct<at:bigint,n:bigint,k:bigint,c:bigint>"
-    check = _CHECK.format(k="e.k")
-    more = f"named_struct('at', e.at, 'n', element_at(a, -1).n + 1L, 'k', element_at(a, -1).k ^ e.k, 'c', element_at(a, -1).c ^ {check})"
-    first = f"named_struct('at', e.at, 'n', 1L, 'k', e.k, 'c', {check})"
-    step = f"if(size(a) > 0 and try_element_at(a, -1).at = e.at, concat(slice(a, 1, size(a) - 1), array({more})), concat(a, array({first})))"
-    return F.expr(f"transform(array({m}), w -> named_struct('m', w, 'cells', aggregate({entries}, cast(array() as array<{cell}>), (a, e) -> {step})))[0]")
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(rid, side0, side1): the fingerprints of texts (rid, a, b), whose keys a and b are.
 
-
-def fingerprint(sketched: str) -> F.Column:
-    """A sketch as text: the width, then number, count, key and half the check of each cell."""
-    body = f"array_join(transform({sketched}.cells, x -> concat(lpad(hex(x.at), 4, '0'), lpad(hex(x.n), 8, '0'), lpad(hex(x.k), 16, '0'), right(lpad(hex(x.c), 16, '0'), 8))), '')"
-    return F.expr(f"base64(unhex(concat(lpad(hex({sketched}.m), 4, '0'), {body})))")
+    The width of a sub-table, then number, count, key and half the check of each
+    cell that holds any.  Cells are summed as rows, on the partitioning of rid.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("k")) for k, c in enumerate("ab")])).alias("x")
+    rows = texts.select("rid", sides).select("rid", "x.side", F.explode_outer("x.k").alias("k"), F.expr(f"least({WIDEST}L, {_power('2 * size(x.k)')})").alias("m"))
+    at = ", ".join(f"{t} * m + {_index('k', t, 'm', 0)}" for t in range(3))
+    cells = rows.withColumn("c", F.expr(_CHECK.format(k="k"))).select("rid", "side", "m", "k", "c", F.explode(F.expr(f"if(k is null, array(-1L), array({at}))")).alias("at"))
+    sums = cells.groupBy("rid", "side", "m", "at").agg(F.count("*").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    hexed = lambda c, width: F.lpad(F.hex(c), width, "0")
+    shown = sums.select("rid", "side", "m", F.when(F.col("at") >= 0, F.concat(hexed("at", 4), hexed("n", 8), hexed("k", 16), F.right(hexed("c", 16), F.lit(8)))).alias("cell"))
+    held = shown.groupBy("rid", "side", "m").agg(F.array_join(F.sort_array(F.collect_list("cell")), "").alias("cells"))
+    text = held.select("rid", "side", F.base64(F.unhex(F.concat(hexed("m", 4), "cells"))).alias("text"))
+    return text.groupBy("rid").agg(*[F.max(F.when(F.col("side") == k, F.col("text"))).alias(f"side{k}") for k in (0, 1)])
 
 
 def _likeness(size_a: str, plus: str, minus: str) -> F.Column:
@@ -192,8 +191,7 @@ def compare_with_edits(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("body", F.col("n_chars").cast("int") - half), F.left("next", half)))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "k", keys(F.col("edited")).alias("edited_k"), "next_k")
-    rows = rows.withColumns({"s": sketch("k"), "s_e": sketch("edited_k")})
-    first = spill(rows.select("rid", "id", "n_chars", "edited_sha256", F.size("k").alias("size"), fingerprint("s").alias("fingerprint"), fingerprint("s_e").alias("edited_fingerprint"), "k", "edited_k", "next_k"), "iblt-sketches")
+    first = spill(rows.withColumn("size", F.size("k")), "iblt-keys")
     versions = F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("edited_k").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("next_k").alias("b")))).alias("x")
     pairs = first.select("rid", F.col("k").alias("a"), versions).select("rid", "x.pair", "a", "x.b").filter("size(a) + size(b) > 0")
     picked, done, level = pairs, None, 0
@@ -208,8 +206,10 @@ def compare_with_edits(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     value = lambda pair, c: F.max(F.when(F.col("pair") == pair, F.col(c)))
     found = done.groupBy("rid").agg(value(0, "plus").alias("e_plus"), value(0, "minus").alias("e_minus"), value(1, "plus").alias("n_plus"), value(1, "minus").alias("n_minus"))
     # a pair whose sketches cancel out wholly leaves no row: nothing differs
-    out = first.join(found, "rid", "left").fillna(0, ["e_plus", "e_minus", "n_plus", "n_minus"])
+    width = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = fingerprints(first.select("rid", F.col("k").alias("a"), F.col("edited_k").alias("b")).repartition(width, "rid"))
+    out = first.select("rid", "id", "n_chars", "edited_sha256", "size").repartition(width, "rid").join(prints, "rid").join(found, "rid", "left").fillna(0, ["e_plus", "e_minus", "n_plus", "n_minus"])
     return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("side0").alias("fingerprint"), F.col("side1").alias("edited_fingerprint"),
         _likeness("size", "e_plus", "e_minus").alias("near_edited"), _likeness("size", "n_plus", "n_minus").alias("near_next"),
     )
