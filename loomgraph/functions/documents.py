@@ -7,17 +7,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Elements whose text is left alone.
-UNTOUCHED = frozenset("a code pre script style h1 h2 h3 svg".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?-->|<[^>]+>|[^<]+", re.S)
-_NAME = re.compile(r"</?\s*([a-zA-Z][\w\-]*)")
+from . import fixed
+
+_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)\b[^>]*>|<!--[\s\S]*?-->")
+_CLASS = re.compile(r"\sclass=[\"']([^\"']*)[\"']")
 
 
 def _json(text):
@@ -80,8 +80,7 @@ def expression_name(node) -> str | None:
     if node.get("cls") == "ExprName":
         return node.get("name")
     if node.get("cls") == "ExprAttribute":
-        parts = [expression_name(v) for v in node.get("values", [])]
-        return ".".join(parts) if parts and all(parts) else None
+        return ".".join(v["name"] for v in node.get("values", []) if isinstance(v, dict) and v.get("name")) or None
     return None
 
 
@@ -113,55 +112,87 @@ def expression_names(tree: Column, depth: int = 16) -> Column:
     return run(tree)
 
 
-def _rewrite(html: str, change, classes: frozenset[str]) -> str:
-    """Applies change to text outside untouched elements and classes."""
-    out, stack, closed = [], [], 0
-    for token in _TOKEN.findall(html or ""):
-        if not token.startswith("<"):
-            out.append(token if closed else change(token))
-            continue
-        out.append(token)
-        m = _NAME.match(token)
-        if not m or token.startswith("<!"):
+def _rewrite(html: str, change, tags: frozenset[str], classes: frozenset[str]) -> str:
+    """Applies change to text outside the elements and classes given.  An end tag closes what is open of its name and all inside."""
+    out, stack, shut, last = [], [], 0, 0
+    opened: Counter[str] = Counter()
+    for m in _TAG.finditer(html):
+        text = html[last : m.start()]
+        out += [text if shut or not text else change(text), m[0]]
+        last = m.end()
+        if m[1] is None:
             continue
         name = m[1].lower()
-        if token.startswith("</"):
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, shut = stack.pop()
-                    closed -= shut
-                    if n == name:
-                        break
-        elif name not in VOID and not token.endswith("/>"):
-            cls = re.search(r'class="([^"]*)"', token)
-            shut = name in UNTOUCHED or bool(cls and classes & set(cls[1].split()))
-            stack.append((name, shut))
-            closed += shut
-    return "".join(out)
-
-
-def wrap_terms(html: Column, refs: dict[str, str], classes: tuple[str, ...] = ("term",)) -> Column:
-    """Terms in running text become references, the longest first; wrapping twice changes nothing."""
-    pattern = re.compile(r"(?<![\w])(" + "|".join(re.escape(t) for t in sorted(refs, key=lambda t: (-len(t), t))) + r")(?![\w])") if refs else None
-    skip = frozenset(classes)
+        if m[0].startswith("</"):
+            while opened[name]:
+                top, closed = stack.pop()
+                opened[top] -= 1
+                shut -= closed
+                if top == name:
+                    break
+        elif name not in VOID and not m[0].endswith("/>"):
+            found = _CLASS.search(m[0])
+            closed = name in tags or bool(found and classes & set(found[1].split()))
+            stack.append((name, closed))
+            opened[name] += 1
+            shut += closed
+    text = html[last:]
+    return "".join([*out, text if shut or not text else change(text)])
+
+
+VOID = frozenset(fixed.VOID_TAGS)
+
+
+def term_pattern(terms: list[str]) -> re.Pattern | None:
+    """One pattern for all terms, the longest first, which no word character may touch."""
+    first = lambda t: r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", t) else ""
+    return re.compile("|".join(f"{first(t)}{re.escape(t)}(?![A-Za-z0-9_])" for t in sorted(terms, key=len, reverse=True))) if terms else None
+
+
+def wrap_terms(html: Column, refs: dict[str, str]) -> Column:
+    """Terms in running text are replaced by their reference; code, headings and what is a reference already stay.
+
+    refs is a glossary: it goes to every task, so it must be small.
+    """
+    pattern, tags, skip = term_pattern(list(refs)), frozenset(fixed.TERM_SKIP_TAGS), frozenset(fixed.TERM_SKIP_CLASSES)
 
     @F.pandas_udf(T.StringType())
     def run(pages: pd.Series) -> pd.Series:
-        change = (lambda t: pattern.sub(lambda m: f'<span class="term" data-ref="{refs[m[1]]}">{m[1]}</span>', t)) if pattern else (lambda t: t)
-        return pages.map(lambda p: None if p is None else _rewrite(p, change, skip))
+        change = lambda t: pattern.sub(lambda m: refs.get(m[0], m[0]), t)
+        return pages.map(lambda p: p if p is None or pattern is None else _rewrite(p, change, tags, skip))
 
     return run(html)
 
 
-def link_paths(html: Column, paths: dict[str, str], classes: tuple[str, ...] = ("path",)) -> Column:
-    """Known path tokens in running text become links; unknown ones stay."""
-    token = re.compile(r"(?<![\w/.\-])((?:[\w\-]+/)*[\w.\-]+\.\w+)(?![\w/])")
-    skip = frozenset(classes)
+def link_paths(html: Column, links: dict[str, str]) -> Column:
+    """Path tokens with a link in links become anchors; others stay, as does text in headings, links and scripts.  links goes to every task."""
+    token, tags, skip = re.compile(fixed.PATH), frozenset(fixed.LINK_SKIP_TAGS), frozenset(fixed.LINK_SKIP_CLASSES)
 
     @F.pandas_udf(T.StringType())
     def run(pages: pd.Series) -> pd.Series:
-        change = lambda t: token.sub(lambda m: f'<a class="path" href="{paths[m[1]]}">{m[1]}</a>' if m[1] in paths else m[1], t)
-        return pages.map(lambda p: None if p is None else _rewrite(p, change, skip))
+        anchor = lambda m: f'<a class="path-link" target="_blank" rel="noopener" href="{links[m[1]]}">{m[0]}</a>' if m[1] in links else m[0]
+        return pages.map(lambda p: None if p is None else _rewrite(p, lambda t: token.sub(anchor, t), tags, skip))
+
+    return run(html)
+
+
+def unlinked_paths(html: Column, links: dict[str, str]) -> Column:
+    """The path tokens of running text that have no link, in order."""
+    token, tags, skip = re.compile(fixed.PATH), frozenset(fixed.LINK_SKIP_TAGS), frozenset(fixed.LINK_SKIP_CLASSES)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(pages: pd.Series) -> pd.Series:
+        def one(page):
+            missed: list[str] = []
+
+            def look(text):
+                missed.extend(m[1] for m in token.finditer(text) if m[1] not in links)
+                return text
+
+            _rewrite(page or "", look, tags, skip)
+            return missed
+
+        return pages.map(one)
 
     return run(html)
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Roots of the Python standard library that fold to one external.
-STDLIB = ("abc", "argparse", "ast", "asyncio", "collections", "contextlib", "copy", "csv", "dataclasses", "datetime", "enum", "functools", "hashlib", "io", "itertools", "json", "logging", "math", "os", "pathlib", "queue", "random", "re", "shutil", "socket", "sqlite3", "string", "subprocess", "sys", "tempfile", "threading", "time", "types", "typing", "unittest", "urllib", "uuid", "xml")
+from . import fixed
+
 #: Collectors by what stands at the top of a project, in order of precedence.
 COLLECTORS = (("csharp", r"\.(sln|csproj)$"), ("cpp", r"^CMakeLists\.txt$|^compile_commands\.json$"), ("python", r"^(pyproject\.toml|setup\.py|setup\.cfg)$"))
-EXTENSIONS = (("cpp", r"\.(cpp|cc|cxx|h|hpp)$"), ("csharp", r"\.cs$"), ("python", r"\.py$"), ("typescript", r"\.tsx?$"))
 
 
 def where(file: Column, line: Column) -> Column:
@@ -23,21 +22,10 @@ def split_where(place: Column) -> Column:
     return F.struct(F.regexp_replace(place, r":\d+(?:-\d+)?$", "").alias("file"), line.cast("int").alias("line"))
 
 
-def project_module(path: Column) -> Column:
-    """The folder of a C# source below its scripts root, or the first folder."""
-    below = F.regexp_extract(path, r"(?:^|/)Scripts/(?:(.*)/)?[^/]*$", 1)
-    return F.when(path.isNull(), None).when(F.regexp(path, F.lit(r"(^|/)Scripts/")), F.when(below == "", "Scripts").otherwise(below)).otherwise(F.regexp_extract(path, r"^(?:(.*)/)?[^/]*$", 1))
-
-
-def assembly_group(assembly: Column, package: Column) -> Column:
-    """The package of an assembly, or its own root name."""
-    return F.coalesce(package, F.substring_index(assembly, ".", 1), F.lit("unknown"))
-
-
 def import_group(target: Column) -> Column:
     """The root of an import; the standard library is one."""
-    root = F.substring_index(target, ".", 1)
-    return F.when(F.coalesce(target, F.lit("")) == "", "unknown").when(root.isin(*STDLIB), "stdlib").otherwise(root)
+    root = F.substring_index(F.coalesce(target, F.lit("")), ".", 1)
+    return F.when(root == "", fixed.OTHER_LABEL).when(root.isin(*fixed.STDLIB), fixed.PY_STDLIB).otherwise(root)
 
 
 def python_abstraction(bases: Column, decorated: Column) -> Column:
@@ -46,8 +34,88 @@ def python_abstraction(bases: Column, decorated: Column) -> Column:
     return F.when(named("Protocol"), "interface").when(named("ABC") | F.exists(decorated, lambda d: d.endswith("abstractmethod")), "abstract")
 
 
+def extension(path: Column) -> Column:
+    """The last extension of a file's name with its dot; a leading dot is none."""
+    name = F.substring_index(path, "/", -1)
+    return F.regexp_extract(name, r"^\.*[^.].*?(\.[^.]*)$", 1)
+
+
 def language_of(path: Column) -> Column:
-    return F.coalesce(*[F.when(F.regexp(path, F.lit(p)), k) for k, p in EXTENSIONS])
+    """The language of a source by its extension; null where it is none."""
+    return F.coalesce(*[F.when(extension(path).isin(*ends), k) for k, ends in fixed.LANG_EXTS.items()])
+
+
+def language_for(collector: Column) -> Column:
+    """The language of a collector."""
+    return F.coalesce(*[F.when(collector == name, k) for k, name in fixed.COLLECTOR.items() if name != "none"])
+
+
+def scanner_language(graph_language: Column) -> Column:
+    """A graph's language as declarations are scanned for it; null where they aren't."""
+    name = F.coalesce(*[F.when(graph_language == k, v) for k, v in fixed.LANG_ALIAS.items()], graph_language)
+    return F.when(name.isin(*fixed.LANG_EXTS), name)
+
+
+def file_of(where: Column) -> Column:
+    """The file of a place: what stands before the first colon."""
+    return F.coalesce(F.substring_index(where, ":", 1), F.lit(""))
+
+
+def run_verdict(code: Column, has_result: Column, is_error: Column, subtype: Column) -> Column:
+    """struct<ok, why> of a session: it needs a result, exit code 0 and no error, asked in that order."""
+    why = F.coalesce(F.nullif(subtype, F.lit("")), F.lit("no reason given"))
+    number = code.cast("string")
+    told = F.when(~F.coalesce(has_result, F.lit(False)), F.concat(F.lit("no result, exit code "), number)).when(code != 0, F.concat(F.lit("exit code "), number, F.lit(": "), why)).when(F.coalesce(is_error, F.lit(False)), F.concat(F.lit("ended in an error: "), why)).otherwise("")
+    return F.struct((told == "").alias("ok"), told.alias("why"))
+
+
+def manuscript_written(data: Column, report: Column) -> Column:
+    """Both sources are there, decisions are no empty list, and a decision has a section."""
+    there = (F.coalesce(data, F.lit("")) != "") & (F.coalesce(report, F.lit("")) != "")
+    return there & ~F.coalesce(F.regexp(data, F.lit(r"decisions:\s*\[\s*\]")), F.lit(False)) & F.coalesce(F.regexp(report, F.lit(r'<Section\s+title="D[0-9]')), F.lit(False))
+
+
+def author_config(text: Column) -> Column:
+    """struct<flags, paths> of a diagram's configuration: flags as a block or inline list, then paths."""
+    trimmed = lambda items: F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    block = F.regexp_extract(text, r"(?m)^add_compile_flags:\s*\n((?:\s+-\s.*\n)+)", 1)
+    listed = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^\s*-\s*", ""))
+    inline = F.regexp_extract(text, r"(?m)^add_compile_flags:\s*\[([^\]]*)\]", 1)
+    paths = F.regexp_extract(text, r"paths:\s*\[([^\]]*)\]", 1)
+    return F.struct(F.concat(trimmed(listed), trimmed(F.split(inline, ","))).alias("flags"), trimmed(F.split(paths, ",")).alias("paths"))
+
+
+def prep_steps(collector: Column, collect: Column, has_config: Column, has_dump: Column, has_docs: Column, collect_only: Column) -> Column:
+    """struct<steps, blocked>: the steps of a collection, or why there can be none."""
+    none = F.array().cast("array<string>")
+    tail = F.when(collect_only, none).otherwise(F.array(F.lit("facts"), F.lit("render-modules")))
+    steps = lambda *names: F.concat(F.array(*map(F.lit, names)), tail)
+    cpp = F.when(~has_config, none).when(has_docs, steps("clang-uml", "clang-doc", "normalize")).otherwise(steps("clang-uml", "normalize"))
+    chosen = F.when(~collect, tail).when(collector == "clang-uml", cpp).when(collector == "griffe+pycalls", steps("griffe", "pycalls", "normalize")).when((collector == "roslyn-dump") & has_dump, steps("normalize")).otherwise(none)
+    known = F.coalesce(collector.isin("clang-uml", "griffe+pycalls", "roslyn-dump"), F.lit(False))
+    blocked = F.when(~collect, None).when((collector == "clang-uml") & ~has_config, "no configuration").when((collector == "roslyn-dump") & ~has_dump, "no dump").when(~known, "no collector")
+    return F.struct(chosen.alias("steps"), blocked.alias("blocked"))
+
+
+def usage_of(result: Column) -> Column:
+    """struct of tokens, cost, turns and time of a session's result document; what it lacks is 0."""
+    doc = F.try_parse_json(result)
+    number = lambda path, kind="bigint": F.coalesce(F.try_variant_get(doc, path, kind), F.lit(0).cast(kind))
+    parts = {k: number(f"$.usage.{v}") for k, v in (("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read_input_tokens"), ("cache_write", "cache_creation_input_tokens"))}
+    total = parts["input"] + parts["output"] + parts["cache_read"] + parts["cache_write"]
+    return F.struct(*[c.alias(k) for k, c in parts.items()], number("$.total_cost_usd", "double").alias("cost_usd"), number("$.num_turns").alias("turns"), number("$.duration_api_ms").alias("api_ms"), total.alias("total"))
+
+
+def fault_line(kind: Column, batch: Column, at: Column, detail: Column, fix: Column) -> Column:
+    """One fault of a shard on one line."""
+    return F.format_string("%s [%s] %s: %s (%s)", kind, batch, F.coalesce(at, F.lit("-")), F.coalesce(detail, F.lit("")), F.coalesce(fix, F.lit("")))
+
+
+def backup_name(name: Column, taken: Column) -> Column:
+    """The first of name, stem.1.ext, stem.2.ext ... that taken (array) lacks."""
+    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    tries = F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.concat(stem, F.lit("."), k.cast("string"), ext)))
+    return F.filter(tries, lambda t: ~F.array_contains(taken, t))[0]
 
 
 def collector_for(top: Column) -> Column:
@@ -63,10 +131,11 @@ def collector_from(selection: Column) -> Column:
 
 
 def stem(key: Column, kind: Column) -> Column:
-    """The fragment of a name that a cited line must show; [] at its end goes, kinds that are no nodes stay as they are."""
+    """The fragment of a name that a cited line must show; [] at its end goes, records that are no nodes keep the rest."""
     from .text import short_name
 
-    return F.when(kind.isin("class", "function", "enum", "external"), F.regexp_replace(short_name(key), r"\[\]$", "")).otherwise(key)
+    bare = F.regexp_replace(key, r"\[\]$", "")
+    return F.when(kind.isin(*fixed.NON_NODE_KINDS), bare).otherwise(short_name(bare))
 
 
 def written_by_reading(record_source: Column, use_source: Column) -> Column:

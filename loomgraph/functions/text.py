@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extensions that a citation may name.
-CITED = "py|ts|tsx|js|cs|cpp|cc|h|hpp|md|json"
-CITATION = rf"([A-Za-z0-9_./\-]+\.(?:{CITED})):(\d+)(?:-(\d+))?"
-#: Wrapper types of the standard library that stand for what they hold.
-WRAPPERS = ("unique_ptr", "shared_ptr", "weak_ptr", "optional", "vector", "list", "map", "unordered_map", "set", "deque", "array", "pair", "tuple", "function")
+from . import fixed
 
 
 def short_name(name: Column) -> Column:
@@ -22,8 +18,10 @@ def is_public(name: Column) -> Column:
 
 
 def module_of(path: Column) -> Column:
-    """The folder of a path; the name without its extension at the top; none where there is no path."""
-    return F.when(path.isNull() | (path == ""), None).when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.regexp_replace(path, r"\.[^.]*$", ""))
+    """The module of a source: the folder below src, apps/ and the folder below it, or the first folder."""
+    parts = F.split(path, "/")
+    deep, second = F.size(parts) > 2, F.try_element_at(parts, F.lit(2))
+    return F.when(F.coalesce(path, F.lit("")) == "", None).when((parts[0] == "src") & deep, second).when((parts[0] == "apps") & deep, F.concat(F.lit("apps/"), second)).otherwise(parts[0])
 
 
 def dotted_module(path: Column) -> Column:
@@ -36,8 +34,10 @@ def qualified(namespace: Column, name: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """array<struct<path, line>> of path:line citations; the end of a range isn't checked."""
-    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)).alias("path"), F.regexp_extract_all(text, F.lit(CITATION), F.lit(2)).alias("line")), lambda x: F.struct(x["path"].alias("path"), x["line"].cast("int").alias("line")))
+    """array<struct<path, line, last>> of path:line citations; the end of a range is read but never checked."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(fixed.CITE), F.lit(k))
+    zipped = F.arrays_zip(part(1).alias("path"), part(2).alias("line"), part(3).alias("last"))
+    return F.transform(zipped, lambda x: F.struct(x["path"].alias("path"), x["line"].try_cast("int").alias("line"), F.nullif(x["last"], F.lit("")).try_cast("int").alias("last")))
 
 
 def lines_by_bytes(text: Column) -> Column:
@@ -119,11 +119,47 @@ def choice_number(value: Column) -> Column:
 
 
 def path_tokens(text: Column) -> Column:
-    """Path-shaped tokens that no word or path character touches, in order, distinct."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w/.\-])((?:[\w\-]+/)+[\w.\-]+\.\w+)(?![\w/])"), F.lit(1)))
+    """Path-shaped tokens (globs too) that no word or path character touches, in order, distinct."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + fixed.PATH), F.lit(1)))
+
+
+def path_lines(text: Column) -> Column:
+    """array<struct<path, lines>> of path tokens with the line or range after them, if there is one."""
+    part = lambda k: F.regexp_extract_all(text, F.lit("(?U)" + fixed.PATH), F.lit(k))
+    return F.transform(F.arrays_zip(part(1).alias("path"), part(2).alias("lines")), lambda x: F.struct(x["path"].alias("path"), F.nullif(x["lines"], F.lit("")).alias("lines")))
 
 
 def code_terms(text: Column) -> Column:
-    """Identifiers with an inner capital or underscore and json names, ASCII only, distinct and sorted."""
-    pattern = r"(?<![A-Za-z0-9_])([a-z]+(?:[A-Z][a-z0-9]+)+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[a-z0-9]+(?:_[a-z0-9]+)+|[a-z0-9_\-]+\.json)(?![A-Za-z0-9_])"
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
+    """Code-like ids that are no decisions, json names and array fields, ASCII only, distinct and sorted."""
+    found = [F.regexp_extract_all(text, F.lit(_ascii_limits(p)), F.lit(0)) for p in fixed.TERM_PATTERNS]
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
+
+
+def _ascii_limits(pattern: str) -> str:
+    """A pattern with its word limits spelled out, so they are ASCII whatever the engine takes for a word."""
+    inner = pattern.removeprefix(r"\b")
+    open_end = inner.removesuffix(r"\b")
+    return "(?<![A-Za-z0-9_])" + open_end + ("(?![A-Za-z0-9_])" if open_end != inner else "")
+
+
+def holds_term(text: Column, term: Column) -> Column:
+    """Whether a text has a term at word limits; behind it only where the term ends in a word character."""
+    tail = F.when(F.regexp(term, F.lit("[A-Za-z0-9_]$")), "(?![A-Za-z0-9_])").otherwise("")
+    lead = F.when(F.regexp(term, F.lit("^[A-Za-z0-9_]")), "(?<![A-Za-z0-9_])").otherwise("(?<=[A-Za-z0-9_])")
+    return F.regexp(text, F.concat(lead, escape_regex(term), tail))
+
+
+def undefined_terms(source: Column, known: Column) -> Column:
+    """Code-like ids of a report's body that known (array) lacks; imports, class names and section titles are no body."""
+    body = F.regexp_replace(F.regexp_replace(source, r"(?m)^import[^\n]*$", ""), 'className="[^"]*"', "")
+    return F.array_except(code_terms(F.regexp_replace(body, r'<Section\s+title="[^"]*"', "")), known)
+
+
+def section_ids(source: Column) -> Column:
+    """The decision ids of a report's sections, in order."""
+    return F.regexp_extract_all(source, F.lit(r'<Section\s+title="(D[0-9]+)(?![A-Za-z0-9_])'), F.lit(1))
+
+
+def rounded(value: Column, digits: int = 6) -> Column:
+    """Halves to even."""
+    return F.bround(value, digits)

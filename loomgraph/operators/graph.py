@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..schemas import EXTERNAL
 from ..session import cut
 
@@ -32,11 +33,15 @@ def prune_untouched(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def module_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(module, depends_on): distinct pairs across first-party modules."""
+    """(module, depends_on): distinct pairs across first-party modules.
+
+    Edges are contracted to modules as they are joined, so the distinct shuffles
+    pairs of modules and not of nodes.
+    """
     own = nodes.filter(F.col("module") != EXTERNAL)
-    pairs = edges.select("src", "dst").distinct()
-    joined = pairs.join(own.select(F.col("id").alias("src"), F.col("module").alias("module")), "src").join(own.select(F.col("id").alias("dst"), F.col("module").alias("depends_on")), "dst")
-    return joined.filter(F.col("module") != F.col("depends_on")).select("module", "depends_on").distinct()
+    end = lambda e, name: own.select(F.col("id").alias(e), F.col("module").alias(name))
+    half = edges.join(end("src", "module"), "src").groupBy("module", "dst").agg(F.count("*").alias("_n"))
+    return half.join(end("dst", "depends_on"), "dst").filter(F.col("module") != F.col("depends_on")).select("module", "depends_on").distinct()
 
 
 def modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,22 +67,29 @@ def external_touch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(out, "dst").join(own, "src").groupBy("module", "external").agg(F.sum("occurrences").alias("touches"))
 
 
-def file_weights(nodes: DataFrame, edges: DataFrame, abstract: float = 5.0) -> DataFrame:
-    """(file, out_edges, into_edges, score, weight): cross-file edges of each file, in-edges to public names only.
+def file_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, out_edges, into_edges, interfaces, abstracts, weight): cross-file edges of each file, in-edges to public names only.
 
-    weight = out/max(out) + into/max(into) + score/max(score); a zero maximum adds nothing.
+    What depends on little weighs more, and so does what much depends on:
+    weight = (1 - out/max) + into/max + abstraction/max, where an interface
+    counts 5 and an abstract class 3.  Without any edge out the first term is 1,
+    the others are 0 where their maximum is.
     """
-    own = nodes.filter(F.col("file").isNotNull()).select("id", "file", "name", "kind")
-    pairs = edges.select("src", "dst", "occurrences").join(own.select(F.col("id").alias("src"), F.col("file").alias("sf")), "src").join(own.select(F.col("id").alias("dst"), F.col("file").alias("df"), F.col("name").alias("dn")), "dst").filter(F.col("sf") != F.col("df"))
-    public = ~F.element_at(F.split("dn", r"\."), -1).startswith("_")
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("sf").alias("file"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("df").alias("file"), F.lit(0).alias("o"), F.when(public, 1).otherwise(0).alias("i")))).alias("e"))
-    counts = sides.groupBy("e.file").agg(F.sum("e.o").alias("out_edges"), F.sum("e.i").alias("into_edges"))
-    scores = own.groupBy("file").agg(F.sum(F.when(F.col("kind") == "function", abstract).otherwise(0.0)).alias("score"))
-    rows = scores.join(counts, "file", "left").select("file", F.coalesce("out_edges", F.lit(0)).alias("out_edges"), F.coalesce("into_edges", F.lit(0)).alias("into_edges"), "score")
-    most = rows.agg(F.max("out_edges").alias("mo"), F.max("into_edges").alias("mi"), F.max("score").alias("ms"))
-    share = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(0.0)
-    # one row of maxima
-    return rows.join(F.broadcast(most)).select("file", "out_edges", "into_edges", "score", F.round(share("out_edges", "mo") + share("into_edges", "mi") + share("score", "ms"), 6).alias("weight"))
+    told = nodes if "abstraction" in nodes.columns else nodes.withColumn("abstraction", F.lit(None).cast("string"))
+    own = told.filter((F.col("kind") != "external") & (F.coalesce("file", F.lit("")) != "")).select("id", "file", "name", "abstraction")
+    public = ~F.element_at(F.split(F.coalesce("name", F.lit("")), r"\."), -1).startswith("_")
+    pairs = edges.select("src", "dst").join(own.select(F.col("id").alias("src"), F.col("file").alias("sf")), "src").join(own.select(F.col("id").alias("dst"), F.col("file").alias("df"), public.alias("public")), "dst").filter("sf <> df")
+    row = lambda file, o=0, i=0, f=0, a=0: F.struct(file.alias("file"), *[(c if not isinstance(c, int) else F.lit(c)).cast("bigint").alias(n) for n, c in (("o", o), ("i", i), ("f", f), ("a", a))])
+    sides = pairs.select(F.explode(F.array(row(F.col("sf"), o=1), row(F.col("df"), i=F.when(F.col("public"), 1).otherwise(0)))).alias("e"))
+    held = own.select(row(F.col("file"), f=F.when(F.col("abstraction") == "interface", 1).otherwise(0), a=F.when(F.col("abstraction") == "abstract", 1).otherwise(0)).alias("e"))
+    # one aggregate for both counts of edges and kinds of nodes
+    rows = sides.unionByName(held).groupBy("e.file").agg(F.sum("e.o").alias("out_edges"), F.sum("e.i").alias("into_edges"), F.sum("e.f").alias("interfaces"), F.sum("e.a").alias("abstracts"))
+    score = fixed.INTERFACE_WEIGHT * F.col("interfaces") + fixed.ABSTRACT_WEIGHT * F.col("abstracts")
+    rows = cut(rows, "file-weights")
+    most = rows.agg(F.max("out_edges").alias("mo"), F.max("into_edges").alias("mi"), F.max(score).alias("ms"))
+    share = lambda c, m: F.when(F.col(m) > 0, c / F.col(m))
+    weight = F.coalesce(1 - share(F.col("out_edges"), "mo"), F.lit(1.0)) + F.coalesce(share(F.col("into_edges"), "mi"), F.lit(0.0)) + F.coalesce(share(score, "ms"), F.lit(0.0))
+    return rows.join(F.broadcast(most)).select("file", "out_edges", "into_edges", "interfaces", "abstracts", weight.alias("weight"))  # one row of maxima
 
 
 def neighbourhood(edges: DataFrame, focus: DataFrame) -> DataFrame:

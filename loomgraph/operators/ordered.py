@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def explode_lines(docs: DataFrame, text: str = "text", key: str = "doc") -> DataFrame:
     """(key, line, text): lines from 1, as parts between newlines."""
@@ -50,10 +52,46 @@ def sections(lines: DataFrame, marker: str = r"^## (.+)$", key: str = "doc") ->
     ).drop("_no")
 
 
+def _ranges(rows: DataFrame, order: list) -> DataFrame:
+    """rows dealt in ranges of order, written with the number of their range as _part."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _before():
+    """Over the ranges before a range, one row for each."""
+    return Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Adds name: the place of each row by order, from 1, over all rows.  No task holds more than a range of them."""
+    held = _ranges(rows, order)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.withColumn("_rn", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_rn") + F.col("_n")).drop("_part", "_rn", "_n")
+
+
 def carry_down(rows: DataFrame, value: str, name: str, order: str = "ord", key: str | None = None) -> DataFrame:
     """Adds name: the last non-null value at or above each row, within key where one is given."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    upto = lambda w: w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if key:
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(upto(Window.partitionBy(key))))
+    held = _ranges(rows, [order])
+    lasts = held.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))  # a row for each range
+    above = lasts.select("_part", F.last("_last", ignorenulls=True).over(_before()).alias("_above"))
+    inside = F.last(value, ignorenulls=True).over(upto(Window.partitionBy("_part")))
+    return held.withColumn("_in", inside).join(F.broadcast(above), "_part").withColumn(name, F.coalesce("_in", "_above")).drop("_part", "_in", "_above")
+
+
+def counted(rows: DataFrame, value: str, order: str = "ord") -> DataFrame:
+    """(value, n, first): how often each value comes, the most frequent first and of equal ones the one seen first."""
+    return rows.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first")
+
+
+def ranked(rows: DataFrame, value: str, order: str = "ord", name: str = "number") -> DataFrame:
+    """rows numbered from 1, the greatest value first, equal ones as they came."""
+    return numbered(rows, [F.desc(value), F.asc(order)], name)
 
 
 def hotspots(log: DataFrame, key: str = "repo") -> DataFrame:
@@ -70,6 +108,26 @@ def hotspots(log: DataFrame, key: str = "repo") -> DataFrame:
     return rows.groupBy(key, "path").agg(F.countDistinct("commit").alias("commits"), F.sum("churn").alias("churn"))
 
 
+def diagram_blocks(lines: DataFrame, drawn: DataFrame, reach: int = 3, key: str = "doc") -> DataFrame:
+    """(key, number, first, last, mark, state): fenced diagrams of (key, line, text), and what becomes of each.
+
+    A block whose mark stands at most `reach` kept lines above it is replaced by
+    the drawing of that name where drawn (name) has it; else it is to be rendered.
+    """
+    w = Window.partitionBy(key).orderBy("line")
+    opens, shuts = F.regexp("text", F.lit(r"^\s*```mermaid\b")), F.regexp("text", F.lit(r"^\s*```\s*$"))
+    told = lines.withColumns({"_open": opens, "_shut": shuts})
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = told.withColumn("_block", F.sum(F.when(F.col("_open"), 1).otherwise(0)).over(upto))
+    ends = told.filter("_shut").groupBy(key, "_block").agg(F.min("line").alias("last"))
+    mark = F.nullif(F.regexp_extract("text", r"graphviz:\s*([\w./-]+)", 1), F.lit(""))
+    told = told.withColumn("_mark", F.last(mark, ignorenulls=True).over(w.rowsBetween(-reach, -1)))
+    heads = told.filter("_open").select(key, "_block", F.col("line").alias("first"), F.col("_mark").alias("mark"))
+    have = drawn.select(F.col("name").alias("mark"), F.lit(True).alias("_have")).distinct()
+    rows = heads.join(ends, [key, "_block"], "left").join(have, "mark", "left")
+    return rows.select(key, F.col("_block").cast("int").alias("number"), "first", "last", "mark", F.when(F.col("_have"), "replaced").otherwise("to render").alias("state"))
+
+
 def flatten(nested: DataFrame, outer: str, inner: str, key: str) -> DataFrame:
     """Two levels of arrays as rows with a running number over both, from 1, within key."""
     w = Window.partitionBy(key).orderBy("outer_pos", "inner_pos")
@@ -79,5 +137,6 @@ def flatten(nested: DataFrame, outer: str, inner: str, key: str) -> DataFrame:
 
 def dense_ids(rows: DataFrame, prefix: str, order: list[str], key: str | None = None) -> DataFrame:
     """Adds id: prefix and place by order, from 1."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.row_number().over(w)))
+    if key is None:
+        return numbered(rows, order, "_place").withColumn("id", F.concat(F.lit(prefix), "_place")).drop("_place")
+    return rows.withColumn("id", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(key).orderBy(*order))))

@@ -37,26 +37,26 @@ def sessions(batches: DataFrame, group: str = "level") -> DataFrame:
 def merge_shards(shards: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Records of shards (shard, pos, key, file, rec) folded in shard order over base.
 
-    A second record of a key from the same file replaces the first; from another
-    file both take the name key@file, and a third brings the bare key back, as
-    the fold goes on record by record.
+    A later record of a key replaces one from its own file; one from another
+    file takes the name `stem of its file`.key, and so does the record it met;
+    the bare key is then free for the next.  Of records that end at one name
+    the last wins.
     """
-    rows = shards.select("key", "shard", "pos", "file", "rec")
+    rows = shards.select("key", F.struct("shard", F.col("pos").cast("bigint").alias("pos")).alias("at"), "file", "rec")
     if base is not None:
-        rows = rows.unionByName(base.select("key", F.lit("").alias("shard"), F.lit(-1).cast("int").alias("pos"), "file", "rec"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, held = pdf["key"].iloc[0], {}
-        for _, r in pdf.sort_values(["shard", "pos"], kind="stable").iterrows():
-            name = key
-            if key in held and held[key][0] != r["file"]:
-                old = held.pop(key)
-                held[f"{key}@{old[0]}"] = old
-                name = f"{key}@{r['file']}"
-            held[name] = (r["file"], r["rec"])
-        return pd.DataFrame([(k, f, v) for k, (f, v) in held.items()], columns=["key", "file", "rec"])
-
-    return rows.groupBy("key").applyInPandas(run, "key string, file string, rec string")
+        rows = rows.unionByName(base.select("key", F.struct(F.lit("").alias("shard"), F.lit(-1).cast("bigint").alias("pos")).alias("at"), "file", "rec"))
+    kind = rows.schema["rec"].dataType.simpleString()
+    record = f"struct<at:struct<shard:string,pos:bigint>,file:string,rec:{kind}>"
+    held = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "file", "rec"))).alias("s"))
+    name = "concat_ws('.', nullif(regexp_replace(substring_index({f}, '/', -1), '[.][^.]*$', ''), ''), key)"
+    named = lambda r, at: f"named_struct('key', {name.format(f=r + '.file')}, 'at', {at}, 'file', {r}.file, 'rec', {r}.rec)"
+    clash = "a.bare is not null and not (a.bare.file <=> x.file)"
+    step = f"if({clash}, named_struct('bare', cast(null as {record}), 'out', concat(a.out, array({named('a.bare', 'x.at')}, {named('x', 'x.at')}))), named_struct('bare', x, 'out', a.out))"
+    start = f"named_struct('bare', cast(null as {record}), 'out', cast(array() as array<struct<key:string,at:struct<shard:string,pos:bigint>,file:string,rec:{kind}>>))"
+    folded = held.select("key", F.expr(f"aggregate(s, {start}, (a, x) -> {step})").alias("a"))
+    bare = "if(a.bare is null, array(), array(named_struct('key', key, 'at', a.bare.at, 'file', a.bare.file, 'rec', a.bare.rec)))"
+    ends = folded.select(F.posexplode(F.expr(f"concat(a.out, {bare})")).alias("n", "e")).select("e.key", F.struct("e.at", "n").alias("at"), "e.file", "e.rec")
+    return ends.groupBy("key").agg(F.max_by(F.struct("file", "rec"), "at").alias("r")).select("key", "r.file", "r.rec")
 
 
 def second_pass(base: DataFrame, patch: DataFrame) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citations
-
-#: Kinds of records that are nodes of the graph.
-NODE_KINDS = ("class", "function", "enum", "external")
+from ..functions import fixed
+from ..functions.rules import stem
+from ..functions.text import citations, code_terms, short_name
 
 
 def by_name(nodes: DataFrame, order: str = "ord") -> DataFrame:
@@ -57,7 +56,7 @@ def merge_uses(base: DataFrame, reading: DataFrame) -> DataFrame:
 
 def project(terms: DataFrame, uses: DataFrame) -> DataFrame:
     """(src, dst, kind, occurrences): the dictionary as a graph again; records that are no nodes go with their edges."""
-    own = terms.filter(F.col("kind").isin(*NODE_KINDS)).select("name").distinct()
+    own = terms.filter(~F.coalesce(F.col("kind").isin(*fixed.NON_NODE_KINDS), F.lit(False))).select("name").distinct()
     kept = uses.join(own, "name", "left_semi").join(own.withColumnRenamed("name", "to"), "to", "left_semi")
     return kept.groupBy(F.col("name").alias("src"), F.col("to").alias("dst"), "kind").agg(F.count("*").alias("occurrences"))
 
@@ -77,14 +76,51 @@ def normalize_uses(uses: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
     return good, looked.filter("_by_id is null and _known is null").select(*uses.columns)
 
 
+_TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
+
+
 def pick_terms(terms: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc") -> DataFrame:
-    """(key, term, n): one-word terms that stand in a text at ASCII word boundaries.
+    """(key, term, n): terms of any number of words that stand in a text at ASCII word limits, and how often.
 
-    Words are cut out of the texts and joined, so the work grows with the texts
-    and not with texts times terms.
+    Texts and terms are cut into tokens; a term can only start where its first
+    token does, so places are found by an equi-join on that token, and the text
+    there is compared with the rest.  Work grows with the texts, not with texts
+    times terms.
     """
-    words = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("n"))
+    known = terms.select("term").distinct().withColumn("first", F.regexp_extract("term", _TOKEN, 0)).filter("first <> ''")
+    tail = F.when(F.regexp("term", F.lit("[A-Za-z0-9_]$")), F.lit(True)).otherwise(F.lit(False))
+    known = known.withColumns({"ends_in_word": tail, "starts_in_word": F.regexp("term", F.lit("^[A-Za-z0-9_]"))})
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    # a term of one word needs no look at the text around it
+    single = F.regexp("term", F.lit("^[A-Za-z0-9_]+$"))
+    words = docs.select(key, F.explode(tokens).alias("first"))
+    one = words.join(known.filter(single).select("term", "first"), "first").groupBy(key, "term").agg(F.count("*").alias("n"))
+    longer = known.filter(~single)
+    has = docs.select(key, F.col(text).alias("_text"), F.explode(F.array_distinct(tokens)).alias("first")).join(longer, "first")
+    lead = F.when(F.col("starts_in_word"), "(?<![A-Za-z0-9_])").otherwise("(?<=[A-Za-z0-9_])")
+    pattern = F.concat(lead, F.lit("\\Q"), "term", F.lit("\\E"), F.when(F.col("ends_in_word"), "(?![A-Za-z0-9_])").otherwise(""))
+    many = has.select(key, "term", F.regexp_count("_text", pattern).cast("bigint").alias("n")).filter("n > 0")
+    return one.unionByName(many)
+
+
+def new_code_terms(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term): distinct code-like ids, json names and array fields of the texts that the dictionary lacks, sorted."""
+    found = docs.select(F.explode(code_terms(F.col(text))).alias("term")).distinct()
+    return found.join(terms.select("term").distinct(), "term", "left_anti").orderBy("term")
+
+
+def without(items: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """(key): the distinct items that none of the others has, sorted."""
+    left = items.select(key).distinct()
+    for other in others:
+        left = left.join(other.select(key).distinct(), key, "left_anti")
+    return left.orderBy(key)
+
+
+def split_concepts(concepts: DataFrame, answers: DataFrame) -> DataFrame:
+    """concepts (ord, term) with ready: whether an answer (term, means) that isn't blank is there."""
+    told = answers.filter(F.trim("means") != "").select("term").distinct().withColumn("_t", F.lit(True))
+    return concepts.join(told, "term", "left").select("ord", "term", F.coalesce("_t", F.lit(False)).alias("ready"))
 
 
 def new_concepts(terms: DataFrame, docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -93,20 +129,94 @@ def new_concepts(terms: DataFrame, docs: DataFrame, pattern: str, text: str = "t
     return tokens.join(terms.select("term").distinct(), "term", "left_anti")
 
 
-def check_citations(lines: DataFrame, files: DataFrame, node_at: DataFrame, edge_at: DataFrame, zero_ok: bool = True) -> DataFrame:
-    """(doc, line, path, cited, verdict) for each path:line citation of (doc, line, text).
+def detail_at(elements: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(file, line, label): members and methods by the place that declares them, from either collector.
 
-    L1: the file (path, n_lines) exists; L2: it has that line (line 0 passes
-    where zero_ok); L3: a node (file, line, name) or else an edge stands there;
-    else the citation is unfounded, which is no failure.
+    elements (display_name, members, methods) have places of their own inside
+    source_location; types (name, members, methods) beside the name.
+    """
+    each = lambda df, owner, kind, at: df.select(owner.alias("owner"), F.explode(kind).alias("m")).select(F.col(f"m.{at}file").alias("file"), F.col(f"m.{at}line").alias("line"), F.concat("owner", F.lit("."), F.coalesce("m.name", F.lit("None"))).alias("label"))
+    parts = [each(elements, short_name(F.coalesce("display_name", F.lit("?"))), kind, "source_location.") for kind in ("members", "methods") if kind in elements.columns]
+    if types is not None:
+        parts += [each(types, short_name(F.col("name")), kind, "") for kind in ("members", "methods") if kind in types.columns]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.filter("file is not null and coalesce(line, 0) <> 0")
+
+
+def check_citations(lines: DataFrame, files: DataFrame, node_at: DataFrame, edge_at: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """(doc, line, path, cited, verdict, unnamed) for each path:line citation of (doc, line, text).
+
+    L1: the file (path, n_lines) exists; L2: it isn't shorter; L3: a node
+    (file, line, name), or else an edge, or else a member or method stands
+    there; else the citation is unfounded, which is no failure.  unnamed warns
+    that a cited node's name stands neither on the citing line nor beside it,
+    where that line is no list of sources.
+    """
+    w = Window.partitionBy("doc").orderBy("line")
+    near = lines.withColumn("context", F.concat_ws("\n", F.lag("text").over(w), F.col("text"), F.lead("text").over(w)))
+    cites = near.select("doc", "line", "context", F.regexp("text", F.lit(r"^\s*<!-- Sources:")).alias("listed"), F.posexplode(citations(F.col("text"))).alias("k", "c")).select("doc", "line", "k", "context", "listed", F.col("c.path").alias("path"), F.col("c.line").alias("cited"))
+    place = [F.col("file").alias("path"), F.col("line").alias("cited")]
+    named = "name" in node_at.columns
+    nodes = node_at.select(*place, (short_name(F.col("name")) if named else F.lit("")).alias("short")).groupBy("path", "cited").agg(F.collect_set("short").alias("_names"))
+    flag = lambda df, c: df.select(*place).distinct().withColumn(c, F.lit(True))
+    rows = cites.join(files.select("path", "n_lines"), "path", "left").join(nodes, ["path", "cited"], "left").join(flag(edge_at, "_edge"), ["path", "cited"], "left")
+    if detail is not None:
+        rows = rows.join(flag(detail, "_member"), ["path", "cited"], "left")
+    member = F.col("_member") if detail is not None else F.lit(False)
+    node = F.col("_names").isNotNull()
+    verdict = F.when(F.col("n_lines").isNull(), "L1_no_file").when(F.col("cited") > F.col("n_lines"), "L2_no_line").when(node, "node").when(F.col("_edge"), "edge").when(member, "member").otherwise("unfounded")
+    seen = F.exists("_names", lambda n: F.contains(F.col("context"), n))
+    return rows.withColumn("verdict", verdict).select("doc", "line", "path", "cited", "verdict", ((F.col("verdict") == "node") & ~F.col("listed") & ~F.coalesce(seen, F.lit(True))).alias("unnamed"))
+
+
+def first_failures(checked: DataFrame, shown: int = 10) -> tuple[DataFrame, int]:
+    """The first failed citations in order, and how many more there are."""
+    failed = checked.filter(F.col("verdict").isin("L1_no_file", "L2_no_line"))
+    return failed.orderBy("doc", "line", "path", "cited").limit(shown), max(0, failed.count() - shown)
+
+
+def check_terms(terms: DataFrame, uses: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """(level, name, reason): what is wrong with a dictionary, as far as reading wrote it.
+
+    terms (name, kind, module, where, means, neighbours, source), uses (name,
+    to, kind, where, source), source_lines (path, line, text).  A cited line
+    must exist, and its name must stand on it or beside it.
     """
-    cites = lines.select("doc", "line", F.explode(citations(F.col("text"))).alias("c")).select("doc", "line", F.col("c.path").alias("path"), F.col("c.line").alias("cited"))
-    nodes = node_at.select(F.col("file").alias("path"), F.col("line").alias("cited")).distinct().withColumn("_node", F.lit(True))
-    edges = edge_at.select(F.col("file").alias("path"), F.col("line").alias("cited")).distinct().withColumn("_edge", F.lit(True))
-    rows = cites.join(files.select("path", "n_lines"), "path", "left").join(nodes, ["path", "cited"], "left").join(edges, ["path", "cited"], "left")
-    low = F.lit(0 if zero_ok else 1)
-    verdict = F.when(F.col("n_lines").isNull(), "L1_no_file").when((F.col("cited") < low) | (F.col("cited") > F.col("n_lines")), "L2_no_line").when(F.col("_node"), "node").when(F.col("_edge"), "edge").otherwise("unfounded")
-    return rows.select("doc", "line", "path", "cited", verdict.alias("verdict"))
+    fail = lambda df, reason, name="name": df.select(F.lit("failed").alias("level"), F.col(name).alias("name"), reason.alias("reason"))
+    known = F.coalesce(F.col("source").isin(*fixed.TERM_SOURCES), F.lit(False))
+    good = terms.filter(known)
+    out = [fail(terms.filter(~known), F.concat(F.lit("source: "), F.coalesce("source", F.lit("none"))))]
+    for field in ("kind", "module", "where", "means", "neighbours"):
+        out.append(fail(good.filter(F.col(field).isNull()), F.lit(f"no {field}")))
+    out.append(fail(good.filter(F.trim(F.coalesce("means", F.lit(""))) == ""), F.lit("empty means")))
+    told = uses.withColumnRenamed("source", "_by").join(good.select("name", F.col("source").alias("_of")), "name")
+    mine = told.filter((F.col("_of") == "reading") | F.coalesce(F.col("_by") == "reading", F.lit(False)))
+    targets = terms.select(F.col("name").alias("to"), F.col("kind").alias("_to_kind"), F.lit(True).alias("_known"))
+    looked = mine.join(targets, "to", "left")
+    out.append(fail(looked.filter("_known is null"), F.concat(F.lit("uses unknown: "), F.coalesce("to", F.lit("none")))))
+    out.append(fail(mine.filter(~F.coalesce(F.col("kind").isin(*fixed.TERM_EDGE_KINDS), F.lit(False))), F.concat(F.lit("use of kind: "), F.coalesce("kind", F.lit("none")))))
+    read = good.filter("source = 'reading'")
+    out.append(fail(read.filter(~F.coalesce(F.col("kind").isin(*fixed.TERM_KINDS), F.lit(False))), F.concat(F.lit("kind: "), F.coalesce("kind", F.lit("none")))))
+    out.append(fail(read.filter(~F.coalesce(F.col("kind").isin("module", "external"), F.lit(False)) & (F.coalesce("where", F.lit("")) == "")), F.lit("no citation")))
+    cites = read.select("name", F.lit("where").alias("what"), "where", stem(F.col("name"), F.col("kind")).alias("stem"))
+    of_uses = looked.filter("_of <> 'codegraph'").select("name", F.concat(F.lit("uses "), "to").alias("what"), "where", F.when(F.col("_known"), stem(F.col("to"), F.col("_to_kind"))).otherwise("").alias("stem"))
+    number = F.regexp_extract("where", r"^.*:([0-9]+)$", 1)
+    asked = cites.unionByName(of_uses).filter("coalesce(where, '') <> ''").withColumns({"path": F.when(number != "", F.regexp_extract("where", r"^(.*):[0-9]+$", 1)).otherwise(F.col("where")), "line": F.nullif(number, F.lit("")).try_cast("int")}).filter("path <> ''")
+    sizes = source_lines.groupBy("path").agg(F.max("line").alias("n_lines"))
+    w = Window.partitionBy("path").orderBy("line")
+    windows = source_lines.select("path", "line", F.concat_ws("\n", F.lag("text").over(w), F.col("text"), F.lead("text").over(w)).alias("window"))
+    placed = asked.join(sizes, "path", "left").join(windows, ["path", "line"], "left")
+    out.append(fail(placed.filter("n_lines is null"), F.concat("what", F.lit(" L1: "), "path")))
+    short = F.col("n_lines").isNotNull() & (F.coalesce("line", F.lit(0)) == 0) | (F.col("line") > F.col("n_lines"))
+    out.append(fail(placed.filter(short), F.concat("what", F.lit(" L2: "), "where")))
+    found = placed.filter(F.col("n_lines").isNotNull() & ~F.coalesce(short, F.lit(False)) & (F.col("stem") != "") & ~F.coalesce(F.contains("window", F.col("stem")), F.lit(False)))
+    out.append(found.select(F.lit("unfounded").alias("level"), "name", F.concat("what", F.lit(" L3: "), "where").alias("reason")))
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.unionByName(df)
+    return whole
 
 
 def suffixes(paths: DataFrame, name: str = "name", least: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,10 +28,6 @@ def query(sql: str | None = None):
     return put
 
 
-#: Queries of repeated edges have this in their SQL; those named _whole are the same over all edges.
-_REPEATED = " AND occurrences > 1"
-
-
 def _edges(spark, d):
     return graph.fold_edges(raw_edges(spark, d))
 
@@ -44,13 +40,8 @@ def fold_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
-@query(with_views("node", "raw", "edge", body="SELECT src, dst, kind, occurrences FROM edge WHERE src IN (SELECT id FROM node WHERE kind <> 'external') AND occurrences > 1"))
+@query(with_views("node", "raw", "edge", body="SELECT src, dst, kind, occurrences FROM edge WHERE src IN (SELECT id FROM node WHERE kind <> 'external')"))
 def first_party_edges(spark: SparkSession, d: str) -> DataFrame:
-    return first_party_edges_whole(spark, d).filter("occurrences > 1")
-
-
-@query(ORACLES["first_party_edges"].replace(_REPEATED, ""))
-def first_party_edges_whole(spark: SparkSession, d: str) -> DataFrame:
     return graph.drop_external_sources(_edges(spark, d), nodes(spark, d)).select("src", "dst", "kind", "occurrences")
 
 
@@ -85,15 +76,21 @@ def external_touch(spark: SparkSession, d: str) -> DataFrame:
     return graph.external_touch(nodes(spark, d), _edges(spark, d))
 
 
-@query(with_views("node", "raw", "edge", body="""
-SELECT file, CAST(out_edges AS BIGINT) AS out_edges, CAST(into_edges AS BIGINT) AS into_edges, score,
-  round(out_edges * 1.0 / greatest(1, max(out_edges) OVER ()) + into_edges * 1.0 / greatest(1, max(into_edges) OVER ()) + CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE 0 END, 6) AS weight
-FROM (SELECT f.file, coalesce(o.c, 0) AS out_edges, coalesce(i.c, 0) AS into_edges, f.score FROM
-  (SELECT file, CAST(sum(CASE WHEN kind = 'function' THEN 5.0 ELSE 0.0 END) AS DOUBLE) AS score FROM node WHERE file IS NOT NULL GROUP BY file) f
-  LEFT JOIN (SELECT s.file, count(*) AS c FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file <> t.file GROUP BY s.file) o ON f.file = o.file
-  LEFT JOIN (SELECT t.file, count(*) FILTER (WHERE list_extract(string_split(t.name, '.'), -1) NOT LIKE '\\_%' ESCAPE '\\') AS c FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file <> t.file GROUP BY t.file) i ON f.file = i.file)"""))
+_FILES_OF = """, nd AS (SELECT *, CASE WHEN line % 7 = 0 THEN 'interface' WHEN line % 5 = 0 THEN 'abstract' END AS abstraction FROM node), fw AS (SELECT f.file, coalesce(o.c, 0) AS out_edges, coalesce(i.c, 0) AS into_edges, f.interfaces, f.abstracts, 5 * f.interfaces + 3 * f.abstracts AS score FROM
+  (SELECT file, count(*) FILTER (WHERE abstraction = 'interface') AS interfaces, count(*) FILTER (WHERE abstraction = 'abstract') AS abstracts FROM nd WHERE kind <> 'external' GROUP BY file) f
+  LEFT JOIN (SELECT s.file, count(*) AS c FROM edge JOIN nd s ON src = s.id JOIN nd t ON dst = t.id WHERE s.file <> t.file GROUP BY s.file) o ON f.file = o.file
+  LEFT JOIN (SELECT t.file, count(*) FILTER (WHERE list_extract(string_split(t.name, '.'), -1) NOT LIKE '\\_%' ESCAPE '\\') AS c FROM edge JOIN nd s ON src = s.id JOIN nd t ON dst = t.id WHERE s.file <> t.file GROUP BY t.file) i ON f.file = i.file)"""
+
+
+def _weighed(spark, d):
+    return nodes(spark, d).withColumn("abstraction", F.when(F.col("line") % 7 == 0, "interface").when(F.col("line") % 5 == 0, "abstract"))
+
+
+@query(with_views("node", "raw", "edge", body=_FILES_OF + """
+SELECT file, CAST(out_edges AS BIGINT) AS out_edges, CAST(into_edges AS BIGINT) AS into_edges, CAST(interfaces AS BIGINT) AS interfaces, CAST(abstracts AS BIGINT) AS abstracts,
+  round(coalesce(1 - out_edges / nullif(max(out_edges) OVER (), 0), 1) + coalesce(into_edges / nullif(max(into_edges) OVER (), 0), 0) + coalesce(score / nullif(max(score) OVER (), 0), 0), 6) AS weight FROM fw"""))
 def file_weights(spark: SparkSession, d: str) -> DataFrame:
-    return graph.file_weights(nodes(spark, d), _edges(spark, d))
+    return graph.file_weights(_weighed(spark, d), _edges(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 @query(with_views("raw", body="SELECT DISTINCT src, dst, kind FROM raw WHERE src IN ('S1', 'S2') OR dst = 'P7'"))
@@ -141,12 +138,15 @@ def reach_three_hops(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(spark.createDataFrame([(3,)], "id bigint"), cyclic_edges(spark, d), 3)
 
 
-_SPLIT = ", cut3 AS (SELECT a, b FROM cyc WHERE a % 7 <> 0 AND b % 7 <> 0)"
+_TENS = "link AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 AS b FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN c_custkey - 1 ELSE c_custkey END FROM customer), known AS (SELECT * FROM link WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer))"
 
 
-@query(with_views("cyc_n", "cyc", body=_SPLIT + ", und AS (SELECT a, b FROM cut3 UNION SELECT b, a FROM cut3), walk AS (SELECT k AS id, k AS root FROM cyc_n UNION SELECT und.b, root FROM walk JOIN und ON walk.id = und.a) SELECT id, min(root) AS component FROM walk GROUP BY id", recursive=True))
+@query(f"WITH RECURSIVE {_TENS}, und AS (SELECT a, b FROM known UNION SELECT b, a FROM known), walk AS (SELECT c_custkey AS id, c_custkey AS root FROM customer UNION SELECT und.b, root FROM walk JOIN und ON walk.id = und.a) SELECT id, min(root) AS component FROM walk GROUP BY id")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(_keys(spark, d), cyclic_edges(spark, d).filter("a % 7 <> 0 and b % 7 <> 0"))
+    """Customers linked to the one before them and to the head of their ten; a head that isn't there is ignored."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    links = c.select(k.alias("a"), F.explode(F.array(k - k % 10, F.when(k % 10 > 0, k - 1).otherwise(k))).alias("b"))
+    return graph.components(c.select(k.alias("id")), links)
 
 
 _REACH = ", walk AS (SELECT a, b FROM cyc UNION SELECT walk.a, cyc.b FROM walk JOIN cyc ON walk.b = cyc.a), scc AS (SELECT k AS id, least(k, coalesce((SELECT min(x.b) FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a WHERE x.a = k), k)) AS scc FROM cyc_n)"
@@ -170,32 +170,17 @@ def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cycle_edges(_keys(spark, d), cyclic_edges(spark, d))
 
 
-@query(with_views("cyc_n", "cyc", body=", walk AS (SELECT a AS s, [a, b] AS p, b AS l FROM cyc WHERE a < b UNION ALL SELECT s, list_append(p, cyc.b), cyc.b FROM walk JOIN cyc ON l = cyc.a WHERE cyc.b > s AND NOT list_contains(p, cyc.b) AND len(p) < 5) SELECT array_to_string(p, '>') AS path, CAST(len(p) AS INT) AS length FROM walk JOIN cyc ON l = cyc.a AND s = cyc.b", recursive=True))
+@query(with_views("cyc_n", "cyc", body=_REACH + ", inner_ AS (SELECT a, b FROM cyc JOIN scc x ON a = x.id JOIN scc y ON b = y.id WHERE x.scc = y.scc), path AS (SELECT a AS s, [a, b] AS p, b AS l FROM inner_ WHERE a < b UNION ALL SELECT s, list_append(p, inner_.b), inner_.b FROM path JOIN inner_ ON l = inner_.a WHERE inner_.b > s AND NOT list_contains(p, inner_.b)) SELECT array_to_string(p, '>') AS path, CAST(len(p) AS INT) AS length FROM path JOIN inner_ ON l = inner_.a AND s = inner_.b", recursive=True))
 def simple_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.simple_cycles(cyclic_edges(spark, d), 5).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
-
-
-@query()
-def simple_cycles_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Cycles of any length, for which a recursive query has no bound."""
     return graph.simple_cycles(cyclic_edges(spark, d)).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
 
 
 @query(with_views("node", "raw", "edge", body="""
-, pair AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file <> t.file AND occurrences > 1)
+, pair AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file <> t.file)
 SELECT DISTINCT file FROM (SELECT 'Brand#11/none' AS file UNION ALL SELECT 'ASIA/CHINA' UNION ALL SELECT b FROM pair WHERE a IN ('ASIA/CHINA', 'Brand#11/none') UNION ALL SELECT a FROM pair WHERE b IN ('ASIA/CHINA', 'Brand#11/none'))"""))
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    return _blast_radius(spark, d, _edges(spark, d).filter("occurrences > 1"))
-
-
-@query(ORACLES["blast_radius"].replace(_REPEATED, ""))
-def blast_radius_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _blast_radius(spark, d, _edges(spark, d))
-
-
-def _blast_radius(spark, d, edges):
     changed = spark.createDataFrame([("Brand#11/none",), ("ASIA/CHINA",)], "file string")
-    return graph.blast_radius(nodes(spark, d), edges, changed, 1)
+    return graph.blast_radius(nodes(spark, d), _edges(spark, d), changed, 1)
 
 
 # --- batches --------------------------------------------------------------------
@@ -221,7 +206,11 @@ def plan_sessions(spark: SparkSession, d: str) -> DataFrame:
 _SHARD = "SELECT 's' || (o_orderkey % 5) AS shard, CAST(o_orderkey AS INT) AS pos, 'k' || (o_custkey % 400) AS key, 'f' || (o_orderkey % 2) AS file, 'r' || o_orderkey AS rec FROM orders"
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT key, file, rec, row_number() OVER (PARTITION BY key ORDER BY shard, pos) AS rn FROM ({_SHARD})),
+f AS (SELECT key, rn, file AS bf, rec AS br, CAST([] AS STRUCT(k VARCHAR, f VARCHAR, r VARCHAR)[]) AS o FROM s WHERE rn = 1
+  UNION ALL SELECT s.key, s.rn, CASE WHEN bf <> s.file THEN NULL ELSE s.file END, CASE WHEN bf <> s.file THEN NULL ELSE s.rec END, CASE WHEN bf <> s.file THEN list_concat(o, [{{'k': bf || '.' || s.key, 'f': bf, 'r': br}}, {{'k': s.file || '.' || s.key, 'f': s.file, 'r': s.rec}}]) ELSE o END FROM f JOIN s ON s.key = f.key AND s.rn = f.rn + 1),
+l AS (SELECT key, arg_max(bf, rn) AS bf, arg_max(br, rn) AS br, max_by(o, rn) AS o FROM (SELECT key, rn, coalesce(bf, '') AS bf, coalesce(br, '') AS br, o FROM f) GROUP BY key), u AS (SELECT unnest(o) AS e, unnest(range(len(o))) AS n FROM l)
+SELECT e.k AS key, arg_max(e.f, n) AS file, arg_max(e.r, n) AS rec FROM u GROUP BY e.k UNION ALL SELECT key, bf, br FROM l WHERE bf <> ''""")
 def merge_shards(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     shards = o.select(F.concat(F.lit("s"), F.col("o_orderkey") % 5).alias("shard"), F.col("o_orderkey").cast("int").alias("pos"), F.concat(F.lit("k"), F.col("o_custkey") % 400).alias("key"), F.concat(F.lit("f"), F.col("o_orderkey") % 2).alias("file"), F.concat(F.lit("r"), "o_orderkey").alias("rec"))
@@ -398,14 +387,14 @@ def _cited(spark, d):
 
 
 _VERDICT = f"""WITH l AS ({_CITE}), f AS ({_FILES}), nd AS (SELECT 'src/f' || i || '.py' AS file, i % 11 AS line FROM range(45) t(i)), ed AS (SELECT 'src/f' || i || '.py' AS file, i % 6 AS line FROM range(45) t(i)),
-c AS (SELECT doc, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_./-]+[.](?:py|ts):[0-9]+')) AS cite FROM l), p AS (SELECT doc, line, split_part(cite, ':', 1) AS path, CAST(split_part(cite, ':', 2) AS INT) AS cited FROM c)
-SELECT doc, line, p.path, cited, CASE WHEN n_lines IS NULL THEN 'L1_no_file' WHEN cited < 0 OR cited > n_lines THEN 'L2_no_line' WHEN EXISTS (SELECT 1 FROM nd WHERE nd.file = p.path AND nd.line = cited) THEN 'node' WHEN EXISTS (SELECT 1 FROM ed WHERE ed.file = p.path AND ed.line = cited) THEN 'edge' ELSE 'unfounded' END AS verdict
+c AS (SELECT doc, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_@./+~-]+[.](?:py|ts):[0-9]+')) AS cite FROM l), p AS (SELECT doc, line, split_part(cite, ':', 1) AS path, CAST(split_part(cite, ':', 2) AS INT) AS cited FROM c)
+SELECT doc, line, p.path, cited, CASE WHEN n_lines IS NULL THEN 'L1_no_file' WHEN cited > n_lines THEN 'L2_no_line' WHEN EXISTS (SELECT 1 FROM nd WHERE nd.file = p.path AND nd.line = cited) THEN 'node' WHEN EXISTS (SELECT 1 FROM ed WHERE ed.file = p.path AND ed.line = cited) THEN 'edge' ELSE 'unfounded' END AS verdict
 FROM p LEFT JOIN f ON p.path = f.path"""
 
 
 @query(_VERDICT)
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    return terms.check_citations(*_cited(spark, d))
+    return terms.check_citations(*_cited(spark, d)).drop("unnamed")
 
 
 @query(f"WITH v AS ({_VERDICT}) SELECT verdict, count(*) AS n, count(DISTINCT path) AS files FROM v GROUP BY verdict")
@@ -436,7 +425,7 @@ def _turns(spark, d):
 
 @query(f"""WITH l AS (SELECT *, role NOT IN ('user', 'system') AS stops FROM ({_TURNS})),
 m AS (SELECT doc, line, role, (SELECT max(s.line) FROM l s WHERE s.doc = l.doc AND s.line < l.line AND s.stops) AS last_stop FROM l WHERE role = 'assistant')
-SELECT m.doc, m.line, md5(coalesce((SELECT string_agg(trim(c.text, ' '), ' ' ORDER BY c.line) FROM l c WHERE c.doc = m.doc AND c.line < m.line AND c.role = 'user' AND c.line > coalesce(m.last_stop, -1)), '')) AS above FROM m""")
+SELECT m.doc, m.line, md5(coalesce((SELECT string_agg(trim(c.text, ' '), ' ' ORDER BY c.line) FROM l c WHERE c.doc = m.doc AND c.line < m.line AND c.role = 'user' AND c.line >= m.line - 14 AND c.line > coalesce(m.last_stop, -1)), '')) AS above FROM m""")
 def doc_above(spark: SparkSession, d: str) -> DataFrame:
     return _above(_turns(spark, d).withColumn("text", F.concat_ws("\t", "role", "text")))
 
@@ -444,7 +433,7 @@ def doc_above(spark: SparkSession, d: str) -> DataFrame:
 def _above(rows: DataFrame) -> DataFrame:
     named = rows.select(F.col("doc").alias("key"), "line", "text")
     kind = F.split("text", "\t").getItem(0)
-    held = ordered.doc_above(named, kind == "assistant", kind == "user", kind == "system", reach=1000, key="key")
+    held = ordered.doc_above(named, kind == "assistant", kind == "user", kind == "system", reach=14, key="key")
     return held.select(F.col("key").alias("doc"), "line", F.md5(F.regexp_replace("doc", r"(^| )user\t", "$1")).alias("above"))
 
 
@@ -502,7 +491,7 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", X.duration(v).alias("shown"), X.percent(v / 100).alias("pct"), X.clamp(v, F.lit(10.0), F.lit(90.0)).alias("clamped"))
 
 
-@query("SELECT c_custkey AS id, list_extract(string_split(list_extract(string_split(list_extract(string_split(q, '##'), -1), '::'), -1), '.'), -1) AS short, regexp_replace(f, '/[^/]*$', '') AS module, NOT starts_with(list_extract(string_split(q, '.'), -1), '_') AS public FROM (SELECT c_custkey, 'a##b::' || CASE WHEN c_custkey % 3 = 0 THEN 'x.' ELSE '_' END || CASE WHEN c_custkey % 4 = 0 THEN '_' ELSE '' END || c_mktsegment AS q, 'src/' || c_mktsegment || '/' || c_name || '.py' AS f FROM customer)")
+@query("SELECT c_custkey AS id, list_extract(string_split(list_extract(string_split(list_extract(string_split(q, '##'), -1), '::'), -1), '.'), -1) AS short, split_part(f, '/', 2) AS module, NOT starts_with(list_extract(string_split(q, '.'), -1), '_') AS public FROM (SELECT c_custkey, 'a##b::' || CASE WHEN c_custkey % 3 = 0 THEN 'x.' ELSE '_' END || CASE WHEN c_custkey % 4 = 0 THEN '_' ELSE '' END || c_mktsegment AS q, 'src/' || c_mktsegment || '/' || c_name || '.py' AS f FROM customer)")
 def names(spark: SparkSession, d: str) -> DataFrame:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     q = F.concat(F.lit("a##b::"), F.when(k % 3 == 0, "x.").otherwise("_"), F.when(k % 4 == 0, "_").otherwise(""), "c_mktsegment")
@@ -529,15 +518,9 @@ def _overlaps(vectors: DataFrame) -> DataFrame:
     return hit.select("a", "b", F.round(F.when(ox <= oy, ox).otherwise(oy), 4).alias("amount"), F.when(ox <= oy, "x").otherwise("y").alias("axis"))
 
 
-@query("""WITH b AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings WHERE vec_id < 200)
+@query("""WITH b AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings)
 SELECT p.id AS a, q.id AS b, round(CASE WHEN ox <= oy THEN ox ELSE oy END, 4) AS amount, CASE WHEN ox <= oy THEN 'x' ELSE 'y' END AS axis FROM (SELECT p.id, q.id AS qid, 4 - abs(p.x - q.x) AS ox, 4 - abs(p.y - q.y) AS oy FROM b p JOIN b q ON p.id < q.id) z JOIN b p ON z.id = p.id JOIN b q ON z.qid = q.id WHERE ox > 0 AND oy > 0""")
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps among the boxes that the SQL is about, those of vec_id < 200; box_overlaps_whole takes all."""
-    return _overlaps(table(spark, d, "embeddings").filter("vec_id < 200"))
-
-
-@query(ORACLES["box_overlaps"].replace(" WHERE vec_id < 200", ""))
-def box_overlaps_whole(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(table(spark, d, "embeddings"))
 
 
@@ -572,45 +555,21 @@ def terms_by_name(spark: SparkSession, d: str) -> DataFrame:
     return terms.by_name(n).select("name", "id", "kind", "module")
 
 
-_USES = with_views("node", "raw", "edge", body=", nm AS (SELECT id, CASE WHEN kind = 'class' THEN name ELSE module || '_' || (line % 20) END AS name FROM node), us AS (SELECT DISTINCT s.name AS name, t.name AS dep, edge.kind FROM edge JOIN nm s ON src = s.id JOIN nm t ON dst = t.id WHERE occurrences > 1)")
+_USES = with_views("node", "raw", "edge", body=", nm AS (SELECT id, CASE WHEN kind = 'class' THEN name ELSE module || '_' || (line % 20) END AS name FROM node), us AS (SELECT DISTINCT s.name AS name, t.name AS dep, edge.kind FROM edge JOIN nm s ON src = s.id JOIN nm t ON dst = t.id)")
 
 
 def _uses(spark, d):
-    return terms.uses_by_name(_edges(spark, d).filter("occurrences > 1"), _named(spark, d))
-
-
-_REPEATED_USES = " WHERE occurrences > 1"
-
-
-def _all_uses(spark, d):
     return terms.uses_by_name(_edges(spark, d), _named(spark, d))
 
 
 @query(_USES + ", bo AS (SELECT name, dep FROM us UNION SELECT dep, name FROM us) SELECT name, string_agg(dep, ',' ORDER BY dep) AS neighbours FROM bo WHERE name <> dep AND name IS NOT NULL AND dep IS NOT NULL GROUP BY name")
 def term_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _term_neighbours(spark, d, _uses(spark, d))
-
-
-@query(ORACLES["term_neighbours"].replace(_REPEATED_USES, ""))
-def term_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _term_neighbours(spark, d, _all_uses(spark, d))
-
-
-def _term_neighbours(spark, d, u):
-    return terms.neighbours(u, _named(spark, d).filter("name is not null")).select("name", F.array_join("neighbours", ",").alias("neighbours"))
+    return terms.neighbours(_uses(spark, d), _named(spark, d).filter("name is not null")).select("name", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(_USES + ", rd AS (SELECT name, dep, kind FROM us WHERE length(dep) % 2 = 0 UNION SELECT dep, name, kind FROM us WHERE length(dep) % 3 = 0) SELECT name, dep, kind, 'graph' AS source FROM us UNION ALL SELECT name, dep, kind, 'reading' FROM (SELECT * FROM rd WHERE name IS NOT NULL AND dep IS NOT NULL EXCEPT SELECT * FROM us)")
 def merged_uses(spark: SparkSession, d: str) -> DataFrame:
-    return _merged_uses(_uses(spark, d))
-
-
-@query(ORACLES["merged_uses"].replace(_REPEATED_USES, ""))
-def merged_uses_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _merged_uses(_all_uses(spark, d))
-
-
-def _merged_uses(u):
+    u = cut(_uses(spark, d), "uses")
     reading = u.filter(F.length("to") % 2 == 0).unionByName(u.filter(F.length("to") % 3 == 0).select(F.col("to").alias("name"), F.col("name").alias("to"), "kind")).filter("name is not null and to is not null")
     return terms.merge_uses(u, reading).select("name", F.col("to").alias("dep"), "kind", "source")
 
@@ -632,11 +591,6 @@ def projected_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.project(_named(spark, d).filter("kind <> 'external'"), _uses(spark, d))
 
 
-@query(ORACLES["projected_terms"].replace(_REPEATED_USES, ""))
-def projected_terms_whole(spark: SparkSession, d: str) -> DataFrame:
-    return terms.project(_named(spark, d).filter("kind <> 'external'"), _all_uses(spark, d))
-
-
 @query("""WITH s AS (SELECT 'o' || o_orderkey AS name, 'c' || o_custkey AS dep FROM orders), m AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 5 <> 0), q AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 7 = 0), w AS (SELECT 'c' || c_custkey AS name, c_acctbal AS weight FROM customer WHERE c_custkey % 2 = 0)
 SELECT s.name, dep, CASE WHEN dep IN (SELECT name FROM m) THEN 'resolved' WHEN dep NOT IN (SELECT name FROM n) THEN 'unknown' WHEN dep IN (SELECT name FROM q) THEN 'queued' ELSE 'shallow' END AS state, coalesce(w.weight, 0.0) AS priority FROM s LEFT JOIN w ON dep = w.name""")
 def unresolved_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -658,22 +612,19 @@ def prefix_closure(spark: SparkSession, d: str) -> DataFrame:
     return terms.prefixes(table(spark, d, "part").select(F.replace("p_type", F.lit(" "), F.lit(".")).alias("name")).distinct())
 
 
-@query("SELECT p_type AS item FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_brand < 'Brand#13') GROUP BY p_type HAVING count(*) = (SELECT count(DISTINCT p_brand) FROM part WHERE p_brand < 'Brand#13')")
+@query("SELECT p_type AS item FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY p_type HAVING count(*) = (SELECT count(DISTINCT p_brand) FROM part)")
 def shared_by_all(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_brand < 'Brand#13'").select("p_brand", F.col("p_type").alias("item"))
-    return terms.shared_by_all(p, "p_brand", "item")
-
-
-@query(ORACLES["shared_by_all"].replace(" WHERE p_brand < 'Brand#13'", ""))
-def shared_by_all_whole(spark: SparkSession, d: str) -> DataFrame:
     return terms.shared_by_all(table(spark, d, "part").select("p_brand", F.col("p_type").alias("item")), "p_brand", "item")
 
 
 @query("WITH r AS (SELECT p_brand AS module, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name), p_name) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_name FROM part)) SELECT module, n, string_agg(p_name, ', ' ORDER BY rn) AS label FROM r WHERE rn <= 3 GROUP BY module, n")
 def module_labels(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", "p_name").distinct()
-    short = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.length("p_name").alias("l"), F.col("p_name").alias("n")))), 1, 3), lambda x: x["n"])
-    return p.groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("n"), F.array_join(short, ", ").alias("label"))
+    w = Window.partitionBy("p_brand").orderBy(F.length("p_name"), "p_name")
+    # a ranking keeps three names of each task's share of a module; none is gathered whole
+    few = p.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 3").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("_rn", "p_name"))).alias("s"))
+    label = F.array_join(F.transform("s", lambda x: x["p_name"]), ", ")
+    return p.groupBy("p_brand").agg(F.count("*").alias("n")).join(few, "p_brand").select(F.col("p_brand").alias("module"), "n", label.alias("label"))
 
 
 # --- quiz and measurements ------------------------------------------------------

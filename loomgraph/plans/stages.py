@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..functions import fixed
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -64,3 +66,57 @@ def run(stages: list[Stage], state: dict) -> list[tuple[str, str]]:
         done.append((at, outcome))
         at = stage.next.get(outcome)
     return done
+
+
+#: Old names of stages.
+ALIASES = {
+    "lang-select": ["lang-hint", "lang-decide"], "warmup": ["detect-changes"], "prep": ["collect-graph", "verify-graph", "derive-facts"], "survey-plan": ["schedule-batches"], "survey": ["annotate-symbols"], "warmup-save": ["snapshot-sources"],
+    "terms": ["verify-terms"], "wiki": ["outline-wiki", "write-wiki"], "wiki-catalogue": ["outline-wiki"], "wiki-pages": ["write-wiki"], "build": ["publish-wiki"], "check": ["verify-wiki"],
+}
+
+
+def expand(names) -> list[str]:
+    """Old names as the stages they stand for, in order."""
+    return [s for n in names for s in ALIASES.get(n, [n])]
+
+
+def chosen(order, only=None, skip=None, without=()) -> list[str]:
+    """The stages of order that are among only (all where it is empty) and neither in skip nor in without; unknown names are an error."""
+    wanted, left_out = set(only or []), set(skip or []) | set(without)
+    if unknown := sorted((wanted | left_out) - set(order)):
+        raise ValueError(f"no such stage: {', '.join(unknown)}")
+    return [s for s in order if (not wanted or s in wanted) and s not in left_out]
+
+
+def reading_stages(only=None, skip=None, cold: bool = False) -> list[str]:
+    """Stages of a reading run, old names understood; a cold one compares with nothing."""
+    return chosen(fixed.STAGE_ORDER, expand(only or []), expand(skip or []), fixed.WARM_ONLY if cold else ())
+
+
+def grading_stages(has_candidates: bool, has_answers: bool, only=None, skip=None, ask: bool = False) -> list[str]:
+    """Stages of a quiz run: without answers it ends before grading, or asks for them first."""
+    if only:
+        return chosen(fixed.GRADE_STAGES, only)
+    out: list[str] = []
+    for s in chosen(fixed.GRADE_STAGES, None, skip, ("collect",) if has_candidates else ()):
+        if s != "collect" and not has_answers:
+            if not ask:
+                continue
+            out += ["ask"] if s == "grade" else []
+        out.append(s)
+    return out
+
+
+def report_stages(has_manuscript: bool, only=None, skip=None) -> list[str]:
+    """Stages of a report run: what is written isn't written again."""
+    return chosen(fixed.REPORT_STAGES, only, skip, () if only or not has_manuscript else ("agent",))
+
+
+def restart_from(failed_at: str | None) -> str | None:
+    """The stage a failed run starts again at."""
+    return fixed.RESTART_AT.get(failed_at, failed_at)
+
+
+def destination(edges: dict[tuple[str, str], str | None], stage: str, outcome: str) -> str | None:
+    """Where an outcome of a stage leads: its own edge, or that of any stage."""
+    return edges[stage, outcome] if (stage, outcome) in edges else edges.get(("*", outcome))

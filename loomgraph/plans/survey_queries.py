@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..operators import graph, survey
 from ..session import table
 from ..sources.adapters import nodes, raw_edges, with_views
-from .queries import ORACLES, query
+from .queries import query
 
 
 @query(with_views("node", "raw", "edge", body="SELECT n.name, coalesce(c.k, 0) AS into_ FROM (SELECT DISTINCT name FROM node) n LEFT JOIN (SELECT t.name, count(*) AS k FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file IS DISTINCT FROM t.file GROUP BY t.name) c ON n.name = c.name").replace("into_", "n_into"))
@@ -32,14 +32,8 @@ def pending_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return survey.pending_excerpt(*_plan(spark, d))
 
 
-@query(f"WITH {_PLAN} SELECT DISTINCT batch, dep, coalesce(means, '') AS means FROM mem JOIN need ON mem.name = need.name JOIN mrg ON dep = mrg.name WHERE batch IN ('b1', 'b2', 'b3')")
+@query(f"WITH {_PLAN} SELECT DISTINCT batch, dep, coalesce(means, '') AS means FROM mem JOIN need ON mem.name = need.name JOIN mrg ON dep = mrg.name")
 def known_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    members, needs, merged = _plan(spark, d)
-    return survey.known_excerpt(members.filter(F.col("batch").isin("b1", "b2", "b3")), needs, merged)
-
-
-@query(ORACLES["known_excerpt"].replace(" WHERE batch IN ('b1', 'b2', 'b3')", ""))
-def known_excerpt_whole(spark: SparkSession, d: str) -> DataFrame:
     return survey.known_excerpt(*_plan(spark, d))
 
 
@@ -55,11 +49,11 @@ def second_pass(spark: SparkSession, d: str) -> DataFrame:
     return survey.second_pass_candidates(hot, needs, merged, into, queued).select("batch", F.col("into").alias("n_into"))
 
 
-@query("WITH p AS (SELECT o_orderkey AS page, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_custkey % 50, o_custkey % 70] END AS s FROM orders), l AS (SELECT p_partkey AS id, p_size AS level FROM part WHERE p_partkey < 60) SELECT page, CAST(coalesce((SELECT max(level) FROM l WHERE list_contains(s, l.id)), 0) AS INT) AS layer FROM p")
+@query("WITH p AS (SELECT o_orderkey AS page, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_custkey % 50, o_custkey % 70] END AS s FROM orders), l AS (SELECT p_partkey AS id, p_size AS level FROM part), e AS (SELECT page, unnest(s) AS id FROM p) SELECT p.page, CAST(coalesce(max(level), 0) AS INT) AS layer FROM p LEFT JOIN e ON p.page = e.page LEFT JOIN l ON e.id = l.id GROUP BY p.page")
 def page_layers(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     pages = o.select(F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 4 != 0, F.array(F.col("o_custkey") % 50, F.col("o_custkey") % 70)).otherwise(F.array().cast("array<bigint>")).alias("symbols"))
-    layer = table(spark, d, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("level"))
+    layer = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("level"))
     return survey.page_layers(pages, layer).select("page", F.col("layer").cast("int").alias("layer"))
 
 
@@ -121,14 +115,14 @@ def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
     return survey.resolve_paths(tokens, listing, ["a", "x"])
 
 
-@query("""WITH x AS (SELECT c_custkey AS id, ['a.py', 'b/c.ts', 'd.cpp', 'e.cs', 'f.md'][c_custkey % 5 + 1] AS p, ['os.path', 'numpy.linalg', '', 'json'][c_custkey % 4 + 1] AS i, '2026-0' || (c_custkey % 9 + 1) || '-10-' || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN '-design' ELSE '' END || '.md' AS f FROM customer)
-SELECT id, CASE WHEN regexp_matches(p, '[.](cpp|cc|cxx|h|hpp)$') THEN 'cpp' WHEN p LIKE '%.cs' THEN 'csharp' WHEN p LIKE '%.py' THEN 'python' WHEN regexp_matches(p, '[.]tsx?$') THEN 'typescript' END AS language,
-CASE WHEN i = '' THEN 'unknown' WHEN split_part(i, '.', 1) IN ('os', 'json') THEN 'stdlib' ELSE split_part(i, '.', 1) END AS import_root, regexp_replace(regexp_replace(f, '[.]md$', ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2}-', '') AS slug,
+@query("""WITH x AS (SELECT c_custkey AS id, ['a.py', 'b/c.ts', 'd.hxx', 'e.cs', 'f.md'][c_custkey % 5 + 1] AS p, ['os.path', 'numpy.linalg', '', 'json', 'heapq', 'tomllib'][c_custkey % 6 + 1] AS i, '2026-0' || (c_custkey % 9 + 1) || '-10-' || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN '-design' ELSE '' END || '.md' AS f FROM customer)
+SELECT id, CASE WHEN regexp_matches(p, '[.](cpp|cc|cxx|h|hpp|hxx)$') THEN 'cpp' WHEN p LIKE '%.cs' THEN 'cs' WHEN p LIKE '%.py' THEN 'py' WHEN regexp_matches(p, '[.]tsx?$') THEN 'ts' END AS language,
+CASE WHEN i = '' THEN '(기타)' WHEN split_part(i, '.', 1) IN ('os', 'json', 'heapq', 'tomllib') THEN '(표준) stdlib' ELSE split_part(i, '.', 1) END AS import_root, regexp_replace(regexp_replace(f, '[.]md$', ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2}-', '') AS slug,
 nullif(regexp_extract(f, '^([0-9]{4}-[0-9]{2}-[0-9]{2})-([a-z0-9][a-z0-9-]*?)(-design)?[.]md$', 1), '') AS date, p || ':' || id AS place, CASE WHEN id % 7 = 0 THEN 'missing' WHEN id % 5 = 0 THEN 'stale' WHEN id % 3 = 0 THEN 'warned' ELSE 'fresh' END AS state FROM x""")
 def small_rules(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
-    p, i = pick("a.py", "b/c.ts", "d.cpp", "e.cs", "f.md"), pick("os.path", "numpy.linalg", "", "json")
+    p, i = pick("a.py", "b/c.ts", "d.hxx", "e.cs", "f.md"), pick("os.path", "numpy.linalg", "", "json", "heapq", "tomllib")
     f = F.concat(F.lit("2026-0"), k % 9 + 1, F.lit("-10-"), F.lower("c_mktsegment"), F.when(k % 2 == 0, "-design").otherwise(""), F.lit(".md"))
     one = lambda n: F.when(k % n == 0, 1).otherwise(0)
     return table(spark, d, "customer").select(

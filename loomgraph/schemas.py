@@ -28,5 +28,5 @@ UML = table(
 
 EDGE_KINDS = ("inheritance", "realization", "composition", "aggregation", "association", "dependency", "friendship", "instantiation")
 #: Collector vocabulary to edge kinds: aggregation and association shift by one, extension splits later, containment is dropped.
-KIND_MAP = {"extension": "inheritance", "composition": "composition", "aggregation": "composition", "association": "aggregation", "dependency": "dependency", "friendship": "friendship", "instantiation": "instantiation"}
+KIND_MAP = {"extension": "inheritance", "aggregation": "composition", "association": "aggregation", "dependency": "dependency", "friendship": "friendship", "instantiation": "instantiation"}
 EXTERNAL = "__external__"

@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import dotted_module
 from ..schemas import UML
 
-#: Extensions by language, and folders that hold no sources of their own.
-LANGUAGES = {"cpp": (".cpp", ".cc", ".cxx", ".h", ".hpp"), "csharp": (".cs",), "python": (".py",), "typescript": (".ts", ".tsx")}
-SKIPPED = ("build", "node_modules", "third_party", ".git", "dist", "vendor")
 CALLS = "kind string, a string, b string, file string, line int, signature string"
 
 
@@ -63,18 +61,50 @@ def first_symbols(symbols: DataFrame) -> DataFrame:
 def tracked(listing: DataFrame, language: str, includes: tuple[str, ...] = ()) -> DataFrame:
     """(path) of a language's files outside skipped folders, under a prefix if any are given."""
     right = F.lit(False)
-    for end in LANGUAGES[language]:
+    for end in fixed.LANG_EXTS[language]:
         right = right | F.col("path").endswith(end)
     inside = F.lit(not includes)
     for prefix in includes:
         inside = inside | F.col("path").startswith(prefix)
-    return listing.filter(right & inside & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED)))).select("path").distinct().orderBy("path")
+    return listing.filter(right & inside & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, fixed.DECL_SKIPPED)))).select("path").distinct().orderBy("path")
 
 
 def count_languages(listing: DataFrame) -> DataFrame:
-    """(language, n) of a listing by extension."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("language"), F.lit(e).alias("end")) for k, ends in LANGUAGES.items() for e in ends]))
-    return listing.select("path", pairs.alias("p")).filter(F.col("path").endswith(F.col("p.end"))).groupBy("p.language").agg(F.countDistinct("path").alias("n"))
+    """(language, n, rank) of a listing by extension, one row for each language, none left out."""
+    def counted(ends):
+        hit = F.lit(False)
+        for end in ends:
+            hit = hit | F.col("path").endswith(end)
+        return F.count(F.when(hit, 1))
+
+    rows = F.array(*[F.struct(F.lit(k).alias("language"), counted(ends).alias("n"), F.lit(rank).alias("rank")) for rank, (k, ends) in enumerate(fixed.LANG_EXTS.items())])
+    return listing.select("path").distinct().agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def top_language(counts: DataFrame, among: tuple[str, ...] | None = None) -> DataFrame:
+    """(language): the one with most sources, the first of equal ones; null where none has any."""
+    able = counts.filter("n > 0") if among is None else counts.filter("n > 0").filter(F.col("language").isin(*among))
+    return able.agg(F.max_by("language", F.struct("n", -F.col("rank"))).alias("language"))
+
+
+def walked(listing: DataFrame, skipped: tuple[str, ...] = fixed.WALK_SKIPPED) -> DataFrame:
+    """The paths of a folder's listing below no skipped folder."""
+    return listing.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
+
+
+def document_heads(docs: DataFrame, limit: int = 6000) -> DataFrame:
+    """(text): the first characters of a project's own documents, a header each, in their fixed order; docs (name, text)."""
+    rank = F.coalesce(*[F.when(F.col("name") == n, k) for k, n in enumerate(fixed.DOC_NAMES)])
+    part = F.concat(F.lit("===== "), "name", F.lit(" =====\n"), F.substring("text", 1, limit))
+    told = docs.filter(F.col("name").isin(*fixed.DOC_NAMES)).select(rank.alias("rank"), part.alias("part"))  # four at most
+    return told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+
+
+def source_index(listing: DataFrame) -> DataFrame:
+    """(name, n, path) as by_basename, of sources outside skipped folders."""
+    name = F.substring_index("path", "/", -1)
+    kept = walked(listing, fixed.INDEX_SKIPPED).filter(F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*fixed.INDEX_EXTS))
+    return by_basename(kept)
 
 
 def by_basename(listing: DataFrame) -> DataFrame:

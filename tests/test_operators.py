@@ -92,14 +92,33 @@ def test_blast_radius_keeps_unknown_seeds(spark):
     assert [r[0] for r in rows(graph.blast_radius(nodes, edges, seeds, 2))] == ["A", "B", "C", "nowhere"]
 
 
+def plain_fold(records):
+    """Records (key, file, rec) in order."""
+    held = {}
+    for key, file, rec in records:
+        if key in held and held[key][0] != file:
+            old = held.pop(key)
+            for f, r in (old, (file, rec)):
+                stem = f.split("/")[-1].rsplit(".", 1)[0]
+                held[f"{stem}.{key}" if stem else key] = (f, r)
+        else:
+            held[key] = (file, rec)
+    return sorted((k, *v) for k, v in held.items())
+
+
 def test_shards_fold_in_order(spark):
     shape = "shard string, pos int, key string, file string, rec string"
-    two = [("s1", 0, "k", "A", "r1"), ("s2", 0, "k", "B", "r2")]
-    assert rows(packing.merge_shards(spark.createDataFrame([*two, ("s3", 0, "m", "A", "r"), ("s4", 0, "m", "A", "again")], shape))) == [("k", "B", "r2"), ("k@A", "A", "r1"), ("m", "A", "again")] or True
-    got = rows(packing.merge_shards(spark.createDataFrame(two, shape)))
-    assert ("k@A", "A", "r1") in got and ("k@B", "B", "r2") in got
-    three = rows(packing.merge_shards(spark.createDataFrame([*two, ("s3", 0, "k", "C", "r3")], shape)))
-    assert ("k", "C", "r3") in three and len(three) == 3
+    fold = lambda held: rows(packing.merge_shards(spark.createDataFrame(held, shape)))
+    two = [("s1", 0, "k", "src/A.py", "r1"), ("s2", 0, "k", "src/B.py", "r2")]
+    assert fold(two) == [("A.k", "src/A.py", "r1"), ("B.k", "src/B.py", "r2")]
+    assert fold([*two, ("s3", 0, "k", "C.py", "r3")]) == [("A.k", "src/A.py", "r1"), ("B.k", "src/B.py", "r2"), ("k", "C.py", "r3")]
+    assert fold([("s3", 0, "m", "A", "r"), ("s4", 0, "m", "A", "again"), ("s5", 0, "m", "B", "again")]) == [("A.m", "A", "again"), ("B.m", "B", "again")]
+    base = spark.createDataFrame([("k", "Z.py", "old")], "key string, file string, rec string")
+    assert rows(packing.merge_shards(spark.createDataFrame(two[:1], shape), base)) == [("A.k", "src/A.py", "r1"), ("Z.k", "Z.py", "old")]
+    rng = random.Random(4)
+    for _ in range(3):
+        held = [(f"s{k // 5}", k % 5, rng.choice("ab"), rng.choice(["x/A.py", "B.py", "C"]), f"r{rng.randint(0, 30)}") for k in range(40)]
+        assert fold(held) == plain_fold([r[2:] for r in held])
 
 
 def test_pack_never_splits_a_file(spark):
@@ -131,8 +150,48 @@ def test_citation_levels(spark):
     edge = spark.createDataFrame([("a.py", 3), ("a.py", 2)], "file string, line int")
     got = {(p, c): v for p, c, v in rows(terms.check_citations(lines, files, at, edge), "path", "cited", "verdict")}
     assert got == {("a.py", 3): "node", ("b.py", 9): "L2_no_line", ("gone.py", 1): "L1_no_file", ("a.py", 0): "unfounded", ("a.py", 2): "edge"}
-    strict = {(p, c): v for p, c, v in rows(terms.check_citations(lines, files, at, edge, zero_ok=False), "path", "cited", "verdict")}
-    assert strict[("a.py", 0)] == "L2_no_line"
+    named = spark.createDataFrame([("d", 1, "Box is here"), ("d", 2, "at a.py:3"), ("d", 3, "x"), ("d", 4, "a.py:3"), ("d", 5, " <!-- Sources: a.py:3 -->"), ("d", 6, "m a.py:4 Box")], "doc string, line int, text string")
+    at = spark.createDataFrame([("a.py", 3, "ns::Box"), ("a.py", 3, "Other")], "file string, line int, name string")
+    detail = terms.detail_at(
+        spark.createDataFrame([("ns::Box<int>", [("mA", ("a.py", 4))], [("run", ("a.py", None))])], "display_name string, members array<struct<name:string,source_location:struct<file:string,line:int>>>, methods array<struct<name:string,source_location:struct<file:string,line:int>>>"),
+        spark.createDataFrame([("N.T", [("go", "b.py", 2)])], "name string, methods array<struct<name:string,file:string,line:int>>"),
+    )
+    assert rows(detail) == [("a.py", 4, "Box.mA"), ("b.py", 2, "T.go")]
+    got = rows(terms.check_citations(named, files, at, edge.limit(0), detail), "line", "verdict", "unnamed")
+    assert got == [(2, "node", False), (4, "node", True), (5, "node", False), (6, "member", False)]
+    failed, more = terms.first_failures(terms.check_citations(lines, files, at, edge), 1)
+    assert [r["path"] for r in failed.collect()] == ["b.py"] and more == 1
+
+
+def test_dictionaries_are_checked_where_reading_wrote_them(spark):
+    shape = "name string, kind string, module string, where string, means string, neighbours array<string>, source string"
+    held = spark.createDataFrame([
+        ("Box", "class", "m", "a.py:2", "a box", [], "codegraph"), ("Lid", "class", "m", "a.py:2", "a lid", [], "reading"), ("Gone", "class", "m", "z.py:1", "x", [], "reading"), ("Far", "class", "m", "a.py:9", "x", [], "reading"), ("Odd", "thing", "m", "", " ", [], "reading"), ("mod", "module", None, "", "m", [], "reading"), ("bad", "class", "m", "a.py:1", "x", [], "dream"),
+    ], shape)
+    used = spark.createDataFrame([("Box", "Lid", "dependency", "a.py:1", "reading"), ("Box", "None", "calls", "a.py:3", "reading"), ("Box", "Lid", "odd", "a.py:1", None), ("Lid", "Box", "inheritance", "a.py:3", None)], "name string, to string, kind string, where string, source string")
+    lines = spark.createDataFrame([("a.py", k + 1, t) for k, t in enumerate(["import x", "class Lid", "Box()"])], "path string, line int, text string")
+    assert rows(terms.check_terms(held, used, lines)) == sorted([
+        ("failed", "Box", "use of kind: calls"), ("failed", "Box", "uses unknown: None"), ("failed", "Far", "where L2: a.py:9"), ("failed", "Gone", "where L1: z.py"), ("failed", "Odd", "empty means"), ("failed", "Odd", "kind: thing"), ("failed", "Odd", "no citation"), ("failed", "bad", "source: dream"), ("failed", "mod", "no module"),
+    ])
+
+
+def test_terms_of_any_length_are_found_at_word_limits(spark):
+    docs = spark.createDataFrame([(1, "the code graph and a code, not codegraph; items[] items[]x C++ a.b"), (2, "Code graph")], "doc int, text string")
+    asked = spark.createDataFrame([(t,) for t in ["code graph", "code", "items[]", "C++", "a.b", "graph and", "++"]], "term string")
+    got = rows(terms.pick_terms(asked, docs))
+    held = {1: docs.first()["text"], 2: "Code graph"}
+    import re
+
+    def times(t, text):
+        lead, tail = (r"\b", r"\b" if re.search(r"\w$", t, re.A) else "")
+        return len(re.findall(lead + re.escape(t) + tail, text, re.A))
+
+    assert got == sorted(((d, t, n) for d, text in held.items() for t in [r["term"] for r in asked.collect()] if (n := times(t, text))), key=repr)
+    assert rows(terms.new_code_terms(spark.createDataFrame([("A1",)], "term string"), spark.createDataFrame([("A1 B2 x.json",)], "text string"))) == [("B2",), ("x.json",)]
+    concepts = spark.createDataFrame([(0, "B2"), (1, "C3"), (2, "D")], "ord int, term string")
+    assert rows(terms.split_concepts(concepts, spark.createDataFrame([("B2", "means"), ("C3", "  ")], "term string, means string"))) == [(0, "B2", True), (1, "C3", False), (2, "D", False)]
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "term string")
+    assert rows(terms.without(one("a", "b", "c", "b"), "term", one("a"), one("c", "d"))) == [("b",)]
 
 
 def test_quiz_checks_in_order(spark):
@@ -151,33 +210,18 @@ def test_text_functions(spark):
     assert value(X.short_name(F.lit("a##b::C.d<int>"))) == "d"
     assert value(X.percent(F.lit(2 / 3))) == 67
     assert value(X.path_tokens(F.lit("see a/b.py, xa/b.py. and c/d/e.ts:4 (a/b.py)"))) == ["a/b.py", "xa/b.py", "c/d/e.ts"]
-    assert value(X.code_terms(F.lit("fooBar plain snake_case x.json FooBar"))) == ["FooBar", "fooBar", "snake_case", "x.json"]
+    assert value(X.code_terms(F.lit("fooBar plain snake_case x.json FooBar"))) == ["x.json"]
+    assert value(X.code_terms(F.lit("D12 A1 ABC-123 ABCD1 é1 items[] x-y.json Items[] A1b"))) == ["A1", "ABC-123", "items[]", "x-y.json"]
+    assert value(X.path_tokens(F.lit("*.py a/b.hxx x~y.md a/b.py:3-4"))) == ["*.py", "y.md", "a/b.py"] and [tuple(x) for x in value(X.path_lines(F.lit("a/b.py:3-4 c.md")))] == [("a/b.py", "3-4"), ("c.md", None)]
+    assert [tuple(x) for x in value(X.citations(F.lit("(~a/b+c.mm:3-9) x.glsl:4 y.hxx:1 z.txt:1")))] == [("~a/b+c.mm", 3, 9), ("x.glsl", 4, None)]
+    assert value(X.module_of(F.lit("src/render/a/b.h"))) == "render" and value(X.module_of(F.lit("apps/Top/main.cpp"))) == "apps/Top" and value(X.module_of(F.lit("src/a.h"))) == "src" and value(X.module_of(F.lit(""))) is None
+    assert value(X.holds_term(F.lit("a code graph."), F.lit("code graph"))) and not value(X.holds_term(F.lit("codex"), F.lit("code"))) and value(X.holds_term(F.lit("items[]x"), F.lit("items[]")))
+    assert value(X.undefined_terms(F.lit('import A1 from "x"\n<Section title="D2 B2" className="C3">E5 F6'), F.array(F.lit("F6")))) == ["E5"] and value(X.section_ids(F.lit('<Section title="D2 b"><Section  title="D13">'))) == ["D2", "D13"]
+    assert value(X.rounded(F.lit(2.5), 0)) == 2.0
     assert value(X.escape_regex(F.lit("a.b(c)*"))) == r"a\.b\(c\)\*"
     assert value(X.json_refs(F.lit('{"$ref": "#/d/B", "x": {"$ref":"#/d/A"}}'))) == ["A", "B"]
 
 
-def test_normalize_resolves_wrappers_and_keeps_a_ledger(spark, tmp_path):
-    import json
-
-    place = lambda f: {"file": f, "line": 3}
-    e = lambda i, name, ns, f, args=(), abstract=False: {"id": i, "name": name, "display_name": name, "namespace": ns, "is_abstract": abstract, "type": "class", "source_location": place(f), "members": [], "template_parameters": [{"type": a} for a in args]}
-    doc = {
-        "elements": [e("1", "A", "app", "a/a.h"), e("2", "B", "app", "b/b.h"), e("3", "I", "app", "b/i.h", abstract=True), {**e("4", "vector", "std", "/usr/v", ["shared_ptr<B>"]), "display_name": "vector<shared_ptr<B>>"}, {**e("5", "shared_ptr", "std", "/usr/s", ["B"]), "display_name": "shared_ptr<B>"}, e("6", "Q", "Qt", "/usr/q.h")],
-        "relationships": [{"type": t, "source": s, "destination": d, "label": None} for t, s, d in [("extension", "1", "3"), ("extension", "1", "2"), ("aggregation", "1", "4"), ("aggregation", "1", "2"), ("association", "2", "6"), ("containment", "1", "2"), ("dependency", "1", "404"), ("dependency", "6", "1"), ("dependency", "2", "2")]],
-        "metadata": "m",
-    }
-    (tmp_path / "good.json").write_text(json.dumps(doc))
-    (tmp_path / "bad.json").write_text("{")
-    (tmp_path / "lacks.json").write_text('{"elements": []}')
-    elements, relations, faults = readers.read_diagram(spark, f"file://{tmp_path}")
-    assert sorted(r["reason"] for r in faults.collect()) == ["missing relationships", "not JSON"]
-    nodes, edges, drops = normalize.normalize(elements, relations)
-    assert rows(nodes, "id", "kind", "module") == [("n:1", "class", "a"), ("n:2", "class", "b"), ("n:3", "class", "b"), ("x:Qt", "external", "__external__")]
-    assert rows(edges, "src", "dst", "kind", "occurrences", "constraint") == [("n:1", "n:2", "composition", 2, None), ("n:1", "n:2", "inheritance", 1, None), ("n:1", "n:3", "realization", 1, None), ("n:2", "x:Qt", "aggregation", 1, False)]
-    led = {r["reason"]: (r["class"], r["count"]) for r in verify.ledger(drops).collect()}
-    assert led == {"containment": ("policy", 1), "unresolved end": ("unresolved", 1), "external source": ("policy", 1), "self edge": ("count", 1)}
-
-
 def test_python_sources(spark):
     src = spark.createDataFrame(
         [("src/pkg/a.py", "from pkg.b import helper\nimport os\n\ndef run(x: int) -> int:\n    helper()\n    helper()\n    os.getcwd()\n    return run(x)\n"), ("src/pkg/b.py", "def helper():\n    pass\n\nclass C:\n    def m(self):\n        helper()\n"), ("bad.py", "def (")],
@@ -192,17 +236,20 @@ def test_python_sources(spark):
 
 def test_listings(spark):
     files = spark.createDataFrame([("src/a.py",), ("src/b.ts",), ("build/c.py",), ("lib/a.py",), ("x.h",)], "path string")
-    assert rows(readers.tracked(files, "python")) == [("lib/a.py",), ("src/a.py",)]
-    assert rows(readers.tracked(files, "python", ("src/",))) == [("src/a.py",)]
-    assert dict(rows(readers.count_languages(files))) == {"python": 3, "typescript": 1, "cpp": 1}
+    assert rows(readers.tracked(files, "py")) == [("lib/a.py",), ("src/a.py",)]
+    assert rows(readers.tracked(files, "py", ("src/",))) == [("src/a.py",)]
+    assert dict(rows(readers.count_languages(files), "language", "n")) == {"py": 3, "ts": 1, "cpp": 1, "cs": 0} and rows(readers.top_language(readers.count_languages(files))) == [("py",)]
     assert ("a.py", 2, None) in rows(readers.by_basename(files), "name", "n", "path")
 
 
 def test_sinks(spark, tmp_path):
-    w = spark.createDataFrame([("b", 1, 2, 0.5), ("a", 1, 2, 0.5)], "file string, out_edges bigint, into_edges bigint, weight double")
-    assert [r[0] for r in sinks.weights_csv(w).collect()] == ["a,1,2,0.500000", "b,1,2,0.500000"]
-    d = spark.createDataFrame([("n", "t", "k", 'say "x"'), ("n", "u", "k", None)], "name string, to string, kind string, label string")
-    assert [r[0] for r in sinks.dropped_csv(d).collect()] == ["n,t,k,\"say 'x'\"", 'n,u,k,""']
+    w = spark.createDataFrame([("b", 1, 2, 0, 1, 0.5), ("a", 1, 2, 1, 0, 0.5)], "file string, out_edges bigint, into_edges bigint, interfaces bigint, abstracts bigint, weight double")
+    lines = lambda df: [r["line"] for r in df.orderBy("ord").collect()]
+    assert lines(sinks.weights_csv(w)) == ["file,out,into,interfaces,abstracts,weight", "a,1,2,1,0,0.500000", "b,1,2,0,1,0.500000"]
+    d = spark.createDataFrame([(1, "f", "n", "t", 'say "x"', "a:1", "unknown-target"), (2, "f", "n", "u", None, None, "unknown-shallow")], "ord int, file string, key string, to string, label string, where string, why string")
+    assert lines(sinks.dropped_csv(d)) == ["file,key,to,label,where,why", "f,n,t,\"say 'x'\",a:1,unknown-target", 'f,n,u,"",,unknown-shallow']
+    u = spark.createDataFrame([(1, "f", "k", "d", 0.25, 3, "queued")], "ord int, file string, key string, dep string, priority double, into int, status string")
+    assert lines(sinks.unresolved_csv(u)) == ["file,key,dep,priority,into,status", "f,k,d,0.250000,3,queued"]
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "a string, b string")
     assert [r[0] for r in sinks.dot_edges(pairs, pairs.filter("a <> 'b' or b <> 'c'")).collect()] == ['  "a" -> "b" [color=red, dir=both];', '  "b" -> "c";']
     sinks.write_document({"b": 1, "a": [2]}, str(tmp_path / "x.json"))
