@@ -25,8 +25,8 @@ def module_of(path: Column) -> Column:
 
 
 def dotted_module(path: Column) -> Column:
-    """A path of Python source as a module name, a leading src/ and a closing __init__ removed."""
-    return F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"^src/", ""), r"/__init__$", ""), "/", ".")
+    """A path of Python source as a module name, a leading src/ removed."""
+    return F.translate(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"^src/", ""), "/", ".")
 
 
 def qualified(namespace: Column, name: Column) -> Column:

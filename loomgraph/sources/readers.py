@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.documents import nested_texts
 from ..functions.text import dotted_module
+from ..operators.ordered import numbered
 from ..schemas import UML
+from ..session import cut
 
-CALLS = "kind string, a string, b string, file string, line int, signature string"
+CALLS = "kind string, a string, b string, file string, line int, signature string, ord bigint"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +54,38 @@ def signature(returns: Column, name: Column, params: Column) -> Column:
     return F.concat(returns, F.lit(" "), name, F.lit("("), F.array_join(F.transform(params, lambda p: F.trim(F.concat_ws(" ", p["type"], p["name"]))), ", "), F.lit(")"))
 
 
+#: A documentation collector's item, as far as it is read.
+DOC_ITEM = "struct<USR:string,Name:string,Namespace:array<string>,Location:struct<Filename:string,LineNumber:int>,ReturnType:struct<Name:string>,Params:array<struct<Name:string,Type:struct<Name:string>>>,InfoType:string,TagType:string>"
+
+
+def read_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, namespace, file, line, signature, doc, ord) of a documentation collector's folder.
+
+    Functions and enums come from index.json, records from the files of their
+    own; others, and files that can't be read, are passed over.  Of symbols with
+    one id, or else one place and name, the first by path stays.
+    """
+    texts = read_texts(spark, path).filter(F.col("path").endswith(".json") & F.try_parse_json("text").isNotNull())
+    is_index = F.substring_index("path", "/", -1) == "index.json"
+    listed = F.from_json("text", f"struct<Functions:array<{DOC_ITEM}>,Enums:array<{DOC_ITEM}>>")
+    described = lambda key: F.try_variant_get(F.try_parse_json("text"), f"$.{key}", "array<variant>")
+    index = texts.filter(is_index).withColumn("d", listed)
+    several = lambda key, kind: index.select("path", F.posexplode(F.arrays_zip(F.col(f"d.{key}").alias("i"), F.transform(described(key), lambda v: F.to_json(v)).alias("raw"))).alias("k", "x"), F.lit(kind).alias("kind")).select("path", "k", F.col("x.i").alias("i"), F.col("x.raw").alias("raw"), "kind")
+    single = texts.filter(~is_index).select("path", F.lit(0).alias("k"), F.from_json("text", DOC_ITEM).alias("i"), F.col("text").alias("raw")).filter("i.InfoType = 'record'")
+    kind = F.when(F.col("i.TagType").isin("struct", "union"), F.col("i.TagType")).otherwise("class")
+    items = several("Functions", "function").unionByName(several("Enums", "enum")).unionByName(single.withColumn("kind", kind))
+    params = F.transform(F.coalesce("i.Params", F.array().cast("array<struct<Name:string,Type:struct<Name:string>>>")), lambda p: F.trim(F.concat_ws(" ", p["Type"]["Name"], p["Name"])))
+    spelled = F.concat(F.trim(F.concat_ws(" ", F.col("i.ReturnType.Name"), F.col("i.Name"))), F.lit("("), F.array_join(params, ", "), F.lit(")"))
+    told = items.filter("i.Location.Filename <> '' and i.Location.LineNumber > 0").select(
+        F.col("i.USR").alias("usr"), F.coalesce("i.Name", F.lit("")).alias("name"), "kind", qualified_namespace(F.coalesce("i.Namespace", F.array().cast("array<string>"))).alias("namespace"), F.col("i.Location.Filename").alias("file"), F.col("i.Location.LineNumber").alias("line"),
+        F.when(F.col("kind") == "function", spelled).otherwise("").alias("signature"), nested_texts(F.get_json_object("raw", "$.Description")).alias("doc"), F.format_string("%s %09d", "path", "k").alias("path"),
+    )
+    return numbered(first_symbols(told).drop("usr", "path"), ["file", "line", "name"], "ord")
+
+
 def first_symbols(symbols: DataFrame) -> DataFrame:
     """Of symbols with one key (usr, or else file, line, name) the first by path, in order of place."""
-    key = F.coalesce("usr", F.concat_ws("|", "file", "line", "name"))
+    key = F.coalesce(F.nullif("usr", F.lit("")), F.concat_ws("|", "file", "line", "name"))
     first = symbols.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*symbols.columns), "path").alias("s"))
     return first.select("s.*").orderBy("file", "line", "name")
 
@@ -134,76 +166,109 @@ def declarations(sources: DataFrame, language: str) -> DataFrame:
     return lines.filter(name != "").select("path", (F.col("line") + 1).alias("line"), name.alias("name"))
 
 
+def signature_of(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+    """(parameters) -> returns as it would be written, positional-only marks aside."""
+    args = fn.args
+    positional = [*args.posonlyargs, *args.args]
+    defaults = [None] * (len(positional) - len(args.defaults)) + list(args.defaults)
+
+    def one(arg: ast.arg, default: ast.expr | None) -> str:
+        told = f": {ast.unparse(arg.annotation)}" if arg.annotation else ""
+        given = "" if default is None else (" = " if told else "=") + ast.unparse(default)
+        return arg.arg + told + given
+
+    star = [f"*{args.vararg.arg}"] if args.vararg else ["*"] if args.kwonlyargs else []
+    parts = [*map(one, positional, defaults), *star, *map(one, args.kwonlyargs, args.kw_defaults), *([f"**{args.kwarg.arg}"] if args.kwarg else [])]
+    return f"({', '.join(parts)})" + (f" -> {ast.unparse(fn.returns)}" if fn.returns else "")
+
+
 def _scan(path: str, text: str) -> list[tuple]:
-    """Symbols and raw calls of one Python module; none where it doesn't parse."""
+    """Symbols, imports and raw calls of one Python module; none where it doesn't parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return [("fault", "syntax", None, path, None, None)]
     out: list[tuple] = []
-
-    def spelled(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-        back = f" -> {ast.unparse(fn.returns)}" if fn.returns else ""
-        return f"({ast.unparse(fn.args)}){back}"
+    is_function = lambda n: isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))
 
     def calls(owner: str, body: ast.AST) -> None:
         for n in ast.walk(body):
-            if isinstance(n, ast.Call):
-                f = n.func
-                if isinstance(f, ast.Name):
-                    out.append(("call", owner, f.id, path, n.lineno, None))
-                elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-                    out.append(("call", owner, f"{f.value.id}.{f.attr}", path, n.lineno, None))
+            if not isinstance(n, ast.Call):
+                continue
+            if isinstance(n.func, ast.Name):
+                out.append(("call", owner, n.func.id, path, n.lineno, None))
+            elif isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name):
+                out.append(("call", owner, f"{n.func.value.id}.{n.func.attr}", path, n.lineno, None))
 
     for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.append(("function", node.name, None, path, node.lineno, spelled(node)))
+        if is_function(node):
+            out.append(("function", node.name, None, path, node.lineno, signature_of(node)))
             calls(node.name, node)
         elif isinstance(node, ast.ClassDef):
             out.append(("class", node.name, None, path, node.lineno, None))
-            for sub in node.body:
-                if isinstance(sub, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    out.append(("method", f"{node.name}.{sub.name}", None, path, sub.lineno, spelled(sub)))
-                    calls(f"{node.name}.{sub.name}", sub)
-        elif isinstance(node, ast.Import):
-            out.extend(("import", a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], path, node.lineno, None) for a in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            out.extend(("import", a.asname or a.name, f"{node.module}.{a.name}", path, node.lineno, None) for a in node.names)
+            for sub in filter(is_function, node.body):
+                out.append(("method", f"{node.name}.{sub.name}", None, path, sub.lineno, signature_of(sub)))
+                calls(f"{node.name}.{sub.name}", sub)
         else:
             calls("", node)
+    for node in ast.walk(tree):
+        if isinstance(node, ast.ImportFrom):
+            out += [("from", a.asname or a.name, f"{node.module or ''}|{a.name}", path, node.lineno, None) for a in node.names]
+        elif isinstance(node, ast.Import):
+            out += [("import", a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], path, node.lineno, None) for a in node.names]
     return out
 
 
 def scan_python(sources: DataFrame) -> DataFrame:
-    """(kind, a, b, file, line, signature): symbols, imports, raw calls and faults of Python sources (path, text)."""
+    """(kind, a, b, file, line, signature, ord): symbols, imports, raw calls and faults of Python sources (path, text)."""
 
     def run(batches):
         for b in batches:
-            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _scan(p, t or "")]
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "a", "b", "file", "line", "signature"])
+            rows = [(*r, k) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, r in enumerate(_scan(p, t or ""))]
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "a", "b", "file", "line", "signature", "ord"])
 
     return sources.select("path", "text").mapInArrow(run, CALLS)
 
 
+def import_names(files: DataFrame) -> DataFrame:
+    """(written, module): every dotted path by which exactly one module or folder of the sources (file) can be meant.
+
+    A path is a folder's or module's own, or a tail of it; a tail of several is none.
+    """
+    parts = F.split(dotted_module(F.col("file")), r"\.")
+    known = files.select("file").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("module")).distinct()
+    piece = F.split("module", r"\.")
+    tails = known.select("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(piece)), lambda i: F.array_join(F.slice(piece, i, F.size(piece)), "."))).alias("written")).distinct()
+    return tails.groupBy("written").agg(F.count("*").alias("n"), F.min("module").alias("module")).filter("n = 1").select("written", "module")
+
+
 def python_calls(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """symbols (id, name, kind, file, line, signature) and resolved calls (caller, callee, file, line).
+    """symbols (name, kind, module, file, line, signature, ord) and resolved calls (caller, callee, file, line).
 
-    A call resolves by the file's imports, else within its module; only calls
-    between different symbols of the repository stay, the first of each pair.
+    Imports that hit the sources rename what they bind; other names that are no
+    built-ins are the module's own.  Only calls between different symbols of the
+    sources stay, the first of each pair.
     """
     module = dotted_module(F.col("file"))
-    symbols = scanned.filter(F.col("kind").isin("function", "class", "method")).select(F.concat_ws(".", module, "a").alias("id"), F.col("a").alias("name"), "kind", "file", "line", "signature")
-    imports = scanned.filter("kind = 'import'").select(F.col("file"), F.col("a").alias("head"), F.col("b").alias("target"))
-    raw = scanned.filter("kind = 'call'").select(F.concat_ws(".", module, F.nullif("a", F.lit(""))).alias("caller"), module.alias("module"), "file", "line", F.col("b").alias("called"))
+    order = F.struct("file", "ord")
+    told = scanned.filter(F.col("kind").isin("function", "class", "method")).select(F.concat_ws(".", module, "a").alias("name"), "kind", module.alias("module"), "file", "line", "signature", order.alias("at"))
+    symbols = numbered(told, ["at"], "ord").drop("at")
+    names = cut(import_names(scanned), "import-names")
+    whole = scanned.filter("kind = 'import'").select("file", F.col("a").alias("head"), F.col("b").alias("written"), F.lit(None).cast("string").alias("tail"), "ord")
+    parts = scanned.filter("kind = 'from'").select("file", F.col("a").alias("head"), F.substring_index("b", "|", 1).alias("written"), F.substring_index("b", "|", -1).alias("tail"), "ord")
+    bound = whole.unionByName(parts).join(names, "written").select("file", "head", F.concat_ws(".", "module", "tail").alias("target"), "ord")
+    imports = bound.groupBy("file", "head").agg(F.max_by("target", "ord").alias("target"))
+    raw = scanned.filter("kind = 'call'").select(F.concat_ws(".", module, F.nullif("a", F.lit(""))).alias("caller"), module.alias("module"), "file", "line", F.col("b").alias("called"), "ord")
     raw = raw.withColumn("head", F.substring_index("called", ".", 1)).withColumn("rest", F.when(F.instr("called", ".") > 0, F.regexp_replace("called", r"^[^.]*\.", "")))
     looked = raw.join(imports, ["file", "head"], "left")
-    callee = F.when(F.col("target").isNotNull(), F.concat_ws(".", "target", "rest")).otherwise(F.concat_ws(".", "module", "called"))
-    pairs = looked.select("caller", callee.alias("callee"), "file", "line").filter("caller <> callee")
-    ids = symbols.select("id").distinct()
-    kept = pairs.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
-    first = kept.groupBy("caller", "callee").agg(F.min(F.struct("line", "file")).alias("f"))
+    own = F.col("rest").isNull() & ~F.col("head").isin(*fixed.BUILTINS)
+    callee = F.when(F.col("target").isNotNull(), F.concat_ws(".", "target", "rest")).when(own, F.concat_ws(".", "module", "head")).otherwise(F.col("called"))
+    pairs = looked.select("caller", callee.alias("callee"), "file", "line", "ord").filter("caller <> callee")
+    ids = told.select("name").distinct()
+    kept = pairs.join(ids.withColumnRenamed("name", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("name", "callee"), "callee", "left_semi")
+    first = kept.groupBy("caller", "callee").agg(F.min(F.struct("file", "ord", "line")).alias("f"))
     return symbols, first.select("caller", "callee", F.col("f.file").alias("file"), F.col("f.line").alias("line")).orderBy("caller", "callee")
 
 

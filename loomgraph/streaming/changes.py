@@ -39,3 +39,66 @@ def advance(changes: DataFrame, handle: Callable[[DataFrame, int], None], commit
             df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def completions(done: DataFrame, checked: Callable[[DataFrame], DataFrame], queued: Callable[[DataFrame, int], None], folder: str, checkpoint: str):
+    """Follows a stream of finished sessions: each batch is checked, good records and faults are kept apart, and what became ready is queued.
+
+    done is a stream of shard records (batch, key, file, rec, needs array).
+    checked gives (key, fault) of a batch's faulty records.  Good records are
+    written below folder/good by batch number, so a batch that runs again
+    replaces itself; faulty ones below folder/bad with their fault.  queued gets
+    the keys whose needs are all among the good records, once each batch.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        held = df.persist()
+        try:
+            faults = checked(held).select("key", "fault")
+            held.join(faults, "key", "left_anti").write.mode("overwrite").parquet(f"{folder}/good/batch={number}")
+            held.join(faults, "key").write.mode("overwrite").parquet(f"{folder}/bad/batch={number}")
+            queued(ready(spark.read.schema(held.schema).parquet(f"{folder}/good/batch={number}"), spark.read.option("basePath", f"{folder}/good").parquet(f"{folder}/good/*")), number)
+        finally:
+            held.unpersist()
+
+    return done.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ready(fresh: DataFrame, merged: DataFrame) -> DataFrame:
+    """(key): records with needs, fresh or waiting, all of whose needs are merged, and that a fresh record may have made ready."""
+    have = merged.select(F.col("key").alias("need")).distinct()
+    asked = merged.filter(F.size("needs") > 0).select("key", F.explode("needs").alias("need"))
+    lacking = asked.join(have, "need", "left_anti").select("key").distinct()
+    new = fresh.select("key").distinct()
+    touched = asked.join(new.withColumnRenamed("key", "need"), "need", "left_semi").select("key").unionByName(asked.join(new, "key", "left_semi").select("key")).distinct()
+    return touched.join(lacking, "key", "left_anti")
+
+
+def change_set(old: DataFrame | None, new: DataFrame, radius: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """verdicts of a scan against the last snapshot, and the files to read again; None for all, where there is no snapshot.
+
+    radius spreads the changed files along the graph, where there is one.
+    """
+    from ..operators.changes import change_targets, verdicts
+
+    if old is None:
+        return new.select("path", F.lit("reread").alias("verdict")), None
+    told = verdicts(old, new)
+    seeds = change_targets(told)
+    return told, radius(seeds) if radius is not None else seeds
+
+
+def declaration_hashes(files: DataFrame, decls: DataFrame, seen: float = 0.0) -> DataFrame:
+    """A snapshot of files (path, mtime, size, content): hashes of bytes, and of the sorted kinds and names declared; null where nothing is.
+
+    Places and comments don't count, so code that only moves keeps its second hash.
+    """
+    names = decls.groupBy("path").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("kind", "name")))), 256).alias("decl_hash"))
+    told = files.select("path", "mtime", "size", F.lit(seen).alias("seen"), F.sha2("content", 256).alias("file_hash"))
+    return told.join(names, "path", "left").select("path", "mtime", "size", "seen", "file_hash", "decl_hash")
+
+
+def layer_rows(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a layer's sessions (label, ok, ...) in order of label, and one row (ok): all of them must be."""
+    return results.orderBy("label"), results.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))

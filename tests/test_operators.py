@@ -223,15 +223,32 @@ def test_text_functions(spark):
 
 
 def test_python_sources(spark):
+    text = "from pkg.b import helper\nimport b as bee\nfrom deep.tool import *\nimport os\n\ndef run(x: int, /, y: str = 'a', *rest, k: int = 1, j=2, **more) -> int:\n    helper()\n    helper()\n    os.getcwd()\n    bee.C()\n    print(x)\n    go()\n    return run(x)\n\ndef go(*, a): pass\nrun(1)\n"
     src = spark.createDataFrame(
-        [("src/pkg/a.py", "from pkg.b import helper\nimport os\n\ndef run(x: int) -> int:\n    helper()\n    helper()\n    os.getcwd()\n    return run(x)\n"), ("src/pkg/b.py", "def helper():\n    pass\n\nclass C:\n    def m(self):\n        helper()\n"), ("bad.py", "def (")],
+        [("src/pkg/a.py", text), ("src/pkg/b.py", "def helper():\n    from tool import fix\n    fix()\n\nclass C:\n    async def m(self):\n        helper()\n        self.x.y()\n"), ("src/pkg/deep/tool.py", "def fix(): pass\n"), ("lib/one/same.py", "def f(): pass"), ("lib/two/same.py", "def f(): pass"), ("lib/use.py", "import same\nfrom one.same import f\nsame.f()\nclass U:\n    def g(self):\n        f()\n        same.f()\n"), ("bad.py", "def (")],
         "path string, text string",
     )
     scanned = readers.scan_python(src)
     assert rows(scanned.filter("kind = 'fault'"), "file") == [("bad.py",)]
     symbols, calls = readers.python_calls(scanned)
-    assert ("pkg.a.run", "(x: int) -> int") in rows(symbols, "id", "signature")
-    assert rows(calls) == [("pkg.a.run", "pkg.b.helper", "src/pkg/a.py", 5), ("pkg.b.C.m", "pkg.b.helper", "src/pkg/b.py", 6)]
+    assert ("pkg.a.run", "(x: int, y: str = 'a', *rest, k: int = 1, j=2, **more) -> int") in rows(symbols, "name", "signature") and ("pkg.a.go", "(*, a)") in rows(symbols, "name", "signature")
+    assert [r["name"] for r in symbols.orderBy("ord").collect()][:3] == ["lib.one.same.f", "lib.two.same.f", "lib.use.U"]
+    assert rows(calls) == [("lib.use.U.g", "lib.one.same.f", "lib/use.py", 6), ("pkg.a.run", "pkg.a.go", "src/pkg/a.py", 12), ("pkg.a.run", "pkg.b.C", "src/pkg/a.py", 10), ("pkg.a.run", "pkg.b.helper", "src/pkg/a.py", 7), ("pkg.b.C.m", "pkg.b.helper", "src/pkg/b.py", 7), ("pkg.b.helper", "pkg.deep.tool.fix", "src/pkg/b.py", 3)]
+
+
+def test_symbols_of_a_documentation_folder(spark, tmp_path):
+    import json
+
+    at = lambda f, n: {"Filename": f, "LineNumber": n}
+    fn = {"USR": "u1", "Name": "run", "Namespace": ["inner", "GlobalNamespace"], "Location": at("b.cpp", 4), "ReturnType": {"Name": "void"}, "Params": [{"Name": "x", "Type": {"Name": "int"}}, {"Name": "", "Type": {"Name": "char"}}], "Description": [{"ParagraphComment": [{"TextComment": " runs "}, {"TextComment": "it"}]}]}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "index.json").write_text(json.dumps({"Functions": [fn, {"Name": "lost"}], "Enums": [{"USR": "u2", "Name": "E", "Location": at("a.h", 9)}]}))
+    (tmp_path / "sub" / "index.json").write_text(json.dumps({"Functions": [{**fn, "Name": "again"}]}))
+    (tmp_path / "rec.json").write_text(json.dumps({"InfoType": "record", "TagType": "struct", "Name": "S", "Location": at("a.h", 1)}))
+    (tmp_path / "other.json").write_text(json.dumps({"InfoType": "namespace", "Name": "N", "Location": at("a.h", 1)}))
+    (tmp_path / "bad.json").write_text("{")
+    got = readers.read_symbols(spark, f"file://{tmp_path}")
+    assert rows(got, "ord", "name", "kind", "namespace", "file", "line", "signature", "doc") == [(1, "S", "struct", "", "a.h", 1, "", ""), (2, "E", "enum", "", "a.h", 9, "", ""), (3, "run", "function", "inner", "b.cpp", 4, "void run(int x, char)", "runs it")]
 
 
 def test_listings(spark):
@@ -293,3 +310,30 @@ def test_streaming_windows_equal_batch(spark, data, tmp_path):
     done = streams.advance(streams.read_events(spark, f"file://{tmp_path}/in"), lambda df, k: seen.append(df.count()), lambda df, k: seen.append("commit"), f"file://{tmp_path}/ck")
     done.awaitTermination(120)
     assert seen == [1000, "commit"]
+
+
+def test_completed_sessions_queue_what_became_ready(spark, tmp_path):
+    shape = "batch string, key string, file string, rec string, needs array<string>"
+    for k, held in enumerate(([("b1", "a", "f", "r", ["c"]), ("b1", "bad", "f", "", [])], [("b2", "c", "f", "r", []), ("b2", "d", "f", "r", ["bad"])])):
+        spark.createDataFrame(held, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = streams.completions(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), lambda df: df.filter("rec = ''").withColumn("fault", F.lit("empty")), lambda df, n: seen.append((n, sorted(r["key"] for r in df.collect()))), f"{tmp_path}/out", f"{tmp_path}/ck") if k else None
+        if q is not None:
+            q.awaitTermination(120)
+    assert seen and seen[-1][1] == ["a"] and spark.read.parquet(f"{tmp_path}/out/bad").select("key", "fault").collect() == [("bad", "empty")]
+
+
+seen: list = []
+
+
+def test_change_sets_and_snapshots(spark):
+    files = spark.createDataFrame([("a.py", 1.0, 2, b"x"), ("b.py", 1.0, 2, b"y")], "path string, mtime double, size bigint, content binary")
+    decls = spark.createDataFrame([("a.py", "class", "B", 5), ("a.py", "class", "A", 9)], "path string, kind string, name string, line int")
+    moved = spark.createDataFrame([("a.py", "class", "A", 1), ("a.py", "class", "B", 2)], "path string, kind string, name string, line int")
+    one, two = streams.declaration_hashes(files, decls), streams.declaration_hashes(files.withColumn("content", F.lit(b"z")).withColumn("mtime", F.lit(2.0)), moved)
+    assert rows(one.filter("path = 'b.py'"), "decl_hash") == [(None,)] and rows(one, "path", "decl_hash") == rows(two, "path", "decl_hash")
+    told, targets = streams.change_set(one, two)
+    assert rows(told) == [("a.py", "location_only"), ("b.py", "location_only")] and rows(targets) == [("a.py",), ("b.py",)]
+    told, targets = streams.change_set(None, two)
+    assert targets is None and told.count() == 2 and rows(streams.change_set(one, one, lambda s: s)[1]) == []
+    ran, whole = streams.layer_rows(spark.createDataFrame([("b", True), ("a", False)], "label string, ok boolean"))
+    assert [r["label"] for r in ran.collect()] == ["a", "b"] and rows(whole) == [(False,)]
