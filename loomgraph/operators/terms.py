@@ -219,6 +219,27 @@ def check_terms(terms: DataFrame, uses: DataFrame, source_lines: DataFrame) -> D
     return whole
 
 
+def glossary(terms: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n, first, entries): terms (name, means) of each group as `name: means` lines in order of name.  A glossary's groups fit a page."""
+    held = F.array_sort(F.collect_list(F.struct("name", "means")))
+    lines = F.array_join(F.transform(held, lambda t: F.concat(t["name"], F.lit(": "), F.coalesce(t["means"], F.lit("")))), "\n")
+    return terms.groupBy(*group).agg(F.count("*").alias("n"), F.min("name").alias("first"), lines.alias("entries"))
+
+
+def term_graph(terms: DataFrame, uses: DataFrame) -> DataFrame:
+    """(payload): the dictionary as one JSON document of nodes and links between them, for a page that draws it."""
+    known = terms.select("name").distinct()
+    links = uses.join(known, "name", "left_semi").join(known.withColumnRenamed("name", "to"), "to", "left_semi").filter("name <> to").select("name", "to", "kind").distinct()
+    nodes = terms.agg(F.array_sort(F.collect_list(F.struct("name", "kind"))).alias("nodes"))
+    return nodes.join(F.broadcast(links.agg(F.array_sort(F.collect_list(F.struct("name", "to", "kind"))).alias("links")))).select(F.to_json(F.struct("nodes", "links")).alias("payload"))  # one row each
+
+
+def same_rules(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(side, ...) the rules that only one of two copies has; none where they are equal."""
+    left, right = one.exceptAll(two), two.exceptAll(one)
+    return left.withColumn("side", F.lit("one")).unionByName(right.withColumn("side", F.lit("two")))
+
+
 def suffixes(paths: DataFrame, name: str = "name", least: int = 2) -> DataFrame:
     """(suffix, name): dotted suffixes of at least `least` segments that name one thing only."""
     parts = paths.select(name, F.split(name, r"\.").alias("p")).filter(F.size("p") >= least)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import batches, changes, evidence, graph, ordered, survey, terms, verify
+from ..operators import batches, evidence, graph, ordered, terms
+from ..operators.assemble import first_party
 from ..session import table
 from ..sources import readers, sinks
-from ..sources.adapters import cyclic_edges, nodes, raw_edges, with_views
+from ..sources.adapters import cyclic_edges, raw_edges, with_views
 from .queries import _FILES_OF, _REACH, _weighed, query
 
 # --- plans of reading ---------------------------------------------------------------
@@ -130,8 +131,6 @@ _LINES = "ln AS (SELECT 'f' || c_nationkey || '.py' AS path, row_number() OVER (
 
 def _lines(spark, d):
     c = table(spark, d, "customer").select(F.concat(F.lit("f"), "c_nationkey", F.lit(".py")).alias("path"), F.col("c_name").alias("text"), F.col("c_custkey").alias("k"))
-    from pyspark.sql import Window
-
     return c.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("k"))).select("path", "line", "text")
 
 
@@ -228,4 +227,63 @@ def declaration_listing(spark: SparkSession, d: str) -> DataFrame:
     return sinks.declaration_lines(decls)
 
 
-__all__ = ["changes", "nodes", "survey", "verify"]
+# --- Python sources: a module for each nation, a function for each supplier ------------------
+
+_CALLED = """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS m, 'pk.m' || s_nationkey || '.f' || s_suppkey AS name, (s_suppkey * 3) % (SELECT count(*) FROM supplier) AS t FROM supplier), j AS (SELECT a.name, b.name AS target, a.m, a.k FROM s a JOIN s b ON a.t = b.k), f AS (SELECT m, min(k) AS k FROM s GROUP BY m)"""
+
+
+def _sources(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("m"))
+    n = s.count()
+    home = s.select(F.col("k").alias("t"), F.col("m").alias("home"))
+    told = s.withColumn("t", (F.col("k") * 3) % n).join(home, "t")
+    imported = F.concat(F.lit("from m"), "home", F.lit(" import f"), "t", F.lit(" as g"), "k", F.lit("\n"))
+    first = F.min("k").over(Window.partitionBy("m"))
+    body = F.concat(F.lit("def f"), "k", F.lit("(a: int = 1):\n    g"), "k", F.lit("()\n    print(a)\n    f"), "first", F.lit("()\n"))
+    parts = told.withColumn("first", first).groupBy("m").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", imported.alias("i"), body.alias("b"))))["i"], "").alias("i"), F.array_join(F.array_sort(F.collect_list(F.struct("k", imported.alias("i"), body.alias("b"))))["b"], "").alias("b"))
+    return parts.select(F.concat(F.lit("src/pk/m"), "m", F.lit(".py")).alias("path"), F.concat("i", "b").alias("text"))
+
+
+@query(_CALLED + " SELECT DISTINCT caller, callee FROM (SELECT name AS caller, target AS callee FROM j UNION ALL SELECT j.name, 'pk.m' || f.m || '.f' || f.k FROM j JOIN f ON j.m = f.m) WHERE caller <> callee")
+def python_calls(spark: SparkSession, d: str) -> DataFrame:
+    return readers.python_calls(readers.scan_python(_sources(spark, d)))[1].select("caller", "callee")
+
+
+@query(_CALLED + " SELECT name, 'function' AS kind, 'pk.m' || m AS module, '(a: int = 1)' AS signature, row_number() OVER (ORDER BY 'src/pk/m' || m || '.py', k) AS ord FROM j")
+def python_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return readers.python_calls(readers.scan_python(_sources(spark, d)))[0].select("name", "kind", "module", "signature", "ord")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'std' WHEN c_custkey % 3 = 0 THEN 'app' ELSE '' END AS ns, c_custkey % 7 AS line, c_custkey % 4 <> 0 AS tracked FROM customer) SELECT k, ns = 'app' OR ns = '' AND tracked AND line = 1 AS own FROM c""")
+def own_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of customers: by namespace, or in a tracked file on the line that defines them."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    file = F.concat(F.lit("f"), k, F.lit(".h")).alias("file")
+    rows = c.select(k.alias("k"), F.when(k % 5 == 0, "std").when(k % 3 == 0, "app").otherwise("").alias("namespace"), file, (k % 7).cast("int").alias("line"), F.concat(F.lit("T"), k).alias("name"))
+    text = F.array(F.concat(F.lit("struct T"), k, F.lit(" {")), F.concat(F.lit("class T"), k, F.lit(";")), F.concat(F.lit("T"), k, F.lit(" t")))
+    lines = c.select(file, F.posexplode(text).alias("i", "text")).select(F.col("file").alias("path"), (F.col("i") + 1).alias("line"), "text")
+    tracked = c.filter(k % 4 != 0).select(file).withColumnRenamed("file", "path")
+    return first_party(rows, ("app",), lines, tracked).select("k", "own")
+
+
+@query("WITH u AS (SELECT event_id AS ord, 'f' || (user_id % 9) AS file, 'k' || user_id AS key, event_type AS dep, value AS priority, event_id % 5 AS into_ FROM events) SELECT 0 AS ord, 'file,key,dep,priority,into,status' AS line UNION ALL SELECT ord + 1, concat_ws(',', file, key, dep, printf('%.6f', floor(priority)), into_, 'shallow') FROM u")
+def unresolved_lines(spark: SparkSession, d: str) -> DataFrame:
+    e, k = table(spark, d, "events"), F.col("event_id")
+    rows = e.select((k + 1).alias("ord"), F.concat(F.lit("f"), F.col("user_id") % 9).alias("file"), F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_type").alias("dep"), F.floor("value").alias("priority"), (k % 5).alias("into"), F.lit("shallow").alias("status"))
+    return sinks.unresolved_csv(rows)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'clang-uml,normalize,facts,render-modules' WHEN c_custkey % 4 = 1 THEN 'griffe,pycalls,normalize,facts,render-modules' WHEN c_custkey % 4 = 2 AND c_custkey % 3 = 0 THEN 'normalize,facts,render-modules' ELSE '' END AS steps, CASE WHEN c_custkey % 4 = 2 AND c_custkey % 3 <> 0 THEN 'no dump' WHEN c_custkey % 4 = 3 THEN 'no collector' END AS blocked FROM customer")
+def prep_plans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    collector = F.when(k % 4 == 0, "clang-uml").when(k % 4 == 1, "griffe+pycalls").when(k % 4 == 2, "roslyn-dump")
+    p = R.prep_steps(collector, F.lit(True), F.lit(True), k % 3 == 0, F.lit(False), F.lit(False))
+    return table(spark, d, "customer").select(k.alias("id"), F.array_join(p["steps"], ",").alias("steps"), p["blocked"].alias("blocked"))
+
+
+@query("WITH t AS (SELECT 's' || (c_nationkey % 9) || '.name' || c_custkey AS name, c_mktsegment AS kind, c_custkey % 4 AS g, 'm' || c_custkey AS means FROM customer) SELECT g, kind, count(*) AS n, min(name) AS first, string_agg(name || ': ' || means, chr(10) ORDER BY name) AS entries FROM t GROUP BY g, kind")
+def glossary(spark: SparkSession, d: str) -> DataFrame:
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    held = c.select(F.concat(F.lit("s"), F.col("c_nationkey") % 9, F.lit(".name"), k).alias("name"), F.col("c_mktsegment").alias("kind"), (k % 4).alias("g"), F.concat(F.lit("m"), k).alias("means"))
+    return terms.glossary(held, ["g", "kind"]).select("g", "kind", "n", "first", "entries")
+

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..operators import audit, csharp, graph, normalize, python_graph
+from ..operators import audit, csharp, normalize, python_graph
 from ..session import table
-from ..sources.adapters import LINE_ORDER, cyclic_edges, nodes, raw_edges, with_views
 from .queries import query
 
 # --- C++ elements: parts are types, suppliers are containers of parts -------------
@@ -244,5 +240,3 @@ def graph_coverage_faults(spark: SparkSession, d: str) -> DataFrame:
     report = reasons.select(F.lit("sha").alias("codegraph_sha256"), F.lit("python").alias("language"), "reasons")
     return audit.check_inventory(languages, files)[0].unionByName(audit.check_ledger(report, "sha", "python")).select("code", "at")
 
-
-__all__ = ["LINE_ORDER", "cyclic_edges", "fixed", "graph", "json", "nodes", "raw_edges", "with_views"]
