@@ -95,7 +95,7 @@ def ranked(rows: DataFrame, value: str, order: str = "ord", name: str = "number"
 
 
 def hotspots(log: DataFrame, key: str = "repo") -> DataFrame:
-    """(key, path, commits, churn) of change-log lines (key, ord, text): a hash line opens a commit, the rest are added, deleted, path.
+    """(key, path, commits, added, deleted) of change-log lines (key, ord, text): a hash line opens a commit, the rest are added, deleted, path.
 
     A path counts once in a commit however often it is listed; `-` counts as 0.
     """
@@ -104,8 +104,8 @@ def hotspots(log: DataFrame, key: str = "repo") -> DataFrame:
     parts = log.withColumn("hash", F.nullif(F.regexp_extract("text", r"^([0-9a-f]{7,40})$", 1), F.lit("")))
     carried = carry_down(parts, "hash", "commit", "ord", key).filter(F.col("hash").isNull() & F.regexp("text", F.lit(r"^(\d+|-)\t(\d+|-)\t.+$")))
     number = lambda k: F.coalesce(F.regexp_extract("text", r"^(\d+|-)\t(\d+|-)\t(.+)$", k).try_cast("bigint"), F.lit(0))
-    rows = carried.select(key, "commit", rename_target(F.regexp_extract("text", r"^(\d+|-)\t(\d+|-)\t(.+)$", 3)).alias("path"), (number(1) + number(2)).alias("churn"))
-    return rows.groupBy(key, "path").agg(F.countDistinct("commit").alias("commits"), F.sum("churn").alias("churn"))
+    rows = carried.select(key, "commit", rename_target(F.regexp_extract("text", r"^(\d+|-)\t(\d+|-)\t(.+)$", 3)).alias("path"), number(1).alias("added"), number(2).alias("deleted"))
+    return rows.groupBy(key, "path").agg(F.countDistinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
 
 
 def diagram_blocks(lines: DataFrame, drawn: DataFrame, reach: int = 3, key: str = "doc") -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import batches, evidence, graph, ordered, terms
+from ..operators import batches, evidence, facts, graph, ordered, terms
 from ..operators.assemble import first_party
 from ..session import table
 from ..sources import readers, sinks
-from ..sources.adapters import cyclic_edges, raw_edges, with_views
+from ..sources.adapters import cyclic_edges, nodes, raw_edges, with_views
 from .queries import _FILES_OF, _REACH, _weighed, query
 
 # --- plans of reading ---------------------------------------------------------------
@@ -50,6 +50,28 @@ def file_weights_csv(spark: SparkSession, d: str) -> DataFrame:
     return sinks.weights_csv(graph.file_weights(_weighed(spark, d), graph.fold_edges(raw_edges(spark, d))))
 
 
+# --- fact tables --------------------------------------------------------------------------
+
+
+@query("WITH m AS (SELECT p_brand AS id, count(*) AS classes, round(sum(p_size / 1000.0), 6) AS pagerank_sum, min(p_size) < 2 AS in_cycle FROM part GROUP BY p_brand) SELECT row_number() OVER (ORDER BY pagerank_sum DESC, id) AS number, * FROM m")
+def module_facts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_brand").alias("module"), (F.col("p_size") / 1000).alias("pagerank"), "p_size")
+    return facts.module_rows(p, None, p.filter("p_size < 2").select(F.col("module").alias("id"))).drop("depends_on")
+
+
+@query(with_views("node", "raw", "edge", body=", x AS (SELECT dst, sum(occurrences) AS touches FROM edge WHERE dst LIKE 'R%' GROUP BY dst) SELECT row_number() OVER (ORDER BY touches DESC, dst) AS number, name, CAST(touches AS BIGINT) AS touches, 5 AS folded, 'N0, N1, N2 외 2' AS head FROM x JOIN node ON dst = id"))
+def external_facts(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d).withColumn("collapsed_from", F.when(F.col("kind") == "external", F.array(*[F.lit(f"N{k}") for k in (1, 0, 2)], F.lit("longer"), F.lit("N33"))))
+    return facts.external_rows(n, graph.fold_edges(raw_edges(spark, d)))
+
+
+@query("WITH h AS (SELECT 'f' || (user_id % 40) AS path, count(*) AS commits, sum(event_id % 5) AS added FROM events GROUP BY 1), c AS (SELECT 'f' || (c_custkey % 30) AS file, 'm' || (c_custkey % 30) AS module FROM customer) SELECT row_number() OVER (ORDER BY commits DESC, path) AS number, path, module, commits, CAST(added AS BIGINT) AS added, CAST(0 AS BIGINT) AS deleted FROM h JOIN (SELECT DISTINCT * FROM c) ON path = file")
+def hotspot_facts(spark: SparkSession, d: str) -> DataFrame:
+    u, c = F.col("user_id") % 40, F.col("c_custkey") % 30
+    spots = table(spark, d, "events").groupBy(F.concat(F.lit("f"), u).alias("path")).agg(F.count("*").alias("commits"), F.sum(F.col("event_id") % 5).alias("added"), F.lit(0).cast("bigint").alias("deleted"))
+    return facts.hotspot_rows(spots, table(spark, d, "customer").select(F.concat(F.lit("f"), c).alias("file"), F.concat(F.lit("m"), c).alias("module"), F.col("c_custkey").alias("number")))
+
+
 # --- hashes, manifests, gates ----------------------------------------------------------
 
 _HASHES = "ci AS (SELECT DISTINCT 'f' || (o_orderkey % 900) AS path FROM orders), pr AS (SELECT 'f' || c_custkey AS path, sha256(c_name) AS sha256 FROM customer WHERE c_custkey % 10 <> 3)"

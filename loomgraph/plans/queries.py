@@ -458,9 +458,9 @@ def dialogue_sections(spark: SparkSession, d: str) -> DataFrame:
 _LOG = "SELECT CAST(user_id % 10 AS BIGINT) AS repo, event_id AS ord, event_type, event_id, user_id FROM events"
 
 
-@query("""WITH l AS (SELECT user_id % 10 AS repo, event_id AS ord, CASE WHEN event_type = 'click' THEN event_id END AS hash, 'src/m' || (event_id % 40) || '.py' AS path, event_id % 17 + event_id % 5 AS churn FROM events),
+@query("""WITH l AS (SELECT user_id % 10 AS repo, event_id AS ord, CASE WHEN event_type = 'click' THEN event_id END AS hash, 'src/m' || (event_id % 40) || '.py' AS path, event_id % 17 AS added, event_id % 5 AS deleted FROM events),
 c AS (SELECT *, last_value(hash IGNORE NULLS) OVER (PARTITION BY repo ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS commit FROM l)
-SELECT repo, path, count(DISTINCT commit) AS commits, CAST(sum(churn) AS BIGINT) AS churn FROM c WHERE hash IS NULL GROUP BY ALL""")
+SELECT repo, path, count(DISTINCT commit) AS commits, CAST(sum(added) AS BIGINT) AS added, CAST(sum(deleted) AS BIGINT) AS deleted FROM c WHERE hash IS NULL GROUP BY ALL""")
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
     e, k = table(spark, d, "events"), F.col("event_id")
     new = F.format_string("src/{old => m%d}.py", (k % 40).cast("int"))

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import batches, evidence, ordered
+from loomgraph.operators import batches, evidence, facts, ordered, terms
 from loomgraph.plans import stages
 from loomgraph.sources import sinks
 
@@ -132,3 +132,47 @@ def test_diagrams_and_values(spark):
     assert [r["number"] for r in ordered.numbered(spark.range(1000).repartition(7), ["id"], "number").orderBy("id").collect()] == list(range(1, 1001))
     holes = spark.range(500).select("id", F.when(F.col("id") % 50 == 7, F.col("id")).alias("v")).repartition(5)
     assert [r["c"] for r in ordered.carry_down(holes, "v", "c", "id").orderBy("id").collect()] == [None if k < 7 else (k - 7) // 50 * 50 + 7 for k in range(500)]
+
+
+def plain_rank(ids, weights, d=0.85, rounds=100, tol=1e-6):
+    n = len(ids)
+    rank, out = {i: 1 / n for i in ids}, {i: sum(w for (a, _), w in weights.items() if a == i) for i in ids}
+    for _ in range(rounds):
+        loose = sum(rank[i] for i in ids if not out[i])
+        after = {i: (1 - d) / n + d * (loose / n + sum(rank[a] * w / out[a] for (a, b), w in weights.items() if b == i)) for i in ids}
+        done = sum(abs(after[i] - rank[i]) for i in ids) < n * tol
+        rank = after
+        if done:
+            break
+    return rank
+
+
+def test_class_facts(spark):
+    nodes = table(spark, [(i, f"N{i}", "external" if i == "x" else "class", "m", f"{i}.py", 1) for i in "abcdx"], "id string, name string, kind string, module string, file string, line int")
+    edges = table(spark, [("a", "b", "dependency", 2), ("a", "b", "association", 1), ("b", "c", "dependency", 1), ("a", "c", "dependency", 1), ("a", "x", "dependency", 4)], "src string, dst string, kind string, occurrences bigint")
+    got = facts.class_rows(nodes, edges).orderBy("number").collect()
+    want = plain_rank("abcd", {("a", "b"): 3, ("b", "c"): 1, ("a", "c"): 1})
+    assert [r["id"] for r in got] == sorted("abcd", key=lambda i: (-round(want[i], 6), i)) and all(abs(r["pagerank"] - want[r["id"]]) < 2e-6 for r in got)
+    assert {r["id"]: (r["in_deg"], r["out_deg"], r["ext_touch"], r["listed"]) for r in got} == {"a": (0, 2, 4, False), "b": (1, 1, 0, False), "c": (2, 0, 0, False), "d": (0, 0, 0, True)}
+    assert rows(facts.focus(edges.select("src", "dst", "kind"), "m", nodes.filter("id = 'c'"))) == [("a", "c", "dependency"), ("b", "c", "dependency")]
+
+
+def test_details_and_entry_points(spark):
+    one = table(spark, [("A", [("m", "int", "public")], [("run", "public", True, ["x"])], True, 0), ("A", None, None, None, 1)], "display_name string, members array<struct<name:string,type:string,access:string>>, methods array<struct<name:string,access:string,is_pure_virtual:boolean,parameters:array<string>>>, is_abstract boolean, ord int")
+    two = table(spark, [("B", None, [("go", "private", None, 2)], False, 5), ("Ext", None, None, None, 6)], "name string, members array<struct<name:string,type:string,access:string>>, methods array<struct<name:string,access:string,is_abstract:boolean,param_count:int>>, is_abstract boolean, ord int")
+    got = {r["name"]: r for r in facts.details(one, two).collect()}
+    assert set(got) == {"A", "B"} and got["A"]["members"] == [] and [tuple(m) for m in got["B"]["methods"]] == [("go", "private", False, 2)]
+    assert [tuple(m) for m in facts.details(one.filter("ord = 0")).first()["methods"]] == [("run", "public", True, 1)]
+    types = table(spark, [("B", "b.cs", 2, {"is_monobehaviour": True}), ("A", "a.cs", 1, {"is_scriptable_object": True, "is_monobehaviour": True}), ("C", "c.cs", 1, None)], "name string, file string, line int, unity map<string,boolean>")
+    assert [tuple(r) for r in facts.entry_points(types).collect()] == [("asset", "A", "(a.cs:1)"), ("behaviour", "A", "(a.cs:1)"), ("behaviour", "B", "(b.cs:2)")]
+
+
+def test_term_documents(spark):
+    import json
+
+    held = table(spark, [("b", "class", "B!"), ("a", "class", None)], "name string, kind string, means string")
+    assert rows(terms.glossary(held, ["kind"])) == [("class", 2, "a", "a: \nb: B!")]
+    used = table(spark, [("a", "b", "dependency"), ("a", "a", "dependency"), ("a", "zz", "dependency"), ("a", "b", "dependency")], "name string, to string, kind string")
+    assert json.loads(terms.term_graph(held, used).first()["payload"]) == {"nodes": [{"name": "a", "kind": "class"}, {"name": "b", "kind": "class"}], "links": [{"name": "a", "to": "b", "kind": "dependency"}]}
+    rules = table(spark, [("r1", 1), ("r2", 2)], "rule string, n int")
+    assert rows(terms.same_rules(rules, rules)) == [] and rows(terms.same_rules(rules, rules.filter("n = 1"))) == [("r2", 2, "one")]
