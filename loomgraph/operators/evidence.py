@@ -182,9 +182,18 @@ def written_pages(jobs: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def backups(edited: DataFrame, kept: DataFrame) -> DataFrame:
-    """(page, moved_to): names for edited pages that overwrite none of those kept before."""
-    taken = kept.agg(F.coalesce(F.collect_set("page"), F.array().cast("array<string>")).alias("taken"))  # one row: a folder's names
-    return edited.select("page").distinct().join(F.broadcast(taken)).select("page", F.concat(F.lit(".bak/"), rules.backup_name(F.col("page"), F.col("taken"))).alias("moved_to"))
+    """(page, moved_to): names for edited pages that overwrite none of those kept before: the page's own, or its stem with the least free number.
+
+    Kept names are matched by stem, so a page only looks at its own earlier copies.
+    """
+    parts = lambda df: df.select("page", F.regexp_extract("page", r"^(.*?)(\.[^.]*)?$", 1).alias("stem"), F.regexp_extract("page", r"^(.*?)(\.[^.]*)?$", 2).alias("ext")).distinct()
+    number = F.regexp_extract("stem", r"^.*\.([0-9]+)$", 1)
+    old = parts(kept)
+    taken = old.select("stem", "ext", F.lit(0).alias("k")).unionByName(old.filter(number != "").select(F.regexp_extract("stem", r"^(.*)\.[0-9]+$", 1).alias("stem"), "ext", number.cast("int").alias("k")))
+    used = taken.groupBy("stem", "ext").agg(F.collect_set("k").alias("used"))
+    free = F.filter(F.sequence(F.lit(0), F.size("used")), lambda k: ~F.array_contains("used", k))[0]
+    rows = parts(edited).join(used, ["stem", "ext"], "left").withColumn("k", F.coalesce(free, F.lit(0)))
+    return rows.select("page", F.concat(F.lit(".bak/"), F.when(F.col("k") == 0, F.col("page")).otherwise(F.concat("stem", F.lit("."), F.col("k").cast("string"), "ext"))).alias("moved_to"))
 
 
 def outlines(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -200,12 +200,68 @@ def closure(edges: DataFrame) -> DataFrame:
         count = after
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(id, scc): the least id among nodes that reach each other."""
-    reach = closure(edges) if paths is None else paths
-    mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("id"), F.col("x.b").alias("peer"))
+#: Edges up to which strong components come from the closure, which has a row for each pair; beyond, from colours.
+CLOSURE = 20_000
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None, closure_up_to: int = CLOSURE) -> DataFrame:
+    """(id, scc): the least id among nodes that reach each other.
+
+    Small graphs square their reachability, which takes few steps; larger ones
+    are coloured, which never holds more rows than edges.  Both give the same.
+    """
+    ids = nodes.select("id").distinct()
+    if paths is None:
+        links = cut(edges.select("a", "b").filter("a <> b").distinct(), "scc-edges")
+        if links.count() > closure_up_to:
+            return coloured_components(ids, links)
+        paths = closure(links)
+    mutual = paths.alias("x").join(paths.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("id"), F.col("x.b").alias("peer"))
     least = mutual.groupBy("id").agg(F.min("peer").alias("least"))
-    return nodes.select("id").distinct().join(least, "id", "left").select("id", F.least("id", F.coalesce("least", "id")).alias("scc"))
+    return ids.join(least, "id", "left").select("id", F.least("id", F.coalesce("least", "id")).alias("scc"))
+
+
+def coloured_components(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, scc) by colours: ids (id) distinct, links (a, b) distinct without loops.
+
+    Nodes without edges in or out are components of their own and go first,
+    again and again.  Then the least id that reaches a node is its colour; what
+    reaches that id through nodes of its colour is its component and goes; the
+    rest starts anew.
+    """
+    found, left = None, cut(ids, "scc-left")
+    while True:
+        while True:
+            inner = links.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
+            links = cut(inner.select("a", "b"), "scc-links")
+            kept = cut(links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "scc-kept")
+            alone = left.join(kept, "id", "left_anti").select("id", F.col("id").alias("scc"))
+            some = bool(alone.take(1))
+            found = cut(alone if found is None else found.unionByName(alone), "scc-found") if some or found is None else found
+            left = kept
+            if not some:
+                break
+        if not left.take(1):
+            return found
+        colour = cut(left.withColumn("colour", F.col("id")), "scc-colour")
+        while True:
+            into = links.join(colour.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("near"))
+            after = cut(colour.join(into, "id").select("id", F.least("colour", "near").alias("colour"), F.col("colour").alias("old")), "scc-colour")
+            colour = after.drop("old")
+            if not after.filter("colour <> old").take(1):
+                break
+        same = links.join(colour.withColumnsRenamed({"id": "a", "colour": "ca"}), "a").join(colour.withColumnsRenamed({"id": "b", "colour": "cb"}), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour"))
+        same = cut(same, "scc-same")
+        part = cut(colour.filter("id = colour").select("id", F.col("colour").alias("scc")), "scc-part")
+        front = part
+        while True:
+            more = same.join(front.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), F.col("colour").alias("scc")).distinct().join(part, "id", "left_anti")
+            front = cut(more, "scc-front")
+            if not front.take(1):
+                break
+            part = cut(part.unionByName(front), "scc-part")
+        found = cut(found.unionByName(part), "scc-found")
+        left = cut(left.join(part, "id", "left_anti").select("id"), "scc-left")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -257,9 +257,3 @@ def shared_by_all(items: DataFrame, group: str, item: str) -> DataFrame:
     pairs = items.select(group, item).distinct()
     n = pairs.select(group).distinct().agg(F.count("*").alias("_n"))
     return pairs.groupBy(item).agg(F.count("*").alias("_c")).join(F.broadcast(n)).filter("_c = _n").select(item)  # one row
-
-
-def last_wins(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
-    """The last row of each key by order."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

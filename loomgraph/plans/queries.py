@@ -455,8 +455,6 @@ def dialogue_sections(spark: SparkSession, d: str) -> DataFrame:
     return ordered.sections(rows, r"^@@ ([0-9a-f]{32})$").select("doc", "first_line", "n_lines", F.md5("body").alias("body"))
 
 
-_LOG = "SELECT CAST(user_id % 10 AS BIGINT) AS repo, event_id AS ord, event_type, event_id, user_id FROM events"
-
 
 @query("""WITH l AS (SELECT user_id % 10 AS repo, event_id AS ord, CASE WHEN event_type = 'click' THEN event_id END AS hash, 'src/m' || (event_id % 40) || '.py' AS path, event_id % 17 AS added, event_id % 5 AS deleted FROM events),
 c AS (SELECT *, last_value(hash IGNORE NULLS) OVER (PARTITION BY repo ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS commit FROM l)
@@ -541,7 +539,6 @@ def new_concepts(spark: SparkSession, d: str) -> DataFrame:
     return terms.new_concepts(t, table(spark, d, "documents"), "[A-Z][a-z]+")
 
 
-_NAMED = with_views("node", "raw", body=", nm AS (SELECT id, CASE WHEN kind = 'class' THEN name ELSE module || '_' || (line % 20) END AS name, kind, module, line FROM node), us AS (SELECT DISTINCT s.name AS name, t.name AS to_, raw.kind FROM raw JOIN nm s ON src = s.id JOIN nm t ON dst = t.id WHERE raw.ord % 40 = 0)")
 
 
 def _named(spark, d):

@@ -8,16 +8,6 @@ def table(spec: str) -> str:
     return " ".join(spec.split())
 
 
-NODE = table("id string not null, name string, kind string, module string, file string, line int, collapsed_from array<string>, signature string, doc string, abstraction string, ord bigint")
-EDGE = table("src string, dst string, kind string, label string, file string, line int, occurrences bigint, constraint boolean, origin string, attrs array<string>, ord bigint")
-SNAPSHOT = table("path string, mtime double, size bigint, seen double, file_hash string, decl_hash string")
-TERM = table("name string, kind string, module string, where string, means string, does string, confidence string, source string")
-TERM_USE = table("name string, to string, kind string, label string, where string, source string, pos int")
-FAULT = table("code string, section string, place string, detail string")
-STAGE_ROW = table("ord bigint, stage string, seconds double, input bigint, output bigint, cache_read bigint, cache_write bigint, cost_usd double, turns bigint, api_ms bigint, ok boolean, skipped boolean, why string")
-SYMBOL = table("id string, name string, kind string, file string, line int, signature string, doc string")
-CALL = table("caller string, callee string, file string, line int")
-
 #: A class-diagram document: elements, relationships.
 UML = table(
     "elements array<struct<id:string,name:string,display_name:string,namespace:string,is_abstract:boolean,type:string,"
@@ -26,7 +16,6 @@ UML = table(
     "relationships array<struct<type:string,source:string,destination:string,label:string>>, metadata string"
 )
 
-EDGE_KINDS = ("inheritance", "realization", "composition", "aggregation", "association", "dependency", "friendship", "instantiation")
 #: Collector vocabulary to edge kinds: aggregation and association shift by one, extension splits later, containment is dropped.
 KIND_MAP = {"extension": "inheritance", "aggregation": "composition", "association": "aggregation", "dependency": "dependency", "friendship": "friendship", "instantiation": "instantiation"}
 EXTERNAL = "__external__"
