@@ -26,8 +26,8 @@ move (8 bytes a paragraph), grouped by row and cell on one partitioning for all
 rounds of peeling.
 
 Null texts are empty: no paragraphs, no cells; two empty texts have likeness 1.
-Null doc_ids come first.  Equal doc_ids are ordered by a hash of the text.  A
-single row is its own next.
+Null doc_ids come first.  Equal doc_ids are ordered by a hash of the text; rows
+equal in both stay in one range.  A single row is its own next.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ depend on doc_ids and texts alone, so reruns agree however the input is partitio
 
 Null texts have size 0; documents of size 0 take no words.  A null source is a
 source, after all others.  Equal doc_ids are separate rows; null ones are dealt
-by their texts.
+by their texts.  Rows equal in id and text share a group.
 """
 
 from __future__ import annotations
