@@ -85,6 +85,15 @@ INDEX_SKIPPED = (".git", "Library", "Temp", "obj", "bin", "node_modules", "out")
 INDEX_EXTS = ("cs", "h", "hpp", "cpp", "cc", "py", "mjs", "ts")
 EXTERNAL_MARKERS = ("/vcpkg_installed/", "/_deps/", "/node_modules/", "/Qt/", "/homebrew/", "autogen", "/CMakeFiles/", "moc_", "qrc_", "ui_")
 
+# How declarations and the comments above them look, by language: pattern, comment heads, what is cut off a comment.
+DECLARATIONS = {
+    "cs": (r"^\s*(?:\[[^\]]*\]\s*)?(?:public|internal|protected|private)?\s*(?:static\s+|abstract\s+|sealed\s+|partial\s+|readonly\s+)*(class|interface|struct|enum|record)\s+([A-Za-z_][\w<>,\s]*)", ("///",), r"^\s*///+\s?", r"<[^>]+>"),
+    "cpp": (r"^\s*(?:template\s*<[^>]*>\s*)?(class|struct|enum class|enum|namespace)\s+([A-Za-z_]\w*)", ("///", "//!", "//"), r"^\s*//[/!]*\s?", None),
+    "py": (r"^\s*(?:@\w+\s*)?(class|def)\s+([A-Za-z_]\w*)", ("#",), r"^\s*#+\s?", None),
+    "ts": (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|interface|type|enum|function|const)\s+([A-Za-z_$][\w$]*)", ("///", "//", "*"), r"^\s*(?://+|\*+)\s?", None),
+}
+DECL_EXTS = {"cs": (".cs",), "cpp": (".h", ".hpp", ".cpp", ".cc"), "py": (".py",), "ts": (".ts", ".tsx", ".mjs", ".js", ".jsx")}
+
 # Patterns of citations, terms and paths.
 CITED = "h|hpp|hh|c|cc|cpp|cxx|mm|cs|py|mjs|js|ts|tsx|json|md|yaml|yml|toml|shader|glsl|dot"
 CITE = rf"([A-Za-z0-9_@./+~-]+\.(?:{CITED})):(\d+)(?:-(\d+))?"

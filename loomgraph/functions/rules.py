@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 
 #: Collectors by what stands at the top of a project, in order of precedence.
-COLLECTORS = (("csharp", r"\.(sln|csproj)$"), ("cpp", r"^CMakeLists\.txt$|^compile_commands\.json$"), ("python", r"^(pyproject\.toml|setup\.py|setup\.cfg)$"))
+COLLECTORS = (("roslyn-dump", r"\.(csproj|slnx|sln)$"), ("clang-uml", r"^CMakeLists\.txt$"), ("griffe+pycalls", r"^(pyproject\.toml|requirements\.txt)$"))
 
 
 def where(file: Column, line: Column) -> Column:
@@ -119,15 +119,14 @@ def backup_name(name: Column, taken: Column) -> Column:
 
 
 def collector_for(top: Column) -> Column:
-    """The collector of a project by its top-level names (array)."""
+    """The collector of a project by its top-level names (array); none where nothing tells."""
     holds = lambda pattern: F.exists(top, lambda n: F.regexp(n, F.lit(pattern)))
-    return F.coalesce(*[F.when(holds(p), k) for k, p in COLLECTORS])
+    return F.coalesce(*[F.when(holds(p), k) for k, p in COLLECTORS], F.lit("none"))
 
 
 def collector_from(selection: Column) -> Column:
-    """The collector that a selection document names; none where it is malformed."""
-    name = F.try_variant_get(F.try_parse_json(selection), "$.collector", "string")
-    return F.when(name.isin(*[k for k, _ in COLLECTORS]), name)
+    """The collector that a selection document names; none where it is malformed or names none."""
+    return F.nullif(F.try_variant_get(F.try_parse_json(selection), "$.collector", "string"), F.lit(""))
 
 
 def stem(key: Column, kind: Column) -> Column:

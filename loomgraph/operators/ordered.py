@@ -19,7 +19,7 @@ def with_context(lines: DataFrame, key: str = "doc") -> DataFrame:
     return lines.withColumn("context", F.concat_ws("\n", F.lag("text").over(w), F.col("text"), F.lead("text").over(w)))
 
 
-def doc_above(lines: DataFrame, declaration: Column, comment: Column, skip: Column, reach: int = 14, key: str = "doc") -> DataFrame:
+def doc_above(lines: DataFrame, declaration: Column, comment: Column, skip: Column, reach: int = 14, key: str = "doc", says=F.trim) -> DataFrame:
     """(key, line, doc): for each declaration the comment lines right above it, at most `reach` lines up.
 
     Lines to skip (blank, attributes) are passed over; the first other line ends the walk.
@@ -30,7 +30,8 @@ def doc_above(lines: DataFrame, declaration: Column, comment: Column, skip: Colu
     stop = F.max(F.when(F.col("stops"), F.col("line"))).over(before)
     held = F.collect_list(F.when(F.col("is_comment"), F.struct("line", "text"))).over(before)
     rows = marked.withColumn("_stop", F.coalesce(stop, F.lit(-1))).withColumn("_held", held).filter("is_decl")
-    return rows.select(key, "line", F.array_join(F.transform(F.filter("_held", lambda x: x["line"] > F.col("_stop")), lambda x: F.trim(x["text"])), " ").alias("doc"))
+    told = F.transform(F.filter("_held", lambda x: x["line"] > F.col("_stop")), lambda x: says(x["text"]))
+    return rows.select(key, "line", F.array_join(F.filter(told, lambda t: t != ""), " ").alias("doc"))
 
 
 def fence_blocks(lines: DataFrame, fence: str = "^```", key: str = "doc") -> DataFrame:

@@ -6,6 +6,7 @@ Every reader takes its schema as given and keeps an ordinal where order has mean
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.documents import nested_texts
 from ..functions.text import dotted_module
-from ..operators.ordered import numbered
+from ..operators.ordered import doc_above, numbered
 from ..schemas import UML
 from ..session import cut
 
@@ -93,7 +94,7 @@ def first_symbols(symbols: DataFrame) -> DataFrame:
 def tracked(listing: DataFrame, language: str, includes: tuple[str, ...] = ()) -> DataFrame:
     """(path) of a language's files outside skipped folders, under a prefix if any are given."""
     right = F.lit(False)
-    for end in fixed.LANG_EXTS[language]:
+    for end in fixed.DECL_EXTS[language]:
         right = right | F.col("path").endswith(end)
     inside = F.lit(not includes)
     for prefix in includes:
@@ -150,20 +151,30 @@ def repo_relative(uri: Column, root: str) -> Column:
     return F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(path)
 
 
-#: How declarations and comments look, by language.
-DECLARATIONS = {
-    "python": r"^\s*(?:class|def|async def)\s+(\w+)",
-    "csharp": r"^\s*(?:public|internal|protected|private)?\s*(?:static |abstract |sealed )*(?:class|struct|interface|enum)\s+(\w+)",
-    "cpp": r"^\s*(?:class|struct|enum class|enum)\s+(\w+)[^;]*$",
-    "typescript": r"^\s*(?:export )?(?:class|interface|function|enum|type)\s+(\w+)",
-}
+def declarations(sources: DataFrame, language: str, chars: int = 0, reach: int = 14) -> DataFrame:
+    """(path, n_lines, line, kind, name, doc) of lines of (path, text) that declare something.
 
-
-def declarations(sources: DataFrame, language: str) -> DataFrame:
-    """(path, line, name) of lines of (path, text) that declare something."""
-    lines = sources.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    name = F.regexp_extract("text", DECLARATIONS[language], 1)
-    return lines.filter(name != "").select("path", (F.col("line") + 1).alias("line"), name.alias("name"))
+    doc is the comment right above, blank lines and attributes passed over, its
+    first `chars` characters; none of it is read where chars is 0.
+    """
+    pattern, heads, lead, cut_off = fixed.DECLARATIONS[language]
+    parts = sources.select("path", F.split("text", "\n", -1).alias("t"))
+    lines = parts.select("path", F.size("t").alias("n_lines"), F.posexplode("t").alias("line", "text")).withColumn("line", F.col("line") + 1)
+    name = F.trim(F.regexp_replace(F.regexp_extract("text", pattern, 2), r"[:{(=][\s\S]*$", ""))
+    found = lines.select("path", "n_lines", "line", F.regexp_extract("text", pattern, 1).alias("kind"), name.alias("name")).filter("name <> ''")
+    if not chars:
+        return found.withColumn("doc", F.lit(""))
+    bare = F.trim("text")
+    says = reduce(lambda a, h: a | bare.startswith(h), heads, F.lit(False))
+    skip = (bare == "") | bare.startswith("[") | bare.startswith("@")
+    above = doc_above(lines, F.regexp("text", F.lit(pattern)), says, skip, reach, "path", lambda x: _comment(x, lead, cut_off))
+    return found.join(above, ["path", "line"], "left").select("path", "n_lines", "line", "kind", "name", F.substring(F.coalesce("doc", F.lit("")), 1, chars).alias("doc"))
+
+
+def _comment(line: Column, lead: str, cut_off: str | None) -> Column:
+    """What a comment line says."""
+    body = F.regexp_replace(F.trim(line), lead, "")
+    return F.trim(F.regexp_replace(body, cut_off, "") if cut_off else body)
 
 
 def signature_of(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> str:

@@ -56,8 +56,8 @@ def test_rules(spark):
     assert tuple(one(R.split_where(F.lit("a/b.py:3-7")))) == ("a/b.py", 3) and tuple(one(R.split_where(F.lit("a/b.py")))) == ("a/b.py", None)
     assert one(R.python_abstraction(F.array(F.lit("typing.Protocol[T]")), F.array().cast("array<string>"))) == "interface"
     assert one(R.python_abstraction(F.array().cast("array<string>"), F.array(F.lit("abc.abstractmethod")))) == "abstract"
-    assert one(R.collector_for(F.array(F.lit("setup.py"), F.lit("App.sln")))) == "csharp"
-    assert one(R.collector_from(F.lit('{"collector": "cpp"}'))) == "cpp" and one(R.collector_from(F.lit("{"))) is None
+    assert one(R.collector_for(F.array(F.lit("setup.py"), F.lit("App.sln")))) == "roslyn-dump" and one(R.collector_for(F.array(F.lit("requirements.txt")))) == "griffe+pycalls" and one(R.collector_for(F.array(F.lit("x")))) == "none"
+    assert one(R.collector_from(F.lit('{"collector": "clang-uml"}'))) == "clang-uml" and one(R.collector_from(F.lit("{"))) is None
     assert one(R.stem(F.lit("ns::Box[]"), F.lit("class"))) == "Box" and one(R.stem(F.lit("a.b[]"), F.lit("concept"))) == "a.b"
     assert one(R.strings_of(F.lit('["a","b"]'))) == ["a", "b"] and one(R.strings_of(F.lit("7"))) == []
     assert one(R.entry_fits(F.lit("wiki"), F.lit("wiki/a.md"))) and not one(R.entry_fits(F.lit("wiki"), F.lit("wiki/../a.md")))

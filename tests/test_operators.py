@@ -236,6 +236,15 @@ def test_python_sources(spark):
     assert rows(calls) == [("lib.use.U.g", "lib.one.same.f", "lib/use.py", 6), ("pkg.a.run", "pkg.a.go", "src/pkg/a.py", 12), ("pkg.a.run", "pkg.b.C", "src/pkg/a.py", 10), ("pkg.a.run", "pkg.b.helper", "src/pkg/a.py", 7), ("pkg.b.C.m", "pkg.b.helper", "src/pkg/b.py", 7), ("pkg.b.helper", "pkg.deep.tool.fix", "src/pkg/b.py", 3)]
 
 
+def test_declarations_and_the_comments_above_them(spark):
+    cs = "using X;\n/// <summary>A box</summary>\n///  of things.\n\n[Attr]\npublic sealed class Box<T> : Base {\n  // no\n  private enum E {\n"
+    cpp = "// far\nint x;\n//! a lid\ntemplate <class T> class Lid;\nnamespace n {\n"
+    src = spark.createDataFrame([("a.cs", cs)], "path string, text string")
+    assert rows(readers.declarations(src, "cs", 100), "line", "kind", "name", "doc", "n_lines") == [(6, "class", "Box<T>", "A box of things.", 9), (8, "enum", "E", "", 9)]
+    assert rows(readers.declarations(src, "cs", 5), "doc") == [("",), ("A box",)] and rows(readers.declarations(src, "cs"), "doc") == [("",), ("",)]
+    assert rows(readers.declarations(spark.createDataFrame([("a.h", cpp)], "path string, text string"), "cpp", 50), "line", "kind", "name", "doc") == [(4, "class", "Lid", "a lid"), (5, "namespace", "n", "")]
+
+
 def test_symbols_of_a_documentation_folder(spark, tmp_path):
     import json
 

@@ -4,7 +4,7 @@ import random
 
 from loomgraph.operators import graph
 from loomgraph.plans import queries as core
-from loomgraph.plans import evidence_queries, graph_queries, survey_queries  # noqa: F401
+from loomgraph.plans import evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
 
 
 def test_box_overlaps_takes_every_vector(spark, tmp_path):
