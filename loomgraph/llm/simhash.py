@@ -127,22 +127,33 @@ class _Forest:
 
 
 def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of left with right, in blocks; the total bit count is the first bound."""
+    """A spanning forest of the links of left with right, in blocks; the total bit count is the first bound.
+
+    Points carry the label of their tree, so a row of a block costs a look at
+    the labels of its hits, and only a hit of another tree gives a link.
+    """
+    same = left is right
     order_l, order_r = np.argsort(np.bitwise_count(left), kind="stable"), np.argsort(np.bitwise_count(right), kind="stable")
     left, right = left[order_l], right[order_r]
     count_l, count_r = np.bitwise_count(left).astype(np.int64), np.bitwise_count(right).astype(np.int64)
-    forest, out_a, out_b, n = _Forest(len(left) + len(right)), [], [], len(left)
-    for at in range(0, n, 256):
+    n = 0 if same else len(left)  # where the labels of right begin
+    labels, out_a, out_b = np.arange(n + len(right)), [], []
+    for at in range(0, len(left), 256):
         part = left[at : at + 256]
         lo = np.searchsorted(count_r, count_l[at] - radius, "left")
-        hi = np.searchsorted(count_r, count_l[min(at + 256, n) - 1] + radius, "right")
+        hi = np.searchsorted(count_r, count_l[min(at + 256, len(left)) - 1] + radius, "right")
         if lo >= hi:
             continue
-        rows, cols = np.nonzero(np.bitwise_count(part[:, None] ^ right[None, lo:hi]) <= radius)
-        for a, b in zip((rows + at).tolist(), (cols + lo).tolist()):
-            if left[a] != right[b] and forest.join(a, n + b):
-                out_a.append(a)
-                out_b.append(b)
+        near = np.bitwise_count(part[:, None] ^ right[None, lo:hi]) <= radius
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            hits = np.flatnonzero(near[k]) + lo
+            mine, others = labels[at + k], labels[n + hits]
+            strange = others != mine
+            if strange.any():
+                trees, first = np.unique(others[strange], return_index=True)
+                out_a += [at + k] * len(trees)
+                out_b += hits[strange][first].tolist()
+                labels[np.isin(labels, trees)] = mine
     return left[out_a], right[out_b]
 
 
