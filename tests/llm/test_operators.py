@@ -501,6 +501,24 @@ def test_mix_meets_targets_in_a_tree(spark, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 41 for s in target), (taken, target)
 
 
+def test_targets_match_a_plain_water_level():
+    """The level that the weights raise, source by source, until the share is poured; a source takes no more than twice its size."""
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = [(name, rng.choice([0, 1, 5, 40, 300, 9000])) for name in ["a", "b", "c", "d", None, "é", "Z"][: rng.randint(1, 7)]]
+        got = mixing.targets(sizes)
+        order = sorted((n for n, _ in sizes), key=lambda n: (n is None, n or ""))
+        weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(order)}
+        size, total = dict(sizes), sum(n for _, n in sizes)
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            poured = sum(min(2 * size[n], level * weight[n]) for n in size)
+            low, high = (level, high) if poured < 1.5 * total else (low, level)
+        want = {n: min(2 * size[n], high * weight[n]) for n in size}
+        assert all(abs(got[n] - want[n]) < 1e-3 * max(1, total) for n in size), (sizes, got, want)
+
+
 def test_mix_meets_targets_beside_long_texts(spark):
     held = [(k, "w " * n, "a") for k, n in enumerate([9000, 700, 650, 300, *[20] * 200, *[1] * 40])] + [(1000 + k, "w " * n, "b") for k, n in enumerate([40, 30, 20, 10])] + [(2000, "w " * 500, None)]
     got = mixing.mix(spark.createDataFrame(held, "doc_id bigint, text string, source string")).collect()
