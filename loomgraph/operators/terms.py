@@ -96,10 +96,12 @@ def pick_terms(terms: DataFrame, docs: DataFrame, text: str = "text", key: str =
     words = docs.select(key, F.explode(tokens).alias("first"))
     one = words.join(known.filter(single).select("term", "first"), "first").groupBy(key, "term").agg(F.count("*").alias("n"))
     longer = known.filter(~single)
-    has = docs.select(key, F.col(text).alias("_text"), F.explode(F.array_distinct(tokens)).alias("first")).join(longer, "first")
+    # candidates first, by key; only texts that may hold a longer term are looked at again
+    may = docs.select(key, F.explode(F.array_distinct(tokens)).alias("first")).join(longer, "first").select(key, "term", "starts_in_word", "ends_in_word").distinct()
+    has = may.join(docs.select(key, F.col(text).alias("_text")), key)
     lead = F.when(F.col("starts_in_word"), "(?<![A-Za-z0-9_])").otherwise("(?<=[A-Za-z0-9_])")
     pattern = F.concat(lead, F.lit("\\Q"), "term", F.lit("\\E"), F.when(F.col("ends_in_word"), "(?![A-Za-z0-9_])").otherwise(""))
-    many = has.select(key, "term", F.regexp_count("_text", pattern).cast("bigint").alias("n")).filter("n > 0")
+    many = has.select(key, "term", F.regexp_count("_text", pattern).cast("bigint").alias("n")).groupBy(key, "term").agg(F.sum("n").alias("n")).filter("n > 0")
     return one.unionByName(many)
 
 
