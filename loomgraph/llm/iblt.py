@@ -157,15 +157,17 @@ def ranges(df: DataFrame, id_col: str, tie: str, buckets: int) -> F.Column:
     for k in own:
         base.append(number)
         number += k + 1
+    kind = df.schema[id_col].dataType.simpleString()
+    constant = lambda values, kind: F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")  # noqa: E731  one constant, however many ranges
     # two steps of about the square root of the cuts each
     wide = max(1, int(len(cuts) ** 0.5))
-    every = F.lit(cuts)
-    head = F.size(F.filter(F.lit(cuts[::wide]), lambda c: c <= at))
+    every = constant(cuts, kind)
+    head = F.size(F.filter(constant(cuts[::wide], kind), lambda c: c <= at))
     rest = F.size(F.filter(F.slice(every, F.greatest(head - 1, F.lit(0)) * wide + 2, wide - 1), lambda c: c <= at)) if wide > 1 else F.lit(0)
     where = F.when(head == 0, F.lit(0)).otherwise((head - 1) * wide + 1 + rest)
-    mine = F.element_at(F.lit(own), where + 1)
+    mine = F.element_at(constant(own, "int"), where + 1)
     inner = F.when(mine == 0, F.lit(0)).when(F.element_at(every, F.greatest(where, F.lit(1))) == at, part(mine)).otherwise(mine)
-    return F.when(at.isNull(), part(F.lit(unnamed))).otherwise(F.element_at(F.lit(base), where + 1) + inner).cast("int")
+    return F.when(at.isNull(), part(F.lit(unnamed))).otherwise(F.element_at(constant(base, "int"), where + 1) + inner).cast("int")
 
 
 def with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
