@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, iblt, mixing, oracle, packing, pu_quality, rule_ledger, shards, simhash, toxicity, unigram_count
+from . import best_fit, conversation_repair, delta_lloyd, html_extract, iblt, mixing, oracle, packing, pu_quality, rule_ledger, shards, simhash, toxicity, unigram_count
 from .common import documents
 
 
@@ -53,6 +53,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.inertias(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -64,5 +76,8 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
+    "op12_bestfit": op12_bestfit,
+    "op13_centroids": op13_centroids,
 }
 ORACLES: dict[str, str] = dict(oracle.ORACLES)
