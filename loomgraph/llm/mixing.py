@@ -41,6 +41,8 @@ GROUP, FAN_IN = 4000, 256
 #: A document of more than one word in LONG of its source is settled before the others.
 LONG = 200
 EPS = 1e-9
+#: Sources at most; beyond them targets by source make no mix, and the plan would outgrow a broadcast.
+SOURCES = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
@@ -141,7 +143,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     """(id_col, source, size, source_size, target, copies, taken), one row for each row of docs.
 
     The sources are listed on the driver: their number is that of the targets
-    asked for, not of the documents.
+    asked for, not of the documents.  More than SOURCES fail.
     """
     spark = docs.sparkSession
     base = docs.select(
@@ -149,7 +151,9 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
         F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)).alias("tie"),
     )
     base = spill(base, "mix-sizes")
-    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(per) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     due = targets([(r["source"], r["source_size"]) for r in per], weights, share, most)
     plan = [(r["source"], r["source_size"], float(due[r["source"]]), max(1, -(-r["n"] // GROUP))) for r in per]
     named = _broadcast(spark, plan, "s string, source_size bigint, target double, buckets int")
@@ -195,13 +199,16 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
 def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """docs, each row as many times as the mix takes it, with the columns of docs.
 
-    Rows are told apart by id, text and source, carried beside the row; rows
-    that are equal in all three share the sum of their copies.
+    A row is known by its id, text, source and a hash of its other columns, all
+    carried beside it, so rows that differ anywhere are drawn apart; rows equal
+    in every column share the sum of their copies.
     """
     at = lambda c: F.col("row").getField(c)
     known = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.hex(F.xxhash64(c)))
+    rest = [at(c).alias(c) for c in docs.columns if c not in (id_col, text, source)]
+    others = [F.hex(F.xxhash64(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})))] if rest else []
     keyed = docs.select(as_row(docs).alias("row"))
-    keyed = keyed.select("row", F.concat_ws("|", F.coalesce(at(id_col).cast("string"), F.lit("null")), known(at(text)), known(at(source).cast("string"))).alias("key"))
+    keyed = keyed.select("row", F.concat_ws("|", F.coalesce(at(id_col).cast("string"), F.lit("null")), known(at(text)), known(at(source).cast("string")), *others).alias("key"))
     few = keyed.select(F.col("key").alias("id"), at(text).alias("text"), at(source).alias("source"))
     decided = spill(mix(few, "text", "id", "source", **how).groupBy("id").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")), "mix-copies")
     if decided.filter("rows > 1").take(1):
