@@ -3,8 +3,9 @@
 A page becomes blocks: runs of text between block tags.  The first pass decides
 each block by itself, from where it stands (an article, or a menu, header,
 footer, sidebar, notice, advert, form or comments), its length, its link
-density and its stop-word density.  Short blocks that say too little stay
-undecided and in the second pass take the label of their nearest decided
+density and its stop-word density.  The lists of stop words are of four
+languages; a block that has too few of them is judged by its sentences instead,
+so other languages pass.  Short blocks that say too little stay undecided and in the second pass take the label of their nearest decided
 neighbours: both alike decide, and where they differ the nearer one does.
 
 Scripts, styles and markup never reach a block.  Broken markup is read as it
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Elements by role.
-RAW = frozenset("script style noscript template textarea title xmp iframe svg math canvas object select option datalist audio video map".split())
+RAW = frozenset("script style noscript template textarea title xmp iframe svg annotation annotation-xml canvas object select option datalist audio video map".split())
 BOILER = frozenset("nav footer aside form button menu dialog head search".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -51,12 +52,16 @@ STOP_WORDS = frozenset(
 LONG, SHORT = 140, 70
 LINKS, LINKS_MAIN = 0.3, 0.6
 STOP_LOW, STOP_HIGH = 0.12, 0.25
+#: Prose without listed stop words ends a sentence in so many characters at least.
+SENTENCE = 280
 
 GOOD, BAD, OPEN, NEAR_GOOD = 1, 0, -1, 2
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|(?=<)|\Z))", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
+#: Ends of sentences, of several scripts.
+_END = re.compile(r"[.!?…‽](?=[\s\"'»”’)\]]|$)|[。！？｡।॥؟۔։።]")
 #: A wrapper that has or lacks a sidebar isn't one.
 _WITHOUT = re.compile(r"(?:^|(?<=[\s_\-]))(?:with|has|no|without)[_\-]\S*")
 
@@ -205,6 +210,8 @@ def first_pass(b: Block, has_main: bool) -> int:
         return GOOD if size >= LONG or not b.linked else NEAR_GOOD
     if stops >= STOP_LOW:
         return NEAR_GOOD
+    if not b.linked and len(_END.findall(b.text)) * SENTENCE >= size:
+        return GOOD if size >= LONG else NEAR_GOOD  # prose in a language that isn't listed
     return OPEN if size < LONG else BAD
 
 

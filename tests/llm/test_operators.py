@@ -829,3 +829,38 @@ def test_class_prior_is_near_the_truth():
     rng = np.random.default_rng(0)
     positive, negative = rng.normal(2, 1, 3000), rng.normal(-2, 1, 1200)
     assert abs(class_prior(positive[:1500], np.r_[positive[1500:], negative]) - 1500 / 2700) < 0.05
+
+
+def test_mixed_keeps_rows_that_differ_in_other_columns(spark):
+    """Every row is taken as often as the mix says; rows equal in all columns share their copies."""
+    rows = [(k // 2, f"text number {k // 2} of some words", "en" if k % 2 else "de", "s", k % 2) for k in range(400)] + [(5, None, None, None, None), (6, "twin words", "en", "t", 1), (6, "twin words", "en", "t", 1)]
+    for parts in (2, 5):
+        got = Counter(map(tuple, mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, x int").repartition(parts)).collect()))
+        assert set(got) <= set(rows)
+        assert all(1 <= got[r] <= 2 for r in rows[:400])
+        assert sum(1 for r in rows[:400] if got[r] == 2 and r[2] == "en") > 50 and sum(1 for r in rows[:400] if got[r] == 2 and r[2] == "de") > 50
+        assert sum(len(WORD.findall(r[1] or "")) * n for r, n in got.items() if r[3] == "s") == pytest.approx(1.5 * (400 * 6 + 4) - 8, abs=12)
+        first = got if parts == 2 else first
+        assert got == first
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(spark.createDataFrame([(k, "a b", f"s{k}") for k in range(5)], "doc_id bigint, text string, source string"))
+
+
+RUSSIAN = "Дерево стояло у самой воды, и ветви его касались реки. Никто не помнил, кто посадил его здесь! Старики говорили, что оно было всегда, и дети верили им без вопросов."
+ITALIAN = "Ogni mattina passavamo davanti alla bottega chiusa, dove nessuno entrava da molti anni. Soltanto d'inverno vedevamo fumo sopra quel tetto rosso, poi silenzio ancora."
+JAPANESE = "朝になると私たちは川のそばの古い家の前を通った。誰もその家に入ったことはなかった。冬になると屋根の上に煙が見えたが、すぐに消えてしまった。" * 3
+
+
+@pytest.mark.parametrize("paragraphs", [[RUSSIAN, RUSSIAN[::1] + " Так и было."], [ITALIAN], [JAPANESE], [RUSSIAN, ITALIAN, JAPANESE]])
+def test_articles_in_any_language_without_an_article_element(paragraphs):
+    page = "<html><body><ul class='nav'><li><a href='/'>Home</a></li></ul><div id='x'>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div><div class='footer'>© 2020 a b c.</div></body></html>"
+    assert html_extract.extract(page) == "\n".join(paragraphs)
+
+
+def test_formulas_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math> be the answer.</p></article>"
+    assert html_extract.extract(page) == "Let x=2 be the answer."
