@@ -1,8 +1,9 @@
 """Verification of a code-graph document in layers: reading, shape, consistency, sources, manifest, ledger, coverage.
 
 A fault is a row (code, at, detail, ord); codes, layers and sections are fixed.
-The document is read as text and taken apart with variant functions, so a wrong
-shape is a fault of its element and never ends the check.
+A document in a file is split over tasks element by element, one in a column is
+taken apart with variant functions; a wrong shape is a fault of its element and
+never ends the check.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..schemas import EXTERNAL
 from ..session import cut
+from ..sources import json_stream
 from .assemble import all_of
 
 FAULT = "code string, at string, detail string"
@@ -36,18 +38,31 @@ def fault(rows: DataFrame, code: str, at: Column, detail: Column) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), at.alias("at"), detail.alias("detail"))
 
 
-def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """(sha, doc, why): the document's hash and itself as a variant; why is set where it is missing or can't be read."""
-    held = spark.read.format("binaryFile").load(path).select("content")
-    text = F.decode("content", "UTF-8")
-    whole = F.encode(text, "UTF-8") == F.col("content")
-    doc = F.try_parse_json(F.when(whole, text))
-    return held.select(F.sha2("content", 256).alias("sha"), doc.alias("doc"), F.when(~whole, "not UTF-8").when(doc.isNull(), "not JSON").alias("why"))
+LISTS = ("nodes", "edges", "modules")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The document in a file of any size, taken apart over many tasks.
+
+    One row (sha, doc, why): the hash, the document as a variant with its lists
+    cut short, and why it is missing or can't be read; and (list, i, v), the
+    elements of its lists.
+    """
+    held = json_stream.read(spark, path, LISTS)
+    head = spark.range(1).select(F.lit(held.sha).alias("sha"), F.lit(held.why).cast("string").alias("why"))
+    if held.why is not None:
+        return head.select("sha", F.lit(None).cast("variant").alias("doc"), "why"), held.items
+    name = F.to_json(F.array("name"))
+    fields = F.concat(F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)"), F.lit(":"), "body")
+    told = held.members.agg(F.count("name").alias("n"), F.count("*").alias("rows"), F.array_join(F.sort_array(F.collect_list(F.when(name.isNotNull(), fields))), ",").alias("fields"), F.max("body").alias("body"))
+    text = F.when((F.col("rows") > 0) & (F.col("n") == 0), F.col("body")).otherwise(F.concat(F.lit("{"), "fields", F.lit("}")))
+    return cut(head.join(F.broadcast(told)).select("sha", F.try_parse_json(text).alias("doc"), "why"), "audit-head"), held.items  # one row each
 
 
 def from_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """As read_graph, of documents in a column."""
-    doc = F.try_parse_json(text)
+    """(sha, doc, why) of documents in a column, whole.  One too large for a variant fails the job; read_graph takes it."""
+    fit = F.when(F.octet_length(text) > json_stream.LARGEST, F.raise_error(F.lit("a document too large for one value"))).otherwise(F.col(text))
+    doc = json_stream.strict(fit)
     return docs.select(F.sha2(F.col(text).cast("binary"), 256).alias("sha"), doc.alias("doc"), F.when(doc.isNull(), "not JSON").alias("why"))
 
 
@@ -95,14 +110,16 @@ def check_top(read: DataFrame) -> DataFrame:
     ])
 
 
-def _items(read: DataFrame, name: str) -> DataFrame:
-    """(i, v): the elements of a list of the document, none where it is no list."""
+def _items(read: DataFrame, name: str, items: DataFrame | None = None) -> DataFrame:
+    """(i, v): the elements of a list of the document, none where it is no list.  items: those that read_graph told apart."""
+    if items is not None:
+        return items.filter(F.col("list") == name).select(F.col("i").cast("int").alias("i"), "v")
     docs = read.filter("why is null")
     docs = docs.filter(_object(F.col("doc")))
     return docs.select(F.posexplode(F.try_variant_get("doc", f"$.{name}", "array<variant>")).alias("i", "v"))
 
 
-def elements(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def elements(read: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """nodes, edges and modules of right shape with their place i, the faults of shape and vocabulary, and what had a wrong shape.
 
     nodes (i, id, name, kind, module, file, line), edges (i, src, dst, kind,
@@ -110,7 +127,7 @@ def elements(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     """
     faults, kept = [], {}
     for name, code, shape in (("nodes", "node-shape", NODE), ("edges", "edge-shape", EDGE), ("modules", "module-shape", MODULE)):
-        told = cut(_items(read, name).withColumn("faults", F.when(~_object(F.col("v")), F.array(F.lit("not an object"))).otherwise(_field_faults("v", shape))), f"audit-{name}")
+        told = cut(_items(read, name, items).withColumn("faults", F.when(~_object(F.col("v")), F.array(F.lit("not an object"))).otherwise(_field_faults("v", shape))), f"audit-{name}")
         at = F.format_string(f"$.{name}[%d]", "i")
         faults.append(fault(told.filter(F.size("faults") > 0), code, at, F.array_join("faults", "; ")))
         kept[name] = (told.filter(F.size("faults") == 0), told.filter(F.size("faults") > 0))
@@ -304,11 +321,11 @@ def verdict(faults: DataFrame, readable: bool, checks_run: list[str], manifest:
     return {"status": status, "survey": "ready" if status == "passed" and not why else "blocked", "blocked_by": why}
 
 
-def verify(read: DataFrame, facts: DataFrame | None = None, manifest: DataFrame | None = None, report: DataFrame | None = None, inventory: tuple[DataFrame, DataFrame] | None = None, failure: DataFrame | None = None) -> tuple[DataFrame, dict]:
+def verify(read: DataFrame, facts: DataFrame | None = None, manifest: DataFrame | None = None, report: DataFrame | None = None, inventory: tuple[DataFrame, DataFrame] | None = None, failure: DataFrame | None = None, items: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """All layers in turn: the faults, and the result document without them.
 
     A layer that can't open its input leaves the later ones out; facts None
-    leaves out sources and manifest.
+    leaves out sources and manifest.  items: the elements, where read_graph gave them.
     """
     spark = read.sparkSession
     head = read.select("sha", "why", F.try_variant_get("doc", "$.language", "string").alias("language"), F.coalesce(_object(F.col("doc")), F.lit(False)).alias("is_object")).head(1)
@@ -321,7 +338,7 @@ def verify(read: DataFrame, facts: DataFrame | None = None, manifest: DataFrame
         faults.append(check_top(read))
         checks.append("V1")
     if usable:
-        nodes, edges, modules, shapes, spoiled = elements(read)
+        nodes, edges, modules, shapes, spoiled = elements(read, items)
         faults += [shapes, check_consistency(nodes, edges, modules, spoiled)]
         checks.append("V2")
         if facts is not None:

@@ -1,8 +1,9 @@
 """Folding, contraction and iterative analytics of code graphs.
 
 An edge (src, dst) says that src depends on dst.  Loops write their state to the
-shared folder (session.cut) every few steps, so plans stay flat and a lost
-executor costs one step.
+shared folder in every step, so plans stay flat and a lost executor costs one
+step.  Edges that a loop joins again and again are stored in buckets of their
+key, hubs aside (stored.Links), so no step shuffles them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..schemas import EXTERNAL
 from ..session import cut
+from . import stored
 
 
 def fold_edges(raw: DataFrame, keys: tuple[str, ...] = ("src", "dst", "kind"), evidence: tuple[str, ...] = ("label", "line"), order: str = "ord") -> DataFrame:
@@ -118,32 +120,40 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     Parallel edges add up first.  The mass of nodes without out-edges is spread
     evenly.  With a tolerance the loop ends when the summed change falls below
-    tolerance times the number of nodes.
+    tolerance times the number of nodes.  Edges and ranks are stored by node, so
+    a step shuffles contributions only; hubs lie aside.
     """
-    spark = nodes.sparkSession
     ids = cut(nodes.select("id").distinct(), "rank-nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    total = both.groupBy("src").agg(F.sum("w").alias("t"))
-    share = cut(both.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")).repartition(width, "src"), "rank-edges")
-    sinks = ids.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("sink", F.lit(True))
-    state = cut(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank")), "rank-state")
+    total = cut(both.groupBy("src").agg(F.sum("w").alias("t")), "rank-totals")
+    share = stored.Links(both.withColumnRenamed("src", "id"), "id", "rank_edges")
+    sinks = ids.join(total.select(F.col("src").alias("id")), "id", "left_anti").withColumn("sink", F.lit(True))
+    start = ids.join(sinks, "id", "left").join(total.withColumnRenamed("src", "id"), "id", "left")
+    state = stored.bucketed(start.select("id", F.coalesce("sink", F.lit(False)).alias("sink"), "t", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("old")), "id", "rank_state")
     for _ in range(iterations):
-        dangling = state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("dangling"))
-        flow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
-        base = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("dangling")
-        after = state.select("id", "sink", F.col("rank").alias("old")).join(flow, "id", "left").join(F.broadcast(dangling))  # one row
-        # the next step reads the state three times, so it is written in every step
-        after = cut(after.select("id", "sink", (base + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"), "old"), "rank-state")
-        state = after.drop("old")
+        after = stored.bucketed(rank_step(share, state, n, damping), "id", "rank_state")
+        stored.release(state)
+        state = after
         if tolerance is not None:
-            change = after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            change = state.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if change < n * tolerance:
                 break
-    return state.select("id", "rank")
+    out = cut(state.select("id", "rank"), "rank")
+    stored.release(state)
+    share.release()
+    return out
+
+
+def rank_step(share: stored.Links, state: DataFrame, n: int, damping: float) -> DataFrame:
+    """One step: state (id, sink, t, rank, old), where t is the weight of a node's out-edges."""
+    dangling = state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("dangling"))
+    flow = share.meet(state.select("id", (F.col("rank") / F.col("t")).alias("unit"))).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("unit")).alias("flow"))
+    base = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("dangling")
+    after = state.select("id", "sink", "t", F.col("rank").alias("old")).join(flow, "id", "left").join(F.broadcast(dangling))  # one row
+    return after.select("id", "sink", "t", (base + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"), "old")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int, directed: bool = False) -> DataFrame:
@@ -151,13 +161,26 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int, directed: bool = Fa
     pairs = edges.select("a", "b")
     if not directed:
         pairs = pairs.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = cut(pairs.distinct(), "reach-edges")
-    seen = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "reach")
+    links = stored.Links(pairs.distinct().withColumnRenamed("a", "id"), "id", "reach_edges")
+    front = stored.bucketed(seeds.select("id").distinct(), "id", "reach")
+    layers_, held = [(front, 0)], front
     for hop in range(1, hops + 1):
-        front = seen.filter(F.col("hop") == hop - 1)
-        found = front.join(pairs, front["id"] == pairs["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
-        seen = cut(seen.unionByName(found), "reach")
-    return seen
+        found = links.meet(front).select(F.col("b").alias("id")).distinct()
+        # what was seen is in buckets of the same key, each hop by itself
+        for seen, _ in layers_:
+            found = found.join(seen, "id", "left_anti")
+        front = stored.bucketed(found, "id", "reach")
+        layers_.append((front, hop))
+        if not front.take(1):
+            break
+    held = None
+    for seen, hop in layers_:
+        one = seen.withColumn("hop", F.lit(hop))
+        held = one if held is None else held.unionByName(one)
+    out = cut(held, "reach")
+    stored.release(*[seen for seen, _ in layers_])
+    links.release()
+    return out
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, hops: int = 1) -> DataFrame:
@@ -171,113 +194,207 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of the connected component; ends that aren't nodes are ignored.
 
     Each round takes the least label around a node and then that label's own
-    label, so long chains shorten by halves.
+    label, so long chains shorten by halves.  Edges and labels are stored by
+    node; hubs, and labels of very many nodes, are joined aside.
     """
-    ids = nodes.select("id").distinct()
+    ids = cut(nodes.select("id").distinct(), "comp-nodes")
+    n = ids.count()
     pairs = edges.select("a", "b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "comp-edges")
-    label = cut(ids.withColumn("component", F.col("id")), "comp")
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        least = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        jump = least.join(least.select(F.col("id").alias("component"), F.col("component").alias("up")), "component").select("id", F.least("component", "up").alias("component"), "old")
-        after = cut(jump, "comp")
-        label = after.drop("old")
-        if not after.filter("component <> old").take(1):
-            return label
-
-
-def closure(edges: DataFrame) -> DataFrame:
-    """(a, b): all pairs with a path from a to b, by squaring; for graphs of modules and files, not of documents."""
-    now = cut(edges.select("a", "b").distinct(), "closure")
-    count = now.count()
+    both = stored.Links(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumnRenamed("b", "id"), "id", "comp_edges")
+    label = stored.bucketed(ids.withColumns({"component": F.col("id"), "old": F.col("id")}), "id", "comp")
     while True:
-        longer = now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        now = cut(now.unionByName(longer).distinct(), "closure")
-        after = now.count()
-        if after == count:
-            return now
-        count = after
-
-
-#: Edges up to which strong components come from the closure, which has a row for each pair; beyond, from colours.
-CLOSURE = 20_000
+        near = both.meet(label.select("id", "component")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        least = cut(label.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old")), "comp-least")
+        up = least.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        after = stored.bucketed(stored.join_unique(least, up, "component", n).select("id", F.least("component", "up").alias("component"), "old"), "id", "comp")
+        stored.release(label)
+        label = after
+        if not label.filter("component <> old").take(1):
+            out = cut(label.select("id", "component"), "comp-labels")
+            stored.release(label)
+            both.release()
+            return out
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """(id, o, i, nxt, prv): how many links leave and reach each end, and one neighbour on either side."""
+    side = lambda c, d, o, i: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"), F.col(d).alias("other"))
+    rows = links.select(F.explode(F.array(side("a", "b", 1, 0), side("b", "a", 0, 1))).alias("e")).select("e.*")
+    return rows.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max(F.when(F.col("o") == 1, F.col("other"))).alias("nxt"), F.max(F.when(F.col("i") == 1, F.col("other"))).alias("prv"))
+
+
+def chain_ends(inner: DataFrame) -> DataFrame:
+    """(id, to, last, least, done) of inner (id, nxt): where the chain of an inner node leaves them, and its last inner node.
+
+    Steps double, so a chain of any length takes the logarithm of it in rounds.
+    Nodes whose chain never leaves stand in a ring of their own: done is false,
+    and least is the ring's least node.
+    """
+    n = inner.count()
+    stops = inner.select(F.col("id").alias("to"), F.lit(True).alias("_inner"))
+    now = cut(inner.select("id", F.col("nxt").alias("to")).join(stops, "to", "left").select("id", "to", F.col("id").alias("last"), F.col("id").alias("least"), F.col("_inner").isNull().alias("done")), "chain")
+    for _ in range(max(1, n).bit_length() + 1):
+        if not now.filter("not done").take(1):
+            break
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+        more = now.filter("not done").join(ahead, "to").select("id", F.col("to2").alias("to"), F.col("last2").alias("last"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"))
+        now = cut(now.filter("done").unionByName(more), "chain")
+    return now
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None, closure_up_to: int = CLOSURE) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, scc): the least id among nodes that reach each other.
 
-    Small graphs square their reachability, which takes few steps; larger ones
-    are coloured, which never holds more rows than edges.  Both give the same.
+    A round lets go of nodes that nothing leaves or nothing reaches, which are
+    components of their own; takes nodes with one link in and one out for a link
+    between the ends of their chain; and makes one node of those joined by links
+    in both directions.  What none of this shortens is coloured.  Afterwards the
+    rounds are gone through backwards: the inside of a chain belongs to its ends
+    if they belong together, and else each of its nodes stands alone.
     """
-    ids = nodes.select("id").distinct()
-    if paths is None:
-        links = cut(edges.select("a", "b").filter("a <> b").distinct(), "scc-edges")
-        if links.count() > closure_up_to:
-            return coloured_components(ids, links)
-        paths = closure(links)
-    mutual = paths.alias("x").join(paths.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("id"), F.col("x.b").alias("peer"))
-    least = mutual.groupBy("id").agg(F.min("peer").alias("least"))
-    return ids.join(least, "id", "left").select("id", F.least("id", F.coalesce("least", "id")).alias("scc"))
-
-
-def coloured_components(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, scc) by colours: ids (id) distinct, links (a, b) distinct without loops.
-
-    Nodes without edges in or out are components of their own and go first,
-    again and again.  Then the least id that reaches a node is its colour; what
-    reaches that id through nodes of its colour is its component and goes; the
-    rest starts anew.
+    ids = cut(nodes.select("id").distinct(), "scc-nodes")
+    links = edges.select("a", "b").filter("a <> b").distinct().join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    left, links = ids, cut(links.select("a", "b"), "scc-links")
+    found: list[DataFrame] = []
+    undo: list[tuple[str, DataFrame]] = []
+    while left.take(1):
+        ends = cut(_ends(links), "scc-ends")
+        touched = ends.filter("o > 0 and i > 0")
+        alone = cut(left.join(touched, "id", "left_anti").select("id"), "scc-alone")
+        inner = cut(touched.filter("o = 1 and i = 1 and nxt <> prv").select("id", "nxt", "prv"), "scc-inner")
+        some_alone, some_inner = bool(alone.take(1)), bool(inner.take(1))
+        if some_alone:
+            found.append(alone.select("id", F.col("id").alias("scc")))
+        if some_alone or some_inner:
+            gone = alone.unionByName(inner.select("id"))
+            new = None
+            if some_inner:
+                chain = chain_ends(inner)
+                found.append(chain.filter("not done").select("id", F.col("least").alias("scc")))
+                heads = inner.join(inner.select(F.col("id").alias("prv")), "prv", "left_anti").select("id", F.col("prv").alias("u"))
+                told = cut(chain.filter("done").join(heads, "id").select("last", "u", F.col("to").alias("w")), "scc-chains")
+                held = chain.filter("done").select("id", "last")
+                undo.append(("chain", cut(stored.join_unique(held, told, "last", held.count()).select("id", "u", "w"), "scc-inside")))
+                off = alone.select("id")
+                new = told.filter("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b")).join(off.withColumnRenamed("id", "a"), "a", "left_anti").join(off.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+            kept = links.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+            links = cut(kept.unionByName(new).distinct() if new is not None else kept, "scc-links")
+            left = cut(left.join(gone, "id", "left_anti"), "scc-left")
+        pairs = cut(mutual_pairs(links), "scc-mutual")
+        if pairs.take(1):
+            both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+            into = cut(components(both, pairs).filter("id <> component").select("id", F.col("component").alias("into")), "scc-into")
+            undo.append(("merge", into))
+            for end in ("a", "b"):
+                links = links.join(into.withColumnsRenamed({"id": end, "into": f"i{end}"}), end, "left")
+            links = cut(links.select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b")).filter("a <> b").distinct(), "scc-links")
+            left = cut(left.join(into, "id", "left_anti"), "scc-left")
+        elif not some_alone and not some_inner:
+            part = coloured(left, links)
+            found.append(part)
+            left = cut(left.join(part, "id", "left_anti").select("id"), "scc-left")
+            links = cut(links.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "scc-links")
+    told = ids.withColumn("scc", F.col("id")).limit(0)
+    for part in found:
+        told = told.unionByName(part)
+    told = cut(told, "scc-found")
+    for kind, rows in reversed(undo):
+        of = lambda key, name: told.select(F.col("id").alias(key), F.col("scc").alias(name))  # noqa: E731, B023
+        if kind == "merge":
+            more = stored.join_unique(rows, of("into", "scc"), "into", rows.count()).select("id", "scc")
+        else:
+            n = rows.count()
+            at_ends = stored.join_unique(stored.join_unique(rows, of("u", "su"), "u", n), of("w", "sw"), "w", n)
+            more = at_ends.select("id", F.when(F.col("su") == F.col("sw"), F.col("su")).otherwise(F.col("id")).alias("scc"))
+        told = cut(told.unionByName(more), "scc-found")
+    least = told.groupBy("scc").agg(F.min("id").alias("least"))
+    return stored.join_unique(told, least, "scc", told.count()).select("id", F.col("least").alias("scc"))
+
+
+def coloured(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, scc): some strong components of a graph whose nodes all have links in and out.
+
+    The least id that reaches a node is its colour; what reaches that id through
+    nodes of its colour is its component.  Every colour gives one.
     """
-    found, left = None, cut(ids, "scc-left")
+    rows = stored.Links(links.withColumnRenamed("a", "id"), "id", "scc_links")
+    colour = stored.bucketed(left.withColumns({"colour": F.col("id"), "old": F.col("id")}), "id", "scc_colour")
     while True:
-        while True:
-            inner = links.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
-            links = cut(inner.select("a", "b"), "scc-links")
-            kept = cut(links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "scc-kept")
-            alone = left.join(kept, "id", "left_anti").select("id", F.col("id").alias("scc"))
-            some = bool(alone.take(1))
-            found = cut(alone if found is None else found.unionByName(alone), "scc-found") if some or found is None else found
-            left = kept
-            if not some:
-                break
+        into = rows.meet(colour.select("id", "colour")).groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("near"))
+        after = stored.bucketed(colour.join(into, "id", "left").select("id", F.least("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("old")), "id", "scc_colour")
+        stored.release(colour)
+        colour = after
+        if not colour.filter("colour <> old").take(1):
+            break
+    of = cut(colour.select("id", "colour"), "scc-colour")
+    stored.release(colour)
+    rows.release()
+    n = links.count()
+    same = stored.join_unique(stored.join_unique(links, of.withColumnsRenamed({"id": "a", "colour": "ca"}), "a", n), of.withColumnsRenamed({"id": "b", "colour": "cb"}), "b", n).filter("ca = cb")
+    back = stored.Links(same.select(F.col("b").alias("id"), "a", F.col("ca").alias("colour")), "id", "scc_same")
+    part = cut(of.filter("id = colour").select("id", F.col("colour").alias("scc")), "scc-part")
+    front = part
+    while True:
+        more = back.meet(front.select("id")).select(F.col("a").alias("id"), F.col("colour").alias("scc")).distinct().join(part, "id", "left_anti")
+        front = cut(more, "scc-front")
+        if not front.take(1):
+            back.release()
+            return part
+        part = cut(part.unionByName(front), "scc-part")
+
+
+def depths(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level) of an acyclic graph: ids (id) distinct, edges (a, b) distinct.  0 has no edge out; else one more than the highest level behind an edge.
+
+    A node with one edge left is a step in a chain: its level is the greater of
+    what is known and that of the chain's end plus the way there, so chains of
+    any length are taken at once and looked up again when their end is known.
+    """
+    left, links = ids.withColumn("base", F.lit(0)), edges.select("a", "b", F.lit(1).alias("w"))
+    found, undo = ids.withColumn("level", F.lit(0)).limit(0), []
+    while True:
+        out = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("o"), F.max(F.struct("b", "w")).alias("e"))
+        told = cut(left.join(out, "id", "left").select("id", "base", F.coalesce("o", F.lit(0)).alias("o"), F.col("e.b").alias("to"), F.col("e.w").alias("d")), "depth-nodes")
+        ends = told.filter("o = 0").select("id", F.col("base").alias("level"))
+        now = told.filter("o = 1").select("id", "to", F.col("base").alias("c"), "d")
+        inside = now.select(F.col("id").alias("to"), F.lit(True).alias("_inner"))
+        now = cut(now.join(inside, "to", "left").select("id", "to", "c", "d", F.col("_inner").isNull().alias("done")), "depth-chain")
+        while now.filter("not done").take(1):
+            ahead = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
+            more = now.filter("not done").join(ahead, "to").select("id", F.col("to2").alias("to"), F.greatest("c", F.col("d") + F.col("c2")).alias("c"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"))
+            now = cut(now.filter("done").unionByName(more), "depth-chain")
+        steps = stored.join_unique(now.select("id", "to", "c", "d"), ends.withColumnsRenamed({"id": "to", "level": "end"}), "to", now.count(), "left")
+        steps = cut(steps.select("id", F.when(F.col("end").isNull(), F.col("to")).alias("to"), F.when(F.col("end").isNull(), F.col("c")).otherwise(F.greatest("c", F.col("d") + F.col("end"))).alias("c"), "d"), "depth-steps")
+        settled = ends.unionByName(steps.filter("to is null").select("id", F.col("c").alias("level")))
+        found = cut(found.unionByName(settled), "depth-found")
+        undo.append(cut(steps.filter("to is not null"), "depth-waiting"))
+        left = cut(told.filter("o > 1").select("id", "base"), "depth-left")
         if not left.take(1):
-            return found
-        colour = cut(left.withColumn("colour", F.col("id")), "scc-colour")
-        while True:
-            into = links.join(colour.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("near"))
-            after = cut(colour.join(into, "id").select("id", F.least("colour", "near").alias("colour"), F.col("colour").alias("old")), "scc-colour")
-            colour = after.drop("old")
-            if not after.filter("colour <> old").take(1):
-                break
-        same = links.join(colour.withColumnsRenamed({"id": "a", "colour": "ca"}), "a").join(colour.withColumnsRenamed({"id": "b", "colour": "cb"}), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour"))
-        same = cut(same, "scc-same")
-        part = cut(colour.filter("id = colour").select("id", F.col("colour").alias("scc")), "scc-part")
-        front = part
-        while True:
-            more = same.join(front.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), F.col("colour").alias("scc")).distinct().join(part, "id", "left_anti")
-            front = cut(more, "scc-front")
-            if not front.take(1):
-                break
-            part = cut(part.unionByName(front), "scc-part")
-        found = cut(found.unionByName(part), "scc-found")
-        left = cut(left.join(part, "id", "left_anti").select("id"), "scc-left")
+            break
+        # what stands behind an edge: a known level, or a chain that ends at an open node
+        behind = settled.select(F.col("id").alias("b"), F.lit(None).cast(ids.schema["id"].dataType).alias("to"), F.col("level").alias("c"), F.lit(0).alias("d"), F.lit(True).alias("known")).unionByName(undo[-1].select(F.col("id").alias("b"), "to", "c", "d", F.lit(False).alias("known")))
+        rows = links.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(behind, "b", "left")
+        rows = cut(rows.select("a", F.when(F.col("known").isNull(), F.col("b")).otherwise(F.col("to")).alias("b"), (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), (F.col("w") + F.col("c")).alias("c")), "depth-rows")
+        links = cut(rows.filter("b is not null").groupBy("a", "b").agg(F.max("w").alias("w")), "depth-links")
+        least = rows.filter("c is not null").groupBy(F.col("a").alias("id")).agg(F.max("c").alias("c"))
+        left = cut(left.join(least, "id", "left").select("id", F.greatest("base", F.coalesce("c", F.lit(0))).alias("base")), "depth-left")
+    for waiting in reversed(undo):
+        n = waiting.count()
+        if n:
+            known = found.select(F.col("id").alias("to"), "level")
+            found = cut(found.unionByName(stored.join_unique(waiting, known, "to", n).select("id", F.greatest("c", F.col("d") + F.col("level")).alias("level"))), "depth-found")
+    return found
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level, in_cycle): 0 depends on nothing; else one more than the highest level it depends on, cycles as one."""
     links = edges.select("a", "b").filter("a <> b").distinct()
     scc = cut(strong_components(nodes, links), "scc")
-    size = scc.groupBy("scc").agg(F.count("*").alias("n"))
-    dag = cut(links.join(scc.select(F.col("id").alias("a"), F.col("scc").alias("ca")), "a").join(scc.select(F.col("id").alias("b"), F.col("scc").alias("cb")), "b").select("ca", "cb").filter("ca <> cb").distinct(), "dag")
-    level = cut(size.select(F.col("scc").alias("c"), F.lit(0).alias("level")), "levels")
-    while True:
-        up = dag.join(level.select(F.col("c").alias("cb"), "level"), "cb").groupBy(F.col("ca").alias("c")).agg((F.max("level") + 1).alias("up"))
-        after = cut(level.join(up, "c", "left").select("c", F.coalesce("up", F.lit(0)).alias("level"), F.col("level").alias("old")), "levels")
-        level = after.drop("old")
-        if not after.filter("level <> old").take(1):
-            break
-    return scc.join(level.withColumnRenamed("c", "scc"), "scc").join(size, "scc").select("id", "level", (F.col("n") > 1).alias("in_cycle"))
+    n = scc.count()
+    size = cut(scc.groupBy("scc").agg(F.count("*").alias("n")), "scc-sizes")
+    dag = cut(links.join(scc.select(F.col("id").alias("a"), F.col("scc").alias("ca")), "a").join(scc.select(F.col("id").alias("b"), F.col("scc").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct(), "dag")
+    level = depths(size.select(F.col("scc").alias("id")), dag).withColumnRenamed("id", "scc")
+    return stored.join_unique(scc, cut(level.join(size, "scc"), "scc-levels"), "scc", n).select("id", F.col("level").cast("int").alias("level"), (F.col("n") > 1).alias("in_cycle"))
 
 
 def cycle_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -295,21 +295,6 @@ def test_stage_graph_is_checked_before_it_runs():
         run(skips, {})
 
 
-def test_coloured_components_are_the_strong_ones(spark):
-    rng = random.Random(6)
-    n = 60
-    pairs = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(80)) if a != b} | {(k, k + 1) for k in range(50, 55)} | {(55, 50)})
-    reach = {a: {a} for a in range(n)}
-    for _ in range(n):
-        for a, b in pairs:
-            reach[a] |= reach[b]
-    want = {a: min(b for b in reach[a] if a in reach[b]) for a in range(n)}
-    nodes, edges = spark.range(n), spark.createDataFrame(pairs, "a bigint, b bigint")
-    for limit in (0, 10_000):
-        assert {r["id"]: r["scc"] for r in graph.strong_components(nodes, edges, closure_up_to=limit).collect()} == want
-    assert graph.coloured_components(nodes.limit(0), edges.limit(0)).count() == 0
-
-
 def test_module_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1), (3, 4)], "a int, b int")
     assert sorted(r["path"] for r in graph.simple_cycles(edges, 4).collect()) == [[1, 2], [1, 2, 3]]
