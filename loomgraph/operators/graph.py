@@ -8,6 +8,8 @@ key, hubs aside (stored.Links), so no step shuffles them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,61 +254,59 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds are gone through backwards: the inside of a chain belongs to its ends
     if they belong together, and else each of its nodes stands alone.
     """
-    ids = cut(nodes.select("id").distinct(), "scc-nodes")
+    left = ids = cut(nodes.select("id").distinct(), "scc-nodes")
     links = edges.select("a", "b").filter("a <> b").distinct().join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    left, links = ids, cut(links.select("a", "b"), "scc-links")
-    found: list[DataFrame] = []
-    undo: list[tuple[str, DataFrame]] = []
-    while left.take(1):
-        ends = cut(_ends(links), "scc-ends")
-        touched = ends.filter("o > 0 and i > 0")
-        alone = cut(left.join(touched, "id", "left_anti").select("id"), "scc-alone")
-        inner = cut(touched.filter("o = 1 and i = 1 and nxt <> prv").select("id", "nxt", "prv"), "scc-inner")
-        some_alone, some_inner = bool(alone.take(1)), bool(inner.take(1))
-        if some_alone:
-            found.append(alone.select("id", F.col("id").alias("scc")))
-        if some_alone or some_inner:
-            gone = alone.unionByName(inner.select("id"))
-            new = None
-            if some_inner:
-                chain = chain_ends(inner)
-                found.append(chain.filter("not done").select("id", F.col("least").alias("scc")))
-                heads = inner.join(inner.select(F.col("id").alias("prv")), "prv", "left_anti").select("id", F.col("prv").alias("u"))
-                told = cut(chain.filter("done").join(heads, "id").select("last", "u", F.col("to").alias("w")), "scc-chains")
-                held = chain.filter("done").select("id", "last")
-                undo.append(("chain", cut(stored.join_unique(held, told, "last", held.count()).select("id", "u", "w"), "scc-inside")))
-                off = alone.select("id")
-                new = told.filter("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b")).join(off.withColumnRenamed("id", "a"), "a", "left_anti").join(off.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
-            kept = links.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
-            links = cut(kept.unionByName(new).distinct() if new is not None else kept, "scc-links")
-            left = cut(left.join(gone, "id", "left_anti"), "scc-left")
+    links = cut(links.select("a", "b"), "scc-links")
+    found: list[DataFrame] = [ids.withColumn("scc", F.col("id")).limit(0)]
+    undo: list[tuple] = []
+    while True:
+        role = F.when(F.col("o").isNull() | (F.col("o") == 0) | (F.col("i") == 0), "alone").when((F.col("o") == 1) & (F.col("i") == 1) & (F.col("nxt") != F.col("prv")), "inner").otherwise("left")
+        ends = cut(left.join(_ends(links), "id", "left").select("id", "nxt", "prv", role.alias("role")), "scc-ends")
+        some = {r["role"]: r["n"] for r in ends.groupBy("role").agg(F.count("*").alias("n")).collect()}  # three rows
+        alone, inner = ends.filter("role = 'alone'").select("id"), ends.filter("role = 'inner'").select("id", "nxt", "prv")
+        found.append(alone.select("id", F.col("id").alias("scc")))
+        new = None
+        if "inner" in some:
+            chain = chain_ends(inner)
+            found.append(chain.filter("not done").select("id", F.col("least").alias("scc")))
+            heads = inner.join(inner.select(F.col("id").alias("prv")), "prv", "left_anti").select("id", F.col("prv").alias("u"))
+            told = cut(chain.filter("done").join(heads, "id").select("last", "u", F.col("to").alias("w")), "scc-chains")
+            undo.append(("chain", chain.filter("done").select("id", "last"), told, some["inner"]))
+            new = told.filter("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b"))
+            for end in ("a", "b"):
+                new = new.join(alone.withColumnRenamed("id", end), end, "left_anti")
+        if set(some) <= {"alone"}:
+            break
+        left = ends.filter("role = 'left'").select("id")
+        if set(some) != {"left"}:
+            kept = links.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+            links = cut(kept.unionByName(new.select("a", "b")).distinct() if new is not None else kept, "scc-links")
+            continue
         pairs = cut(mutual_pairs(links), "scc-mutual")
         if pairs.take(1):
             both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
             into = cut(components(both, pairs).filter("id <> component").select("id", F.col("component").alias("into")), "scc-into")
-            undo.append(("merge", into))
+            undo.append(("merge", into, None, into.count()))
             for end in ("a", "b"):
                 links = links.join(into.withColumnsRenamed({"id": end, "into": f"i{end}"}), end, "left")
             links = cut(links.select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b")).filter("a <> b").distinct(), "scc-links")
-            left = cut(left.join(into, "id", "left_anti"), "scc-left")
-        elif not some_alone and not some_inner:
+            left = left.join(into, "id", "left_anti")
+        else:
             part = coloured(left, links)
             found.append(part)
             left = cut(left.join(part, "id", "left_anti").select("id"), "scc-left")
             links = cut(links.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "scc-links")
-    told = ids.withColumn("scc", F.col("id")).limit(0)
-    for part in found:
-        told = told.unionByName(part)
-    told = cut(told, "scc-found")
-    for kind, rows in reversed(undo):
-        of = lambda key, name: told.select(F.col("id").alias(key), F.col("scc").alias(name))  # noqa: E731, B023
+    known = lambda: reduce(DataFrame.unionByName, found)
+    found = [cut(known(), "scc-found")]
+    of = lambda key, name: known().select(F.col("id").alias(key), F.col("scc").alias(name))
+    for kind, rows, told, n in reversed(undo):
         if kind == "merge":
-            more = stored.join_unique(rows, of("into", "scc"), "into", rows.count()).select("id", "scc")
+            more = stored.join_unique(rows, of("into", "scc"), "into", n).select("id", "scc")
         else:
-            n = rows.count()
-            at_ends = stored.join_unique(stored.join_unique(rows, of("u", "su"), "u", n), of("w", "sw"), "w", n)
-            more = at_ends.select("id", F.when(F.col("su") == F.col("sw"), F.col("su")).otherwise(F.col("id")).alias("scc"))
-        told = cut(told.unionByName(more), "scc-found")
+            owner = told.join(of("u", "su"), "u").join(of("w", "sw"), "w").select("last", F.when(F.col("su") == F.col("sw"), F.col("su")).alias("scc"))
+            more = stored.join_unique(rows, cut(owner, "scc-owners"), "last", n).select("id", F.coalesce("scc", "id").alias("scc"))
+        found.append(cut(more, "scc-found"))
+    told = cut(known(), "scc-found")
     least = told.groupBy("scc").agg(F.min("id").alias("least"))
     return stored.join_unique(told, least, "scc", told.count()).select("id", F.col("least").alias("scc"))
 
@@ -350,8 +350,9 @@ def depths(ids: DataFrame, edges: DataFrame) -> DataFrame:
     what is known and that of the chain's end plus the way there, so chains of
     any length are taken at once and looked up again when their end is known.
     """
+    kind = ids.schema["id"].dataType
     left, links = ids.withColumn("base", F.lit(0)), edges.select("a", "b", F.lit(1).alias("w"))
-    found, undo = ids.withColumn("level", F.lit(0)).limit(0), []
+    found, undo = [ids.withColumn("level", F.lit(0)).limit(0)], []
     while True:
         out = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("o"), F.max(F.struct("b", "w")).alias("e"))
         told = cut(left.join(out, "id", "left").select("id", "base", F.coalesce("o", F.lit(0)).alias("o"), F.col("e.b").alias("to"), F.col("e.w").alias("d")), "depth-nodes")
@@ -363,27 +364,29 @@ def depths(ids: DataFrame, edges: DataFrame) -> DataFrame:
             ahead = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
             more = now.filter("not done").join(ahead, "to").select("id", F.col("to2").alias("to"), F.greatest("c", F.col("d") + F.col("c2")).alias("c"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"))
             now = cut(now.filter("done").unionByName(more), "depth-chain")
-        steps = stored.join_unique(now.select("id", "to", "c", "d"), ends.withColumnsRenamed({"id": "to", "level": "end"}), "to", now.count(), "left")
+        n = now.count()
+        steps = stored.join_unique(now.select("id", "to", "c", "d"), ends.withColumnsRenamed({"id": "to", "level": "end"}), "to", n, "left")
         steps = cut(steps.select("id", F.when(F.col("end").isNull(), F.col("to")).alias("to"), F.when(F.col("end").isNull(), F.col("c")).otherwise(F.greatest("c", F.col("d") + F.col("end"))).alias("c"), "d"), "depth-steps")
-        settled = ends.unionByName(steps.filter("to is null").select("id", F.col("c").alias("level")))
-        found = cut(found.unionByName(settled), "depth-found")
-        undo.append(cut(steps.filter("to is not null"), "depth-waiting"))
-        left = cut(told.filter("o > 1").select("id", "base"), "depth-left")
+        reached, waiting = steps.filter("to is null").select("id", F.col("c").alias("level")), steps.filter("to is not null")
+        found += [ends, reached]
+        undo.append((waiting, n))
+        left = told.filter("o > 1").select("id", "base")
         if not left.take(1):
             break
         # what stands behind an edge: a known level, or a chain that ends at an open node
-        behind = settled.select(F.col("id").alias("b"), F.lit(None).cast(ids.schema["id"].dataType).alias("to"), F.col("level").alias("c"), F.lit(0).alias("d"), F.lit(True).alias("known")).unionByName(undo[-1].select(F.col("id").alias("b"), "to", "c", "d", F.lit(False).alias("known")))
+        behind = ends.unionByName(reached).select(F.col("id").alias("b"), F.lit(None).cast(kind).alias("to"), F.col("level").alias("c"), F.lit(0).alias("d"), F.lit(True).alias("known")).unionByName(waiting.select(F.col("id").alias("b"), "to", "c", "d", F.lit(False).alias("known")))
         rows = links.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(behind, "b", "left")
         rows = cut(rows.select("a", F.when(F.col("known").isNull(), F.col("b")).otherwise(F.col("to")).alias("b"), (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), (F.col("w") + F.col("c")).alias("c")), "depth-rows")
-        links = cut(rows.filter("b is not null").groupBy("a", "b").agg(F.max("w").alias("w")), "depth-links")
+        links = rows.filter("b is not null").groupBy("a", "b").agg(F.max("w").alias("w"))
         least = rows.filter("c is not null").groupBy(F.col("a").alias("id")).agg(F.max("c").alias("c"))
-        left = cut(left.join(least, "id", "left").select("id", F.greatest("base", F.coalesce("c", F.lit(0))).alias("base")), "depth-left")
-    for waiting in reversed(undo):
-        n = waiting.count()
-        if n:
-            known = found.select(F.col("id").alias("to"), "level")
-            found = cut(found.unionByName(stored.join_unique(waiting, known, "to", n).select("id", F.greatest("c", F.col("d") + F.col("level")).alias("level"))), "depth-found")
-    return found
+        left = left.join(least, "id", "left").select("id", F.greatest("base", F.coalesce("c", F.lit(0))).alias("base"))
+    known = lambda: reduce(DataFrame.unionByName, found)
+    found = [cut(known(), "depth-found")]
+    for waiting, n in reversed(undo):
+        if n and waiting.take(1):
+            more = stored.join_unique(waiting, known().select(F.col("id").alias("to"), "level"), "to", n)
+            found.append(cut(more.select("id", F.greatest("c", F.col("d") + F.col("level")).alias("level")), "depth-found"))
+    return known()
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
