@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
+
 
 def pack(members: DataFrame, target: int = 8, group: str = "level", file: str = "file", symbol: str = "symbol") -> DataFrame:
     """(group, file, n, batch): next-fit in file order; a file larger than the target stands alone.
 
-    Only counts of files are packed (one row a file), so a group is a module's
-    or layer's file list and not its symbols.
+    Only counts of files are packed (one row a file), in ranges, so a group of
+    any number of files is packed on many tasks.
     """
-    counts = members.groupBy(group, file).agg(F.count(symbol).alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(file, kind="stable")
-        batch, filled, out = 0, 0, []
-        for n in pdf["n"]:
-            if filled and filled + n > target:
-                batch, filled = batch + 1, 0
-            out.append(batch)
-            filled += n
-        return pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    kind = counts.schema[group].dataType.simpleString()
-    return counts.groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{file}` string, n bigint, batch bigint")
+    return runs.next_fit(members.groupBy(group, file).agg(F.count(symbol).alias("n")), target, group, file)
 
 
 def sessions(batches: DataFrame, group: str = "level") -> DataFrame:
@@ -45,18 +33,10 @@ def merge_shards(shards: DataFrame, base: DataFrame | None = None) -> DataFrame:
     rows = shards.select("key", F.struct("shard", F.col("pos").cast("bigint").alias("pos")).alias("at"), "file", "rec")
     if base is not None:
         rows = rows.unionByName(base.select("key", F.struct(F.lit("").alias("shard"), F.lit(-1).cast("bigint").alias("pos")).alias("at"), "file", "rec"))
-    kind = rows.schema["rec"].dataType.simpleString()
-    record = f"struct<at:struct<shard:string,pos:bigint>,file:string,rec:{kind}>"
-    held = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "file", "rec"))).alias("s"))
-    name = "concat_ws('.', nullif(regexp_replace(substring_index({f}, '/', -1), '[.][^.]*$', ''), ''), key)"
-    named = lambda r, at: f"named_struct('key', {name.format(f=r + '.file')}, 'at', {at}, 'file', {r}.file, 'rec', {r}.rec)"
-    clash = "a.bare is not null and not (a.bare.file <=> x.file)"
-    step = f"if({clash}, named_struct('bare', cast(null as {record}), 'out', concat(a.out, array({named('a.bare', 'x.at')}, {named('x', 'x.at')}))), named_struct('bare', x, 'out', a.out))"
-    start = f"named_struct('bare', cast(null as {record}), 'out', cast(array() as array<struct<key:string,at:struct<shard:string,pos:bigint>,file:string,rec:{kind}>>))"
-    folded = held.select("key", F.expr(f"aggregate(s, {start}, (a, x) -> {step})").alias("a"))
-    bare = "if(a.bare is null, array(), array(named_struct('key', key, 'at', a.bare.at, 'file', a.bare.file, 'rec', a.bare.rec)))"
-    ends = folded.select(F.posexplode(F.expr(f"concat(a.out, {bare})")).alias("n", "e")).select("e.key", F.struct("e.at", "n").alias("at"), "e.file", "e.rec")
-    return ends.groupBy("key").agg(F.max_by(F.struct("file", "rec"), "at").alias("r")).select("key", "r.file", "r.rec")
+    ends = runs.fold_shards(rows)
+    stem = F.nullif(F.regexp_replace(F.substring_index("file", "/", -1), "[.][^.]*$", ""), F.lit(""))
+    named = ends.select(F.when(F.col("bare"), F.col("key")).otherwise(F.concat_ws(".", stem, "key")).alias("key"), F.struct("at", F.when(F.col("bare"), 2).otherwise(F.col("n")).alias("n")).alias("at"), "file", "rec")
+    return named.groupBy("key").agg(F.max_by(F.struct("file", "rec"), "at").alias("r")).select("key", "r.file", "r.rec")
 
 
 def second_pass(base: DataFrame, patch: DataFrame) -> DataFrame:
