@@ -72,6 +72,12 @@ CAPABILITIES = {"python": (True, True, "heuristic"), "cpp": (False, False, "comp
 NON_NODE_KINDS = ("file", "module", "artifact", "key", "concept")
 TERM_KINDS = ("class", "struct", "enum", "interface", "delegate", "record", "external", "function") + NON_NODE_KINDS
 TERM_EDGE_KINDS = ("inheritance", "realization", "composition", "aggregation", "association", "dependency")
+# What a dictionary says of a module and of a node, and how many names it shows.
+MODULE_MEANS = "타입 %d개를 묶은 모듈."
+MODULE_NEEDS = " %s 모듈에 의존한다."
+NODE_MEANS = "%s 모듈의 %s."
+NODE_NEAR = " %s 와(과) 이어져 있다."
+SHOWN_NAMES = 5
 TERM_SOURCES = ("codegraph", "reading", "codegraph+reading")
 
 # Languages of sources, their collectors, folders to leave out.

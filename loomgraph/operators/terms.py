@@ -30,37 +30,6 @@ def neighbours(uses: DataFrame, known: DataFrame) -> DataFrame:
     return kept.groupBy("name").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
-def meanings(near: DataFrame, shown: int = 5) -> DataFrame:
-    """(name, means): a meaning made of the first neighbours."""
-    return near.select("name", F.concat(F.lit("related to "), F.array_join(F.slice("neighbours", 1, shown), ", ")).alias("means"))
-
-
-def merge(base: DataFrame, reading: DataFrame) -> DataFrame:
-    """Structure from base, non-empty means and does from reading; unknown names are added with their source."""
-    b, r = base.alias("b"), reading.alias("r")
-    full = b.join(r, F.col("b.name") == F.col("r.name"), "full_outer")
-    filled = lambda c: F.coalesce(F.nullif(F.trim(F.col(f"r.{c}")), F.lit("")), F.col(f"b.{c}"))
-    return full.select(
-        F.coalesce("b.name", "r.name").alias("name"), F.when(F.col("b.name").isNotNull(), F.col("b.kind")).otherwise(F.col("r.kind")).alias("kind"),
-        F.when(F.col("b.name").isNotNull(), F.col("b.module")).otherwise(F.col("r.module")).alias("module"), filled("means").alias("means"), filled("does").alias("does"),
-        F.when(F.col("b.name").isNull(), "reading").otherwise("graph").alias("source"),
-    )
-
-
-def merge_uses(base: DataFrame, reading: DataFrame) -> DataFrame:
-    """Uses of base, and those of reading whose (name, to, kind) is new, marked."""
-    key = ["name", "to", "kind"]
-    fresh = reading.select(*key).distinct().join(base.select(*key), key, "left_anti")
-    return base.select(*key).distinct().withColumn("source", F.lit("graph")).unionByName(fresh.withColumn("source", F.lit("reading")))
-
-
-def project(terms: DataFrame, uses: DataFrame) -> DataFrame:
-    """(src, dst, kind, occurrences): the dictionary as a graph again; records that are no nodes go with their edges."""
-    own = terms.filter(~F.coalesce(F.col("kind").isin(*fixed.NON_NODE_KINDS), F.lit(False))).select("name").distinct()
-    kept = uses.join(own, "name", "left_semi").join(own.withColumnRenamed("name", "to"), "to", "left_semi")
-    return kept.groupBy(F.col("name").alias("src"), F.col("to").alias("dst"), "kind").agg(F.count("*").alias("occurrences"))
-
-
 def unresolved(shallow: DataFrame, merged: DataFrame, queued: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
     """shallow (name, dep): one row each with its state: resolved, unknown, queued or shallow, in that order of precedence."""
     flag = lambda df, c: df.select(F.col("name").alias("dep")).distinct().withColumn(c, F.lit(True))

@@ -564,30 +564,6 @@ def term_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return terms.neighbours(_uses(spark, d), _named(spark, d).filter("name is not null")).select("name", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query(_USES + ", rd AS (SELECT name, dep, kind FROM us WHERE length(dep) % 2 = 0 UNION SELECT dep, name, kind FROM us WHERE length(dep) % 3 = 0) SELECT name, dep, kind, 'graph' AS source FROM us UNION ALL SELECT name, dep, kind, 'reading' FROM (SELECT * FROM rd WHERE name IS NOT NULL AND dep IS NOT NULL EXCEPT SELECT * FROM us)")
-def merged_uses(spark: SparkSession, d: str) -> DataFrame:
-    u = cut(_uses(spark, d), "uses")
-    reading = u.filter(F.length("to") % 2 == 0).unionByName(u.filter(F.length("to") % 3 == 0).select(F.col("to").alias("name"), F.col("name").alias("to"), "kind")).filter("name is not null and to is not null")
-    return terms.merge_uses(u, reading).select("name", F.col("to").alias("dep"), "kind", "source")
-
-
-_BASE = "SELECT c_name AS name, c_mktsegment AS kind, 'm' || c_nationkey AS module, 'about ' || c_name AS means, NULL AS does FROM customer WHERE c_custkey % 4 <> 0"
-_READ = "SELECT c_name AS name, 'reading' AS kind, 'r' AS module, CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE 'read ' || c_custkey END AS means, 'does ' || c_custkey AS does FROM customer WHERE c_custkey % 5 <> 0"
-
-
-@query(f"WITH b AS ({_BASE}), r AS ({_READ}) SELECT coalesce(b.name, r.name) AS name, CASE WHEN b.name IS NOT NULL THEN b.kind ELSE r.kind END AS kind, CASE WHEN b.name IS NOT NULL THEN b.module ELSE r.module END AS module, coalesce(nullif(trim(r.means), ''), b.means) AS means, coalesce(nullif(trim(r.does), ''), b.does) AS does, CASE WHEN b.name IS NULL THEN 'reading' ELSE 'graph' END AS source FROM b FULL JOIN r ON b.name = r.name")
-def merged_terms(spark: SparkSession, d: str) -> DataFrame:
-    c, k = table(spark, d, "customer"), F.col("c_custkey")
-    base = c.filter(k % 4 != 0).select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), F.concat(F.lit("m"), "c_nationkey").alias("module"), F.concat(F.lit("about "), "c_name").alias("means"), F.lit(None).cast("string").alias("does"))
-    reading = c.filter(k % 5 != 0).select(F.col("c_name").alias("name"), F.lit("reading").alias("kind"), F.lit("r").alias("module"), F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit("read "), k)).alias("means"), F.concat(F.lit("does "), k).alias("does"))
-    return terms.merge(base, reading)
-
-
-@query(_USES + ", k AS (SELECT DISTINCT CASE WHEN kind = 'class' THEN name ELSE module || '_' || (line % 20) END AS name FROM node WHERE kind IN ('class', 'function')) SELECT name AS src, dep AS dst, kind, count(*) AS occurrences FROM us WHERE name IN (SELECT name FROM k) AND dep IN (SELECT name FROM k) GROUP BY ALL")
-def projected_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.project(_named(spark, d).filter("kind <> 'external'"), _uses(spark, d))
-
-
 @query("""WITH s AS (SELECT 'o' || o_orderkey AS name, 'c' || o_custkey AS dep FROM orders), m AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 5 <> 0), q AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 7 = 0), w AS (SELECT 'c' || c_custkey AS name, c_acctbal AS weight FROM customer WHERE c_custkey % 2 = 0)
 SELECT s.name, dep, CASE WHEN dep IN (SELECT name FROM m) THEN 'resolved' WHEN dep NOT IN (SELECT name FROM n) THEN 'unknown' WHEN dep IN (SELECT name FROM q) THEN 'queued' ELSE 'shallow' END AS state, coalesce(w.weight, 0.0) AS priority FROM s LEFT JOIN w ON dep = w.name""")
 def unresolved_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from loomgraph.plans import queries as core
-from loomgraph.plans import evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
+from loomgraph.plans import dictionary_queries, evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
