@@ -120,3 +120,9 @@ STAGE_ORDER = (
 WARM_ONLY = ("detect-changes",)
 RESTART_AT = {"verify-graph": "collect-graph"}
 GRADE_STAGES, REPORT_STAGES = ("collect", "grade", "emit"), ("init", "agent", "build", "check")
+
+# Folders of documents and the names of their files.
+DOC_FOLDERS = (("specs", r"^(\d{4}-\d{2}-\d{2})-(.+)-design\.md$"), ("plans", r"^(\d{4}-\d{2}-\d{2})-(.+)\.md$"))
+# Folders that are no Python root; the contract of a seal.
+NO_ROOTS = ("out", "node_modules", ".venv", "__pycache__", "docs", "test")
+SEAL_CONTRACT, SEAL_VERSION = "mode1-artifacts", 1

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.rules import document_name, similar
+from ..session import cut
+from .ordered import numbered
+
 
 def in_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, into): in-edges from other files, by name; names without any keep a row."""
@@ -78,17 +83,75 @@ def shard_state(plan: DataFrame, shards: DataFrame, faults: DataFrame) -> DataFr
     return rows.select("batch", F.when(F.col("_has").isNull(), "missing").when(F.col("_bad"), "faulty").when(F.col("_odd"), "uncovered").otherwise("good").alias("state"))
 
 
-def seal_problems(sealed: DataFrame, present: DataFrame, needed: DataFrame) -> DataFrame:
-    """(kind, path, problem): kinds a seal lacks, wrong places, missing files, other hashes, extra wiki pages."""
+def judged(sealed: DataFrame, needed: DataFrame, optional: bool) -> DataFrame:
+    """(kind): the kinds to judge; if they are optional those that are sealed, and all where none is."""
+    need = needed.select("kind").distinct()
+    if not optional:
+        return need
+    there = need.join(sealed.select("kind").distinct(), "kind", "left_semi")
+    return there.unionByName(need.join(F.broadcast(there.agg(F.count("*").alias("_n"))), F.col("_n") == 0).select("kind"))  # one row
+
+
+def seal_problems(sealed: DataFrame, present: DataFrame, needed: DataFrame, contract: DataFrame | None = None, optional: bool = False, shape: DataFrame | None = None) -> DataFrame:
+    """(kind, path, problem): kinds that a seal lacks, wrong places, missing files, other hashes, extra wiki pages.
+
+    contract is the seal's row (contract, version): where it is another, that is
+    the only problem.  Only needed kinds are judged (judged).  shape (problem)
+    says what is wrong with the form of the terms, which counts where they are
+    needed and nothing else is wrong.
+    """
     from ..functions.rules import entry_fits
 
-    absent = needed.select("kind").distinct().join(sealed.select("kind"), "kind", "left_anti").select("kind", F.lit(None).cast("string").alias("path"), F.lit("no entry").alias("problem"))
+    nothing = F.lit(None).cast("string")
+    if contract is not None:
+        other = contract.filter(~(F.col("contract").eqNullSafe(F.lit(fixed.SEAL_CONTRACT)) & F.col("version").eqNullSafe(F.lit(fixed.SEAL_VERSION)))).limit(1)
+        if other.take(1):
+            return other.select(nothing.alias("kind"), nothing.alias("path"), F.format_string("contract %s, version %s", "contract", F.col("version").cast("string")).alias("problem"))
+    need = judged(sealed, needed, optional)
+    absent = need.join(sealed.select("kind"), "kind", "left_anti").select("kind", nothing.alias("path"), F.lit("no entry").alias("problem"))
     now = present.select("path", F.col("sha256").alias("_now"))
-    rows = sealed.join(now, "path", "left")
+    rows = sealed.join(need, "kind", "left_semi").join(now, "path", "left")
     problem = F.when(~entry_fits(F.col("kind"), F.col("path")), "wrong place").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("sha256"), "changed")
-    judged = rows.select("kind", "path", problem.alias("problem")).filter("problem is not null")
-    extra = present.filter(F.regexp("path", F.lit(r"^wiki/[^/]+\.md$"))).join(sealed.select("path"), "path", "left_anti").select(F.lit("wiki").alias("kind"), "path", F.lit("extra page").alias("problem"))
-    return absent.unionByName(judged).unionByName(extra)
+    found = rows.select("kind", "path", problem.alias("problem")).filter("problem is not null")
+    pages = sealed.filter("kind = 'wiki'").join(need, "kind", "left_semi")
+    extra = present.filter(F.regexp("path", F.lit(r"^wiki/[^/]+\.md$"))).join(pages.select("path"), "path", "left_anti").select(F.lit("wiki").alias("kind"), "path", F.lit("extra page").alias("problem")).join(pages.select("kind").distinct(), "kind", "left_semi").select("kind", "path", "problem")
+    whole = absent.unionByName(found).unionByName(extra)
+    if shape is not None and need.filter("kind = 'terms'").take(1) and not whole.take(1):
+        return shape.select(F.lit("terms").alias("kind"), nothing.alias("path"), "problem")
+    return whole
+
+
+def listed_documents(listing: DataFrame) -> DataFrame:
+    """(dir, file, date, slug) of files (dir, file) that are named like the documents of their folder."""
+    named = document_name(F.col("file"), F.col("dir"))
+    return listing.select("dir", "file", named["date"].alias("date"), named["slug"].alias("slug")).filter("slug is not null")
+
+
+def document_of(listing: DataFrame, slug: str, folder: str = "specs") -> DataFrame:
+    """(dir, file, date, slug): the first file of a folder, by ord, whose slug is this one and not merely holds it."""
+    own = listing.filter(F.col("dir") == folder)
+    return listed_documents(own).join(own.select("file", "ord"), "file").filter(F.col("slug") == slug).orderBy("ord").limit(1).select("dir", "file", "date", "slug")
+
+
+def without_report(listing: DataFrame, reports: DataFrame) -> DataFrame:
+    """(place, date, dir, slug, near): documents that have no report (dir, slug), the newest first, each with the slugs like its own."""
+    docs = cut(listed_documents(listing).select("dir", "date", "slug").distinct(), "documents")
+    lacking = docs.join(reports.select("dir", "slug").distinct(), ["dir", "slug"], "left_anti")
+    # slugs that are alike share their first four characters or one is part of the other: grams of four find both
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("slug") - 3, F.lit(1))), lambda i: F.substring(F.col("slug"), i, F.lit(4)))))
+    names = docs.select("slug").distinct()
+    heads = names.filter(F.length("slug") >= 4).select(F.col("slug").alias("other"), F.substring("slug", 1, 4).alias("gram"))
+    pairs = lacking.select("slug").distinct().select("slug", grams.alias("gram")).join(heads, "gram").select("slug", "other")
+    back = names.select(F.col("slug").alias("other"), grams.alias("gram")).join(lacking.select("slug").distinct().filter(F.length("slug") >= 4).select("slug", F.substring("slug", 1, 4).alias("gram")), "gram").select("slug", "other")
+    short = names.filter(F.length("slug") < 4).select(F.col("slug").alias("other"))
+    parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    small = F.explode(F.array_distinct(F.concat(parts("slug", 1), parts("slug", 2), parts("slug", 3))))
+    held = lacking.select("slug").distinct().select("slug", small.alias("other")).join(short, "other").select("slug", "other")
+    inside = names.select(F.col("slug").alias("other"), small.alias("part")).join(lacking.select("slug").distinct().filter(F.length("slug") < 4).select("slug", F.col("slug").alias("part")), "part").select("slug", "other")
+    alike = pairs.unionByName(back).unionByName(held).unionByName(inside).distinct().filter(similar(F.col("slug"), F.col("other")))
+    near = alike.groupBy("slug").agg(F.array_sort(F.collect_set("other")).alias("near"))
+    rows = lacking.join(near, "slug", "left").select("date", "dir", "slug", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    return numbered(rows, [F.desc("date"), F.asc("dir"), F.asc("slug")], "place").select("place", "date", "dir", "slug", "near")
 
 
 def merge_python_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:

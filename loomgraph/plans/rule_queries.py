@@ -215,9 +215,15 @@ def class_labels(spark: SparkSession, d: str) -> DataFrame:
     return told.select("name", sinks.class_label(F.col("name"), F.col("members"), shown, F.col("abstract"), F.create_map().cast("map<string,string>")).alias("label"))
 
 
-@query("SELECT section, count(*) AS codes, count(*) FILTER (WHERE blocks) AS blocking FROM (VALUES " + ", ".join(f"('{audit.fixed.SECTION_OF_LAYER[layer]}', {str(code not in audit.fixed.REPORT_ONLY).lower()})" for code, layer in audit.fixed.LAYER.items()) + ") t(section, blocks) GROUP BY section")
+_CODES = sorted(audit.fixed.LAYER)
+
+
+@query("WITH c(i, code, section, blocks) AS (VALUES " + ", ".join(f"({k}, '{code}', '{audit.fixed.SECTION_OF_LAYER[audit.fixed.LAYER[code]]}', {str(code not in audit.fixed.REPORT_ONLY).lower()})" for k, code in enumerate(_CODES)) + f"), f AS (SELECT CAST(floor(value) AS BIGINT) % {len(_CODES)} AS i, event_type FROM events WHERE value >= 0) SELECT event_type, section, code, count(*) AS n, bool_and(blocks) AS blocking FROM f JOIN c USING (i) GROUP BY ALL")
 def fault_layers(spark: SparkSession, d: str) -> DataFrame:
-    return audit.layers(spark).groupBy("section").agg(F.count("*").alias("codes"), F.count(F.when(F.col("blocks"), 1)).alias("blocking"))
+    """Events as faults of a code each, by section."""
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.floor("value") % len(_CODES) + 1).cast("int"))
+    faults = table(spark, d, "events").filter("value >= 0").select("event_type", code.alias("code"))
+    return audit.placed(faults).groupBy("event_type", "section", "code").agg(F.count("*").alias("n"), F.bool_and("blocks").alias("blocking"))
 
 
 @query("WITH c AS (SELECT 'd' || (c_custkey % 20) AS name, CASE WHEN c_custkey % 4 < 2 THEN 'u' || (c_custkey % 40) ELSE 'b' END AS v FROM customer) SELECT name, v, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'place', '(f' || (c_custkey % 40) || '.cs:' || c_custkey || ')', 1 FROM customer WHERE c_custkey % 6 = 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import graph, survey
 from ..session import table
+from ..sources import readers
 from ..sources.adapters import nodes, raw_edges, with_views
 from .queries import query
 
@@ -72,7 +73,7 @@ _SEAL = "se AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'terms' ELSE 'wiki' END
 
 
 @query(f"""WITH {_SEAL}, j AS (SELECT kind, se.path, CASE WHEN NOT (kind = 'wiki' AND regexp_matches(se.path, '^wiki/[^/]+[.]md$') OR kind = 'terms' AND se.path = 'terms.json') THEN 'wrong place' WHEN pr.path IS NULL THEN 'missing' WHEN pr.sha256 <> se.sha256 THEN 'changed' END AS problem FROM se LEFT JOIN pr ON se.path = pr.path)
-SELECT kind, path, problem FROM j WHERE problem IS NOT NULL UNION ALL SELECT 'graph', NULL, 'no entry' UNION ALL SELECT 'wiki', path, 'extra page' FROM pr WHERE path NOT IN (SELECT path FROM se)""")
+SELECT kind, path, problem FROM j WHERE problem IS NOT NULL AND kind IN ('graph', 'wiki') UNION ALL SELECT 'graph', NULL, 'no entry' UNION ALL SELECT 'wiki', path, 'extra page' FROM pr WHERE path NOT IN (SELECT path FROM se)""")
 def seal_problems(spark: SparkSession, d: str) -> DataFrame:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     page = F.concat(F.lit("wiki/p"), k, F.lit(".md"))
@@ -126,5 +127,28 @@ def small_rules(spark: SparkSession, d: str) -> DataFrame:
     f = F.concat(F.lit("2026-0"), k % 9 + 1, F.lit("-10-"), F.lower("c_mktsegment"), F.when(k % 2 == 0, "-design").otherwise(""), F.lit(".md"))
     one = lambda n: F.when(k % n == 0, 1).otherwise(0)
     return table(spark, d, "customer").select(
-        k.alias("id"), R.language_of(p).alias("language"), R.import_group(i).alias("import_root"), R.plan_slug(f).alias("slug"), R.document_name(f)["date"].alias("date"), R.where(p, k.cast("int")).alias("place"), R.status_line(one(7), one(5), one(3)).alias("state"),
+        k.alias("id"), R.language_of(p).alias("language"), R.import_group(i).alias("import_root"), R.plan_slug(f).alias("slug"), R.document_name(f, F.lit("plans"))["date"].alias("date"), R.where(p, k.cast("int")).alias("place"), R.status_line(one(7), one(5), one(3)).alias("state"),
     )
+
+
+_DOCS = """d AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'specs' ELSE 'plans' END AS dir, '2026-0' || (c_custkey % 9 + 1) || '-1' || (c_custkey % 10) || '-' || lower(c_mktsegment) || CASE WHEN c_custkey % 4 < 2 THEN '-' || (c_custkey % 50) ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '-design' ELSE '' END || '.md' AS file FROM customer),
+n AS (SELECT DISTINCT dir, substr(file, 1, 10) AS date, CASE WHEN dir = 'specs' THEN regexp_extract(file, '^.{11}(.+)-design[.]md$', 1) ELSE regexp_extract(file, '^.{11}(.+)[.]md$', 1) END AS slug FROM d),
+p AS (SELECT DISTINCT lower(c_mktsegment) || '-' || (c_custkey % 50) AS slug FROM customer WHERE c_custkey % 8 = 1)"""
+
+
+@query(f"""WITH {_DOCS}, k AS (SELECT * FROM n WHERE slug <> ''), l AS (SELECT * FROM k WHERE NOT (dir = 'plans' AND slug IN (SELECT slug FROM p)))
+SELECT row_number() OVER (ORDER BY date DESC, dir, slug) AS place, date, dir, slug, coalesce((SELECT string_agg(DISTINCT o.slug, ',' ORDER BY o.slug) FROM k o WHERE o.slug <> l.slug AND (contains(o.slug, l.slug) OR contains(l.slug, o.slug) OR left(o.slug, 4) = left(l.slug, 4) AND length(o.slug) >= 4 AND length(l.slug) >= 4)), '') AS near FROM l""")
+def documents_without_report(spark: SparkSession, d: str) -> DataFrame:
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    tail = F.concat(F.lower("c_mktsegment"), F.when(k % 4 < 2, F.concat(F.lit("-"), k % 50)).otherwise(""), F.when(k % 3 == 0, "-design").otherwise(""), F.lit(".md"))
+    listing = c.select(F.when(k % 2 == 0, "specs").otherwise("plans").alias("dir"), F.concat(F.lit("2026-0"), k % 9 + 1, F.lit("-1"), k % 10, F.lit("-"), tail).alias("file"))
+    reports = c.filter(k % 8 == 1).select(F.lit("plans").alias("dir"), F.concat(F.lower("c_mktsegment"), F.lit("-"), k % 50).alias("slug"))
+    return survey.without_report(listing, reports).withColumn("near", F.array_join("near", ","))
+
+
+@query("""WITH f AS (SELECT CASE p_partkey % 6 WHEN 0 THEN p_brand || '/m.py' WHEN 1 THEN 'src/' || p_container || '/m.py' WHEN 2 THEN 'test/' || p_partkey || '.py' WHEN 3 THEN p_type || '/deep/er/m.py' WHEN 4 THEN '.' || p_brand || '/m.py' ELSE p_mfgr || '/readme.md' END AS path FROM part)
+SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM f WHERE path LIKE '%.py' AND path NOT LIKE 'test/%' AND path NOT LIKE '.%' AND path NOT LIKE '%/deep/%'""")
+def python_roots(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.when(k % 6 == 0, F.concat("p_brand", F.lit("/m.py"))).when(k % 6 == 1, F.concat(F.lit("src/"), "p_container", F.lit("/m.py"))).when(k % 6 == 2, F.concat(F.lit("test/"), k, F.lit(".py"))).when(k % 6 == 3, F.concat("p_type", F.lit("/deep/er/m.py"))).when(k % 6 == 4, F.concat(F.lit("."), "p_brand", F.lit("/m.py"))).otherwise(F.concat("p_mfgr", F.lit("/readme.md")))
+    return readers.python_roots(table(spark, d, "part").select(path.alias("path")))

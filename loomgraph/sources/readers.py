@@ -151,6 +151,21 @@ def repo_relative(uri: Column, root: str) -> Column:
     return F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(path)
 
 
+def relative_files(entries: DataFrame, root: str) -> DataFrame:
+    """(path): the distinct files of compile entries (file) below root, sorted."""
+    return entries.filter("file is not null").select(F.substring("file", len(root) + 2, 1 << 20).alias("path")).distinct().orderBy("path")
+
+
+def python_roots(listing: DataFrame) -> DataFrame:
+    """(root): folders at the top, or right below src, that hold Python files of their own, sorted; `.` where there are none.  listing: (path)."""
+    steps = F.split("path", "/")
+    deep = F.size(steps)
+    root = F.when(deep == 2, steps[0]).when((deep == 3) & (steps[0] == "src"), F.concat(F.lit("src/"), steps[1]))
+    found = listing.filter(F.col("path").endswith(".py")).select(root.alias("root")).filter("root is not null").filter(~F.col("root").startswith(".") & ~F.col("root").isin(*fixed.NO_ROOTS)).distinct()
+    none = found.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(".").alias("root"))
+    return found.unionByName(none).orderBy("root")
+
+
 def declarations(sources: DataFrame, language: str, chars: int = 0, reach: int = 14) -> DataFrame:
     """(path, n_lines, line, kind, name, doc) of lines of (path, text) that declare something.
 
