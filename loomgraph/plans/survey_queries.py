@@ -146,9 +146,9 @@ def documents_without_report(spark: SparkSession, d: str) -> DataFrame:
     return survey.without_report(listing, reports).withColumn("near", F.array_join("near", ","))
 
 
-@query("""WITH f AS (SELECT CASE p_partkey % 6 WHEN 0 THEN p_brand || '/m.py' WHEN 1 THEN 'src/' || p_container || '/m.py' WHEN 2 THEN 'test/' || p_partkey || '.py' WHEN 3 THEN p_type || '/deep/er/m.py' WHEN 4 THEN '.' || p_brand || '/m.py' ELSE p_mfgr || '/readme.md' END AS path FROM part)
+@query("""WITH f AS (SELECT CASE p_partkey % 6 WHEN 0 THEN p_brand || '/m.py' WHEN 1 THEN 'src/' || p_name || '/m.py' WHEN 2 THEN 'test/' || p_partkey || '.py' WHEN 3 THEN p_type || '/deep/er/m.py' WHEN 4 THEN '.' || p_brand || '/m.py' ELSE p_type || '/readme.md' END AS path FROM part)
 SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM f WHERE path LIKE '%.py' AND path NOT LIKE 'test/%' AND path NOT LIKE '.%' AND path NOT LIKE '%/deep/%'""")
 def python_roots(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    path = F.when(k % 6 == 0, F.concat("p_brand", F.lit("/m.py"))).when(k % 6 == 1, F.concat(F.lit("src/"), "p_container", F.lit("/m.py"))).when(k % 6 == 2, F.concat(F.lit("test/"), k, F.lit(".py"))).when(k % 6 == 3, F.concat("p_type", F.lit("/deep/er/m.py"))).when(k % 6 == 4, F.concat(F.lit("."), "p_brand", F.lit("/m.py"))).otherwise(F.concat("p_mfgr", F.lit("/readme.md")))
+    path = F.when(k % 6 == 0, F.concat("p_brand", F.lit("/m.py"))).when(k % 6 == 1, F.concat(F.lit("src/"), "p_name", F.lit("/m.py"))).when(k % 6 == 2, F.concat(F.lit("test/"), k, F.lit(".py"))).when(k % 6 == 3, F.concat("p_type", F.lit("/deep/er/m.py"))).when(k % 6 == 4, F.concat(F.lit("."), "p_brand", F.lit("/m.py"))).otherwise(F.concat("p_type", F.lit("/readme.md")))
     return readers.python_roots(table(spark, d, "part").select(path.alias("path")))
