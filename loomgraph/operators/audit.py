@@ -71,8 +71,8 @@ def check_read(read: DataFrame) -> DataFrame:
 
 
 def _shape(v: Column) -> Column:
-    """The type of a variant, whole numbers as BIGINT; of a list of one type its element's too."""
-    return F.regexp_replace(F.schema_of_variant(v), r"^ARRAY<(?!STRING>|VOID>).*$", "ARRAY")
+    """The type of a variant, whole numbers as BIGINT; of a list of one type its element's too, of an object nothing more."""
+    return F.regexp_replace(F.schema_of_variant(v), r"^(?:(OBJECT)<|(ARRAY)<(?!STRING>|VOID>)).*$", "$1$2")
 
 
 def _field_faults(v: str, shape: dict) -> Column:

@@ -318,11 +318,14 @@ def read(spark: SparkSession, path: str, lists: tuple[str, ...]) -> Document:
     shape = "m_at bigint, m_n bigint, rank bigint, low bigint, name string, kind string, body string, closing string, right boolean"
     parts = cut(whole.select(columns).unionByName(stitched.select(columns)).mapInArrow(_take_apart, shape), "json-parts")
     heads = parts.filter("rank = 0")
+    if heads.filter("kind = 'N'").take(1):
+        # no object, so nothing to take apart
+        whole = spark.read.text(path, wholetext=True).select(F.when(F.octet_length("value") > LARGEST, F.raise_error(F.lit("a document too large for one value"))).otherwise(F.col("value")).alias("body"))
+        if not whole.filter(strict(F.col("body")).isNotNull()).take(1):
+            return Document(sha, "not JSON", *none)
+        return Document(sha, None, none[0], whole.select(F.lit(None).cast("string").alias("name"), "body"))
     if parts.filter("not right").take(1) or heads.filter("kind = 'E'").take(1) or heads.filter("low = 0").count() != 1:
         return Document(sha, "not JSON", *none)
-    if heads.filter("kind = 'N'").take(1):
-        body = F.when(F.lit(parts.count() > 1), F.lit("[]")).otherwise(F.col("body"))  # its parts don't matter, as it is no object
-        return Document(sha, None, none[0], heads.filter("low = 0").select(F.lit(None).cast("string").alias("name"), body.alias("body")))
     named = cut(heads.filter("name is not null").groupBy("name").agg(F.max_by(F.struct("m_at", "m_n", "kind", "body"), F.struct("m_at", "m_n")).alias("h")).select("name", "h.*"), "json-members")
     asked = F.broadcast(named.filter(F.col("name").isin(*lists) & (F.col("kind") == "L")).select(F.col("name").alias("list"), "m_at", "m_n"))  # a row for each list asked for
     held = parts.join(asked, ["m_at", "m_n"], "left")

@@ -76,7 +76,7 @@ def test_what_is_no_json(spark, tmp_path, raw):
 
 def test_other_documents(spark, tmp_path):
     assert read(spark, tmp_path, b'{"a": "\xff"}').why == "not UTF-8"
-    for raw, want in ((b"[1, 2]", []), (b'"text"', "text"), (b"null", None), (b" {} ", {}), (b'{"nodes": [], "edges": [ ]}\n', {"nodes": [], "edges": []})):
+    for raw, want in ((b"[1, 2]", [1, 2]), (b'"text"', "text"), (b"null", None), (b" {} ", {}), (b'{"nodes": [], "edges": [ ]}\n', {"nodes": [], "edges": []})):
         got = read(spark, tmp_path, raw)
         assert got.why is None
         members = told(got)[1]
