@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.rules import stem
 from ..functions.text import citations, code_terms, short_name
+from ..session import cut
 
 
 def by_name(nodes: DataFrame, order: str = "ord") -> DataFrame:
@@ -45,33 +46,66 @@ def normalize_uses(uses: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
     return good, looked.filter("_by_id is null and _known is null").select(*uses.columns)
 
 
-_TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
+#: A token is a word or any one other character, white space too, so a term is a run of tokens wherever it stands.
+_TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_]"
 
+#: Bytes of terms that are held in every task; a larger dictionary is shuffled instead.
+HELD_BYTES = 16 << 20
 
-def pick_terms(terms: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc") -> DataFrame:
+
+def anchors(terms: DataFrame) -> DataFrame:
+    """(term, run, anchor, at, begins, laps): each distinct term's tokens, and the one it is looked for by, `at` tokens after its start.
+
+    That is the token which fewest terms have, of those the longest, then the
+    first: a word that many terms share brings no candidates for them.  begins
+    says that the term starts with a word, laps that it can overlap itself.
+    """
+    runs = terms.filter("term <> ''").select("term").distinct().withColumn("run", F.regexp_extract_all("term", F.lit(_TOKEN), F.lit(0)))
+    each = runs.select("term", "run", F.posexplode("run").alias("at", "anchor"))
+    shared = each.groupBy("anchor").agg(F.countDistinct("term").alias("_shared"))
+    told = each.join(shared, "anchor").groupBy("term").agg(F.min_by(F.struct("run", "anchor", "at"), F.struct("_shared", -F.length("anchor"), "at")).alias("a"))
+    ends_as_it_begins = F.expr("size(run) > 1 and exists(sequence(1, greatest(size(run) - 1, 1)), k -> slice(run, 1, k) = slice(run, -k, k))")
+    return told.select("term", "a.*").withColumns({"begins": F.regexp("term", F.lit("^[A-Za-z0-9_]")), "laps": ends_as_it_begins})
+
+
+def pick_terms(terms: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc", held_bytes: int = HELD_BYTES) -> DataFrame:
     """(key, term, n): terms of any number of words that stand in a text at ASCII word limits, and how often.
 
-    Texts and terms are cut into tokens; a term can only start where its first
-    token does, so places are found by an equi-join on that token, and the text
-    there is compared with the rest.  Work grows with the texts, not with texts
-    times terms.
+    A term that begins with no word character must follow one.  Of places that
+    overlap the left one counts.  Null and empty texts and terms have none; rows
+    of equal key are added up.
+
+    Texts are cut into tokens once, whatever the number of terms.  Each token
+    meets the terms anchored on it, and the tokens around it are compared with
+    theirs.  Terms of up to held_bytes are broadcast, so only what was found is
+    shuffled; beyond that tokens meet terms in a shuffle, and carry as many
+    tokens around them as the longest term has.
     """
-    known = terms.select("term").distinct().withColumn("first", F.regexp_extract("term", _TOKEN, 0)).filter("first <> ''")
-    tail = F.when(F.regexp("term", F.lit("[A-Za-z0-9_]$")), F.lit(True)).otherwise(F.lit(False))
-    known = known.withColumns({"ends_in_word": tail, "starts_in_word": F.regexp("term", F.lit("^[A-Za-z0-9_]"))})
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    # a term of one word needs no look at the text around it
-    single = F.regexp("term", F.lit("^[A-Za-z0-9_]+$"))
-    words = docs.select(key, F.explode(tokens).alias("first"))
-    one = words.join(known.filter(single).select("term", "first"), "first").groupBy(key, "term").agg(F.count("*").alias("n"))
-    longer = known.filter(~single)
-    # candidates first, by key; only texts that may hold a longer term are looked at again
-    may = docs.select(key, F.explode(F.array_distinct(tokens)).alias("first")).join(longer, "first").select(key, "term", "starts_in_word", "ends_in_word").distinct()
-    has = may.join(docs.select(key, F.col(text).alias("_text")), key)
-    lead = F.when(F.col("starts_in_word"), "(?<![A-Za-z0-9_])").otherwise("(?<=[A-Za-z0-9_])")
-    pattern = F.concat(lead, F.lit("\\Q"), "term", F.lit("\\E"), F.when(F.col("ends_in_word"), "(?![A-Za-z0-9_])").otherwise(""))
-    many = has.select(key, "term", F.regexp_count("_text", pattern).cast("bigint").alias("n")).groupBy(key, "term").agg(F.sum("n").alias("n")).filter("n > 0")
-    return one.unionByName(many)
+    known = cut(anchors(terms), "terms")
+    had = known.agg(F.coalesce(F.sum(4 * F.length("term") + 32 * F.size("run") + 64), F.lit(0)).alias("bytes"), F.coalesce(F.max("at"), F.lit(0)).alias("before"), F.coalesce(F.max(F.size("run") - F.col("at")), F.lit(1)).alias("after"), F.coalesce(F.bool_or("laps"), F.lit(False)).alias("laps")).first()
+    cut_up = docs.select(key, F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("_tokens"))
+    row = [key]
+    if had["laps"]:
+        cut_up, row = cut_up.withColumn("_text", F.xxhash64("_tokens")), [key, "_text"]
+    # outer, so that no filter on the tokens is inferred, which would cut every text again
+    places = cut_up.select(*row, "_tokens", F.posexplode_outer("_tokens").alias("_place", "anchor"))
+    if had["bytes"] <= held_bytes:
+        met = places.withColumn("_from", F.lit(0)).join(F.broadcast(known), "anchor")
+    else:
+        low = F.greatest(F.col("_place") - had["before"] - 1, F.lit(0))
+        met = places.filter("anchor is not null").select(*row, "_place", "anchor", low.alias("_from"), F.slice("_tokens", low + 1, F.col("_place") - low + had["after"]).alias("_tokens")).join(known, "anchor")
+    start = F.col("_place") - F.col("at")
+    here = start - F.col("_from")  # among the tokens at hand
+    whole = (start >= 0) & ((F.size("run") == 1) | (F.slice("_tokens", F.greatest(here, F.lit(0)) + 1, F.size("run")) == F.col("run")))
+    stands = F.col("begins") | ((start > 0) & F.coalesce(F.regexp(F.get("_tokens", here - 1), F.lit("^[A-Za-z0-9_]")), F.lit(False)))
+    found = met.filter(whole & stands)
+    if not had["laps"]:
+        return found.groupBy(key, "term").agg(F.count("*").alias("n"))
+    # places of a term that can overlap itself are taken from the left; rows alike in key and text have each place equally often
+    held = found.groupBy(*row, "term").agg(F.count("*").alias("_all"), F.array_sort(F.collect_set(F.when(F.col("laps"), start))).alias("_starts"), F.max(F.size("run")).alias("_size"))
+    apart = F.expr("aggregate(_starts, struct(0L as n, 0 as end), (a, s) -> if(s >= a.end, struct(a.n + 1L as n, s + _size as end), a), a -> a.n)")
+    counted = held.withColumn("n", F.when(F.size("_starts") == 0, F.col("_all")).otherwise((apart * F.col("_all") / F.size("_starts")).cast("bigint")))
+    return counted.groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
 def new_code_terms(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:

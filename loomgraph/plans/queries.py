@@ -533,6 +533,15 @@ def term_pick(spark: SparkSession, d: str) -> DataFrame:
     return terms.pick_terms(t, table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
+@query("""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+ [a-z]+')) AS term FROM benchmark) WHERE split_part(term, ' ', 1) <> split_part(term, ' ', 2)),
+k AS (SELECT doc_id AS doc, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]') AS r FROM documents), w AS (SELECT doc, unnest(r) AS x, generate_subscripts(r, 1) AS p FROM k),
+g AS (SELECT doc, x, lead(x, 1) OVER v AS gap, lead(x, 2) OVER v AS y FROM w WINDOW v AS (PARTITION BY doc ORDER BY p))
+SELECT doc, term, count(*) AS n FROM (SELECT doc, x || ' ' || y AS term FROM g WHERE gap = ' ') WHERE term IN (SELECT term FROM t) GROUP BY ALL""")
+def phrase_pick(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+ [a-z]+"), F.lit(0))).alias("term"))
+    return terms.pick_terms(t.filter("substring_index(term, ' ', 1) <> substring_index(term, ' ', -1)"), table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
 @query(f"WITH t AS ({_TERMS}) SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents) WHERE term NOT IN (SELECT term FROM t)")
 def new_concepts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("term"))
