@@ -126,3 +126,6 @@ DOC_FOLDERS = (("specs", r"^(\d{4}-\d{2}-\d{2})-(.+)-design\.md$"), ("plans", r"
 # Folders that are no Python root; the contract of a seal.
 NO_ROOTS = ("out", "node_modules", ".venv", "__pycache__", "docs", "test")
 SEAL_CONTRACT, SEAL_VERSION = "mode1-artifacts", 1
+
+# Names of the buckets in a difference document.
+DIFFERENCE_BUCKETS = {"unchanged": "유효", "reread": "재읽기", "location_only": "위치만", "deleted": "삭제됨"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 #: Buckets of a change set whose files are read again.
 TARGETS = ("reread", "location_only")
 
@@ -28,6 +30,55 @@ def change_targets(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.filter(F.col("verdict").isin(*TARGETS)).select("path").distinct()
 
 
+def buckets(verdict_rows: DataFrame) -> DataFrame:
+    """(verdict, n): how many paths each of the four verdicts has; all four are there, also those that no path has."""
+    counts = verdict_rows.groupBy("verdict").agg(F.count("*").alias("n"))
+    domain = verdict_rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, fixed.DIFFERENCE_BUCKETS))).alias("verdict"))
+    return domain.join(counts, "verdict", "left").select("verdict", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def live_files(verdict_rows: DataFrame) -> DataFrame:
+    """(path): tracked files that exist now, which is what no verdict calls deleted."""
+    return verdict_rows.filter(F.col("verdict").isin("unchanged", "reread", "location_only")).select("path").distinct()
+
+
+def difference_lines(verdict_rows: DataFrame, targets: DataFrame | None, hops: int, tracked: int) -> DataFrame:
+    """(part, path, line): the difference document of a scan as lines of JSON; in order of part and path they are the document.
+
+    verdict_rows (path, verdict), targets (path) that are read again, or None
+    where nothing could be judged and so all are, hops that changes were spread
+    along the graph, and how many files are tracked.  Keys are sorted, as are
+    paths, by code points; all four buckets are there.  A path that comes twice
+    with a verdict stands twice; one of another verdict is in no bucket.  No
+    list is gathered: each path is a row, and sinks.write_lines writes ranges.
+    """
+    spark = verdict_rows.sparkSession
+    names = sorted(fixed.DIFFERENCE_BUCKETS.items(), key=lambda b: b[1])
+    # part numbers leave room for a list's opening, its items and its closing
+    places = {verdict: 20 + 3 * k for k, (verdict, _) in enumerate(names)}
+    goals = 10
+    items = verdict_rows.filter(F.col("verdict").isin(*places)).select(F.coalesce(*[F.when(F.col("verdict") == v, F.lit(at)) for v, at in places.items()]).alias("at"), "path")
+    if targets is not None:
+        items = items.unionByName(targets.select(F.lit(goals).alias("at"), "path"))
+    items = items.filter("path is not null").groupBy("at", "path").agg(F.count("*").alias("n"))
+    last = items.groupBy("at").agg(F.max("path").alias("_last"))
+    lists = [(goals, "targets", 1)] * (targets is not None) + [(places[v], name, 2) for v, name in names]
+    # one row for each list, five at most
+    heads = spark.createDataFrame(lists, "at int, name string, depth int").join(last, "at", "left")
+    final = F.when(F.col("at") == max(places.values()), "").otherwise(",")
+    pad = F.repeat(F.lit(" "), F.col("depth"))
+    opened = heads.select("at", F.lit("").alias("path"), F.concat(pad, F.lit('"'), "name", F.lit('": ['), F.when(F.col("_last").isNull(), F.concat(F.lit("]"), final)).otherwise("")).alias("line"))
+    closed = heads.filter("_last is not null").select(F.col("at") + 2, F.lit(""), F.concat(pad, F.lit("]"), final))
+    told = items.join(F.broadcast(heads.filter("_last is not null").select("at", "depth", "_last")), "at")
+    ends = F.when(F.col("path") == F.col("_last"), "").otherwise(",")
+    text = F.expr("substring(to_json(struct(path)), 9, length(to_json(struct(path))) - 9)")
+    each = told.select("*", F.explode(F.expr("sequence(1L, n)")).alias("k"))
+    body = each.select(F.col("at") + 1, "path", F.concat(F.repeat(F.lit(" "), F.col("depth") + 1), text, F.when(F.col("k") < F.col("n"), ",").otherwise(ends)))
+    single = [(0, "{"), (1, f' "hops": {hops},'), (15, f' "tracked": {tracked},'), (16, ' "verdicts": {'), (90, " }"), (91, "}")] + ([(goals, ' "targets": null,')] if targets is None else [])
+    frame = spark.createDataFrame([(at, "", line) for at, line in single], "part int, path string, line string")
+    return frame.union(opened).union(body).union(closed)
+
+
 def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Recorded (path, hash) whose current hash differs; a missing one differs too."""
     now = current.select(F.col("path").alias("_p"), F.col("hash").alias("now"))

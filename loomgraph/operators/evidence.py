@@ -80,6 +80,22 @@ def entries(files: DataFrame, kind: str) -> DataFrame:
     return files.filter(right).select("path", "sha256").orderBy("path")
 
 
+def sealable(verified: DataFrame, surveys: DataFrame) -> DataFrame:
+    """(repo, kind, ord): kinds of each repository that may be sealed, numbered in order of kind.
+
+    verified (repo, kind) names what passed its check; surveys (repo, recorded,
+    current) has the survey that the wiki recorded last and the one that is, a
+    row a repository.  A wiki goes only with a record that is the current one;
+    without a row or a record it doesn't.  Kinds that come twice count once.
+    """
+    late = surveys.filter(~rules.caught_up(F.col("recorded"), F.col("current"))).select("repo").distinct().withColumn("_late", F.lit(True))
+    known = surveys.select("repo").distinct().withColumn("_known", F.lit(True))
+    held = verified.filter("kind is not null").select("repo", "kind").distinct().join(late, "repo", "left").join(known, "repo", "left")
+    good = held.filter((F.col("kind") != "wiki") | (F.col("_known") & F.col("_late").isNull())).select("repo", "kind")
+    # a repository has few kinds, however many rows name them
+    return good.withColumn("ord", F.row_number().over(Window.partitionBy("repo").orderBy("kind")))
+
+
 def refusal(sources: DataFrame, present: DataFrame, snapshot: DataFrame, wiki_recorded: str | None, snapshot_sha: str | None, kinds: tuple[str, ...]) -> tuple[str | None, DataFrame | None]:
     """Why a seal is refused, and the files: tracked sources that are gone, sources changed since the survey, a wiki behind it.  None where nothing stands against it."""
     if not kinds or any(k not in KINDS for k in kinds):

@@ -39,6 +39,16 @@ def grade(counts: DataFrame) -> DataFrame:
     return sums.select("term", "correct", "dont_know", rate.alias("rate"), mental.alias("mental"))
 
 
+def records(graded: DataFrame, means: DataFrame) -> DataFrame:
+    """(term, TermMeans, UserMentalValue) of every graded term, certain or not; what isn't known is the empty text.
+
+    means (term, means) may lack terms, have others and say null; of several
+    meanings of a term the least is taken, so no term comes twice.
+    """
+    told = means.groupBy("term").agg(F.min("means").alias("means"))
+    return graded.join(told, "term", "left").select("term", F.coalesce("means", F.lit("")).alias("TermMeans"), F.coalesce("mental", F.lit("")).alias("UserMentalValue"))
+
+
 def study_note(graded: DataFrame) -> DataFrame:
     """Terms that aren't certain, the weakest first."""
     return graded.filter("mental <> 'certain'").orderBy("rate", "term").select("term", "rate")

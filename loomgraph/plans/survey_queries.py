@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import graph, survey
+from ..operators import changes, evidence, graph, quiz, survey
 from ..session import table
 from ..sources import readers
 from ..sources.adapters import nodes, raw_edges, with_views
-from .queries import query
+from .queries import _TALLY, _quiz, query
 
 
 @query(with_views("node", "raw", "edge", body="SELECT n.name, coalesce(c.k, 0) AS into_ FROM (SELECT DISTINCT name FROM node) n LEFT JOIN (SELECT t.name, count(*) AS k FROM edge JOIN node s ON src = s.id JOIN node t ON dst = t.id WHERE s.file IS DISTINCT FROM t.file GROUP BY t.name) c ON n.name = c.name").replace("into_", "n_into"))
@@ -152,3 +152,51 @@ def python_roots(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     path = F.when(k % 6 == 0, F.concat("p_brand", F.lit("/m.py"))).when(k % 6 == 1, F.concat(F.lit("src/"), "p_name", F.lit("/m.py"))).when(k % 6 == 2, F.concat(F.lit("test/"), k, F.lit(".py"))).when(k % 6 == 3, F.concat("p_type", F.lit("/deep/er/m.py"))).when(k % 6 == 4, F.concat(F.lit("."), "p_brand", F.lit("/m.py"))).otherwise(F.concat("p_type", F.lit("/readme.md")))
     return readers.python_roots(table(spark, d, "part").select(path.alias("path")))
+
+
+_SCANS = """o AS (SELECT 'd' || doc_id AS path, doc_id % 100 AS mtime, n_chars AS size, md5(coalesce(text, '')) AS file_hash, lang AS decl_hash FROM documents WHERE doc_id % 11 <> 0),
+n AS (SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 ELSE doc_id % 101 END AS mtime, n_chars AS size, md5(CASE WHEN doc_id % 7 = 0 THEN lower(coalesce(text, '')) || 'x' ELSE coalesce(text, '') END) AS file_hash, CASE WHEN doc_id % 14 = 0 THEN source ELSE lang END AS decl_hash FROM documents WHERE doc_id % 13 <> 0),
+v AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'reread' WHEN o.mtime IS NOT DISTINCT FROM n.mtime AND o.size IS NOT DISTINCT FROM n.size THEN 'unchanged' WHEN o.file_hash = n.file_hash THEN 'unchanged' WHEN o.decl_hash IS NOT DISTINCT FROM n.decl_hash THEN 'location_only' ELSE 'reread' END AS verdict FROM o FULL JOIN n ON o.path = n.path)"""
+
+
+def _scans(spark, d):
+    x, k = table(spark, d, "documents"), F.col("doc_id")
+    text, path, size = F.coalesce("text", F.lit("")), F.concat(F.lit("d"), "doc_id").alias("path"), F.col("n_chars").alias("size")
+    old = x.filter(k % 11 != 0).select(path, (k % 100).alias("mtime"), size, F.md5(text).alias("file_hash"), F.col("lang").alias("decl_hash"))
+    now = F.md5(F.when(k % 7 == 0, F.concat(F.lower(text), F.lit("x"))).otherwise(text))
+    new = x.filter(k % 13 != 0).select(path, F.when(k % 3 == 0, k % 100).otherwise(k % 101).alias("mtime"), size, now.alias("file_hash"), F.when(k % 14 == 0, F.col("source")).otherwise(F.col("lang")).alias("decl_hash"))
+    return old, new
+
+
+@query(f"""WITH {_SCANS}, b AS (SELECT * FROM (VALUES ('deleted', '삭제됨', 20), ('location_only', '위치만', 23), ('unchanged', '유효', 26), ('reread', '재읽기', 29)) t(verdict, name, pos)),
+i AS (SELECT pos, 2 AS depth, name, path FROM b LEFT JOIN v ON b.verdict = v.verdict UNION ALL SELECT 10, 1, 'targets', path FROM v WHERE verdict IN ('reread', 'location_only')),
+g AS (SELECT pos, any_value(depth) AS depth, any_value(name) AS name, max(path) AS final FROM i GROUP BY pos)
+SELECT * FROM (VALUES (0, '', '{{'), (1, '', ' "hops": 1,'), (16, '', ' "verdicts": {{'), (90, '', ' }}'), (91, '', '}}')) t(part, path, line)
+UNION ALL SELECT 15, '', ' "tracked": ' || count(*) || ',' FROM n
+UNION ALL SELECT pos, '', repeat(' ', depth) || '"' || name || '": [' || CASE WHEN final IS NOT NULL THEN '' WHEN pos = 29 THEN ']' ELSE '],' END FROM g
+UNION ALL SELECT i.pos + 1, i.path, repeat(' ', i.depth + 1) || '"' || i.path || '"' || CASE WHEN i.path = g.final THEN '' ELSE ',' END FROM i JOIN g ON i.pos = g.pos WHERE i.path IS NOT NULL
+UNION ALL SELECT pos + 2, '', repeat(' ', depth) || CASE WHEN pos = 29 THEN ']' ELSE '],' END FROM g WHERE final IS NOT NULL""")
+def difference_document(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _scans(spark, d)
+    told = changes.verdicts(old, new)
+    return changes.difference_lines(told, changes.change_targets(told), 1, new.count())
+
+
+@query(f"WITH {_SCANS} SELECT t.verdict, count(path) AS n FROM (VALUES ('deleted'), ('location_only'), ('unchanged'), ('reread')) t(verdict) LEFT JOIN v ON t.verdict = v.verdict GROUP BY t.verdict")
+def verdict_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return changes.buckets(changes.verdicts(*_scans(spark, d)))
+
+
+@query(_TALLY + """, g AS (SELECT term, sum(correct) AS correct, sum(dont_know) AS dk FROM t WHERE complaint IS NULL GROUP BY term), m AS (SELECT 't' || (doc_id // 3) AS term, min(lang || ' of ' || source) AS means FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1)
+SELECT g.term, coalesce(means, '') AS TermMeans, CASE WHEN dk >= 2 OR correct < 2 THEN 'unknown' ELSE 'certain' END AS UserMentalValue FROM g LEFT JOIN m ON g.term = m.term""")
+def graded_records(spark: SparkSession, d: str) -> DataFrame:
+    means = table(spark, d, "documents").filter("doc_id % 4 <> 0").select(F.expr("concat('t', doc_id div 3)").alias("term"), F.concat("lang", F.lit(" of "), "source").alias("means"))
+    return quiz.records(quiz.grade(quiz.tally(*_quiz(spark, d))), means)
+
+
+@query("""WITH k AS (SELECT doc_id // 3 AS repo, CASE doc_id % 3 WHEN 0 THEN 'wiki' WHEN 1 THEN 'terms-db' ELSE source END AS kind FROM documents), s AS (SELECT doc_id AS repo, lang AS recorded, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS current FROM documents WHERE doc_id % 5 <> 0)
+SELECT repo, kind, CAST(row_number() OVER (PARTITION BY repo ORDER BY kind) AS INT) AS ord FROM (SELECT DISTINCT repo, kind FROM k WHERE kind IS NOT NULL) k WHERE kind <> 'wiki' OR EXISTS (SELECT 1 FROM s WHERE s.repo = k.repo AND recorded = current)""")
+def sealable_kinds(spark: SparkSession, d: str) -> DataFrame:
+    x, k = table(spark, d, "documents"), F.col("doc_id")
+    verified = x.select(F.expr("doc_id div 3").alias("repo"), F.when(k % 3 == 0, "wiki").when(k % 3 == 1, "terms-db").otherwise(F.col("source")).alias("kind"))
+    return evidence.sealable(verified, x.filter(k % 5 != 0).select(k.alias("repo"), F.col("lang").alias("recorded"), F.when(k % 2 == 0, F.col("lang")).otherwise(F.col("source")).alias("current")))

@@ -96,6 +96,11 @@ def write_document(value: object, path: str, indent: int = 2) -> None:
     os.replace(temp, path)
 
 
+def write_lines(lines: DataFrame, folder: str, order: tuple[str, ...] = ("part", "path")) -> None:
+    """Lines in order as text files: ranges are written side by side, and the files in order of name are the document."""
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
+
+
 def upsert(existing: DataFrame | None, fresh: DataFrame, key: list[str]) -> DataFrame:
     """Rows of fresh, and those of existing whose key isn't among them."""
     if existing is None:

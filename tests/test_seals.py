@@ -1,10 +1,12 @@
 """Seals with optional kinds, contract and form; names of documents; small readers."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
-from loomgraph.operators import survey
-from loomgraph.sources import readers
+from loomgraph.operators import changes, evidence, quiz, survey
+from loomgraph.sources import readers, sinks
 
 
 def rows(df, *columns):
@@ -47,3 +49,36 @@ def test_roots_files_and_names(spark):
     assert [r["path"] for r in readers.relative_files(entries, "/r").collect()] == ["a.cc", "b.cc"]
     said = spark.createDataFrame([('["a", "b", 3]',), ('"a"',), ("null",), (None,), ("[]",)], "j string").select(rules.names_of(F.try_parse_json("j")).alias("n"))
     assert [r["n"] for r in said.collect()] == [["a", "b", "3"], [], [], [], []]
+
+
+def test_difference_documents(spark, tmp_path):
+    held = [("b.py", "reread"), ('a "q".py', "reread"), ("é/한.py", "unchanged"), ("c.py", "location_only"), ("b.py", "reread"), (None, "reread"), ("x", "odd")]
+    told = spark.createDataFrame(held, "path string, verdict string")
+    assert dict(rows(changes.buckets(told.filter("path is not null")))) == {"unchanged": 1, "reread": 3, "location_only": 1, "deleted": 0}
+    assert rows(changes.live_files(told)) == sorted([('a "q".py',), ("b.py",), ("c.py",), ("é/한.py",), (None,)], key=repr)
+
+    def written(name, *a):
+        sinks.write_lines(changes.difference_lines(*a), f"{tmp_path}/{name}")
+        return "\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / name).glob("part-*")) if p.stat().st_size)
+
+    # what a plain writer makes of the same lists: sorted keys, one space a level
+    plain = lambda v, targets, hops, tracked: json.dumps({"verdicts": v, "targets": targets, "hops": hops, "tracked": tracked}, ensure_ascii=False, indent=1, sort_keys=True)
+    lists = {"유효": ["é/한.py"], "재읽기": ['a "q".py', "b.py", "b.py"], "위치만": ["c.py"], "삭제됨": []}
+    assert written("one", told, spark.createDataFrame([("b.py",), ("c.py",)], "path string"), 2, 4) == plain(lists, ["b.py", "c.py"], 2, 4)
+    none = {name: [] for name in lists}
+    assert written("two", told.limit(0), None, 0, 0) == plain(none, None, 0, 0)
+    assert written("three", told.filter("verdict = 'odd'"), told.select("path").limit(0), 1, 9) == plain(none, [], 1, 9)
+
+
+def test_records_of_graded_terms(spark):
+    graded = spark.createDataFrame([("a", "certain"), ("b", "unknown"), ("c", None)], "term string, mental string")
+    means = spark.createDataFrame([("a", "one"), ("a", "another"), ("b", None), ("z", "x")], "term string, means string")
+    assert rows(quiz.records(graded, means)) == [("a", "another", "certain"), ("b", "", "unknown"), ("c", "", "")]
+    assert rows(quiz.records(graded.limit(0), means)) == []
+
+
+def test_kinds_that_may_be_sealed(spark):
+    verified = spark.createDataFrame([(r, k) for r in ("good", "late", "never", "unread") for k in ("wiki", "terms-db", "wiki", None)], "repo string, kind string")
+    surveys = spark.createDataFrame([("good", "s", "s"), ("late", "old", "s"), ("unread", None, "s"), ("other", "s", "s")], "repo string, recorded string, current string")
+    assert rows(evidence.sealable(verified, surveys)) == [("good", "terms-db", 1), ("good", "wiki", 2), ("late", "terms-db", 1), ("never", "terms-db", 1), ("unread", "terms-db", 1)]
+    assert rows(evidence.sealable(verified.limit(0), surveys)) == []
