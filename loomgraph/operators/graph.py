@@ -407,20 +407,49 @@ def cycle_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return links.join(scc.select(F.col("id").alias("a"), F.col("scc").alias("sa")), "a").join(scc.select(F.col("id").alias("b"), F.col("scc").alias("sb")), "b").filter("sa = sb").select("a", "b")
 
 
+def ways_back(links: DataFrame) -> DataFrame:
+    """(start, id, back): nodes greater than start from which a path over nodes greater than it leads to start, and its fewest steps.
+
+    links (a, b) are distinct and no loops.  A path from start can close only
+    over nodes that are here; one row for each such pair.
+    """
+    near = links.filter("a > b").select(F.col("b").alias("start"), F.col("a").alias("id"))
+    seen = near = cut(near.withColumn("back", F.lit(1)), "cycle-back")
+    steps = 1
+    while near.take(1):
+        steps += 1
+        ahead = near.select("start", F.col("id").alias("b")).join(links, "b").filter(F.col("a") > F.col("start")).select("start", F.col("a").alias("id")).distinct()
+        near = cut(ahead.join(seen, ["start", "id"], "left_anti").withColumn("back", F.lit(steps)), "cycle-back")
+        seen = seen.unionByName(near)
+    return seen
+
+
 def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """(path): elementary cycles, each once, from its least node on; those of up to `longest` nodes where it is given.  For module graphs."""
+    """(path): elementary cycles, each once, from its least node on; those of up to `longest` nodes where it is given.  For module graphs.
+
+    A path goes on only over nodes greater than its start that lead back to it
+    over such nodes, and, where cycles are bounded, in few enough steps.
+    """
     links = cut(edges.select("a", "b").filter("a <> b").distinct(), "cycle-edges")
     # no cycle leaves its strong component, so no path need either
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     links = cut(cycle_edges(ends, links).select("a", "b"), "cycle-edges")
-    paths = links.filter("a < b").select(F.col("a").alias("start"), F.array("a", "b").alias("path"), F.col("b").alias("last"))
-    found, size = None, 2
+    back = cut(ways_back(links), "cycle-back")
+    # the links that a path from each start may take, each with the fewest steps from its end to the start
+    steps = back.withColumnRenamed("id", "b").join(links, "b").select("start", "a", "b", "back")
+    paths = steps.filter("a = start").select("start", F.array("a", "b").alias("path"), F.col("b").alias("last"), F.col("back").alias("_back"))
+    steps = cut(steps.filter("a > start"), "cycle-steps")
+    if longest is not None:
+        paths = paths.filter(F.size("path") + F.col("_back") - 1 <= longest)
+    paths = cut(paths, "cycle-paths")
+    found = None
     while True:
-        closed = paths.join(links, (paths["last"] == links["a"]) & (paths["start"] == links["b"])).select("path")
+        # whose last node is one step from the start
+        closed = paths.filter("_back = 1").select("path")
         found = closed if found is None else found.unionByName(closed)
-        size += 1
-        if longest is not None and size > longest:
-            return found
-        paths = cut(paths.join(links, paths["last"] == links["a"]).filter((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("start", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("last")), "cycle-paths")
+        on = paths.select("start", "path", F.col("last").alias("a")).join(steps, ["start", "a"]).filter(~F.array_contains("path", F.col("b")))
+        if longest is not None:
+            on = on.filter(F.size("path") + F.col("back") <= longest)
+        paths = cut(on.select("start", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("last"), F.col("back").alias("_back")), "cycle-paths")
         if not paths.take(1):
             return found

@@ -69,3 +69,40 @@ def test_simple_cycles_of_any_length(spark):
     got = [tuple(r["path"]) for r in graph.simple_cycles(edges).collect()]
     assert sorted(got) == sorted(found) and max(map(len, got)) == 9
     assert sorted(tuple(r["path"]) for r in graph.simple_cycles(edges, 3).collect()) == sorted(c for c in found if len(c) <= 3)
+
+
+def test_paths_go_only_where_they_can_close(spark):
+    # 1 and 2 are a cycle; from 2 leads a dense mesh without cycles of its own, whose end leads to 0 and so to 1 again
+    mesh = [(a, b) for a in range(10, 16) for b in range(a + 1, 16)]
+    pairs = [(1, 2), (2, 1), (2, 10), (15, 0), (0, 1), *mesh]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    told = sorted(tuple(r) for r in graph.ways_back(links).collect())
+    # over nodes greater than 1 nothing of the mesh leads to 1; over nodes greater than 0 all does
+    assert [t for t in told if t[0] == 1] == [(1, 2, 1)] and {t[1] for t in told if t[0] == 0} == {1, 2, *range(10, 16)}
+    assert not [t for t in told if t[0] > 1] and (0, 15, 1) in told and (0, 10, 2) in told and (0, 1, 4) in told
+    got = [tuple(r["path"]) for r in graph.simple_cycles(links).collect()]
+    assert len(got) == len(set(got)) == 1 + 2**4 and (1, 2) in got
+    assert sorted(tuple(r["path"]) for r in graph.simple_cycles(links, 5).collect()) == [(0, 1, 2, 10, 15), (1, 2)]
+
+
+def test_simple_cycles_of_random_graphs(spark):
+    import random
+
+    for seed in range(1):
+        rnd = random.Random(seed)
+        pairs = sorted({(rnd.randrange(9), rnd.randrange(9)) for _ in range(20)})
+        found = []
+
+        def walk(path):
+            for a, b in pairs:
+                if a == path[-1] and b >= path[0] and a != b:
+                    if b == path[0]:
+                        found.append(tuple(path))
+                    elif b not in path:
+                        walk([*path, b])
+
+        for k in range(9):
+            walk([k])
+        edges = spark.createDataFrame([*pairs, *pairs[:3]], "a bigint, b bigint")
+        assert sorted(tuple(r["path"]) for r in graph.simple_cycles(edges).collect()) == sorted(found)
+        assert sorted(tuple(r["path"]) for r in graph.simple_cycles(edges, 4).collect()) == sorted(c for c in found if len(c) <= 4)
