@@ -46,9 +46,11 @@ def completions(done: DataFrame, checked: Callable[[DataFrame], DataFrame], queu
 
     done is a stream of shard records (batch, key, file, rec, needs array).
     checked gives (key, fault) of a batch's faulty records.  Good records are
-    written below folder/good by batch number, so a batch that runs again
-    replaces itself; faulty ones below folder/bad with their fault.  queued gets
-    the keys whose needs are all among the good records, once each batch.
+    written below folder/good by batch number, faulty ones below folder/bad with
+    their fault, and what is still waited for below folder/waiting, so a batch
+    that runs again replaces itself.  queued gets the keys that a batch made
+    ready.  Of earlier batches only the pairs still waited for and the column of
+    keys are read, no record.  folder and checkpoint begin and end together.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -58,21 +60,36 @@ def completions(done: DataFrame, checked: Callable[[DataFrame], DataFrame], queu
             faults = checked(held).select("key", "fault")
             held.join(faults, "key", "left_anti").write.mode("overwrite").parquet(f"{folder}/good/batch={number}")
             held.join(faults, "key").write.mode("overwrite").parquet(f"{folder}/bad/batch={number}")
-            queued(ready(spark.read.schema(held.schema).parquet(f"{folder}/good/batch={number}"), spark.read.option("basePath", f"{folder}/good").parquet(f"{folder}/good/*")), number)
+            fresh = spark.read.schema(held.schema).parquet(f"{folder}/good/batch={number}")
+            # batches are numbered without gaps from 0 on; one that runs again must not see what it or a later one left
+            keys = spark.read.schema("key string").parquet(*[f"{folder}/good/batch={k}" for k in range(number + 1)])
+            waiting = spark.read.schema(WAITING).parquet(f"{folder}/waiting/batch={number - 1}") if number else spark.createDataFrame([], WAITING)
+            asked, lacking = ready(fresh, waiting, keys)
+            lacking.write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+            still = spark.read.schema(WAITING).parquet(f"{folder}/waiting/batch={number}")
+            queued(asked.join(still, "key", "left_anti"), number)
         finally:
             held.unpersist()
 
     return done.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ready(fresh: DataFrame, merged: DataFrame) -> DataFrame:
-    """(key): records with needs, fresh or waiting, all of whose needs are merged, and that a fresh record may have made ready."""
-    have = merged.select(F.col("key").alias("need")).distinct()
-    asked = merged.filter(F.size("needs") > 0).select("key", F.explode("needs").alias("need"))
-    lacking = asked.join(have, "need", "left_anti").select("key").distinct()
-    new = fresh.select("key").distinct()
-    touched = asked.join(new.withColumnRenamed("key", "need"), "need", "left_semi").select("key").unionByName(asked.join(new, "key", "left_semi").select("key")).distinct()
-    return touched.join(lacking, "key", "left_anti")
+#: What is waited for: a record's key and one of its needs that isn't merged yet.
+WAITING = "key string, need string"
+
+
+def ready(fresh: DataFrame, waiting: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key) of records that wait or are fresh and have needs, and (key, need): what of it is still lacking; the rest is ready.
+
+    fresh (key, needs), waiting (key, need) before them, keys (key) of all that
+    is merged, fresh ones too.  A pair that waited can only be met by a fresh
+    key, so only fresh needs are looked for among all keys.  A record that was
+    ready before isn't so again unless it comes again.
+    """
+    new = fresh.select("key", F.explode("needs").alias("need")).distinct()
+    left = waiting.join(fresh.select(F.col("key").alias("need")), "need", "left_anti").select("key", "need")
+    lacking = left.unionByName(new.join(keys.select(F.col("key").alias("need")), "need", "left_anti").select("key", "need")).distinct()
+    return waiting.select("key").unionByName(new.select("key")).distinct(), lacking
 
 
 def change_set(old: DataFrame | None, new: DataFrame, radius: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
