@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import cut
 
 #: Buckets of a change set whose files are read again.
 TARGETS = ("reread", "location_only")
@@ -60,7 +61,8 @@ def difference_lines(verdict_rows: DataFrame, targets: DataFrame | None, hops: i
     items = verdict_rows.filter(F.col("verdict").isin(*places)).select(F.coalesce(*[F.when(F.col("verdict") == v, F.lit(at)) for v, at in places.items()]).alias("at"), "path")
     if targets is not None:
         items = items.unionByName(targets.select(F.lit(goals).alias("at"), "path"))
-    items = items.filter("path is not null").groupBy("at", "path").agg(F.count("*").alias("n"))
+    # stored, so that the verdicts behind the lists are worked out once
+    items = cut(items.filter("path is not null").groupBy("at", "path").agg(F.count("*").alias("n")), "difference")
     last = items.groupBy("at").agg(F.max("path").alias("_last"))
     lists = [(goals, "targets", 1)] * (targets is not None) + [(places[v], name, 2) for v, name in names]
     # one row for each list, five at most
