@@ -108,13 +108,14 @@ def seal_problems(sealed: DataFrame, present: DataFrame, needed: DataFrame, cont
         if other.take(1):
             return other.select(nothing.alias("kind"), nothing.alias("path"), F.format_string("contract %s, version %s", "contract", F.col("version").cast("string")).alias("problem"))
     need = judged(sealed, needed, optional)
-    absent = need.join(sealed.select("kind"), "kind", "left_anti").select("kind", nothing.alias("path"), F.lit("no entry").alias("problem"))
+    absent = need.join(sealed.select("kind").distinct(), "kind", "left_anti").select("kind", nothing.alias("path"), F.lit("no entry").alias("problem"))
     now = present.select("path", F.col("sha256").alias("_now"))
-    rows = sealed.join(need, "kind", "left_semi").join(now, "path", "left")
+    # merge: files of many like rows are small, so Spark would think the paths are few and broadcast them
+    rows = sealed.join(need, "kind", "left_semi").join(now.hint("merge"), "path", "left")
     problem = F.when(~entry_fits(F.col("kind"), F.col("path")), "wrong place").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("sha256"), "changed")
     found = rows.select("kind", "path", problem.alias("problem")).filter("problem is not null")
     pages = sealed.filter("kind = 'wiki'").join(need, "kind", "left_semi")
-    extra = present.filter(F.regexp("path", F.lit(r"^wiki/[^/]+\.md$"))).join(pages.select("path"), "path", "left_anti").select(F.lit("wiki").alias("kind"), "path", F.lit("extra page").alias("problem")).join(pages.select("kind").distinct(), "kind", "left_semi").select("kind", "path", "problem")
+    extra = present.filter(F.regexp("path", F.lit(r"^wiki/[^/]+\.md$"))).join(pages.select("path").hint("merge"), "path", "left_anti").select(F.lit("wiki").alias("kind"), "path", F.lit("extra page").alias("problem")).join(pages.select("kind").distinct(), "kind", "left_semi").select("kind", "path", "problem")
     whole = absent.unionByName(found).unionByName(extra)
     if shape is not None and need.filter("kind = 'terms'").take(1) and not whole.take(1):
         return shape.select(F.lit("terms").alias("kind"), nothing.alias("path"), "problem")

@@ -73,13 +73,13 @@ _SEAL = "se AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'terms' ELSE 'wiki' END
 
 
 @query(f"""WITH {_SEAL}, j AS (SELECT kind, se.path, CASE WHEN NOT (kind = 'wiki' AND regexp_matches(se.path, '^wiki/[^/]+[.]md$') OR kind = 'terms' AND se.path = 'terms.json') THEN 'wrong place' WHEN pr.path IS NULL THEN 'missing' WHEN pr.sha256 <> se.sha256 THEN 'changed' END AS problem FROM se LEFT JOIN pr ON se.path = pr.path)
-SELECT kind, path, problem FROM j WHERE problem IS NOT NULL AND kind IN ('graph', 'wiki') UNION ALL SELECT 'graph', NULL, 'no entry' UNION ALL SELECT 'wiki', path, 'extra page' FROM pr WHERE path NOT IN (SELECT path FROM se)""")
+SELECT kind, path, problem FROM j WHERE problem IS NOT NULL UNION ALL SELECT 'graph', NULL, 'no entry' UNION ALL SELECT 'wiki', path, 'extra page' FROM pr WHERE path NOT IN (SELECT path FROM se)""")
 def seal_problems(spark: SparkSession, d: str) -> DataFrame:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     page = F.concat(F.lit("wiki/p"), k, F.lit(".md"))
     sealed = c.filter(k % 5 != 0).select(F.when(k % 3 == 0, "terms").otherwise("wiki").alias("kind"), F.when(k % 3 == 0, F.concat(F.lit("terms.json"), k)).otherwise(page).alias("path"), F.sha2("c_name", 256).alias("sha256"))
     present = c.filter(k % 7 != 0).select(page.alias("path"), F.sha2(F.concat("c_name", F.when(k % 11 == 0, "x").otherwise("")), 256).alias("sha256"))
-    return survey.seal_problems(sealed, present, spark.createDataFrame([("graph",), ("wiki",)], "kind string"))
+    return survey.seal_problems(sealed, present, spark.createDataFrame([("graph",), ("terms",), ("wiki",)], "kind string"))
 
 
 @query("""WITH n AS (SELECT c_custkey AS id, 'f' || c_custkey AS name FROM customer), e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7) % 100 AS dst FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT 'f' || o_custkey AS caller, 'f' || ((o_custkey * 7) % 120) AS callee FROM orders WHERE o_orderkey % 2 = 0),
