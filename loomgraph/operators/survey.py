@@ -184,8 +184,10 @@ def excluded_files(tracked: DataFrame, scope: DataFrame, dropped: DataFrame) ->
 
 def resolve_paths(tokens: DataFrame, listing: DataFrame, bases: list[str]) -> DataFrame:
     """(token, path): a token below the first base that has it; a bare name only where it is the only one."""
+    asked = tokens.select("token").distinct()  # a token, and a path, may come any number of times
+    files = listing.groupBy("path").agg(F.count("*").alias("n"))
     rank = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(b).alias("base")) for k, b in enumerate(bases)]))
-    tried = tokens.select("token", rank.alias("b")).select("token", "b.rank", F.concat(F.when(F.col("b.base") == "", "").otherwise(F.concat("b.base", F.lit("/"))), "token").alias("path"))
-    hit = tried.join(listing.select("path"), "path").groupBy("token").agg(F.min_by("path", "rank").alias("direct"))
-    names = listing.groupBy(F.element_at(F.split("path", "/"), -1).alias("token")).agg(F.count("*").alias("n"), F.min("path").alias("only")).filter("n = 1").select("token", "only")
-    return tokens.select("token").distinct().join(hit, "token", "left").join(names, "token", "left").select("token", F.coalesce("direct", "only").alias("path"))
+    tried = asked.select("token", rank.alias("b")).select("token", "b.rank", F.concat(F.when(F.col("b.base") == "", "").otherwise(F.concat("b.base", F.lit("/"))), "token").alias("path"))
+    hit = tried.join(files.select("path").hint("merge"), "path").groupBy("token").agg(F.min_by("path", "rank").alias("direct"))
+    names = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("token")).agg(F.sum("n").alias("n"), F.min("path").alias("only")).filter("n = 1").select("token", "only")
+    return asked.join(hit.hint("merge"), "token", "left").join(names.hint("merge"), "token", "left").select("token", F.coalesce("direct", "only").alias("path"))

@@ -2,11 +2,29 @@
 
 import random
 
-from loomgraph.operators import graph
+from pyspark.sql import functions as F
+
+from loomgraph.operators import graph, survey
 from loomgraph.plans import queries as core
 from loomgraph.plans import evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
 
 
+def joined_rows(df):
+    """Rows that the joins of a collected DataFrame made."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+            if "Join" in p.nodeName():
+                out.append(p.metrics().apply("numOutputRows").value())
+    return out
+
+
 def test_box_overlaps_takes_every_vector(spark, tmp_path):
     rng = random.Random(4)
     boxes = [(k, [rng.random() / 2, rng.random() / 2]) for k in range(0, 600, 3)]
@@ -112,3 +130,13 @@ def test_seal_problems_judges_every_kind(spark, data):
     keys = [r["c_custkey"] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect()]
     got = [r["path"] for r in core.QUERIES["seal_problems"](spark, data).filter("kind = 'terms'").collect()]
     assert sorted(got) == sorted(f"terms.json{k}" for k in keys if k % 3 == 0 and k % 5 != 0)
+
+
+def test_resolved_paths_takes_repeated_tokens_once(spark):
+    # 2000 rows of a token and as many of its path: their pairs, 4 million, never end up as rows
+    again = spark.range(2000)
+    tokens = again.select(F.lit("n").alias("token")).unionByName(spark.createDataFrame([("only",), ("twice",), ("none",), (None,)], "token string"))
+    listing = again.select(F.lit("x/n").alias("path")).unionByName(spark.createDataFrame([("a/n",), ("q/only",), ("q/twice",), ("q/twice",)], "path string"))
+    df = survey.resolve_paths(tokens, listing, ["a", "x"])
+    assert sorted(map(tuple, df.collect()), key=repr) == [("n", "a/n"), ("none", None), ("only", "q/only"), ("twice", None), (None, None)]
+    assert max(joined_rows(df)) <= 10
