@@ -24,14 +24,23 @@ def _place(file: Column, line: Column) -> Column:
     return F.when(F.coalesce(file, F.lit("")) == "", "").when(F.coalesce(line, F.lit(0)) == 0, file).otherwise(F.concat(file, F.lit(":"), line.cast("string")))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast.
+
+    Files of many like rows are small, so Spark would think that records are few
+    and hold them all in the driver.
+    """
+    return df.hint("merge")
+
+
 def neighboured(records: DataFrame, uses: DataFrame) -> DataFrame:
     """records with neighbours: what a module states, and both ends of uses between records, sorted, without itself."""
     keys = records.select("name")
-    pairs = uses.select("name", F.col("to").alias("other")).filter("name <> other").distinct().join(keys.withColumnRenamed("name", "other"), "other", "left_semi").join(keys, "name", "left_semi")
+    pairs = uses.select("name", F.col("to").alias("other")).filter("name <> other").distinct().join(_shuffled(keys.withColumnRenamed("name", "other")), "other", "left_semi").join(_shuffled(keys), "name", "left_semi")
     both = pairs.select("name", "other").unionByName(pairs.select(F.col("other").alias("name"), F.col("name").alias("other")))
     stated = records.filter(F.col("kind") == "module").select("name", F.explode("near").alias("other"))
     near = both.unionByName(stated).filter("other <> ''").groupBy("name").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
-    return records.drop("neighbours").join(near, "name", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>"))).select(RECORD)
+    return records.drop("neighbours").join(_shuffled(near), "name", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>"))).select(RECORD)
 
 
 def build(nodes: DataFrame, edges: DataFrame, modules: DataFrame, hotspots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +60,11 @@ def build(nodes: DataFrame, edges: DataFrame, modules: DataFrame, hotspots: Data
     members = nodes.filter(F.coalesce("module", F.lit("")) != "").groupBy(F.col("module").alias("name")).agg(F.count("*").alias("n"))
     deps = F.array_sort(F.coalesce("depends_on", nothing))
     told = F.concat(F.format_string(fixed.MODULE_MEANS, F.coalesce("n", F.lit(0))), F.when(F.size("near") > 0, F.format_string(fixed.MODULE_NEEDS, F.array_join(F.slice("near", 1, fixed.SHOWN_NAMES), ", "))).otherwise(""))
-    groups = modules.filter(F.coalesce("id", F.lit("")) != "").select(F.col("id").alias("name"), deps.alias("near")).join(own.select("name"), "name", "left_anti").join(members, "name", "left")
+    groups = modules.filter(F.coalesce("id", F.lit("")) != "").select(F.col("id").alias("name"), deps.alias("near")).join(_shuffled(own.select("name")), "name", "left_anti").join(_shuffled(members), "name", "left")
     groups = groups.select("name", F.col("name").alias("id"), F.lit("module").alias("kind"), F.col("name").alias("module"), F.lit("").alias("where"), told.alias("means"), F.lit(None).cast("string").alias("does"), "near", nothing.alias("neighbours"), F.lit("codegraph").alias("source"), F.lit(False).alias("hotspot"))
     by_id = nodes.groupBy("id").agg(F.max_by("name", "ord").alias("name")).filter("coalesce(name, '') <> ''")
     ends = lambda e, n: by_id.select(F.col("id").alias(e), F.col("name").alias(n))
-    uses = edges.join(ends("src", "name"), "src").join(ends("dst", "to"), "dst")
+    uses = edges.join(_shuffled(ends("src", "name")), "src").join(_shuffled(ends("dst", "to")), "dst")
     uses = cut(uses.select("name", "to", F.coalesce("kind", F.lit("dependency")).alias("kind"), "label", _place(F.col("file"), F.col("line")).alias("where"), "ord", F.lit(None).cast("string").alias("source")), "dictionary-uses")
     records = cut(neighboured(cut(own.unionByName(groups), "dictionary"), uses), "dictionary")
     about = F.concat(F.format_string(fixed.NODE_MEANS, "module", "kind"), F.when(F.size("neighbours") > 0, F.format_string(fixed.NODE_NEAR, F.array_join(F.slice("neighbours", 1, fixed.SHOWN_NAMES), ", "))).otherwise(""))
@@ -103,11 +112,11 @@ def project(records: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame,
     nodes = cut(own.select(F.coalesce(F.nullif("id", F.lit("")), "name").alias("id"), "name", "kind", "module", place["file"].alias("file"), place["line"].alias("line")), "projected-nodes")
     n = uses.count()
     end = lambda key, to: nodes.select(F.col("name").alias(key), F.col("id").alias(to), F.col("kind").alias(f"{to}_kind"), F.col("module").alias(f"{to}_module"))
-    told = stored.join_unique(stored.join_unique(uses, end("name", "src"), "name", n), end("to", "dst"), "to", n)
+    told = stored.join_unique(stored.join_unique(uses, _shuffled(end("name", "src")), "name", n), _shuffled(end("to", "dst")), "to", n)
     first = told.groupBy("src", "dst", "kind").agg(F.min_by(F.struct("label", "where", "src_module", "dst_kind", "dst_module"), F.struct("name", "ord")).alias("e"), F.count("*").alias("occurrences"))
     at = rules.split_where(F.nullif("where", F.lit("")))
     edges = cut(first.select("src", "dst", "kind", "e.*", "occurrences"), "projected-edges")
     shown = edges.select("src", "dst", "kind", "label", at["file"].alias("file"), at["line"].alias("line"), "occurrences", F.when(F.col("dst_kind") == "external", F.lit(False)).alias("constraint"))
     across = edges.filter("dst_kind <> 'external' and coalesce(src_module, '') <> '' and coalesce(dst_module, '') <> '' and src_module <> dst_module").groupBy(F.col("src_module").alias("id")).agg(F.array_sort(F.collect_set("dst_module")).alias("depends_on"))
     listed = nodes.filter("kind <> 'external' and coalesce(module, '') <> ''").select(F.col("module").alias("id")).distinct()
-    return nodes, shown, listed.join(across, "id", "left").select("id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    return nodes, shown, listed.join(_shuffled(across), "id", "left").select("id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, survey
+from loomgraph.operators import dictionary, graph, survey
 from loomgraph.plans import queries as core
 from loomgraph.plans import evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
 
@@ -140,3 +141,25 @@ def test_resolved_paths_takes_repeated_tokens_once(spark):
     df = survey.resolve_paths(tokens, listing, ["a", "x"])
     assert sorted(map(tuple, df.collect()), key=repr) == [("n", "a/n"), ("none", None), ("only", "q/only"), ("twice", None), (None, None)]
     assert max(joined_rows(df)) <= 10
+
+
+def ring_graph(spark, names):
+    """Nodes, edges and modules of a ring of so many names."""
+    ids = spark.range(names)
+    nodes = ids.select(F.col("id").alias("ord"), F.concat(F.lit("P"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("m"), F.col("id") % 3).alias("module"), F.lit("f.h").alias("file"), F.lit(1).alias("line"))
+    edges = ids.select(F.col("id").alias("ord"), F.concat(F.lit("P"), "id").alias("src"), F.concat(F.lit("P"), (F.col("id") + 1) % names).alias("dst"), F.lit("dependency").alias("kind"), F.lit("l").alias("label"), F.lit("e.h").alias("file"), F.lit(2).alias("line"))
+    modules = spark.createDataFrame([(f"m{k}", []) for k in range(3)], "id string, depends_on array<string>")
+    return nodes, edges, modules
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """A limit that a broadcast of 60,000 records breaks."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_projected_edges_of_many_names(spark, small_broadcasts):
+    shown = dictionary.project(*dictionary.build(*ring_graph(spark, 60000)))[1]
+    assert [tuple(r) for r in shown.agg(F.count("*"), F.sum("occurrences"), F.countDistinct("src"), F.countDistinct("dst"), F.max("line")).collect()] == [(60000, 60000, 60000, 60000, 2)]
