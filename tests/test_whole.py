@@ -163,3 +163,8 @@ def small_broadcasts(spark):
 def test_projected_edges_of_many_names(spark, small_broadcasts):
     shown = dictionary.project(*dictionary.build(*ring_graph(spark, 60000)))[1]
     assert [tuple(r) for r in shown.agg(F.count("*"), F.sum("occurrences"), F.countDistinct("src"), F.countDistinct("dst"), F.max("line")).collect()] == [(60000, 60000, 60000, 60000, 2)]
+
+
+def test_projected_modules_of_many_names(spark, small_broadcasts):
+    listed = dictionary.project(*dictionary.build(*ring_graph(spark, 60000)))[2]
+    assert sorted((r["id"], r["depends_on"]) for r in listed.collect()) == [("m0", ["m1"]), ("m1", ["m2"]), ("m2", ["m0"])]
