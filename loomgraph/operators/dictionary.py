@@ -33,6 +33,11 @@ def _shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """df, with one small row for a key, as the right side of a join with far more rows: never broadcast, and the many are shuffled but not sorted."""
+    return df.hint("shuffle_hash")
+
+
 def neighboured(records: DataFrame, uses: DataFrame) -> DataFrame:
     """records with neighbours: what a module states, and both ends of uses between records, sorted, without itself."""
     keys = records.select("name")
@@ -43,12 +48,12 @@ def neighboured(records: DataFrame, uses: DataFrame) -> DataFrame:
     return records.drop("neighbours").join(_shuffled(near), "name", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>"))).select(RECORD)
 
 
-def build(nodes: DataFrame, edges: DataFrame, modules: DataFrame, hotspots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records and uses of a graph: nodes (ord, id, name, kind, module, file, line), edges (ord, src, dst, kind, label, file, line), modules (id, depends_on), hotspots (name).
+def entries(nodes: DataFrame, modules: DataFrame) -> DataFrame:
+    """Records of a graph's nodes (ord, id, name, kind, module, file, line) and modules (id, depends_on), still without neighbours and without what a node means.
 
-    Of nodes that share a name, or an id, the last is meant.  A module is a
-    record unless a node has its name; what it means counts its nodes and names
-    the first modules it depends on, and what a node means its first neighbours.
+    Of nodes that share a name the last is meant.  A module is a record unless a
+    node has its name; what it means counts its nodes and names the first
+    modules it depends on.
     """
     named = nodes.filter(F.coalesce("name", F.lit("")) != "")
     last = named.groupBy("name").agg(F.max_by(F.struct("id", "kind", "module", "file", "line"), "ord").alias("r")).select("name", "r.*")
@@ -62,11 +67,21 @@ def build(nodes: DataFrame, edges: DataFrame, modules: DataFrame, hotspots: Data
     told = F.concat(F.format_string(fixed.MODULE_MEANS, F.coalesce("n", F.lit(0))), F.when(F.size("near") > 0, F.format_string(fixed.MODULE_NEEDS, F.array_join(F.slice("near", 1, fixed.SHOWN_NAMES), ", "))).otherwise(""))
     groups = modules.filter(F.coalesce("id", F.lit("")) != "").select(F.col("id").alias("name"), deps.alias("near")).join(_shuffled(own.select("name")), "name", "left_anti").join(_shuffled(members), "name", "left")
     groups = groups.select("name", F.col("name").alias("id"), F.lit("module").alias("kind"), F.col("name").alias("module"), F.lit("").alias("where"), told.alias("means"), F.lit(None).cast("string").alias("does"), "near", nothing.alias("neighbours"), F.lit("codegraph").alias("source"), F.lit(False).alias("hotspot"))
-    by_id = nodes.groupBy("id").agg(F.max_by("name", "ord").alias("name")).filter("coalesce(name, '') <> ''")
+    return own.unionByName(groups)
+
+
+def uses_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Uses of a graph's edges (ord, src, dst, kind, label, file, line) between nodes (ord, id, name); of nodes that share an id the last is meant."""
+    by_id = cut(nodes.groupBy("id").agg(F.max_by("name", "ord").alias("name")).filter("coalesce(name, '') <> ''"), "dictionary-ids")
     ends = lambda e, n: by_id.select(F.col("id").alias(e), F.col("name").alias(n))
-    uses = edges.join(_shuffled(ends("src", "name")), "src").join(_shuffled(ends("dst", "to")), "dst")
-    uses = cut(uses.select("name", "to", F.coalesce("kind", F.lit("dependency")).alias("kind"), "label", _place(F.col("file"), F.col("line")).alias("where"), "ord", F.lit(None).cast("string").alias("source")), "dictionary-uses")
-    records = cut(neighboured(cut(own.unionByName(groups), "dictionary"), uses), "dictionary")
+    uses = edges.join(_hashed(ends("src", "name")), "src").join(_hashed(ends("dst", "to")), "dst")
+    return uses.select("name", "to", F.coalesce("kind", F.lit("dependency")).alias("kind"), "label", _place(F.col("file"), F.col("line")).alias("where"), "ord", F.lit(None).cast("string").alias("source"))
+
+
+def build(nodes: DataFrame, edges: DataFrame, modules: DataFrame, hotspots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and uses of a graph: entries() and uses_of(), hotspots (name); what a node means names its first neighbours."""
+    uses = cut(uses_of(nodes, edges), "dictionary-uses")
+    records = cut(neighboured(cut(entries(nodes, modules), "dictionary"), uses), "dictionary")
     about = F.concat(F.format_string(fixed.NODE_MEANS, "module", "kind"), F.when(F.size("neighbours") > 0, F.format_string(fixed.NODE_NEAR, F.array_join(F.slice("neighbours", 1, fixed.SHOWN_NAMES), ", "))).otherwise(""))
     records = records.withColumn("means", F.when(F.col("kind") == "module", F.col("means")).otherwise(about))
     if hotspots is not None:
@@ -104,19 +119,35 @@ def merge(records: DataFrame, uses: DataFrame, read: DataFrame, read_uses: DataF
 def project(records: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph back: nodes (id, name, kind, module, file, line), edges (src, dst, kind, label, file, line, occurrences, constraint) and modules (id, depends_on).
 
-    Records that are no nodes go with their uses.  An edge has the evidence of
-    its first use; one to an external node isn't constrained (false).
+    Records that are no nodes go with their uses.
     """
+    nodes = cut(project_nodes(records), "projected-nodes")
+    return nodes, project_edges(nodes, uses), project_modules(nodes, uses)
+
+
+def project_nodes(records: DataFrame) -> DataFrame:
     place = rules.split_where(F.nullif("where", F.lit("")))
     own = records.filter(~F.coalesce(F.col("kind").isin(*fixed.NON_NODE_KINDS), F.lit(False)))
-    nodes = cut(own.select(F.coalesce(F.nullif("id", F.lit("")), "name").alias("id"), "name", "kind", "module", place["file"].alias("file"), place["line"].alias("line")), "projected-nodes")
+    return own.select(F.coalesce(F.nullif("id", F.lit("")), "name").alias("id"), "name", "kind", "module", place["file"].alias("file"), place["line"].alias("line"))
+
+
+def project_edges(nodes: DataFrame, uses: DataFrame) -> DataFrame:
+    """Edges of nodes and stored uses.  An edge has the evidence of its first use; one to an external node isn't constrained (false)."""
     n = uses.count()
-    end = lambda key, to: nodes.select(F.col("name").alias(key), F.col("id").alias(to), F.col("kind").alias(f"{to}_kind"), F.col("module").alias(f"{to}_module"))
-    told = stored.join_unique(stored.join_unique(uses, _shuffled(end("name", "src")), "name", n), _shuffled(end("to", "dst")), "to", n)
-    first = told.groupBy("src", "dst", "kind").agg(F.min_by(F.struct("label", "where", "src_module", "dst_kind", "dst_module"), F.struct("name", "ord")).alias("e"), F.count("*").alias("occurrences"))
+    src = nodes.select("name", F.col("id").alias("src"))
+    dst = nodes.select(F.col("name").alias("to"), F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))
+    told = stored.join_unique(stored.join_unique(uses, _shuffled(src), "name", n), _shuffled(dst), "to", n)
+    first = told.groupBy("src", "dst", "kind").agg(F.min_by(F.struct("label", "where", "dst_kind"), F.struct("name", "ord")).alias("e"), F.count("*").alias("occurrences"))
     at = rules.split_where(F.nullif("where", F.lit("")))
-    edges = cut(first.select("src", "dst", "kind", "e.*", "occurrences"), "projected-edges")
-    shown = edges.select("src", "dst", "kind", "label", at["file"].alias("file"), at["line"].alias("line"), "occurrences", F.when(F.col("dst_kind") == "external", F.lit(False)).alias("constraint"))
-    across = edges.filter("dst_kind <> 'external' and coalesce(src_module, '') <> '' and coalesce(dst_module, '') <> '' and src_module <> dst_module").groupBy(F.col("src_module").alias("id")).agg(F.array_sort(F.collect_set("dst_module")).alias("depends_on"))
-    listed = nodes.filter("kind <> 'external' and coalesce(module, '') <> ''").select(F.col("module").alias("id")).distinct()
-    return nodes, shown, listed.join(_shuffled(across), "id", "left").select("id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    return first.select("src", "dst", "kind", "e.*", "occurrences").select("src", "dst", "kind", "label", at["file"].alias("file"), at["line"].alias("line"), "occurrences", F.when(F.col("dst_kind") == "external", F.lit(False)).alias("constraint"))
+
+
+def project_modules(nodes: DataFrame, uses: DataFrame) -> DataFrame:
+    """Modules of stored nodes, and the others that their uses lead to.  Uses are read once and only by their ends, so neither they nor edges need be stored."""
+    within = nodes.filter("coalesce(module, '') <> ''")
+    own = within.filter("kind <> 'external'")
+    src = within.select("name", F.col("module").alias("id"))
+    dst = own.select(F.col("name").alias("to"), F.col("module").alias("dst_module"))
+    told = uses.select("name", "to").join(_hashed(dst), "to").join(_hashed(src), "name").filter("id <> dst_module").select("id", "dst_module").distinct()
+    across = told.groupBy("id").agg(F.array_sort(F.collect_set("dst_module")).alias("depends_on"))
+    return own.select(F.col("module").alias("id")).distinct().join(_shuffled(across), "id", "left").select("id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))

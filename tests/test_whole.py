@@ -1,13 +1,15 @@
 """Queries over whole tables against plain Python on small tables."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import dictionary, graph, survey
 from loomgraph.plans import queries as core
-from loomgraph.plans import evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
+from loomgraph.plans import dictionary_queries, evidence_queries, graph_queries, rule_queries, survey_queries  # noqa: F401
+from loomgraph.session import shared_dir
 
 
 def joined_rows(df):
@@ -168,3 +170,31 @@ def test_projected_edges_of_many_names(spark, small_broadcasts):
 def test_projected_modules_of_many_names(spark, small_broadcasts):
     listed = dictionary.project(*dictionary.build(*ring_graph(spark, 60000)))[2]
     assert sorted((r["id"], r["depends_on"]) for r in listed.collect()) == [("m0", ["m1"]), ("m1", ["m2"]), ("m2", ["m0"])]
+
+
+def test_projected_modules_stores_names_and_no_uses(spark, data):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    dictionary_queries.projected_modules(spark, data).collect()
+    stored = [spark.read.parquet(str(p)).count() for p in set(folder.iterdir()) - before]
+    names = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("part", "supplier"))
+    assert stored and sum(stored) <= 2 * names < spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+
+def test_projected_modules_of_a_random_graph(spark):
+    rnd = random.Random(3)
+    rows = [(k, f"I{rnd.randrange(45)}", rnd.choice(["", None, *(f"n{j}" for j in range(30))]), rnd.choice(["class", "external", "concept", None]), rnd.choice(["", None, "a", "b", "c", "d", "e"]), None, None) for k in range(60)]
+    links = [(k, f"I{rnd.randrange(50)}", f"I{rnd.randrange(50)}", "dependency", None, None, None) for k in range(80)]
+    nodes = spark.createDataFrame(rows, "ord bigint, id string, name string, kind string, module string, file string, line int")
+    edges = spark.createDataFrame(links, "ord bigint, src string, dst string, kind string, label string, file string, line int")
+    modules = spark.createDataFrame([("a", ["b"]), ("z", [])], "id string, depends_on array<string>")
+    by_name = {r[2]: (r[3] or "type", r[4] or "") for r in rows if r[2]}
+    own = {n: x for n, x in by_name.items() if x[0] != "concept" and x[1]}
+    by_id = {i: max((r[0], r[2]) for r in rows if r[1] == i and r[2] is not None)[1] for i in {r[1] for r in rows if r[2] is not None}}
+    want = {x[1]: set() for x in own.values() if x[0] != "external"}
+    for s, t in ((by_id.get(r[1]), by_id.get(r[2])) for r in links):
+        if s in own and t in own and own[t][0] != "external" and own[s][1] != own[t][1] and own[s][1] in want:
+            want[own[s][1]].add(own[t][1])
+    got = dictionary.project(*dictionary.build(nodes, edges, modules))[2].collect()
+    assert sorted((r["id"], r["depends_on"]) for r in got) == sorted((m, sorted(x)) for m, x in want.items())
+    assert any(want.values())
